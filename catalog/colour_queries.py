@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.dialect import oracle, view
+from catalog.dialect import oracle, view, wide
 from tagloom.operators import contrast as op
 
 
@@ -121,7 +121,7 @@ FROM gr JOIN fix ON gr.fg = fix.fg AND gr.bg = fix.bg"""
 
 
 def background_pick(spark, sf):
-    s = view(spark, sf, "samples")
+    s = wide(spark, sf, "samples")
     pts = F.array("s0", "s1", "s2", "s3")
     return s.select("doc_id", "page", "span", op.background_pick(pts, F.col("s3"), F.col("fg")).alias("bg"))
 
@@ -136,15 +136,15 @@ SELECT x.doc_id, x.page, x.span, CASE WHEN b.s IS NULL THEN x.s3 ELSE b.s END AS
 LEFT JOIN b ON b.rn = 1 AND x.doc_id = b.doc_id AND x.page = b.page AND x.span = b.span"""
 
 QUERIES = {
-    "contrast_failures": lambda s, p: op.contrast_failures(view(s, p, "spans")),
-    "contrast_darken_linear": lambda s, p: op.contrast_repairs(op.contrast_failures(view(s, p, "spans"))),
-    "contrast_darken_exact": lambda s, p: op.fill_repairs(view(s, p, "fills")),
+    "contrast_failures": lambda s, p: op.contrast_failures(wide(s, p, "spans")),
+    "contrast_darken_linear": lambda s, p: op.contrast_repairs(op.contrast_failures(wide(s, p, "spans"))),
+    "contrast_darken_exact": lambda s, p: op.fill_repairs(wide(s, p, "fills")),
     "nontext_contrast": lambda s, p: op.nontext_contrast(
-        view(s, p, "annots"), view(s, p, "paths"), view(s, p, "page_sizes"), view(s, p, "images")),
+        wide(s, p, "annots"), wide(s, p, "paths"), view(s, p, "page_sizes"), view(s, p, "images")),
     "graphic_darken": lambda s, p: op.graphic_repairs(op.nontext_contrast(
-        view(s, p, "annots"), view(s, p, "paths"), view(s, p, "page_sizes"), view(s, p, "images"))),
+        wide(s, p, "annots"), wide(s, p, "paths"), view(s, p, "page_sizes"), view(s, p, "images"))),
     "background_pick": background_pick,
-    "background_fills": lambda s, p: op.background_fills(view(s, p, "fills")),
+    "background_fills": lambda s, p: op.background_fills(wide(s, p, "fills")),
     "page_image_cover": lambda s, p: op.page_image_cover(view(s, p, "images"), view(s, p, "page_sizes")).withColumn(
         "cover", F.bround("cover", 6)),
 }

@@ -25,8 +25,25 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
     return 0.2126 * linear(r) + 0.7152 * linear(g) + 0.0722 * linear(b)
 
 
+def _linear(v: float) -> float:
+    return v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4
+
+
+_GRID = "array(" + ", ".join(f"{_linear(i / 255.0)!r}D" for i in range(256)) + ")"
+
+
+def _grid(byte: Column) -> Column:
+    """Linear light of an 8-bit channel: one read of a constant 256-entry array."""
+    return F.get(F.expr(_GRID), byte)
+
+
+def byte_luminance(r: Column, g: Column, b: Column) -> Column:
+    """Relative luminance of 8-bit channels (integer columns)."""
+    return 0.2126 * _grid(r) + 0.7152 * _grid(g) + 0.0722 * _grid(b)
+
+
 def packed_luminance(packed: Column) -> Column:
-    return luminance(*channels(packed))
+    return byte_luminance(*[F.shiftright(packed, s).bitwiseAND(255) for s in (16, 8, 0)])
 
 
 def ratio_of(lum_a: Column, lum_b: Column) -> Column:
@@ -43,14 +60,20 @@ def quantize(c: Column) -> Column:
     return F.rint(c * 255.0) / 255.0
 
 
+def to_byte(c: Column) -> Column:
+    return F.rint(c * 255.0).cast("int")
+
+
 def quantized_luminance(r: Column, g: Column, b: Column, scale: Column) -> Column:
-    return luminance(quantize(r * scale), quantize(g * scale), quantize(b * scale))
+    return byte_luminance(to_byte(r * scale), to_byte(g * scale), to_byte(b * scale))
 
 
 def pack(r: Column, g: Column, b: Column) -> Column:
-    def byte(c: Column) -> Column:
-        return F.rint(c * 255.0).cast("int")
-    return (F.shiftleft(byte(r), 16) + F.shiftleft(byte(g), 8) + byte(b)).cast("int")
+    return pack_bytes(to_byte(r), to_byte(g), to_byte(b))
+
+
+def pack_bytes(r: Column, g: Column, b: Column) -> Column:
+    return (F.shiftleft(r, 16) + F.shiftleft(g, 8) + b).cast("int")
 
 
 def white_ratio(lum: Column) -> Column:
@@ -73,24 +96,38 @@ def darken_exact(r: Column, g: Column, b: Column, required: float = lx.TEXT_RATI
     lo = F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, halve)["lo"]
 
     def stepped(n: Column, s: Column) -> list[Column]:
-        return [F.greatest(F.lit(0.0), quantize(c * s) - n / 255.0) for c in (r, g, b)]
+        return [F.greatest(F.lit(0), to_byte(c * s) - n) for c in (r, g, b)]
 
     def settle(s: Column) -> Column:
         tries = F.filter(F.sequence(F.lit(0), F.lit(8)),
-                         lambda n: white_ratio(luminance(*stepped(n, s))) >= required)
-        return pack(*stepped(F.coalesce(F.try_element_at(tries, F.lit(1)), F.lit(8)), s))
+                         lambda n: white_ratio(byte_luminance(*stepped(n, s))) >= required)
+        return pack_bytes(*stepped(F.coalesce(F.try_element_at(tries, F.lit(1)), F.lit(8)), s))
 
     passes = white_ratio(quantized_luminance(r, g, b, F.lit(1.0))) >= required
     # transform over a one-element array keeps the searched scale computed once
     searched = F.transform(F.array(lo), settle)[0]
-    return F.when(passes, pack(quantize(r), quantize(g), quantize(b))).otherwise(searched)
+    return F.when(passes, pack(r, g, b)).otherwise(searched)
 
 
 def darken_scale(r: Column, g: Column, b: Column, bg_lum: Column, required: float) -> Column:
-    """First scale of 1.000, 0.995 ... 0.000 that reaches the ratio; null if none does."""
-    steps = F.transform(F.sequence(F.lit(0), F.lit(200)), lambda i: F.lit(1.0) - i * 0.005)
-    hit = F.filter(steps, lambda s: ratio_of(quantized_luminance(r, g, b, s), bg_lum) >= required)
-    return F.try_element_at(hit, F.lit(1))
+    """First scale of 1.000, 0.995 ... 0.000 that reaches the ratio; null if none does.
+
+    Darkening a colour that fails can only start to pass once, on the dark side of
+    its background, so eight halvings of the step number find the first hit.
+    """
+    def passes(i: Column) -> Column:
+        return ratio_of(quantized_luminance(r, g, b, F.lit(1.0) - i * 0.005), bg_lum) >= required
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        ok = passes(mid)
+        return F.struct(F.when(ok, acc["lo"]).otherwise(mid).alias("lo"),
+                        F.when(ok, mid).otherwise(acc["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(200).alias("hi"))
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, halve)["hi"]
+    step = F.when(passes(F.lit(0)), F.lit(0)).when(passes(F.lit(200)), first)
+    return F.lit(1.0) - step * 0.005
 
 
 def darken_linear(r: Column, g: Column, b: Column, bg_lum: Column, required: float = lx.TEXT_RATIO) -> Column:

@@ -14,8 +14,15 @@ def matches(col: Column, regex: str, ignore_case: bool = False) -> Column:
     return col.rlike(pattern(regex, ignore_case))
 
 
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"^\s+|\s+$", "")
+    """Whitespace off both ends; a character-set trim, far cheaper than a regex."""
+    return F.btrim(col, F.lit(_SPACES))
 
 
 def blank(col: Column) -> Column:
