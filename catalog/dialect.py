@@ -64,10 +64,23 @@ def _views() -> dict:
     return VIEWS
 
 
+# Folder of views written as Parquet by ``materialize``; unset, views are derived on the fly.
+_stored: dict[str, str] = {}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if sf_dir in _stored:
+        return spark.read.parquet(os.path.join(_stored[sf_dir], name))
     return spark.sql(_views()[name](Spark(sf_dir)))
 
 
+def materialize(spark: SparkSession, sf_dir: str, folder: str, files: int) -> None:
+    """Write every view as a table of ``files`` files, the shape an extractor leaves."""
+    for name, text in _views().items():
+        spark.sql(text(Spark(sf_dir))).repartition(files).write.mode("overwrite").parquet(os.path.join(folder, name))
+    _stored[sf_dir] = folder
+
+
 def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view for expression-heavy checks. The driver's tables are single files of one
     row group, so one task would do all the work; a corpus with at least as many files

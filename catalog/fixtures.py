@@ -75,7 +75,7 @@ def spans(d) -> str:
   CAST(l_partkey % 3 AS INT) AS line, {_ID} AS span,
   {pick(d, SPAN_TEXTS, "l_partkey + l_orderkey")} AS text,
   CAST(CASE WHEN l_partkey % 5 = 0 THEN 5 ELSE 6 + {_Q} % 36 END AS DOUBLE) / 2e0 + 2e0 * (l_partkey % 8) AS size,
-  CAST((l_partkey * 7919 + l_suppkey * 104729) % 16777216 AS INT) AS color,
+  CAST(CASE WHEN l_partkey % 37 = 0 THEN 16777215 ELSE (l_partkey * 7919 + l_suppkey * 104729) % 16777216 END AS INT) AS color,
   CAST(CASE WHEN l_suppkey % 3 = 0 THEN (l_partkey * 31337) % 16777216 ELSE 16777215 END AS INT) AS bg,
   CAST(16 * (l_partkey % 2) AS INT) AS flags,
   CAST(l_orderkey % 7 - 4 AS DOUBLE) / 4e0 AS char_spacing,
@@ -262,6 +262,13 @@ def tables(d) -> str:
 FROM {d.table("part")}"""
 
 
+def decisions(d) -> str:
+    """A reviewer's header decisions by (table, row, column)."""
+    return f"""SELECT {d.idiv("l_partkey", 2)} AS doc_id, l_partkey AS table_id, l_linenumber AS row, CAST(1 + l_suppkey % 4 AS INT) AS col,
+  max(l_orderkey) % 3 = 0 AS is_header, CASE WHEN min(l_orderkey) % 4 = 0 THEN 'Row' WHEN min(l_orderkey) % 4 = 1 THEN 'Column' END AS new_scope
+FROM {d.table("lineitem")} GROUP BY l_partkey, l_linenumber, 1 + l_suppkey % 4"""
+
+
 def rules(d) -> str:
     clause = pick(d, [c for c, _ in CLAUSES], "l_suppkey + l_partkey")
     test = pick(d, [str(t) for _, t in CLAUSES], "l_suppkey + l_partkey")
@@ -316,7 +323,22 @@ def words(d) -> str:
 FROM {d.explode_lines(d.table("conversations"), "text", " ")} e"""
 
 
+def elements(d) -> str:
+    """Recognised elements of scanned pages."""
+    return f"""SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page, ord AS pos,
+  CASE WHEN (conv_id + turn) % 5 = 0 AND ord = 0 THEN 'H1' WHEN ord % 11 = 7 THEN 'Figure' ELSE 'P' END AS type,
+  CASE WHEN turn % 2 = 0 THEN line WHEN ord % 3 = 0 THEN concat(line, ' with four more words') ELSE line END AS text
+FROM {d.explode_lines(d.table("conversations"), "text", " ")} e"""
+
+
+def tree(d) -> str:
+    """Structure tree with a root per document; some parents do not exist."""
+    return f"""SELECT doc_id, node_id, CASE WHEN (doc_id + ord) % 23 = 0 THEN 'gone' WHEN parent_id IS NULL THEN 'root' ELSE parent_id END AS parent_id,
+  ord + 1 AS ord, tag FROM ({nodes(d)}) n
+UNION ALL SELECT doc_id, 'root', NULL, CAST(0 AS BIGINT), 'Document' FROM {d.table("documents")}"""
+
+
 VIEWS = {f.__name__: f for f in (
     spans, samples, page_sizes, images, paths, fills, annots, links, fields, fonts, layers, docs, lines, nodes,
-    headings, toc_nodes, list_items, cells, tables, rules, runs, stream_mcids, tree_mcids, stream_ops, words,
+    headings, toc_nodes, list_items, cells, tables, decisions, rules, runs, stream_mcids, tree_mcids, stream_ops, words, elements, tree,
 )}

@@ -47,16 +47,26 @@ def repair_levels(headings: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> Dat
     of (l(j) - j): a running minimum, which splits over chunks.
     """
     df = scan.with_chunk(headings, "ord", chunk_rows)
-    df = scan.rank_in_order(df, ["doc_id"], ["ord"], "n")
-    df = df.withColumn("_lift", F.when(F.col("n") == 1, F.lit(1)).otherwise(F.col("level")) - F.col("n"))
+    j = F.col("_j")
+    # in the document's first chunk the first heading counts as level 1, whatever it says
+    forced = F.when(j == 1, F.lit(1)).otherwise(F.col("level")) - j
+    prior = F.col("_n_before")
     df = scan.chunk_scan(
         df, ["doc_id"], ["ord"],
-        local={"_low": lambda w: F.min("_lift").over(scan.running(w))},
-        totals={"_min": F.min("_lift")},
-        carry=[{"_low_before": lambda w: F.min("_min").over(w)}],
+        local=[{"_j": lambda w: F.row_number().over(w)},
+               {"_low": lambda w: F.min(F.col("level") - j).over(scan.running(w)),
+                "_low_first": lambda w: F.min(forced).over(scan.running(w))}],
+        totals={"_n": F.count(F.lit(1)), "_m": F.min(F.col("level") - j), "_m_first": F.min(forced)},
+        carry=[{"_n_before": lambda w: F.sum("_n").over(w)},
+               {"_t_m": lambda w: F.when(prior.isNull(), F.col("_m_first")).otherwise(F.col("_m") - prior)},
+               {"_low_before": lambda w: F.min("_t_m").over(w)}],
+        totals_of_local=True,
     )
-    new = (F.least("_low", "_low_before") + F.col("n")).cast("int")
-    return df.withColumn("new_level", new).drop("_chunk", "_lift", "_low", "_low_before", "n")
+    # with n headings before the chunk, heading j of it is heading n + j of the document
+    n = F.coalesce(prior, F.lit(0))
+    low = F.when(prior.isNull(), F.col("_low_first")).otherwise(F.least(F.col("_low") - n, "_low_before"))
+    return df.withColumn("new_level", (low + n + j).cast("int")).drop(
+        "_chunk", "_j", "_low", "_low_first", "_n_before", "_low_before")
 
 
 def bookmarks(headings: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:
@@ -69,7 +79,7 @@ def bookmarks(headings: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> DataFra
     at = {k: F.max(F.when(F.col("level") == k, F.col("ord"))) for k in range(1, 6)}
     df = scan.chunk_scan(
         df, ["doc_id"], ["ord"],
-        local={f"_p{k}": (lambda w, a=a: a.over(scan.before(w))) for k, a in at.items()},
+        local=[{f"_p{k}": (lambda w, a=a: a.over(scan.before(w))) for k, a in at.items()}],
         totals={f"_m{k}": a for k, a in at.items()},
         carry=[{f"_q{k}": (lambda w, k=k: F.max(f"_m{k}").over(w)) for k in at}],
     )

@@ -27,26 +27,30 @@ def chunk_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    local: Mapping[str, WindowFn],
+    local: Sequence[Mapping[str, WindowFn]],
     totals: Mapping[str, Column],
     carry: Sequence[Mapping[str, WindowFn]],
-    reverse: bool = False,
+    totals_of_local: bool = False,
 ) -> DataFrame:
     """Two-level scan over ``df`` (which carries ``_chunk``).
 
-    ``local``   columns computed per (keys, chunk) in ``order``.
-    ``totals``  one aggregate per chunk, map-side combined.
-    ``carry``   steps over the chunk summaries; each sees the earlier steps. The
-                window it gets covers the chunks strictly before the current one
-                (strictly after it when ``reverse``). Names starting with ``_t``
-                stay internal.
+    ``local``   steps of columns computed per (keys, chunk) in ``order``; a later step
+                may use the columns of an earlier one (same partitioning, no new shuffle).
+    ``totals``  one aggregate per chunk, map-side combined. Over the input columns, or
+                over the local columns too when ``totals_of_local``.
+    ``carry``   steps over the chunk summaries; each sees the earlier steps and a window
+                of the chunks strictly before the current one. Names starting with
+                ``_t`` stay internal.
+
+    The input is evaluated twice (rows and summaries), so chain as few scans as possible.
     """
     inner = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    out = df.withColumns({name: fn(inner) for name, fn in local.items()})
+    out = df
+    for step in local:
+        out = out.withColumns({name: fn(inner) for name, fn in step.items()})
 
-    summary = df.groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in totals.items()])
-    along = F.col("_chunk").desc() if reverse else F.col("_chunk").asc()
-    outer = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    summary = (out if totals_of_local else df).groupBy(*keys, "_chunk").agg(*[c.alias(n) for n, c in totals.items()])
+    outer = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     names: list[str] = []
     for step in carry:
         summary = summary.withColumns({name: fn(outer) for name, fn in step.items()})
@@ -63,11 +67,36 @@ def before(order_window: WindowSpec) -> WindowSpec:
     return order_window.rowsBetween(Window.unboundedPreceding, -1)
 
 
+def islands(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
+    starts: Callable[[Column, Column], Column], name: str,
+) -> DataFrame:
+    """Cut an ordered sequence where ``starts(value, previous value)`` holds.
+
+    ``name`` becomes the order columns of the island's first row, as a struct. Whether a
+    chunk's own first row starts an island is decided from the summaries.
+    """
+    at = F.struct(*order)
+    df = df.withColumns({"_v": value, "_at": at})
+    out = chunk_scan(
+        df, keys, order,
+        local=[{"_before": lambda w: F.lag("_v").over(w)},
+               {"_own": lambda w: F.max(F.when(F.col("_before").isNotNull() & starts(F.col("_v"), F.col("_before")), F.col("_at"))).over(running(w))}],
+        totals={"_tail": F.max_by("_v", "_at"), "_head": F.min_by("_v", "_at"), "_first": F.min("_at"), "_inner": F.max("_own")},
+        carry=[{"_t_prev": lambda w: F.last("_tail").over(w)},
+               {"_opened": lambda w: F.when(F.col("_t_prev").isNull() | starts(F.col("_head"), F.col("_t_prev")), F.col("_first"))},
+               {"_t_open": lambda w: F.coalesce("_inner", "_opened")},
+               {"_prior": lambda w: F.last("_t_open", ignorenulls=True).over(w)}],
+        totals_of_local=True,
+    )
+    return out.withColumn(name, F.coalesce("_own", "_opened", "_prior")).drop("_v", "_at", "_before", "_own", "_opened", "_prior")
+
+
 def rank_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
     """1-based rank over a whole document, computed chunk by chunk."""
     out = chunk_scan(
         df, keys, order,
-        local={"_rank": lambda w: F.row_number().over(w)},
+        local=[{"_rank": lambda w: F.row_number().over(w)}],
         totals={"_n": F.count(F.lit(1))},
         carry=[{"_before": lambda w: F.sum("_n").over(w)}],
     )
@@ -80,7 +109,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: st
     last = F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).getField("v")
     out = chunk_scan(
         df, keys, order,
-        local={"_lag": lambda w: F.lag(value).over(w)},
+        local=[{"_lag": lambda w: F.lag(value).over(w)}],
         totals={"_last": last},
         carry=[{"_prev_last": lambda w: F.last("_last", ignorenulls=True).over(w)}],
     )
@@ -92,7 +121,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     df = df.withColumn("_v", value)
     out = chunk_scan(
         df, keys, order,
-        local={"_s": lambda w: F.sum("_v").over(running(w))},
+        local=[{"_s": lambda w: F.sum("_v").over(running(w))}],
         totals={"_n": F.sum("_v")},
         carry=[{"_before": lambda w: F.sum("_n").over(w)}],
     )
