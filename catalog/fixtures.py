@@ -323,6 +323,32 @@ def words(d) -> str:
 FROM {d.explode_lines(d.table("conversations"), "text", " ")} e"""
 
 
+def figures(d) -> str:
+    """Dense pages of figures, captions and paragraphs with boxes."""
+    return f"""SELECT l_suppkey AS doc_id, l_linenumber AS page, {_ID} AS ord, concat('n', CAST({_ID} AS VARCHAR(20))) AS node_id,
+  CAST(NULL AS VARCHAR(20)) AS parent_id, CASE WHEN l_partkey % 3 = 0 THEN 'Figure' ELSE 'P' END AS tag,
+  {pick(d, ["Figure 1: results", "Body text of the page", "Fig. 2 comparison", "Table 3: summary", "Another paragraph", "chart 4 shows"], "l_orderkey")} AS text,
+  {_box("20 + (l_orderkey % 9) * 50", "(l_orderkey * 37 + l_partkey * 11) % 700", f"60 + {_Q}", f"10 + {_Q} % 40")}
+FROM {d.table("lineitem")}"""
+
+
+def reports(d) -> str:
+    """A validator's XML report per order: three rules, some failed, under either root name."""
+    def rule(i: int) -> str:
+        clause = pick(d, [c for c, _ in CLAUSES], f"o_orderkey + {i}")
+        test = pick(d, [str(t) for _, t in CLAUSES], f"o_orderkey + {i}")
+        return (f"""'<rule specification="PDF/UA-1" clause="', {clause}, '" testNumber="', {test}, '" status="',
+   CASE WHEN (o_custkey + {i}) % 3 = 0 THEN 'passed' ELSE 'failed' END, '" passedChecks="', CAST(o_custkey % 40 AS VARCHAR(20)),
+   '" failedChecks="', CAST((o_orderkey + {i}) % 90 AS VARCHAR(20)), '"><description> Rule {i} of <![CDATA[a & b]]> </description>',
+   repeat('<check status="failed"><context>root/page[{i}]</context></check>', CAST((o_orderkey + {i}) % 8 AS INT)), '</rule>'""")
+    root = "CASE WHEN o_orderkey % 2 = 0 THEN 'validationReport' ELSE 'validationResult' END"
+    return f"""SELECT o_orderkey AS doc_id, o_custkey, concat('<report><buildInformation><releaseDetails id="core" version="1.26.2"/></buildInformation><jobs><job><', {root},
+   ' flavour="PDFUA_1" isCompliant="', CASE WHEN o_custkey % 5 = 0 THEN 'true' ELSE 'false' END, '"><details passedRules="', CAST(o_custkey % 90 AS VARCHAR(20)),
+   '" failedRules="2" passedChecks="900" failedChecks="', CAST(o_orderkey % 70 AS VARCHAR(20)), '">', {", ".join(rule(i) for i in range(3))},
+   '</details></', {root}, '></job></jobs></report>') AS xml
+FROM {d.table("orders")}"""
+
+
 def elements(d) -> str:
     """Recognised elements of scanned pages."""
     return f"""SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS page, ord AS pos,
@@ -340,5 +366,5 @@ UNION ALL SELECT doc_id, 'root', NULL, CAST(0 AS BIGINT), 'Document' FROM {d.tab
 
 VIEWS = {f.__name__: f for f in (
     spans, samples, page_sizes, images, paths, fills, annots, links, fields, fonts, layers, docs, lines, nodes,
-    headings, toc_nodes, list_items, cells, tables, decisions, rules, runs, stream_mcids, tree_mcids, stream_ops, words, elements, tree,
+    headings, toc_nodes, list_items, cells, tables, decisions, rules, runs, stream_mcids, tree_mcids, stream_ops, words, elements, tree, figures, reports,
 )}

@@ -35,10 +35,10 @@ def _fractions(s, p):
 
 
 QUERIES = {
-    "caption_gaps": lambda s, p: op.caption_gaps(wide(s, p, "nodes")),
-    "captions": lambda s, p: op.link_captions(wide(s, p, "nodes")),
+    "caption_gaps": lambda s, p: op.caption_gaps(wide(s, p, "figures")),
+    "captions": lambda s, p: op.link_captions(wide(s, p, "figures")),
     "caption_pairs": lambda s, p: op.adopt_captions(
-        view(s, p, "nodes"), op.link_captions(wide(s, p, "nodes"))).select("doc_id", "node_id", "parent_id", "tag"),
+        view(s, p, "figures"), op.link_captions(wide(s, p, "figures"))).select("doc_id", "node_id", "parent_id", "tag"),
     "running_headers": _headers,
     "header_artifacts": lambda s, p: op.header_artifacts(view(s, p, "nodes"), _headers(s, p)).select("doc_id", "node_id", "page"),
     "invisible_spans": lambda s, p: op.invisible_spans(view(s, p, "spans")).select("doc_id", "page", "span", "color", "size"),
@@ -68,8 +68,8 @@ QUERIES = {
     "node_counts": lambda s, p: view(s, p, "nodes").groupBy("doc_id").agg(F.count(F.lit(1)).alias("nodes")),
 }
 
-_GAPS = f"""f AS (SELECT doc_id, page, ord AS fig, y0, y1 FROM fx_nodes WHERE tag = 'Figure'),
- c AS (SELECT doc_id, page, ord AS cap, y0, y1 FROM fx_nodes WHERE tag IN ('P', 'Span', 'Caption') AND regexp_matches({strip_sql("coalesce(text, '')")}, {_lit(lx.CAPTION)}, 'i')),
+_GAPS = f"""f AS (SELECT doc_id, page, ord AS fig, y0, y1 FROM fx_figures WHERE tag = 'Figure'),
+ c AS (SELECT doc_id, page, ord AS cap, y0, y1 FROM fx_figures WHERE tag IN ('P', 'Span', 'Caption') AND regexp_matches({strip_sql("coalesce(text, '')")}, {_lit(lx.CAPTION)}, 'i')),
  gp AS (SELECT f.doc_id, f.page, fig, cap, least(abs(f.y0 - c.y1), abs(c.y0 - f.y1)) AS gap FROM f JOIN c ON f.doc_id = c.doc_id AND f.page = c.page)"""
 _HEAD = f"""many AS (SELECT doc_id FROM fx_page_sizes GROUP BY 1 HAVING count(*) >= 2),
  sp AS (SELECT s.*, {strip_sql("coalesce(s.text, '')")} AS t, height, height - (y0 + y1) / 2 AS m FROM fx_spans s JOIN fx_page_sizes p ON s.doc_id = p.doc_id AND s.page = p.page WHERE s.doc_id IN (SELECT doc_id FROM many)),
@@ -93,7 +93,7 @@ LEFT JOIN h ON h.rn = 1 AND h.doc_id = p.doc_id AND h.page = p.page AND h.{key}
 _EMPTY = f"""em AS (SELECT doc_id, node_id, tag, page FROM fx_nodes n WHERE {blank_sql('text')} AND {blank_sql('alt')} AND NOT artifact AND NOT decorative
    AND NOT EXISTS (SELECT 1 FROM fx_nodes k WHERE k.doc_id = n.doc_id AND k.parent_id = n.node_id))"""
 ORACLES = {
-    "caption_gaps": oracle("nodes", f"WITH {_GAPS} SELECT doc_id, page, fig, cap, gap FROM gp WHERE gap <= 40"),
+    "caption_gaps": oracle("figures", f"WITH {_GAPS} SELECT doc_id, page, fig, cap, gap FROM gp WHERE gap <= 40"),
     "running_headers": oracle("spans page_sizes", f"WITH {_HEAD} SELECT * FROM hz"),
     "header_artifacts": oracle("spans page_sizes nodes", f"""WITH {_HEAD} SELECT doc_id, node_id, page FROM fx_nodes n WHERE EXISTS (SELECT 1 FROM hz z WHERE z.doc_id = n.doc_id AND z.page = n.page
    AND (n.x0 + n.x1) / 2 BETWEEN z.x0 - 4 AND z.x1 + 4 AND (n.y0 + n.y1) / 2 BETWEEN z.y0 - 4 AND z.y1 + 4)"""),
