@@ -323,6 +323,32 @@ def words(d) -> str:
 FROM {d.explode_lines(d.table("conversations"), "text", " ")} e"""
 
 
+def fixes(d) -> str:
+    """A reviewer's corrections, one per node."""
+    return f"""SELECT doc_id, ord AS fix_id, {pick(d, ["retag", "set_alt", "retag", "set_title", "retag", "resize"], "doc_id + ord")} AS action,
+  CASE WHEN ord % 3 = 0 THEN concat('  ', text, '!?') WHEN ord % 3 = 1 THEN substr(text, 1, 24) ELSE text END AS target_text,
+  {pick(d, ["H1", "H2", "P", "Table", "Caption"], "doc_id + ord * 3")} AS new_tag, ord % 4 AS figure_number,
+  {pick(d, ["A new description", " ", "Map of sites"], "ord")} AS new_alt, {pick(d, ["New title", "", "  Report "], "ord + doc_id")} AS new_title
+FROM ({nodes(d)}) n"""
+
+
+def answers(d) -> str:
+    """Review answers for figures."""
+    return f"""SELECT doc_id, node_id, ord % 3 = 0 AS decorative, {pick(d, ["A bridge", "", " Two people "], "doc_id + ord")} AS value
+FROM ({nodes(d)}) n WHERE tag = 'Figure'"""
+
+
+def order_requests(d) -> str:
+    """Headings first, the last of them in front."""
+    return f"""SELECT doc_id, page, node_id, 1000000 - ord AS pos FROM ({nodes(d)}) n WHERE tag IN ('H1', 'H2', 'H3', 'H4')"""
+
+
+def verdicts(d) -> str:
+    """Visual review items with a verdict."""
+    return f"""SELECT event_id AS item_id, user_id AS doc_id, {pick(d, ["looks_good", "needs_human", "likely_problem", "other"], "event_id")} AS verdict
+FROM {d.table("events")}"""
+
+
 def figures(d) -> str:
     """Dense pages of figures, captions and paragraphs with boxes."""
     return f"""SELECT l_suppkey AS doc_id, l_linenumber AS page, {_ID} AS ord, concat('n', CAST({_ID} AS VARCHAR(20))) AS node_id,
@@ -366,5 +392,5 @@ UNION ALL SELECT doc_id, 'root', NULL, CAST(0 AS BIGINT), 'Document' FROM {d.tab
 
 VIEWS = {f.__name__: f for f in (
     spans, samples, page_sizes, images, paths, fills, annots, links, fields, fonts, layers, docs, lines, nodes,
-    headings, toc_nodes, list_items, cells, tables, decisions, rules, runs, stream_mcids, tree_mcids, stream_ops, words, elements, tree, figures, reports,
+    headings, toc_nodes, list_items, cells, tables, decisions, rules, runs, stream_mcids, tree_mcids, stream_ops, words, elements, tree, figures, reports, fixes, answers, order_requests, verdicts,
 )}

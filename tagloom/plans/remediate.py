@@ -1,0 +1,33 @@
+"""The fixed repair sequence over flat nodes. Order matters: captions before contents
+lists, contents lists before running headers, formulas last."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tagloom.operators import headings, layout, prose
+
+
+def autotag(nodes: DataFrame, spans: DataFrame, pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """Nodes after every automatic repair, same schema."""
+    columns = nodes.columns
+    kept = layout.drop_invisible(nodes, spans)
+
+    promoted = headings.promote_headings(kept).select("doc_id", "ord", F.col("new_tag").alias("_tag"))
+    out = kept.join(promoted, ["doc_id", "ord"], "left").withColumn("tag", F.coalesce("_tag", "tag")).drop("_tag")
+
+    out = layout.adopt_captions(out, layout.link_captions(out).select("doc_id", "fig", "cap"))
+
+    runs = layout.contents_runs(out).select("doc_id", "ord", F.col("toc_id").alias("_toc"))
+    out = out.join(runs, ["doc_id", "ord"], "left").withColumns({
+        "tag": F.when(F.col("_toc").isNotNull(), F.lit("TOCI")).otherwise(F.col("tag")),
+        "parent_id": F.coalesce("_toc", "parent_id")}).drop("_toc")
+
+    margin = layout.header_artifacts(out, layout.running_headers(spans, pages)).select(
+        "doc_id", "ord", F.lit(True).alias("_margin")).distinct()
+    out = out.join(margin, ["doc_id", "ord"], "left").withColumn(
+        "artifact", F.coalesce("_margin", "artifact")).drop("_margin")
+
+    languages = prose.node_languages(out, docs).select("doc_id", "ord", F.col("language").alias("_lang"))
+    out = out.join(languages, ["doc_id", "ord"], "left").withColumn("language", F.coalesce("_lang", "language")).drop("_lang")
+    return prose.tag_formulas(out).select(*columns)
