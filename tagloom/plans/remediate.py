@@ -5,29 +5,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tagloom import lexicon as lx
 from tagloom.operators import headings, layout, prose
+from tagloom.session import cut_lineage
 
 
 def autotag(nodes: DataFrame, spans: DataFrame, pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """Nodes after every automatic repair, same schema."""
-    columns = nodes.columns
-    kept = layout.drop_invisible(nodes, spans)
-
-    promoted = headings.promote_headings(kept).select("doc_id", "ord", F.col("new_tag").alias("_tag"))
-    out = kept.join(promoted, ["doc_id", "ord"], "left").withColumn("tag", F.coalesce("_tag", "tag")).drop("_tag")
-
-    out = layout.adopt_captions(out, layout.link_captions(out).select("doc_id", "fig", "cap"))
+    """Nodes after every automatic repair, same schema.
 
-    runs = layout.contents_runs(out).select("doc_id", "ord", F.col("toc_id").alias("_toc"))
-    out = out.join(runs, ["doc_id", "ord"], "left").withColumns({
-        "tag": F.when(F.col("_toc").isNotNull(), F.lit("TOCI")).otherwise(F.col("tag")),
-        "parent_id": F.coalesce("_toc", "parent_id")}).drop("_toc")
-
-    margin = layout.header_artifacts(out, layout.running_headers(spans, pages)).select(
-        "doc_id", "ord", F.lit(True).alias("_margin")).distinct()
-    out = out.join(margin, ["doc_id", "ord"], "left").withColumn(
-        "artifact", F.coalesce("_margin", "artifact")).drop("_margin")
-
-    languages = prose.node_languages(out, docs).select("doc_id", "ord", F.col("language").alias("_lang"))
-    out = out.join(languages, ["doc_id", "ord"], "left").withColumn("language", F.coalesce("_lang", "language")).drop("_lang")
-    return prose.tag_formulas(out).select(*columns)
+    Every step contributes facts by (doc_id, ord) and all of them read one written base
+    table, so the work is one pass per step however long the sequence gets.
+    """
+    key = ["doc_id", "ord"]
+    kept = layout.drop_invisible(nodes, spans)
+    promoted = headings.promote_headings(kept).select(*key, F.col("new_tag").alias("_tag"))
+    base = cut_lineage(kept.join(promoted, key, "left").withColumn("tag", F.coalesce("_tag", "tag")).drop("_tag"))
+
+    links = cut_lineage(layout.link_captions(base).select("doc_id", "fig", "cap"))
+    figures = base.filter(F.col("tag") == "Figure").select("doc_id", F.col("ord").alias("fig"), F.col("node_id").alias("_figure"))
+    captions = links.join(figures, ["doc_id", "fig"]).select("doc_id", F.col("cap").alias("ord"), "_figure")
+    # a caption under its figure is no longer part of the top-level sequence
+    contents = layout.contents_runs(base.join(captions, key, "left_anti")).select(*key, F.col("toc_id").alias("_toc"))
+    margin = layout.header_artifacts(base, layout.running_headers(spans, pages)).select(*key, F.lit(True).alias("_margin"))
+    languages = prose.node_languages(base, docs).select(*key, F.col("language").alias("_lang"))
+
+    out = base.join(captions, key, "left").join(contents, key, "left").join(margin, key, "left").join(languages, key, "left")
+    tag = F.when(F.col("_figure").isNotNull(), "Caption").when(F.col("_toc").isNotNull(), "TOCI").otherwise(F.col("tag"))
+    out = out.withColumn("tag", tag)
+    out = out.withColumns({
+        "parent_id": F.coalesce("_figure", "_toc", "parent_id"), "artifact": F.coalesce("_margin", "artifact"),
+        "language": F.when(F.col("tag").isin(lx.NODE_LANGUAGE_TAGS), F.coalesce("_lang", "language")).otherwise(F.col("language"))})
+    return prose.tag_formulas(out).select(*nodes.columns)
