@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.dialect import Duck, oracle, table, view, wide
+from catalog.dialect import Duck, oracle, spread, table, view, wide
 from tagloom import lexicon as lx
 from tagloom.functions import language as lang
 from tagloom.operators import prose as op
@@ -79,7 +79,7 @@ def _nodes(s, p):
 QUERIES = {
     "abbreviations": lambda s, p: op.abbreviations(_nodes(s, p)),
     "top_abbreviations": lambda s, p: op.top_abbreviations(op.abbreviations(_nodes(s, p))),
-    "reading_level": lambda s, p: op.reading_level(table(s, p, "documents")),
+    "reading_level": lambda s, p: op.reading_level(spread(table(s, p, "documents").select("doc_id", "text"))),
     "sensory": lambda s, p: op.sensory(_nodes(s, p)),
     "formulas": lambda s, p: op.tag_formulas(_nodes(s, p)).filter(F.col("tag") == "Formula").select("doc_id", "node_id", "tag", "alt"),
     "script_language": lambda s, p: _nodes(s, p).select("doc_id", "node_id", lang.script_language(F.col("text")).alias("script_lang")),

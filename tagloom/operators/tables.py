@@ -49,40 +49,51 @@ def table_summary(cells: DataFrame, slots: DataFrame, row_headers: bool = False)
         (F.col("n_rows").cast("long") * F.col("n_cols") - F.col("covered")).alias("uncovered"))
 
 
+def _edge_slots(cells: DataFrame, along: str, span: str, edge: str) -> DataFrame:
+    """Owners of the first row's (or first column's) positions. Spans only run down and
+    right, so only cells that start on that edge can cover it."""
+    out = cells.filter(F.col(edge) == 1).select(
+        *TABLE, F.explode(F.sequence(F.col(along), F.col(along) + _span(span) - 1)).alias("pos"), "row", "col", "cell_id")
+    return out.groupBy(*TABLE, "pos").agg(F.min(F.struct("row", "col", "cell_id")).alias("o")).select(
+        *TABLE, "pos", F.col("o.cell_id").alias("cell_id"), F.col("o.row").alias("row"), F.col("o.col").alias("col"))
+
+
 def header_ids(cells: DataFrame, row_headers: bool = False) -> DataFrame:
     """Header flags and scopes by position, and for data cells of complex tables the ids
     of the headers above (over the column span) and to the left (over the row span)."""
-    slots = grid_slots(cells)
-    summary = table_summary(cells, slots, row_headers)
-    top = slots.filter(F.col("r") == 1).select(*TABLE, F.col("c").alias("pos"), "cell_id", "row", "col")
-    facts = summary.select(*TABLE, "complex", "n_cols")
-    parts = top.select(*TABLE, "cell_id", F.lit(True).alias("is_top"), F.lit(False).alias("is_side"))
+    facts = cells.groupBy(*TABLE).agg(
+        F.max(F.col("col") + _span("col_span") - 1).alias("n_cols"),
+        F.bool_or((F.col("row_span") > 1) | (F.col("col_span") > 1)).alias("has_spans"))
+    wide = F.col("n_cols") > 1 if row_headers else F.lit(False)
+    facts = facts.select(*TABLE, "n_cols", (F.col("has_spans") | wide).alias("complex"))
+    top = _edge_slots(cells, "col", "col_span", "row")
+    marks = top.select(*TABLE, "cell_id", F.lit(True).alias("top"), F.lit(False).alias("side"))
     if row_headers:
-        side = slots.filter(F.col("c") == 1).join(facts.filter(F.col("n_cols") > 1).select(*TABLE), TABLE, "left_semi").select(
-            *TABLE, F.col("r").alias("pos"), "cell_id", "row", "col")
-        parts = parts.unionByName(side.select(*TABLE, "cell_id", F.lit(False).alias("is_top"), F.lit(True).alias("is_side")))
-    marks = parts.groupBy(*TABLE, "cell_id").agg(F.bool_or("is_top").alias("is_top"), F.bool_or("is_side").alias("is_side"))
-    header = F.coalesce(F.col("is_top") | F.col("is_side"), F.lit(False))
-    scope = F.when(F.col("is_top") & F.col("is_side"), "Both").when(F.col("is_top"), "Column").when(F.col("is_side"), "Row")
+        side = _edge_slots(cells, "row", "row_span", "col")
+        marks = marks.unionByName(side.select(*TABLE, "cell_id", F.lit(False).alias("top"), F.lit(True).alias("side")))
+    marks = marks.groupBy(*TABLE, "cell_id").agg(F.bool_or("top").alias("top"), F.bool_or("side").alias("side"))
+    flagged = cells.join(facts, TABLE).join(marks, [*TABLE, "cell_id"], "left")
+    is_top = F.coalesce("top", F.lit(False))
+    is_side = F.coalesce("side", F.lit(False)) & (F.col("n_cols") > 1)
     hid = F.concat(F.lit("t"), "table_id", F.lit("r"), "row", F.lit("c"), "col")
-    flagged = cells.join(marks, [*TABLE, "cell_id"], "left").join(facts, TABLE)
-    # a cell the grid knows nothing of keeps its own tag
     flagged = flagged.select(
-        *TABLE, "cell_id", "row", "col", "row_span", "col_span", "complex", header.alias("header"),
-        F.when(header, F.lit("TH")).otherwise(F.col("tag")).alias("tag"), scope.alias("scope"),
-        F.when(header & F.col("complex"), hid).alias("header_id"))
+        *TABLE, "cell_id", "row", "col", "row_span", "col_span", "n_cols", "complex", (is_top | is_side).alias("header"),
+        F.when(is_top | is_side, F.lit("TH")).otherwise(F.col("tag")).alias("tag"),
+        F.when(is_top & is_side, "Both").when(is_top, "Column").when(is_side, "Row").alias("scope"),
+        F.when((is_top | is_side) & F.col("complex"), hid).alias("header_id"))
 
     data = flagged.filter(~F.col("header") & F.col("complex"))
-    ids = top.select(*TABLE, "pos", hid.alias("hid"))
     over = data.select(*TABLE, "cell_id", F.lit(0).alias("k"), F.explode(
-        F.sequence("col", F.col("col") + _span("col_span") - 1)).alias("pos")).join(ids, [*TABLE, "pos"])
+        F.sequence("col", F.col("col") + _span("col_span") - 1)).alias("pos")).join(
+        top.select(*TABLE, "pos", hid.alias("hid")), [*TABLE, "pos"])
     if row_headers:
-        left_of = data.select(*TABLE, "cell_id", F.lit(1).alias("k"), F.explode(
+        left_of = data.filter(F.col("n_cols") > 1).select(*TABLE, "cell_id", F.lit(1).alias("k"), F.explode(
             F.sequence("row", F.col("row") + _span("row_span") - 1)).alias("pos")).join(
             side.select(*TABLE, "pos", hid.alias("hid")), [*TABLE, "pos"])
         over = over.unionByName(left_of)
-    lists = over.groupBy(*TABLE, "cell_id", "hid").agg(F.min(F.struct("k", "pos")).alias("at")).groupBy(*TABLE, "cell_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "hid"))), lambda s: s["hid"]), " ").alias("headers"))
+    # a cell has few headers (its spans), so its list is small whatever the table's size
+    first = F.array_sort(F.collect_list(F.struct("k", "pos", "hid")))
+    lists = over.groupBy(*TABLE, "cell_id").agg(F.array_join(F.array_distinct(F.transform(first, lambda s: s["hid"])), " ").alias("headers"))
     return flagged.join(lists, [*TABLE, "cell_id"], "left").select(
         *TABLE, "cell_id", "row", "col", "tag", "scope", "header_id", "headers")
 
