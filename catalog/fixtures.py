@@ -67,7 +67,8 @@ def _box(x0: str, y0: str, w: str, h: str) -> str:
 
 
 _Q = "CAST(l_quantity AS INT)"
-_ID = "(l_orderkey * 1000000 + l_partkey)"
+# unique with the document and page; the quantity separates repeated (order, line, part, supplier) rows
+_ID = "((l_orderkey * 1000000 + l_partkey) * 64 + CAST(l_quantity AS INT))"
 
 
 def spans(d) -> str:
@@ -244,7 +245,7 @@ FROM {d.explode_lines(d.table("documents"), "text")} e"""
 
 def cells(d) -> str:
     return f"""SELECT {d.idiv("l_partkey", 2)} AS doc_id, l_partkey AS table_id, l_linenumber AS row,
-  CAST(1 + l_suppkey % 4 AS INT) AS col, l_orderkey * 1000 + l_suppkey AS cell_id,
+  CAST(1 + l_suppkey % 4 AS INT) AS col, (l_orderkey * 1000000 + l_suppkey) * 64 + CAST(l_quantity AS INT) AS cell_id,
   CAST(CASE WHEN l_orderkey % 17 = 0 THEN 2 ELSE 1 END AS INT) AS row_span,
   CAST(CASE WHEN l_orderkey % 13 = 0 THEN 2 ELSE 1 END AS INT) AS col_span,
   CASE WHEN l_partkey % 5 = 0 THEN 'TD' WHEN l_linenumber = 1 AND l_partkey % 3 = 0 THEN 'TH'

@@ -53,7 +53,7 @@ QUERIES = {
 }
 
 _FMT = "strftime({c}, '%Y-%m-%d %H:%M')"
-_AGG = "count(*) AS requests, round(avg(value), 4) AS mean_ms, count(*) FILTER (WHERE event_type = 'error') AS errors"
+_AGG = "count(*) AS requests, round(sum(value), 6) / count(value) AS mean_ms, count(*) FILTER (WHERE event_type = 'error') AS errors"
 from catalog.text_queries import ORACLES as _text  # noqa: E402
 
 ORACLES = {
@@ -64,7 +64,7 @@ SELECT {_FMT.format(c='s')} AS start, {_FMT.format(c='s + INTERVAL 1 DAY')} AS "
 SELECT {_FMT.format(c='s')} AS start, {_FMT.format(c='s + INTERVAL 2 DAY')} AS "end", event_type AS path, {_AGG} FROM w GROUP BY s, event_type""",
     "stream_sessions": """WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
  g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
-SELECT epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 6 HOUR) AS end_us, user_id, count(*) AS requests, round(avg(value), 4) AS mean_ms,
+SELECT epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 6 HOUR) AS end_us, user_id, count(*) AS requests, round(sum(value), 6) / count(value) AS mean_ms,
   count(*) FILTER (WHERE event_type = 'error') AS errors FROM g GROUP BY user_id, k""",
     "stream_guard": """WITH l AS (SELECT user_id AS doc_id, CAST(floor(value) AS BIGINT) AS current, lag(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
 SELECT doc_id, previous, current FROM l WHERE current > previous""",

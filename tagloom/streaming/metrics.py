@@ -23,7 +23,7 @@ def request_log(events: DataFrame) -> DataFrame:
 
 def _metrics(log: DataFrame, window: Column, delay: str, *keys: str) -> DataFrame:
     counted = log.withWatermark("ts", delay).groupBy(window.alias("w"), *keys).agg(
-        F.count(F.lit(1)).alias("requests"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.count_if("error").alias("errors"))
+        F.count(F.lit(1)).alias("requests"), (F.round(F.sum("ms"), 6) / F.count("ms")).alias("mean_ms"), F.count_if("error").alias("errors"))
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "requests", "mean_ms", "errors")
 
 
