@@ -259,7 +259,7 @@ FROM {d.table("lineitem")}"""
 
 def tables(d) -> str:
     return f"""SELECT p_partkey AS table_id, {d.idiv("p_partkey", 2)} AS doc_id, CAST(1 + p_partkey % 9 AS INT) AS page,
-  p_partkey % 3 = 0 AS has_caption, {pick(d, [None, "Summary of results", ""], "p_partkey")} AS summary
+  p_partkey % 3 = 0 AS has_caption, p_partkey % 11 = 0 AS is_layout, {pick(d, [None, "Summary of results", ""], "p_partkey")} AS summary
 FROM {d.table("part")}"""
 
 

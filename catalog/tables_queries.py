@@ -14,7 +14,7 @@ def _cells(s, p):
 
 
 def _layout(s, p):
-    return view(s, p, "tables").filter(F.col("table_id") % 11 == 0)
+    return view(s, p, "tables").filter("is_layout")
 
 
 QUERIES = {
@@ -73,9 +73,10 @@ UNION ALL SELECT doc_id, table_id, page, 'missing_caption', NULL FROM f WHERE NO
    arg_min(tag, (col, cell_id)) AS ht, arg_min(coalesce(scope, '-'), (col, cell_id)) AS hs FROM fx_cells GROUP BY 1, 2, 3),
  w AS (SELECT *, max(covered) OVER (PARTITION BY doc_id, table_id) AS width, min(row) OVER (PARTITION BY doc_id, table_id) AS fr FROM r)
 SELECT doc_id, table_id, row, n_cells, covered, width, width - covered AS padding, CAST(0 AS BIGINT) AS wrapped, scoped, CAST(ht = 'TH' AND hs = '-' AND row > fr AS INT) AS row_scopes FROM w"""),
-    "table_decisions": oracle("cells decisions tables", """SELECT x.doc_id, x.table_id, x.row, x.col, x.cell_id, CASE WHEN d.is_header AND x.table_id % 11 <> 0 THEN 'TH' ELSE x.tag END AS tag,
-  CASE WHEN d.new_scope IS NOT NULL AND x.table_id % 11 <> 0 THEN d.new_scope ELSE x.scope END AS scope, CASE WHEN x.table_id % 11 = 0 THEN 'Artifact' ELSE 'Table' END AS table_tag
-FROM fx_cells x LEFT JOIN fx_decisions d ON d.doc_id = x.doc_id AND d.table_id = x.table_id AND d.row = x.row AND d.col = x.col"""),
+    "table_decisions": oracle("cells decisions tables", """SELECT x.doc_id, x.table_id, x.row, x.col, x.cell_id, CASE WHEN d.is_header AND NOT coalesce(t.is_layout, false) THEN 'TH' ELSE x.tag END AS tag,
+  CASE WHEN d.new_scope IS NOT NULL AND NOT coalesce(t.is_layout, false) THEN d.new_scope ELSE x.scope END AS scope, CASE WHEN t.is_layout THEN 'Artifact' ELSE 'Table' END AS table_tag
+FROM fx_cells x LEFT JOIN fx_decisions d ON d.doc_id = x.doc_id AND d.table_id = x.table_id AND d.row = x.row AND d.col = x.col
+LEFT JOIN fx_tables t ON t.doc_id = x.doc_id AND t.table_id = x.table_id"""),
     "table_snippet": oracle("cells tables", f"""WITH b AS (SELECT x.*, substr({strip_sql("coalesce(text, '')")}, 1, 40) AS t FROM fx_cells x JOIN fx_tables y USING (doc_id, table_id) WHERE coalesce(summary, '') = ''),
  r AS (SELECT doc_id, table_id, row, string_agg(t, ' | ' ORDER BY col, cell_id) FILTER (WHERE t <> '') AS line, count(*) OVER (PARTITION BY doc_id, table_id) AS n FROM b GROUP BY 1, 2, 3),
  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, table_id ORDER BY row) AS i FROM r WHERE line IS NOT NULL AND n >= 3)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tagloom import lexicon as lx
 from tagloom.functions import labels
+from tagloom.functions.geometry import band_of
 from tagloom.functions.text import blank, left, lookup, matches, strip
 from tagloom.operators.contrast import first_n
 
@@ -117,7 +118,10 @@ def label_in_name(fields: DataFrame, spans: DataFrame) -> DataFrame:
                & F.col("cy").between(F.col("fy0") - 4, F.col("fy1") + m))
     above = (F.col("cx").between(F.col("fx0") - 8, F.col("fx1") + 8)
              & F.col("cy").between(F.col("fy1") - 2, F.col("fy1") + 40))
-    near = s.join(f, ["doc_id", "page"]).filter(left_of | above).select(
+    # both regions lie between the field's foot and the margin above it: join by band
+    reach = F.sequence(band_of(F.col("fy0") - 4), band_of(F.col("fy1") + m))
+    near = s.withColumn("_band", band_of(F.col("cy"))).join(
+        f.withColumn("_band", F.explode(reach)), ["doc_id", "page", "_band"]).filter(left_of | above).select(
         "doc_id", "page", "field_id", "t", "y0", "x0", "span",
         F.explode(F.filter(F.array(F.when(left_of, 0), F.when(above, 1)), lambda r: r.isNotNull())).alias("region"))
     tail = first_n(near, ["doc_id", "field_id", "region"], [F.col("y0"), F.col("x0").desc(), F.col("span").desc()], 61)
