@@ -22,11 +22,16 @@ HEADLINE = [
     "swatches", "toc", "hit_test", "unmarked_content", "islands", "conformance", "score", "scoreboard",
 ]
 
+VIEWS = [
+    "spans", "annots", "paths", "page_sizes", "images", "headings", "nodes", "links", "fonts", "cells", "tables", "figures",
+    "fills", "toc_nodes", "stream_ops", "tree", "docs", "layers", "fields", "runs",
+]
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     from tagloom.session import get_spark
     spark = get_spark("bench", f"local[{cpus}]", spark__driver__memory="16g",
                       spark__sql__shuffle__partitions=str(2 * int(cpus)), spark__ui__showConsoleProgress="false")
@@ -34,7 +39,7 @@ def main() -> None:
     import catalog
     from catalog.dialect import materialize
     started = time.time()
-    materialize(spark, sf_dir, tempfile.mkdtemp(prefix="spark-bench-", dir="/tmp"), int(cpus))
+    materialize(spark, sf_dir, tempfile.mkdtemp(prefix="spark-bench-", dir="/tmp"), int(cpus), VIEWS)
     prepared = time.time() - started
     queries = catalog.queries()
     names = sys.argv[1:] or [n for n in HEADLINE if n in queries]

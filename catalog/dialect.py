@@ -64,21 +64,22 @@ def _views() -> dict:
     return VIEWS
 
 
-# Folder of views written as Parquet by ``materialize``; unset, views are derived on the fly.
-_stored: dict[str, str] = {}
+# Views written as Parquet by ``materialize``: sf_dir -> (folder, names). Others are derived on the fly.
+_stored: dict[str, tuple[str, frozenset]] = {}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if sf_dir in _stored:
-        return spark.read.parquet(os.path.join(_stored[sf_dir], name))
+    folder, names = _stored.get(sf_dir, ("", frozenset()))
+    if name in names:
+        return spark.read.parquet(os.path.join(folder, name))
     return spark.sql(_views()[name](Spark(sf_dir)))
 
 
-def materialize(spark: SparkSession, sf_dir: str, folder: str, files: int) -> None:
-    """Write every view as a table of ``files`` files, the shape an extractor leaves."""
-    for name, text in _views().items():
-        spark.sql(text(Spark(sf_dir))).repartition(files).write.mode("overwrite").parquet(os.path.join(folder, name))
-    _stored[sf_dir] = folder
+def materialize(spark: SparkSession, sf_dir: str, folder: str, files: int, names: list[str]) -> None:
+    """Write views as tables of ``files`` files, the shape an extractor leaves."""
+    for name in names:
+        spark.sql(_views()[name](Spark(sf_dir))).repartition(files).write.mode("overwrite").parquet(os.path.join(folder, name))
+    _stored[sf_dir] = (folder, frozenset(names))
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
