@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import packing
+from tagloom.llm import fertility, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +22,21 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_vocabulary(), packing.Capacity(2048))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
+def piece_vocabulary() -> str:
+    import public_tokenizers as public
+    return public.path("piece_bpe_32k.model")
+
+
+def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = fertility.judge(docs, byte_vocabulary(), piece_vocabulary(), carry=["doc_id"])
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason",
+             "chars_per_token", "byte_share", "entropy"]
+    return judged.select("doc_id", *[F.col("__m")[n].alias(n) for n in names])
+
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_tokeniser_fertility": op7_tokeniser_fertility,
+}
 ORACLES: dict[str, str] = {}
