@@ -53,8 +53,11 @@ class Bands:
 
     A limit is the median plus or minus ``spread`` scaled median absolute deviations, and never
     nearer than ``least`` (for characters per token relative, and wider for short texts by
-    ``short`` over the root of the tokens). A language with less than ``share`` of all documents
-    and a length class with fewer than ``documents`` are judged by the bands of all languages.
+    ``short`` over the root of the tokens). A band needs ``documents`` documents, and a language
+    needs ``share`` of all documents to have bands. Characters per token and byte share differ by
+    language: without a band for the length, the language's band over all lengths is used, and
+    without that the text is not judged by them. Entropy differs by length: without a band of the
+    language, that of all languages for the length is used.
     """
 
     spread: float = 6.0
@@ -187,7 +190,9 @@ def _median(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bands(measured: DataFrame, limits: Bands = Bands(), lang_col: str = "lang") -> DataFrame:
-    """Median and spread of each measure per group and length class; group "*" is all languages.
+    """Median and spread of each measure per group and length class.
+
+    Group "*" is all languages, class -1 all lengths.
 
     Counted per step of 1/400, so the result does not depend on the order of the rows and what
     is shuffled are counts. At most 1 / ``share`` groups have bands of their own.
@@ -196,7 +201,9 @@ def bands(measured: DataFrame, limits: Bands = Bands(), lang_col: str = "lang")
     counts = stored(counts, "fertility-counts")
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     own = counts.groupBy("_group").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= limits.share * total).select("_group")
-    both = counts.join(own, "_group", "left_semi").unionByName(counts.withColumn("_group", F.lit("*")))
+    grouped = counts.join(own, "_group", "left_semi")
+    both = (grouped.unionByName(grouped.withColumn("_class", F.lit(-1)))
+            .unionByName(counts.withColumn("_group", F.lit("*"))))
     keys = ["_group", "_class", "measure"]
     steps = (both.select("_group", "_class", "n", F.explode(F.create_map(
         F.lit("chars"), F.col("chars"), F.lit("entropy"), F.col("entropy"), F.lit("bytes"), F.col("bytes"))).alias("measure", "step"))
@@ -217,26 +224,30 @@ def judge(docs: DataFrame, vocabulary: Vocabulary, pieces: str, limits: Bands =
 
     Base rules reject texts under ``min_words`` words or with too many words in repeated
     windows (so empty and null texts go). Of the rest, a text is rejected when a measure leaves
-    its band; a group without a band for its length is judged by all languages, and a length
-    without any band is kept. Measured once, then stored with the documents.
+    its band; where there is no band (see ``Bands``) it is kept. The bands are at most
+    1 / ``share`` languages times the length classes, so they are broadcast. Texts are measured
+    once and stored with what is carried.
     """
     carry = docs.columns if carry is None else carry
     measured = measure(docs, vocabulary, pieces, lang_col, text_col)
     measured = stored(measured.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, lang_col])], "__m"), "fertility")
     table = stored(bands(measured, limits, lang_col), "fertility-bands")
-    columns = [F.col(c) for c in table.columns[2:]]
-    own = F.broadcast(table.select(F.col("_band_group").alias("_g"), F.col("_band_class").alias("_c"), F.struct(*columns).alias("__own")))
-    pooled = F.broadcast(table.filter("_band_group = '*'").select(F.col("_band_class").alias("_pc"), F.struct(*columns).alias("__all")))
+    values = F.struct(*[F.col(c) for c in table.columns[2:]])
+    own = F.broadcast(table.select(F.col("_band_group").alias("__og"), F.col("_band_class").alias("__oc"), values.alias("__own")))
+    any_length = F.broadcast(table.filter("_band_class = -1").select(F.col("_band_group").alias("__ag"), values.alias("__any")))
+    pooled = F.broadcast(table.filter("_band_group = '*'").select(F.col("_band_class").alias("__pc"), values.alias("__all")))
     m = F.col("__m")
     joined = (measured.withColumns({"__g": _group(lang_col), "__c": _length_class()})
-              .join(own, (F.col("__g") == F.col("_g")) & (F.col("__c") == F.col("_c")), "left")
-              .join(pooled, F.col("__c") == F.col("_pc"), "left"))
-    band = F.coalesce(F.col("__own"), F.col("__all"))
+              .join(own, (F.col("__g") == F.col("__og")) & (F.col("__c") == F.col("__oc")), "left")
+              .join(any_length, F.col("__g") == F.col("__ag"), "left")
+              .join(pooled, F.col("__c") == F.col("__pc"), "left"))
+    band = F.coalesce(F.col("__own"), F.col("__any"))
+    even = F.coalesce(F.col("__own"), F.col("__all"))
     wide = F.greatest(F.lit(limits.chars_least) + limits.chars_short / F.sqrt(m["n_tokens"].cast("double")), limits.spread * band["chars_mad"])
     base_failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
     reason = F.when(base_failed, "base").when(
         F.abs(F.log(m["chars_per_token"]) - band["chars_mid"]) > wide, "characters per token").when(
-        m["entropy"] < band["entropy_mid"] - F.greatest(F.lit(limits.entropy_least), limits.spread * band["entropy_mad"]), "token entropy").when(
+        m["entropy"] < even["entropy_mid"] - F.greatest(F.lit(limits.entropy_least), limits.spread * even["entropy_mad"]), "token entropy").when(
         m["byte_share"] > band["bytes_mid"] + F.greatest(F.lit(limits.byte_least), limits.spread * band["bytes_mad"]), "byte fallback")
     verdict = F.struct(*[m[n].alias(n) for n, _ in _MEASURE], base_failed.alias("base_failed"), reason.alias("reason"), reason.isNull().alias("kept"))
     return joined.select(*[F.col(f"`{c}`") for c in carry], verdict.alias("__m"))
