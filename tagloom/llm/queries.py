@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import fertility, packing
+from tagloom.llm import fertility, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,13 @@ def op7_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col("__m")[n].alias(n) for n in names])
 
 
+def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(table(spark, sf_dir, "documents"), shingle=3, seed=42, radius=3)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_tokeniser_fertility": op7_tokeniser_fertility,
+    "op10_covering_simhash": op10_covering_simhash,
 }
 ORACLES: dict[str, str] = {}
