@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import fertility, packing, simhash
+from tagloom.llm import fertility, line_chunks, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,9 +39,15 @@ def op10_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"), shingle=3, seed=42, radius=3)
 
 
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_chunks.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "__m.*", "text")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op7_tokeniser_fertility": op7_tokeniser_fertility,
+    "op8_line_chunks": op8_line_chunks,
     "op10_covering_simhash": op10_covering_simhash,
 }
 ORACLES: dict[str, str] = {}
