@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import fertility, line_chunks, packing, simhash
+from tagloom.llm import fertility, line_chunks, mixing, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,10 +44,37 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "__m.*", "text")
 
 
+def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), budget_percent=150, max_epochs=2)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_water_filling": op6_water_filling,
     "op7_tokeniser_fertility": op7_tokeniser_fertility,
     "op8_line_chunks": op8_line_chunks,
     "op10_covering_simhash": op10_covering_simhash,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+ORACLES: dict[str, str] = {
+    # The level by trial: for every number of clamped sources the share of the rest, of which the
+    # right one is the first that is feasible.
+    "op6_water_filling": f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size,
+    md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY source),
+  w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
+  o AS (SELECT *, 2 * size AS cap, row_number() OVER (ORDER BY CAST(2 * size AS DOUBLE) / weight, source NULLS FIRST) AS r FROM w),
+  t AS (SELECT a.r, (SELECT CAST(sum(size) AS BIGINT) * 150 / 100.0 FROM o) - coalesce(CAST(sum(b.cap) FILTER (b.r < a.r) AS BIGINT), 0) AS rest,
+      CAST(sum(b.weight) FILTER (b.r >= a.r) AS BIGINT) AS weights FROM o a, o b GROUP BY a.r),
+  l AS (SELECT min(o.r) AS r FROM o JOIN t USING (r) WHERE weight * rest / weights <= cap),
+  g AS (SELECT source, size AS source_size, CASE WHEN o.r < l.r OR l.r IS NULL THEN CAST(cap AS DOUBLE)
+      ELSE least(weight * rest / weights, CAST(cap AS DOUBLE)) END AS target FROM o, l LEFT JOIN t ON t.r = l.r),
+  p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+      CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY k, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) - d.size / 2.0 AS middle
+    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, source, CAST(whole + CASE WHEN middle < target - whole * source_size THEN 1 ELSE 0 END AS INTEGER) AS repeats,
+  CAST(size * (whole + CASE WHEN middle < target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p""",
+}
