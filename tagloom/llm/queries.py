@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import fertility, line_chunks, mixing, packing, simhash
+from tagloom.llm import fertility, line_chunks, mixing, packing, shards, simhash, url_bloom
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +49,31 @@ def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def op5_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = shards.balanced(table(spark, sf_dir, "documents"), 16)
+    return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The host rules, and the host labels whose pages make up the list of URLs.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+LISTED_LABELS = ["casino-win", "cheap-pills", "spam-farm", "ads-track", "free-bets", "adult-x"]
+
+
+def op9_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    on_listed_host = F.arrays_overlap(F.split(url_bloom.host_of(F.col("url")), "[.]"), F.array(*map(F.lit, LISTED_LABELS)))
+    listing = pages.filter(on_listed_host).select(url_bloom.canonical(F.col("url")).alias("url"))
+    return url_bloom.judge(pages, URL_RULES, listing)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op5_prefix_shards": op5_prefix_shards,
     "op6_water_filling": op6_water_filling,
     "op7_tokeniser_fertility": op7_tokeniser_fertility,
     "op8_line_chunks": op8_line_chunks,
+    "op9_blocked_bloom": op9_blocked_bloom,
     "op10_covering_simhash": op10_covering_simhash,
 }
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -61,6 +81,7 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {
     # The level by trial: for every number of clamped sources the share of the rest, of which the
     # right one is the first that is feasible.
+    "op5_prefix_shards": op5_prefix_shards,
     "op6_water_filling": f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size,
     md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
@@ -77,4 +98,21 @@ WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_
     FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, source, CAST(whole + CASE WHEN middle < target - whole * source_size THEN 1 ELSE 0 END AS INTEGER) AS repeats,
   CAST(size * (whole + CASE WHEN middle < target - whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p""",
+    "op9_blocked_bloom": rf"""
+WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  h AS (SELECT page_id, url, rest, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(coalesce(rest, ''), '^[^?#]*\?([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '{url_bloom.TRACKING}'))) AS params FROM u),
+  c AS (SELECT *, CASE WHEN url IS NOT NULL THEN regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '')
+    || regexp_replace(regexp_replace(path, '/index\.html?$', '/'), '/+$', '')
+    || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical FROM h),
+  l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), {LISTED_LABELS})),
+  r AS (SELECT page_id, host, path, canonical IN (SELECT canonical FROM l WHERE canonical IS NOT NULL) AND canonical IS NOT NULL AS listed,
+    CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM c)
+SELECT page_id, host, path, rule, coalesce(listed, false) AS listed, CASE rule WHEN 'example.net/en/' THEN 'allow' WHEN 'example.com/de/' THEN 'block'
+  WHEN 'org/fr/' THEN 'allow' WHEN 'net/' THEN 'block' ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict FROM r""",
 }
