@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import fertility, line_chunks, mixing, packing, shards, simhash, url_bloom
+from tagloom.llm import fertility, imatch, line_chunks, mixing, packing, shards, simhash, url_bloom
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "repeats")
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = shards.balanced(table(spark, sf_dir, "documents"), 16)
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -69,6 +73,7 @@ def op9_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_imatch": op2_imatch,
     "op5_prefix_shards": op5_prefix_shards,
     "op6_water_filling": op6_water_filling,
     "op7_tokeniser_fertility": op7_tokeniser_fertility,
@@ -81,6 +86,7 @@ _WORDS = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {
     # The level by trial: for every number of clamped sources the share of the rest, of which the
     # right one is the first that is feasible.
+    "op2_imatch": op2_imatch,
     "op5_prefix_shards": op5_prefix_shards,
     "op6_water_filling": f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size,
