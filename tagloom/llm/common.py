@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,3 +48,12 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def code_points(text: Column) -> Column:
     return F.coalesce(F.char_length(text), F.lit(0)).cast("long")
+
+
+def trigram_buckets(text: str, bits: int) -> np.ndarray:
+    """Hashed character trigrams of a lower-cased text with a space at either end, in order."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(points) < 3:
+        return np.zeros(0, np.int64)
+    mixed = (points[:-2] << np.uint64(42)) ^ (points[1:-1] << np.uint64(21)) ^ points[2:]
+    return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import fertility, imatch, line_chunks, mixing, packing, shards, simhash, url_bloom
+from tagloom.llm import fertility, imatch, language_id, line_chunks, mixing, packing, shards, simhash, url_bloom, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,21 @@ def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op3_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared: lang, host: source) and pages (markup, address, host) in one corpus."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    pages = language_id.page_records(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    none = F.lit(None).cast("string")
+    own = docs.select("doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.lower(F.substring("lang", 1, 2)).alias("declared"),
+                      none.alias("suffix"), F.col("source").alias("host"), none.alias("domain"))
+    web = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", "text", "declared", "suffix", "host", "domain")
+    return language_id.identify(own.unionByName(web), docs.select("text", "lang"))
+
+
+def op4_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(table(spark, sf_dir, "documents"))
+
+
 def op5_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = shards.balanced(table(spark, sf_dir, "documents"), 16)
     return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -74,6 +89,8 @@ def op9_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_imatch": op2_imatch,
+    "op3_evidence_fusion": op3_evidence_fusion,
+    "op4_weak_labels": op4_weak_labels,
     "op5_prefix_shards": op5_prefix_shards,
     "op6_water_filling": op6_water_filling,
     "op7_tokeniser_fertility": op7_tokeniser_fertility,
@@ -87,6 +104,8 @@ ORACLES: dict[str, str] = {
     # The level by trial: for every number of clamped sources the share of the rest, of which the
     # right one is the first that is feasible.
     "op2_imatch": op2_imatch,
+    "op3_evidence_fusion": op3_evidence_fusion,
+    "op4_weak_labels": op4_weak_labels,
     "op5_prefix_shards": op5_prefix_shards,
     "op6_water_filling": f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size,
