@@ -8,6 +8,7 @@ all documents, whatever the heuristics said.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,12 +23,13 @@ from tagloom.llm.fertility import repeated_words
 BAD, GOOD, NONE = 0, 1, 2
 _SYMBOLS = b"#*$%&|<>"
 _ENDS = b".!?:;\"'"
+_MARK = re.compile(rb"[#*$%&|<>~^=+_{}\[\]\\]|[!?]{2}")
 
 #: name, bad from, good up to: what each heuristic measures and where it votes; between the two it abstains.
 LABELLERS = [
     ("repeated", 0.30, 0.10), ("symbols", 0.15, 0.02), ("capitals", 0.30, 0.12), ("top_word", 0.25, 0.12),
     ("exclamations", 0.15, 0.03), ("separators", 0.15, 0.03), ("odd_length", 0.5, 0.25), ("unfinished_lines", 0.9, 0.5),
-    ("short", 0.95, 0.8),
+    ("short", 0.95, 0.8), ("marked_words", 0.3, 0.1),
 ]
 
 
@@ -67,6 +69,7 @@ def measures(text: bytes) -> list[float]:
         min(1.0, abs(mean - 6) / 8),
         sum(line.rstrip()[-1] not in _ENDS for line in lines) / len(lines),
         1 - min(n, 100) / 100,
+        sum(k for w, k in counts.items() if _MARK.search(w)) / n,
     ]
 
 
