@@ -30,7 +30,7 @@ def targets(sources: DataFrame, budget_percent: int = 150, max_epochs: int = 2)
     the limits leave part of the budget, all sources with a weight are at their limit.
     """
     cap = F.col("size") * max_epochs
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "source")
+    order = Window.orderBy(F.try_divide(F.col("cap"), F.col("weight")), "source")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
     onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -40,7 +40,7 @@ def targets(sources: DataFrame, budget_percent: int = 150, max_epochs: int = 2)
         "_capped": F.coalesce(F.sum("cap").over(upto), F.lit(0)),
         "_weights": F.sum(F.greatest("weight", F.lit(0))).over(onward),
     }).withColumn("_left", F.col("_budget") - F.col("_capped"))
-    fits = F.col("weight") * F.col("_left") / F.col("_weights") <= F.col("cap")
+    fits = F.try_divide(F.col("weight") * F.col("_left"), F.col("_weights")) <= F.col("cap")
     # the first source that is not clamped fixes the level for it and all after it
     level = summed.withColumns({
         "_open": F.coalesce((F.col("weight") > 0) & fits, F.lit(False)),
@@ -48,7 +48,7 @@ def targets(sources: DataFrame, budget_percent: int = 150, max_epochs: int = 2)
         "_level_left": F.first(F.when(F.col("_open"), F.col("_left")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         "_level_weights": F.first(F.when(F.col("_open"), F.col("_weights")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     })
-    share = F.col("weight") * F.col("_level_left") / F.col("_level_weights")
+    share = F.try_divide(F.col("weight") * F.col("_level_left"), F.col("_level_weights"))
     return level.select("source", "size", "weight", F.when(F.coalesce(F.col("weight"), F.lit(0)) <= 0, F.lit(0.0))
                         .otherwise(F.coalesce(F.least(share, F.col("cap").cast("double")), F.col("cap").cast("double"))).alias("target"))
 

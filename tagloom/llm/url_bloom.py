@@ -65,11 +65,11 @@ def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
 
 
 def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """The filter's blocks (_block, _w0 .. _w7) of the distinct values of ``key``."""
+    """The filter's blocks (__bloom, __w0 .. __w7) of the distinct values of ``key``."""
     block, bits = _bits(F.col(key), blocks)
     one = F.lit(1).cast("long")
-    words = {f"_w{i}": F.call_function("shiftleft", one, bit) for i, bit in enumerate(bits)}
-    return keys.select(block.alias("_block"), *[w.alias(n) for n, w in words.items()]).groupBy("_block").agg(
+    words = {f"__w{i}": F.call_function("shiftleft", one, bit) for i, bit in enumerate(bits)}
+    return keys.select(block.alias("__bloom"), *[w.alias(n) for n, w in words.items()]).groupBy("__bloom").agg(
         *[F.bit_or(n).alias(n) for n in words])
 
 
@@ -85,10 +85,10 @@ def listed(pages: DataFrame, key: str, listing: DataFrame, bits_per_key: int = 1
     if blocks * (WORDS + 1) * 8 <= BROADCAST_BYTES:
         filled = F.broadcast(filled)
     block, bits = _bits(F.col(key), blocks)
-    probed = pages.withColumn("__block", block).join(filled, F.col("__block") == F.col("_block"), "left")
+    probed = pages.withColumn("__block", block).join(filled, F.col("__block") == F.col("__bloom"), "left")
     hit = F.lit(True)
     for i, bit in enumerate(bits):
-        hit = hit & (F.call_function("shiftright", F.col(f"_w{i}"), bit).bitwiseAND(F.lit(1).cast("long")) == 1)
+        hit = hit & (F.call_function("shiftright", F.col(f"__w{i}"), bit).bitwiseAND(F.lit(1).cast("long")) == 1)
     probed = probed.withColumn("__possible", F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).select(
         *[F.col(f"`{c}`") for c in pages.columns], "__possible")
     exact = probed.filter("__possible").join(urls.select(F.col("url").alias("__url")), F.col(key) == F.col("__url"), "left")
