@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.dialect import oracle, view, wide
+from catalog.dialect import oracle, view
 from tagloom.operators import contrast as op
 
 
@@ -43,10 +43,9 @@ def q8(v: str) -> str:
 CONTRAST_SQL = f"""
 WITH s AS (SELECT *, trim(text) AS t, CASE WHEN size >= 18 OR (size >= 14 AND flags & 16 <> 0) THEN 3e0 ELSE 4.5e0 END AS req,
            {lum("color")} AS l1, {lum("bg")} AS l2 FROM fx_spans),
- f AS (SELECT *, {ratio("l1", "l2")} AS ra FROM s WHERE length(t) >= 2),
- n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, block, line, span) AS rn FROM f WHERE ra < req)
+ f AS (SELECT *, {ratio("l1", "l2")} AS ra FROM s WHERE length(t) >= 2)
 SELECT doc_id, page, block, line, span, substr(t, 1, 80) AS text, {hexs("color")} AS fg, {hexs("bg")} AS bg,
-  round_even(ra, 2) AS ratio, req AS required FROM n WHERE rn <= 100"""
+  round_even(ra, 2) AS ratio, req AS required FROM f WHERE ra < req"""
 
 NONTEXT_SQL = f"""
 WITH cov AS (SELECT p.doc_id, p.page, p.width, p.height, least(coalesce(a.area, 0e0) / (p.width * p.height), 1e0) AS cover
@@ -61,10 +60,9 @@ WITH cov AS (SELECT p.doc_id, p.page, p.width, p.height, least(coalesce(a.area,
    AND NOT (closed AND items <= 5 AND least(w, h) > 5)
    AND NOT ({chan("color", 16)} >= 230 AND {chan("color", 8)} >= 230 AND {chan("color", 0)} >= 230)),
  u AS (SELECT *, {lum("fg")} AS l1, {lum("bg")} AS l2 FROM (SELECT * FROM ui UNION ALL SELECT * FROM g)),
- r AS (SELECT *, {ratio("l1", "l2")} AS ra FROM u),
- n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, kind, item) AS rn FROM r WHERE ra < 3)
+ r AS (SELECT *, {ratio("l1", "l2")} AS ra FROM u)
 SELECT doc_id, page, type, component, item, {hexs("fg")} AS fg, {hexs("bg")} AS bg, round_even(ra, 2) AS ratio, 3e0 AS required
-FROM n WHERE rn <= 60"""
+FROM r WHERE ra < 3"""
 
 RGB_SQL = """rgb AS (SELECT *, CASE space WHEN 'rgb' THEN a WHEN 'gray' THEN a WHEN 'cmyk' THEN (1 - a) * (1 - d) ELSE 0e0 END AS r,
    CASE space WHEN 'rgb' THEN b WHEN 'gray' THEN a WHEN 'cmyk' THEN (1 - b) * (1 - d) ELSE 0e0 END AS g,
@@ -121,7 +119,7 @@ FROM gr JOIN fix ON gr.fg = fix.fg AND gr.bg = fix.bg"""
 
 
 def background_pick(spark, sf):
-    s = wide(spark, sf, "samples")
+    s = view(spark, sf, "samples")
     pts = F.array("s0", "s1", "s2", "s3")
     return s.select("doc_id", "page", "span", op.background_pick(pts, F.col("s3"), F.col("fg")).alias("bg"))
 
@@ -136,15 +134,15 @@ SELECT x.doc_id, x.page, x.span, CASE WHEN b.s IS NULL THEN x.s3 ELSE b.s END AS
 LEFT JOIN b ON b.rn = 1 AND x.doc_id = b.doc_id AND x.page = b.page AND x.span = b.span"""
 
 QUERIES = {
-    "contrast_failures": lambda s, p: op.contrast_failures(wide(s, p, "spans")),
-    "contrast_darken_linear": lambda s, p: op.contrast_repairs(op.contrast_failures(wide(s, p, "spans"))),
-    "contrast_darken_exact": lambda s, p: op.fill_repairs(wide(s, p, "fills")),
+    "contrast_failures": lambda s, p: op.contrast_failures(view(s, p, "spans")),
+    "contrast_darken_linear": lambda s, p: op.contrast_repairs(op.contrast_failures(view(s, p, "spans"))),
+    "contrast_darken_exact": lambda s, p: op.fill_repairs(view(s, p, "fills")),
     "nontext_contrast": lambda s, p: op.nontext_contrast(
-        wide(s, p, "annots"), wide(s, p, "paths"), view(s, p, "page_sizes"), view(s, p, "images")),
+        view(s, p, "annots"), view(s, p, "paths"), view(s, p, "page_sizes"), view(s, p, "images")),
     "graphic_darken": lambda s, p: op.graphic_repairs(op.nontext_contrast(
-        wide(s, p, "annots"), wide(s, p, "paths"), view(s, p, "page_sizes"), view(s, p, "images"))),
+        view(s, p, "annots"), view(s, p, "paths"), view(s, p, "page_sizes"), view(s, p, "images"))),
     "background_pick": background_pick,
-    "background_fills": lambda s, p: op.background_fills(wide(s, p, "fills")),
+    "background_fills": lambda s, p: op.background_fills(view(s, p, "fills")),
     "page_image_cover": lambda s, p: op.page_image_cover(view(s, p, "images"), view(s, p, "page_sizes")).withColumn(
         "cover", F.bround("cover", 6)),
 }

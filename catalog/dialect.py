@@ -82,18 +82,6 @@ def materialize(spark: SparkSession, sf_dir: str, folder: str, files: int, names
     _stored[sf_dir] = (folder, frozenset(names))
 
 
-def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view for expression-heavy checks. The driver's tables are single files of one
-    row group, so one task would do all the work; a corpus with at least as many files
-    as cores is read as it is, without this exchange."""
-    return spread(view(spark, sf_dir, name))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

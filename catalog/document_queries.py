@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.dialect import Duck, oracle, table, view, wide
+from catalog.dialect import Duck, oracle, table, view
 from catalog.forms_queries import map_sql
 from catalog.text_queries import _in, detect_sql, strip_sql
 from tagloom import lexicon as lx
@@ -89,7 +89,7 @@ SELECT d.doc_id, coalesce({nz('title')}, {nz('suggested_title')}, h, trim({_FILE
   CASE WHEN {nz('title')} IS NOT NULL THEN 'title' WHEN {nz('suggested_title')} IS NOT NULL THEN 'suggested' WHEN h IS NOT NULL THEN 'heading' ELSE 'filename' END AS origin
 FROM fx_docs d LEFT JOIN h USING (doc_id)"""),
     "metadata_autofill": oracle("docs spans", f"""WITH b AS (SELECT doc_id, arg_min({strip_sql('text')}, (page, block, line, span)) AS t FROM fx_spans WHERE size >= 16 AND {strip_sql('text')} <> '' GROUP BY doc_id),
- g AS (SELECT doc_id, coalesce({detect_sql('substr(text, 1, 2000)')}, 'en') AS l FROM documents)
+ g AS (SELECT doc_id, coalesce({detect_sql('text')}, 'en') AS l FROM documents)
 SELECT d.doc_id, CASE WHEN {blank_sql('lang')} THEN coalesce(g.l, 'en') END AS set_lang, CASE WHEN {blank_sql('title')} THEN b.t END AS set_title
 FROM fx_docs d LEFT JOIN g USING (doc_id) LEFT JOIN b USING (doc_id) WHERE {blank_sql('lang')} OR {blank_sql('title')}"""),
     "catalog_defaults": oracle("docs nodes", f"""WITH h AS ({head_sql(['H1'])}), x AS (SELECT d.*, coalesce({nz('title')}, h, 'Untitled Document') AS t,
@@ -103,7 +103,7 @@ SELECT doc_id, node_id, page, type, CASE WHEN type = 'empty' THEN '' ELSE substr
     "review_questions": oracle("nodes docs", f"""SELECT doc_id, 'image_alt' AS type, node_id, page FROM fx_nodes WHERE tag = 'Figure' AND coalesce(alt, '') = '' AND NOT decorative
 UNION ALL SELECT doc_id, 'title', NULL, NULL FROM fx_docs WHERE {blank_sql('title')}"""),
     "tag_routing": oracle("docs nodes", """WITH n AS (SELECT doc_id, count(*) AS n FROM fx_nodes GROUP BY 1),
- e AS (SELECT d.*, CAST(CASE WHEN has_struct THEN least(coalesce(n, 0), 20000) ELSE 0 END AS BIGINT) AS elements FROM fx_docs d LEFT JOIN n USING (doc_id))
+ e AS (SELECT d.*, CAST(CASE WHEN has_struct THEN coalesce(n, 0) ELSE 0 END AS BIGINT) AS elements FROM fx_docs d LEFT JOIN n USING (doc_id))
 SELECT doc_id, elements, marked, has_struct AND elements >= 5 AS tagged, CASE WHEN has_struct AND elements >= 5 THEN 'repair' ELSE 'rebuild' END AS route,
   CASE WHEN has_struct AND elements >= 5 THEN 'preserve' WHEN NOT has_struct THEN 'no_tree' ELSE 'stub' END AS reason FROM e"""),
 }

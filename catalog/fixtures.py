@@ -290,7 +290,7 @@ def runs(d) -> str:
   CAST(o_custkey % 7 AS INT) AS form_total, CAST(floor(o_totalprice) AS BIGINT) % 60 AS failed_in,
   o_custkey % 60 AS failed_out, (o_orderkey * 7 + o_custkey) % 50 AS failed_rebuild, o_custkey % 5 AS failed_rules,
   CASE WHEN o_orderkey % 23 = 0 THEN 'timeout' END AS error,
-  CASE WHEN o_orderkey % 23 = 0 THEN {pick(d, ["autotag", "remediate", "conformance"], "o_custkey")} END AS stage,
+  CASE WHEN o_orderkey % 23 = 0 THEN {pick(d, ["scan", "repair", "record"], "o_custkey")} END AS stage,
   CAST(o_orderkey % 3001 AS DOUBLE) / 10e0 AS seconds, o_custkey % 9 = 0 AS fonts_embedded,
   {pick(d, [None, "No further fixes possible", "PDF/UA-1 Compliant after iteration 1"], "o_custkey")} AS note
 FROM {d.table("orders")}"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from catalog.dialect import Duck, oracle, view, wide
+from catalog.dialect import Duck, oracle, view
 from catalog.text_queries import _in, strip_sql
 from tagloom import lexicon as lx
 from tagloom.operators import interactive as op
@@ -43,14 +43,14 @@ _NAMED2 = f"coalesce({map_sql(lx.ANNOTATION_CONTENTS_LABELS, 'subtype')}, subtyp
 _NEED = f"subtype IN {_in(lx.NEEDS_CONTENTS)} AND F & 3 = 0 AND coalesce({strip_sql('contents')}, '') = ''"
 
 QUERIES = {
-    "link_quality": lambda s, p: op.link_quality(wide(s, p, "links")),
-    "link_text": lambda s, p: op.link_text(wide(s, p, "links")),
-    "link_labels": lambda s, p: op.link_labels(wide(s, p, "links")),
+    "link_quality": lambda s, p: op.link_quality(view(s, p, "links")),
+    "link_text": lambda s, p: op.link_text(view(s, p, "links")),
+    "link_labels": lambda s, p: op.link_labels(view(s, p, "links")),
     "field_labels": lambda s, p: op.field_labels(view(s, p, "fields")),
     "widget_labels": lambda s, p: op.widget_labels(view(s, p, "fields")),
     "radio_groups": lambda s, p: op.radio_groups(view(s, p, "nodes"), view(s, p, "fields")),
     "label_in_name": lambda s, p: op.label_in_name(view(s, p, "fields"), view(s, p, "spans")),
-    "annotation_descriptions": lambda s, p: op.annotation_descriptions(wide(s, p, "annots")),
+    "annotation_descriptions": lambda s, p: op.annotation_descriptions(view(s, p, "annots")),
     "annotation_contents": lambda s, p: op.annotation_contents(view(s, p, "annots")),
     "annotation_needs_description": lambda s, p: op.needs_contents(view(s, p, "annots")).select("doc_id", "page", "annot_id", "subtype"),
     "target_size": lambda s, p: op.target_size(view(s, p, "annots")),
@@ -67,7 +67,7 @@ SELECT doc_id, page, link_id, type, substr(t, 1, 120) AS text, substr(uri, 1, 20
  k AS (SELECT *, CASE WHEN t = '' THEN 'empty' WHEN length(t) <= 1 THEN 'single_character'
    WHEN regexp_matches(t, '^[^\\p{{L}}\\p{{Nl}}\\p{{No}}_]+$') THEN 'numeric_or_punctuation' WHEN regexp_matches(t, {_lit(_GENERIC)}, 'i') THEN 'generic'
    WHEN regexp_matches(t, {_lit(lx.BARE_URL)}, 'i') THEN 'bare_url' WHEN regexp_matches(t, {_lit(lx.BARE_DOMAIN)}, 'i') THEN 'bare_domain' END AS reason FROM s),
- r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, lower(substr(text, 1, 40)) ORDER BY link_id) AS rn FROM k WHERE reason IS NOT NULL)
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, lower(text) ORDER BY link_id) AS rn FROM k WHERE reason IS NOT NULL)
 SELECT doc_id, page, link_id, reason, substr(text, 1, 120) AS text, substr(uri, 1, 200) AS url FROM r WHERE rn = 1"""),
     "link_labels": oracle("links", f"SELECT doc_id, page, link_id, uri, {link_label_sql('uri')} AS label FROM fx_links"),
     "field_labels": oracle("fields", f"""WITH a AS (SELECT *, {strip_sql('T')} AS r FROM fx_fields WHERE T IS NOT NULL),
@@ -90,7 +90,7 @@ SELECT doc_id, node_id, field_name, lead AS radio_group, NOT lead AS member, CAS
    cx BETWEEN fx0 - 8 AND fx1 + 8 AND cy BETWEEN fy1 - 2 AND fy1 + 40 AS a FROM f JOIN s USING (doc_id, page) WHERE t <> '' AND accessible_name <> ''),
  u AS (SELECT *, 0 AS region FROM p WHERE l UNION ALL SELECT *, 1 FROM p WHERE a),
  g AS (SELECT doc_id, page, field_id, field_name, accessible_name, string_agg(t, ' ' ORDER BY region, -y0, x0, span) AS al FROM u GROUP BY ALL),
- v AS (SELECT *, {strip_sql('right(al, 60)')} AS visible_label FROM g),
+ v AS (SELECT *, {strip_sql('al')} AS visible_label FROM g),
  w AS (SELECT *, {" , ".join(f"lower(trim(regexp_replace(regexp_replace({c}, '[^{chr(92)}p{{L}}{chr(92)}p{{N}}_{chr(92)}s]', ' ', 'g'), '{chr(92)}s+', ' ', 'g'))) AS {a}" for c, a in (("accessible_name", "nn"), ("visible_label", "ll")))} FROM v)
 SELECT doc_id, page, field_id, field_name, accessible_name, visible_label FROM w WHERE length(visible_label) >= 2 AND length(ll) >= 2 AND NOT contains(nn, ll)"""),
     "annotation_descriptions": oracle("annots", f"""SELECT doc_id, page, annot_id, subtype, substr(CASE WHEN subtype = 'Link' THEN

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.dialect import Duck, oracle, view, wide
+from catalog.dialect import Duck, oracle, view
 from catalog.document_queries import blank_sql
 from catalog.forms_queries import map_sql
 from catalog.text_queries import _in, strip_sql
@@ -35,18 +35,18 @@ def _fractions(s, p):
 
 
 QUERIES = {
-    "caption_gaps": lambda s, p: op.caption_gaps(wide(s, p, "figures")),
-    "captions": lambda s, p: op.link_captions(wide(s, p, "figures")),
+    "caption_gaps": lambda s, p: op.caption_gaps(view(s, p, "figures")),
+    "captions": lambda s, p: op.link_captions(view(s, p, "figures")),
     "caption_pairs": lambda s, p: op.adopt_captions(
-        view(s, p, "figures"), op.link_captions(wide(s, p, "figures"))).select("doc_id", "node_id", "parent_id", "tag"),
+        view(s, p, "figures"), op.link_captions(view(s, p, "figures"))).select("doc_id", "node_id", "parent_id", "tag"),
     "running_headers": _headers,
     "header_artifacts": lambda s, p: op.header_artifacts(view(s, p, "nodes"), _headers(s, p)).select("doc_id", "node_id", "page"),
     "invisible_spans": lambda s, p: op.invisible_spans(view(s, p, "spans")).select("doc_id", "page", "span", "color", "size"),
     "invisible_drop": lambda s, p: op.drop_invisible(view(s, p, "nodes"), view(s, p, "spans")).select("doc_id", "node_id", "tag"),
     "footnotes": lambda s, p: op.footnotes(view(s, p, "spans"), view(s, p, "page_sizes")),
-    "toc": lambda s, p: op.contents_runs(wide(s, p, "toc_nodes")),
-    "nested_lists": lambda s, p: op.nest_lists(wide(s, p, "list_items")),
-    "list_labels": lambda s, p: op.split_list_labels(wide(s, p, "list_items")),
+    "toc": lambda s, p: op.contents_runs(view(s, p, "toc_nodes")),
+    "nested_lists": lambda s, p: op.nest_lists(view(s, p, "list_items")),
+    "list_labels": lambda s, p: op.split_list_labels(view(s, p, "list_items")),
     "swatches": lambda s, p: op.swatch_clusters(view(s, p, "fills")),
     "orphan_mcids": lambda s, p: op.orphan_mcids(view(s, p, "stream_mcids"), view(s, p, "tree_mcids")),
     "artifact_conflicts": lambda s, p: op.artifact_conflicts(view(s, p, "stream_mcids"), view(s, p, "tree_mcids")),
@@ -59,7 +59,7 @@ QUERIES = {
     "empty_elements": lambda s, p: op.empty_elements(view(s, p, "nodes")),
     "coverage": lambda s, p: op.coverage(view(s, p, "page_sizes"), view(s, p, "spans"), view(s, p, "nodes")),
     "graphical_pages": lambda s, p: op.graphical_pages(view(s, p, "elements")),
-    "text_preview": lambda s, p: op.text_previews(view(s, p, "nodes"), 2),
+    "text_preview": lambda s, p: op.text_previews(view(s, p, "nodes")),
     "figure_numbers": lambda s, p: op.figure_numbers(view(s, p, "nodes")),
     "duplicate_ids": lambda s, p: op.duplicate_ids(
         view(s, p, "nodes").withColumn("elem_id", F.concat(F.lit("id"), F.col("ord") % 7)), "elem_id"),
@@ -144,9 +144,9 @@ WHERE NOT (t.parent_id IS NULL AND t.tag = 'Document') GROUP BY 1, 2, 3, 4"""),
     "hit_test": oracle("spans nodes", _hit("fx_spans", "span", "x0", "y0")),
     "image_hit_test": oracle("images nodes", _hit("fx_images", "image_id", "x", "y", "AND n.tag = 'Figure'")),
     "empty_elements": oracle("nodes", f"WITH {_EMPTY} SELECT * FROM em"),
-    "coverage": oracle("page_sizes spans nodes", f"""WITH {_EMPTY}, tx AS (SELECT DISTINCT doc_id, page FROM fx_spans WHERE page <= 50 AND NOT {blank_sql('text')}),
+    "coverage": oracle("page_sizes spans nodes", f"""WITH {_EMPTY}, tx AS (SELECT DISTINCT doc_id, page FROM fx_spans WHERE NOT {blank_sql('text')}),
  orf AS (SELECT doc_id, count(*) AS n FROM tx WHERE NOT EXISTS (SELECT 1 FROM fx_nodes k WHERE k.doc_id = tx.doc_id AND k.page = tx.page) GROUP BY 1),
- tot AS (SELECT doc_id, least(count(*), 50) AS pages FROM fx_page_sizes GROUP BY 1), e AS (SELECT doc_id, count(*) AS n FROM em GROUP BY 1)
+ tot AS (SELECT doc_id, count(*) AS pages FROM fx_page_sizes GROUP BY 1), e AS (SELECT doc_id, count(*) AS n FROM em GROUP BY 1)
 SELECT tot.doc_id, pages, coalesce(orf.n, 0) AS orphaned_pages, CAST(greatest(0, round_even(100e0 * (1 - coalesce(orf.n, 0) / greatest(pages, 1)), 0)) AS INT) AS coverage_pct,
   coalesce(e.n, 0) AS empty_elements FROM tot LEFT JOIN orf USING (doc_id) LEFT JOIN e USING (doc_id)"""),
     "graphical_pages": oracle("elements", f"""WITH w AS (SELECT *, {strip_sql("coalesce(text, '')")} AS t, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n FROM fx_elements)

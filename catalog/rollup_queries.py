@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import functions as F
 
 from catalog import colour_queries, document_queries, forms_queries, headings_queries, layout_queries, repair_queries, tables_queries, text_queries
-from catalog.dialect import Duck, oracle, view, wide
+from catalog.dialect import Duck, oracle, view
 from catalog.document_queries import blank_sql
 from catalog.forms_queries import map_sql
 from catalog.text_queries import _in, strip_sql
@@ -15,7 +15,7 @@ from tagloom import lexicon as lx
 from tagloom.operators import layout
 from tagloom.operators import repair as rp
 from tagloom.plans import audit as op
-from tagloom.plans import remediate
+from tagloom.plans import repair_sequence
 
 _lit = Duck().lit
 
@@ -67,7 +67,7 @@ QUERIES = {
         "doc_id", "score", op.grade(F.col("score"), F.col("has_struct")).alias("grade")),
     "signals": lambda s, p: op.signals(view(s, p, "nodes"), view(s, p, "docs")),
     "clause_frequency": lambda s, p: op.clause_frequency(view(s, p, "rules")),
-    "top_clauses": lambda s, p: op.clause_frequency(view(s, p, "rules")).orderBy(F.col("docs").desc(), "clause").limit(5),
+    "top_clauses": lambda s, p: op.clause_frequency(view(s, p, "rules")).orderBy(F.col("docs").desc(), "clause"),
     "slowest": lambda s, p: op.slowest(view(s, p, "runs")),
     "rule_explain": lambda s, p: op.explain_rules(view(s, p, "rules")),
     "verdict_counts": lambda s, p: op.verdict_counts(view(s, p, "verdicts")),
@@ -77,7 +77,7 @@ QUERIES = {
         s.createDataFrame([(t,) for t in lx.STANDARD_TAGS], "tag string")),
     "requested_existing": lambda s, p: view(s, p, "order_requests").select("doc_id", "node_id").join(
         view(s, p, "nodes").filter("tag IN ('H1', 'H3')"), ["doc_id", "node_id"], "left_semi"),
-    "autotag_pipeline": lambda s, p: remediate.autotag(view(s, p, "nodes"), view(s, p, "spans"), view(s, p, "page_sizes"), view(s, p, "docs")).select(
+    "repair_sequence": lambda s, p: repair_sequence.repaired_nodes(view(s, p, "nodes"), view(s, p, "spans"), view(s, p, "page_sizes"), view(s, p, "docs")).select(
         "doc_id", "node_id", "parent_id", "tag", "artifact", "language", "alt"),
 }
 
@@ -183,7 +183,7 @@ SELECT doc_id, score, CASE WHEN s >= 95 THEN 'A+' WHEN s >= 85 THEN 'A' WHEN s >
 SELECT c.*, NOT {blank_sql('title')} AS has_title, NOT {blank_sql('lang')} AS has_lang, has_struct AS tagged, page_count,
   CAST(CASE WHEN figures > 0 THEN round_even(100e0 * figures_with_alt / figures, 0) ELSE 100 END AS BIGINT) AS alt_coverage FROM c LEFT JOIN fx_docs USING (doc_id)"""),
     "clause_frequency": oracle("rules", """SELECT clause || '-' || test_number AS clause, count(*) AS docs, CAST(sum(failed_checks) AS BIGINT) AS checks, min(substr(description, 1, 90)) AS description FROM fx_rules WHERE status = 'failed' GROUP BY 1"""),
-    "top_clauses": oracle("rules", """SELECT clause || '-' || test_number AS clause, count(*) AS docs, CAST(sum(failed_checks) AS BIGINT) AS checks, min(substr(description, 1, 90)) AS description FROM fx_rules WHERE status = 'failed' GROUP BY 1 ORDER BY docs DESC, 1 LIMIT 5"""),
+    "top_clauses": oracle("rules", """SELECT clause || '-' || test_number AS clause, count(*) AS docs, CAST(sum(failed_checks) AS BIGINT) AS checks, min(substr(description, 1, 90)) AS description FROM fx_rules WHERE status = 'failed' GROUP BY 1 ORDER BY docs DESC, 1"""),
     "slowest": oracle("runs", "SELECT doc_id, file, seconds FROM fx_runs WHERE error IS NULL ORDER BY seconds DESC, doc_id LIMIT 3"),
     "rule_explain": oracle("rules", f"SELECT doc_id, rule_id, line_no, clause, test_number, {_note(0)} AS plain_title, {_note(1)} AS plain_hint FROM fx_rules WHERE status = 'failed'"),
     "verdict_counts": oracle("verdicts", """SELECT doc_id, count(*) FILTER (WHERE verdict = 'looks_good') AS looks_good, count(*) FILTER (WHERE verdict = 'needs_human') AS needs_human,

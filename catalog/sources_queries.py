@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.dialect import Duck, oracle, table, view, wide
+from catalog.dialect import Duck, oracle, table, view
 from catalog.forms_queries import map_sql
 from catalog.fixtures import CLAUSES
 from catalog.text_queries import strip_sql
@@ -69,8 +69,8 @@ QUERIES = {
     "pages_docs": lambda s, p: web.page_docs(table(s, p, "pages")),
     "text_nodes": lambda s, p: text.text_nodes(table(s, p, "documents")),
     "turn_nodes": lambda s, p: text.turn_nodes(table(s, p, "conversations")),
-    "validator_report": lambda s, p: validator.failed_rules(wide(s, p, "reports")),
-    "validations": lambda s, p: validator.validations(wide(s, p, "reports")),
+    "validator_report": lambda s, p: validator.failed_rules(view(s, p, "reports")),
+    "validations": lambda s, p: validator.validations(view(s, p, "reports")),
     "layout_nodes": lambda s, p: layout_json.flatten(_layouts(s, p)),
     "layout_titles": lambda s, p: layout_json.suggested_titles(_layouts(s, p), layout_json.flatten(_layouts(s, p))),
     "batch_results": lambda s, p: layout_json.batch_results(_broken(s, p)),
@@ -128,7 +128,7 @@ FROM pages, unnest(regexp_extract_all({_CLEAN}, {_lit(web.LINK)}, 0)) WITH ORDIN
     "turn_nodes": "SELECT conv_id AS doc_id, turn AS ord, 'n' || turn AS node_id, CASE WHEN role = 'user' THEN 'H2' ELSE 'P' END AS tag, text FROM conversations",
     "validator_report": f"""WITH r AS ({_RULES}) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY clause, test_number) AS INT) AS position, 'PDF/UA-1' AS specification,
   clause, test_number, 'failed' AS status, 'Rule ' || i || ' of a & b' AS description, pc AS passed_checks, fc AS failed_checks,
-  coalesce(array_to_string(list_transform(range(least(nc, 5)), lambda z: 'root/page[' || i || ']'), '|'), '') AS contexts FROM r""",
+  coalesce(array_to_string(list_transform(range(nc), lambda z: 'root/page[' || i || ']'), '|'), '') AS contexts FROM r""",
     "validations": """SELECT o_orderkey AS doc_id, o_custkey % 5 = 0 AS compliant, 'PDFUA_1' AS flavour, o_custkey % 90 AS passed_rules, CAST(2 AS BIGINT) AS failed_rules,
   CAST(900 AS BIGINT) AS passed_checks, o_orderkey % 70 AS failed_checks, CAST(NULL AS VARCHAR) AS validation_error FROM orders""",
     "layout_nodes": f"WITH {_NODES} SELECT * FROM nd",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.dialect import Duck, oracle, spread, table, view, wide
+from catalog.dialect import Duck, oracle, table, view
 from tagloom import lexicon as lx
 from tagloom.functions import language as lang
 from tagloom.operators import prose as op
@@ -56,7 +56,7 @@ def primary_sql(c: str) -> str:
 
 
 FORMULA_SQL = (
-    "(t <> '' AND length(t) <= 400 AND (regexp_matches(t, {latex}, 'i') OR len(regexp_extract_all(t, {sym})) >= 2 "
+    "(t <> '' AND (regexp_matches(t, {latex}, 'i') OR len(regexp_extract_all(t, {sym})) >= 2 "
     "OR regexp_matches(t, {eq}) OR (length(t) <= 80 AND regexp_matches(t, {inl}) "
     "AND len(list_filter(string_split_regex(t, '\\s+'), lambda w: regexp_matches(w, '^\\p{{L}}{{3,}}$'))) < 3)))"
 ).format(latex=_lit(lx.LATEX), sym=_lit(lx.MATH_SYMBOLS), eq=_lit(lx.EQUATION_NUMBER), inl=_lit(lx.INLINE_MATH))
@@ -66,20 +66,19 @@ _SENS = " UNION ALL ".join(
     for i, (n, p) in enumerate(lx.SENSORY_PATTERNS))
 _DOCLANG = f"""miss AS (SELECT doc_id FROM fx_docs WHERE coalesce({strip_sql('lang')}, '') = ''),
  parts AS (SELECT doc_id, ord, {strip_sql("coalesce(text, '')")} AS t FROM fx_nodes),
- smp AS (SELECT doc_id, string_agg(t, ' ' ORDER BY ord) AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rn
-   FROM parts JOIN miss USING (doc_id) WHERE t <> '') WHERE rn <= 200 GROUP BY doc_id),
+ smp AS (SELECT doc_id, string_agg(t, ' ' ORDER BY ord) AS t FROM parts JOIN miss USING (doc_id) WHERE t <> '' GROUP BY doc_id),
  dl AS (SELECT d.doc_id, CASE WHEN coalesce({strip_sql('lang')}, '') = '' THEN coalesce({detect_sql('smp.t')}, 'en') ELSE lang END AS lang,
    coalesce({strip_sql('lang')}, '') = '' AS was_set FROM fx_docs d LEFT JOIN smp USING (doc_id))"""
 
 
 def _nodes(s, p):
-    return wide(s, p, "nodes")
+    return view(s, p, "nodes")
 
 
 QUERIES = {
     "abbreviations": lambda s, p: op.abbreviations(_nodes(s, p)),
     "top_abbreviations": lambda s, p: op.top_abbreviations(op.abbreviations(_nodes(s, p))),
-    "reading_level": lambda s, p: op.reading_level(spread(table(s, p, "documents").select("doc_id", "text"))),
+    "reading_level": lambda s, p: op.reading_level(table(s, p, "documents").select("doc_id", "text")),
     "sensory": lambda s, p: op.sensory(_nodes(s, p)),
     "formulas": lambda s, p: op.tag_formulas(_nodes(s, p)).filter(F.col("tag") == "Formula").select("doc_id", "node_id", "tag", "alt"),
     "script_language": lambda s, p: _nodes(s, p).select("doc_id", "node_id", lang.script_language(F.col("text")).alias("script_lang")),
@@ -97,8 +96,7 @@ _ABBREV = f"""t AS (SELECT doc_id, unnest(regexp_extract_all({_MASKED}, {_lit(lx
    OR (type = 'dotted' AND length(abbreviation) >= 3 AND contains(abbreviation, '.')) GROUP BY 1, 2, 3 HAVING count(*) >= 2)"""
 ORACLES = {
     "abbreviations": oracle("nodes", f"WITH {_ABBREV} SELECT * FROM c"),
-    "top_abbreviations": oracle("nodes", f"""WITH {_ABBREV} SELECT doc_id, abbreviation, type, count FROM
-  (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, abbreviation) AS rn FROM c) WHERE rn <= 20"""),
+    "top_abbreviations": oracle("nodes", f"""WITH {_ABBREV} SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, abbreviation, type) AS INT) AS rank FROM c"""),
     "reading_level": r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_matches(x, '^[a-zA-Z]+$')) AS ws,
    len(list_filter(string_split_regex(text, '[.!?]+'), lambda x: regexp_replace(x, '\s+', '', 'g') <> '')) AS s FROM documents),
  y AS (SELECT doc_id, len(ws) AS n, s, list_sum(list_transform(ws, lambda x: greatest(1, len(regexp_extract_all(regexp_replace(lower(x), 'e$', ''), '[aeiouy]+'))))) AS syl FROM w),
@@ -108,9 +106,9 @@ SELECT doc_id, CAST(n AS INT) AS words, CAST(s AS INT) AS sentences, grade AS gr
   CASE WHEN ok THEN greatest(0e0, least(100e0, round_even(206.835e0 - 1.015e0 * wps - 84.6e0 * spw, 1))) END AS ease,
   CASE WHEN ok THEN round_even(wps, 1) END AS words_per_sentence, CASE WHEN ok THEN round_even(spw, 2) END AS syllables_per_word,
   CASE WHEN grade <= 6 THEN 'good' WHEN grade <= 8 THEN 'ok' WHEN grade <= 12 THEN 'warning' WHEN grade > 12 THEN 'concern' END AS severity FROM g""",
-    "sensory": oracle("nodes", f"""WITH t AS (SELECT doc_id, page, ord, 0 AS src, alt AS text FROM fx_nodes WHERE length(alt) BETWEEN 20 AND 400
-   UNION ALL SELECT doc_id, page, ord, 1, text FROM fx_nodes WHERE length(text) BETWEEN 20 AND 400), h AS ({_SENS}),
- r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, lower(substr(m, 1, 60)) ORDER BY ord, src, k) AS rn FROM h WHERE m <> '')
+    "sensory": oracle("nodes", f"""WITH t AS (SELECT doc_id, page, ord, 0 AS src, alt AS text FROM fx_nodes WHERE length(alt) >= 20
+   UNION ALL SELECT doc_id, page, ord, 1, text FROM fx_nodes WHERE length(text) >= 20), h AS ({_SENS}),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, lower(m) ORDER BY ord, src, k) AS rn FROM h WHERE m <> '')
 SELECT doc_id, page, ord, type, substr(text, 1, 120) AS text, substr(m, 1, 80) AS match FROM r WHERE rn = 1"""),
     "formulas": oracle("nodes", f"""WITH n AS (SELECT *, {strip_sql("coalesce(text, '')")} AS t FROM fx_nodes)
 SELECT doc_id, node_id, 'Formula' AS tag, CASE WHEN coalesce(alt, '') = '' THEN 'Mathematical expression: ' ||
@@ -118,9 +116,9 @@ SELECT doc_id, node_id, 'Formula' AS tag, CASE WHEN coalesce(alt, '') = '' THEN
     "script_language": oracle("nodes", f"SELECT doc_id, node_id, {script_sql('text')} AS script_lang FROM fx_nodes"),
     "language_issues": oracle("nodes docs", f"""WITH u AS (SELECT n.doc_id, page, ord, tag, {strip_sql('text')} AS t, d.lang FROM fx_nodes n JOIN fx_docs d USING (doc_id)
    WHERE tag IN {_in(lx.LANGUAGE_CHECK_TAGS)} AND language IS NULL),
- v AS (SELECT *, {mismatch_sql('t', 'lang')} AS script FROM u WHERE length(t) BETWEEN 15 AND 600),
+ v AS (SELECT *, {mismatch_sql('t', 'lang')} AS script FROM u WHERE length(t) >= 15),
  x AS (SELECT *, CASE WHEN script IS NULL AND lang IS NOT NULL THEN {detect_sql('t')} END AS other FROM v),
- r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, lower(substr(t, 1, 40)) ORDER BY ord) AS rn FROM x
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, lower(t) ORDER BY ord) AS rn FROM x
    WHERE script IS NOT NULL OR (other IS NOT NULL AND NOT starts_with(lower(lang), other)))
 SELECT doc_id, 'suspected_language_change' AS type, page, ord, tag, substr(t, 1, 100) AS text, coalesce(script, other) AS detected FROM r WHERE rn = 1
 UNION ALL SELECT doc_id, 'missing_doc_lang', NULL, NULL, NULL, NULL, NULL FROM fx_docs WHERE lang IS NULL"""),

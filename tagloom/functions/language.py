@@ -37,6 +37,28 @@ def detect_language(text: Column) -> Column:
     return F.when(F.length(t) >= 8, F.coalesce(script_language(t), profile_language(t)))
 
 
+def evidence(text: Column) -> dict[str, Column]:
+    """What detection counts on a text, by name: its length, characters per script, stop words per
+    language. The counts of parts may be added up."""
+    words = F.split(F.lower(text), WORD_BREAK)
+
+    def hits(vocabulary: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*vocabulary)))
+
+    return {"length": F.length(text),
+            **{f"script_{i}": F.regexp_count(text, F.lit(rng)) for i, (_, rng) in enumerate(lx.SCRIPT_LANGS)},
+            **{f"words_{i}": hits(vocabulary) for i, vocabulary in enumerate(lx.STOP_WORDS.values())}}
+
+
+def from_evidence(length: Column) -> Column:
+    """``detect_language`` from the columns of ``evidence`` and the whole length."""
+    script = F.coalesce(*[F.when(F.col(f"script_{i}") > F.greatest(F.lit(3.0), length * 0.25), F.lit(name))
+                          for i, (name, _) in enumerate(lx.SCRIPT_LANGS)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"words_{i}").alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("lang"))
+                                 for i, name in enumerate(lx.STOP_WORDS)]))
+    return F.when(length >= 8, F.coalesce(script, F.when(best["n"] > 0, best["lang"])))
+
+
 def primary_subtag(lang: Column) -> Column:
     return F.split(F.replace(F.lower(strip(lang)), F.lit("_"), F.lit("-")), "-")[0]
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.functions import color as c
 from tagloom.functions.text import left, strip
 
-SPAN_ORDER = ["page", "block", "line", "span"]
-
 
 def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """First ``n`` rows per key. The rank filter lets Spark cut each map task's
@@ -22,8 +22,8 @@ def _ratio_against_bg(df: DataFrame, fg: str) -> DataFrame:
     return df.withColumn("ratio", c.contrast_ratio(F.col(fg), F.col("bg")))
 
 
-def contrast_failures(spans: DataFrame, cap: int | None = lx.CONTRAST_CAP) -> DataFrame:
-    """Text below its required contrast, the first ``cap`` per document."""
+def contrast_failures(spans: DataFrame) -> DataFrame:
+    """Text below its required contrast."""
     large = (F.col("size") >= lx.LARGE_SIZE) | (
         (F.col("size") >= lx.LARGE_BOLD_SIZE) & (F.col("flags").bitwiseAND(lx.BOLD_BIT) != 0))
     out = (
@@ -32,8 +32,6 @@ def contrast_failures(spans: DataFrame, cap: int | None = lx.CONTRAST_CAP) -> Da
         .withColumn("required", F.when(large, lx.LARGE_TEXT_RATIO).otherwise(lx.TEXT_RATIO))
     )
     out = _ratio_against_bg(out, "color").filter(F.col("ratio") < F.col("required"))
-    if cap is not None:
-        out = first_n(out, ["doc_id"], SPAN_ORDER, cap)
     return out.select(
         "doc_id", "page", "block", "line", "span", left(F.col("text"), 80).alias("text"),
         c.hex_color(F.col("color")).alias("fg"), c.hex_color(F.col("bg")).alias("bg"),
@@ -75,9 +73,8 @@ def decorative_path(width: Column, height: Column) -> Column:
     return separator | F.coalesce(frame, F.lit(False)) | F.coalesce(near_white, F.lit(False))
 
 
-def nontext_contrast(annots: DataFrame, paths: DataFrame, pages: DataFrame, images: DataFrame,
-                     cap: int | None = lx.NONTEXT_CAP) -> DataFrame:
-    """Borders and thin informative lines below 3:1, the first ``cap`` per document."""
+def nontext_contrast(annots: DataFrame, paths: DataFrame, pages: DataFrame, images: DataFrame) -> DataFrame:
+    """Borders and thin informative lines below 3:1."""
     white = F.lit(0xFFFFFF)
     ui = (
         annots.filter(F.col("subtype").isin(lx.BORDER_SUBTYPES) & F.col("stroke").isNotNull())
@@ -96,8 +93,6 @@ def nontext_contrast(annots: DataFrame, paths: DataFrame, pages: DataFrame, imag
                 F.col("color").alias("fg"), F.coalesce("bg", white).alias("bg"))
     )
     out = _ratio_against_bg(ui.unionByName(graphic), "fg").filter(F.col("ratio") < lx.GRAPHIC_RATIO)
-    if cap is not None:
-        out = first_n(out, ["doc_id"], ["page", "kind", "item"], cap)
     return out.select(
         "doc_id", "page", "type", "component", "item", c.hex_color(F.col("fg")).alias("fg"),
         c.hex_color(F.col("bg")).alias("bg"), F.bround("ratio", 2).alias("ratio"),
@@ -116,20 +111,28 @@ def fill_repairs(fills: DataFrame, required: float = lx.TEXT_RATIO) -> DataFrame
                       needs.alias("needs_fix"), c.hex_color(fixed.cast("int")).alias("fixed"))
 
 
+def _per_pair(rows: DataFrame, repair: Callable[[Column, Column], Column]) -> DataFrame:
+    """``_fixed`` for every pair of hex colours fg, bg: the search runs once per pair, not per row.
+
+    Pairs are few bytes and much work, so they are dealt out by count, not by size.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = [F.conv(F.substring(n, 2, 6), 16, 10).cast("int") for n in ("fg", "bg")]
+    return rows.select("fg", "bg").distinct().repartition(parts, "fg", "bg").withColumn("_fixed", repair(*packed))
+
+
 def contrast_repairs(failures: DataFrame) -> DataFrame:
     """Linear darkening of each failing text colour against its own background."""
-    fg = F.conv(F.substring("fg", 2, 6), 16, 10).cast("int")
-    bg = F.conv(F.substring("bg", 2, 6), 16, 10).cast("int")
-    out = failures.withColumn("_fixed", c.darken_linear(*c.channels(fg), c.packed_luminance(bg)))
+    fixed = _per_pair(failures, lambda fg, bg: c.darken_linear(*c.channels(fg), c.packed_luminance(bg)))
+    out = failures.join(fixed, ["fg", "bg"])
     return out.select("doc_id", "page", "block", "line", "span", "fg", "bg", c.hex_color(F.col("_fixed")).alias("fixed"))
 
 
 def graphic_repairs(issues: DataFrame) -> DataFrame:
     """Darkened stroke for each failing graphic, null where the change would be too strong."""
-    fg = F.conv(F.substring("fg", 2, 6), 16, 10).cast("int")
-    bg = F.conv(F.substring("bg", 2, 6), 16, 10).cast("int")
-    out = issues.filter(F.col("type") == "graphic").withColumn(
-        "_fixed", c.darken_graphic(*c.channels(fg), c.packed_luminance(bg)))
+    graphics = issues.filter(F.col("type") == "graphic")
+    fixed = _per_pair(graphics, lambda fg, bg: c.darken_graphic(*c.channels(fg), c.packed_luminance(bg)))
+    out = graphics.join(fixed, ["fg", "bg"])
     return out.select("doc_id", "page", "item", "fg", "bg", c.hex_color(F.col("_fixed")).alias("fixed"))
 
 

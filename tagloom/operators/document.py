@@ -137,11 +137,11 @@ def titles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def metadata_autofill(docs: DataFrame, texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Language from the first 2000 characters and title from the first large span, where missing."""
+    """Language from the text and title from the first large span, where missing."""
     t = strip(F.coalesce("text", F.lit("")))
     big = spans.filter(F.col("size") >= 16).select("doc_id", t.alias("t"), "page", "block", "line", "span").filter(
         F.col("t") != "").groupBy("doc_id").agg(F.min_by("t", F.struct("page", "block", "line", "span")).alias("auto_title"))
-    guessed = texts.select("doc_id", F.coalesce(lang.detect_language(left(F.col("text"), 2000)), F.lit("en")).alias("auto_lang"))
+    guessed = texts.select("doc_id", F.coalesce(lang.detect_language(F.col("text")), F.lit("en")).alias("auto_lang"))
     needs = blank(F.col("lang")) | blank(F.col("title"))
     return docs.filter(needs).join(guessed, "doc_id", "left").join(big, "doc_id", "left").select(
         "doc_id", F.when(blank(F.col("lang")), F.coalesce("auto_lang", F.lit("en"))).alias("set_lang"),
@@ -192,7 +192,7 @@ def review_questions(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def tag_routing(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Repair documents that carry real structure, rebuild the others."""
     counts = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    elements = F.when(F.col("has_struct"), F.least(F.coalesce("n", F.lit(0)), F.lit(lx.STRUCT_COUNT_CAP))).otherwise(0)
+    elements = F.when(F.col("has_struct"), F.coalesce("n", F.lit(0))).otherwise(0)
     tagged = F.col("has_struct") & (F.col("elements") >= lx.MIN_STRUCT_ELEMENTS)
     return docs.join(counts, "doc_id", "left").withColumn("elements", elements.cast("long")).select(
         "doc_id", "elements", "marked", tagged.alias("tagged"), F.when(tagged, "repair").otherwise("rebuild").alias("route"),

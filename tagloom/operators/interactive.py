@@ -38,12 +38,11 @@ def _nondescriptive(t: Column) -> Column:
 
 
 def link_text(links: DataFrame) -> DataFrame:
-    """Second rule set: text falls back to the annotation, then the URI; one row per
-    (page, first 40 characters)."""
+    """Second rule set: text falls back to the annotation, then the URI; one row per (page, text)."""
     own, other = strip(F.coalesce("text", F.lit(""))), F.coalesce("contents", F.lit(""))
     shown = F.when(own != "", own).when(other != "", other).otherwise(left(F.coalesce("uri", F.lit("")), 80))
     bad = links.withColumn("text", shown).withColumn("reason", _nondescriptive(strip(F.col("text")))).filter(
-        F.col("reason").isNotNull()).withColumn("_key", F.lower(left(F.col("text"), 40)))
+        F.col("reason").isNotNull()).withColumn("_key", F.lower(F.col("text")))
     return first_n(bad, ["doc_id", "page", "_key"], ["link_id"], 1).select(
         "doc_id", "page", "link_id", "reason", left(F.col("text"), 120).alias("text"), left(F.col("uri"), 200).alias("url"))
 
@@ -102,8 +101,7 @@ def _comparable(col: Column) -> Column:
 def label_in_name(fields: DataFrame, spans: DataFrame) -> DataFrame:
     """Visible text next to a field that its accessible name does not contain.
 
-    Only the last 60 characters count and every span has at least one, so the last 61
-    spans of each region hold all of them: no region is collected whole.
+    What is put together per field is the text inside two small boxes of its page.
     """
     name = F.when(F.coalesce("TU", F.lit("")) != "", F.col("TU")).otherwise(F.col("T"))
     f = fields.filter(F.col("FT").isNotNull()).withColumn("accessible_name", strip(F.coalesce(name, F.lit("")))).filter(
@@ -124,11 +122,10 @@ def label_in_name(fields: DataFrame, spans: DataFrame) -> DataFrame:
         f.withColumn("_band", F.explode(reach)), ["doc_id", "page", "_band"]).filter(left_of | above).select(
         "doc_id", "page", "field_id", "t", "y0", "x0", "span",
         F.explode(F.filter(F.array(F.when(left_of, 0), F.when(above, 1)), lambda r: r.isNotNull())).alias("region"))
-    tail = first_n(near, ["doc_id", "field_id", "region"], [F.col("y0"), F.col("x0").desc(), F.col("span").desc()], 61)
     order = F.struct("region", (-F.col("y0")).alias("down"), "x0", "span", "t")
-    joined = tail.groupBy("doc_id", "field_id").agg(F.array_join(
+    joined = near.groupBy("doc_id", "field_id").agg(F.array_join(
         F.transform(F.array_sort(F.collect_list(order)), lambda r: r["t"]), " ").alias("all"))
-    label = strip(F.expr("right(all, 60)"))
+    label = strip(F.col("all"))
     out = f.join(joined.select("doc_id", "field_id", label.alias("visible_label")), ["doc_id", "field_id"]).filter(
         F.length("visible_label") >= lx.LABEL_MIN)
     out = out.withColumns({"_n": _comparable(F.col("accessible_name")), "_l": _comparable(F.col("visible_label"))})

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.functions import color as c, geometry as g
@@ -300,28 +300,30 @@ def unmarked_content(ops: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> DataF
     return rows.filter(F.col("op").isin(lx.PAINT_OPS) & (depth == 0)).select(*PAGE, "seq", "sub", "op")
 
 
-def topmost_ancestors(tree: DataFrame, max_depth: int = 128) -> DataFrame:
+def topmost_ancestors(tree: DataFrame) -> DataFrame:
     """(doc_id, node_id, top): the last existing ancestor of every node.
 
     Pointer doubling: each round every unfinished node jumps to its pointer's pointer, so
-    depth d takes log2(d) joins, and finished nodes leave the join.
+    depth d takes log2(d) joins, and finished nodes leave the join. As long as a finite chain
+    is open, a round finishes its next nodes; a round that finishes none has only nodes in or
+    below a cycle left, and those are their own top.
     """
     known = tree.select("doc_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("_known"))
     hop = tree.join(known, ["doc_id", "parent_id"], "left")
     state = cut_lineage(hop.select("doc_id", "node_id", F.when(F.col("_known"), F.col("parent_id")).alias("up")))
     done = state.filter(F.col("up").isNull()).select("doc_id", "node_id", F.col("node_id").alias("top"))
     todo = state.filter(F.col("up").isNotNull())
-    depth = 1
-    while depth < max_depth:
+    left_over = todo.count()
+    while left_over:
         ends = done.select("doc_id", F.col("node_id").alias("up"), "top")
         jumps = todo.select("doc_id", F.col("node_id").alias("up"), F.col("up").alias("next"))
         moved = cut_lineage(todo.join(ends, ["doc_id", "up"], "left").join(jumps, ["doc_id", "up"], "left").select(
             "doc_id", "node_id", "top", F.col("next").alias("up")))
         done = done.unionByName(moved.filter(F.col("top").isNotNull()).select("doc_id", "node_id", "top"))
-        todo = moved.filter(F.col("top").isNull() & F.col("up").isNotNull()).select("doc_id", "node_id", "up")
-        if todo.isEmpty():
-            break
-        depth *= 2
+        todo = moved.filter(F.col("top").isNull()).select("doc_id", "node_id", "up")
+        before, left_over = left_over, todo.count()
+        if left_over == before:
+            return done.unionByName(todo.select("doc_id", "node_id", F.col("node_id").alias("top")))
     return done
 
 
@@ -355,11 +357,11 @@ def empty_elements(nodes: DataFrame) -> DataFrame:
     return bare.join(parents, ["doc_id", "node_id"], "left_anti").select("doc_id", "node_id", "tag", "page")
 
 
-def coverage(pages: DataFrame, spans: DataFrame, nodes: DataFrame, page_limit: int = lx.COVERAGE_PAGES) -> DataFrame:
+def coverage(pages: DataFrame, spans: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pages with text but no structure, and the share of pages that are covered."""
-    texted = spans.filter((F.col("page") <= page_limit) & ~blank(F.col("text"))).select(*PAGE).distinct()
+    texted = spans.filter(~blank(F.col("text"))).select(*PAGE).distinct()
     orphans = texted.join(nodes.select(*PAGE).distinct(), PAGE, "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    totals = pages.groupBy("doc_id").agg(F.least(F.count(F.lit(1)), F.lit(page_limit)).alias("pages"))
+    totals = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
     empty = empty_elements(nodes).groupBy("doc_id").agg(F.count(F.lit(1)).alias("empty_elements"))
     n = F.coalesce("n", F.lit(0))
     pct = F.greatest(F.lit(0.0), F.bround(100 * (1 - n / F.greatest("pages", F.lit(1))), 0))
@@ -388,24 +390,25 @@ def graphical_pages(elements: DataFrame) -> DataFrame:
     return pick.join(labels, PAGE, "left").select(*PAGE, "n", F.lit("Figure").alias("tag"), alt.alias("alt"))
 
 
-def text_previews(nodes: DataFrame, max_depth: int, width: int = 60) -> DataFrame:
-    """Own text or alt, else that of the first descendant that has one, bottom up."""
+def text_previews(nodes: DataFrame, width: int | None = 60, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:
+    """Own text or alt, else that of the first descendant that has one; ``width`` None shows all.
+
+    In pre-order that descendant is the next node with a text, provided no node up to it is as
+    high as the asking one. Cutting the order after every node with a text leaves runs in which
+    both are one look ahead, whatever the depth of the tree.
+    """
     def filled(col: Column) -> Column:
         return F.when(~blank(col), strip(col))
     own = F.when(F.coalesce("text", F.lit("")) != "", filled(F.col("text"))).otherwise(filled(F.col("alt")))
-    base = nodes.select("doc_id", "node_id", "parent_id", "depth", "ord", left(own, width).alias("preview"))
-    level = base.filter(F.col("depth") == max_depth)
-    levels = [level]
-    for d in range(max_depth - 1, -1, -1):
-        below = level.filter(F.col("preview").isNotNull()).groupBy("doc_id", "parent_id").agg(
-            F.min_by("preview", "ord").alias("_below")).withColumnRenamed("parent_id", "node_id")
-        level = base.filter(F.col("depth") == d).join(below, ["doc_id", "node_id"], "left").select(
-            "doc_id", "node_id", "parent_id", "depth", "ord", F.coalesce("preview", "_below").alias("preview"))
-        levels.append(level)
-    out = levels[0]
-    for part in levels[1:]:
-        out = out.unionByName(part)
-    return out.select("doc_id", "node_id", "ord", F.coalesce("preview", F.lit("")).alias("preview"))
+    base = nodes.select("doc_id", "node_id", "depth", "ord", (own if width is None else left(own, width)).alias("own"))
+    has = F.col("own").isNotNull().cast("long")
+    runs = scan.running_sum(scan.with_chunk(base, "ord", chunk_rows), ["doc_id"], ["ord"], has, "_texts")
+    runs = runs.withColumn("_run", F.col("_texts") - has)
+    ahead = Window.partitionBy("doc_id", "_run").orderBy(F.col("ord").desc())
+    later = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    found = runs.withColumns({"_next": F.first("own").over(later), "_least": F.min("depth").over(later)})
+    below = F.when(F.col("_least") > F.col("depth"), F.col("_next"))
+    return found.select("doc_id", "node_id", "ord", F.coalesce("own", below, F.lit("")).alias("preview"))
 
 
 def figure_numbers(nodes: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.functions import language as lang
@@ -27,9 +27,10 @@ def abbreviations(texts: DataFrame, min_count: int = 2) -> DataFrame:
     )
 
 
-def top_abbreviations(counted: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` most frequent per document (a report limit), ties by spelling."""
-    return first_n(counted, ["doc_id"], [F.col("count").desc(), F.col("abbreviation")], n)
+def top_abbreviations(counted: DataFrame) -> DataFrame:
+    """All abbreviations with their rank by frequency in the document, ties by spelling."""
+    order = Window.partitionBy("doc_id").orderBy(F.col("count").desc(), "abbreviation", "type")
+    return counted.withColumn("rank", F.row_number().over(order))
 
 
 def reading_level(texts: DataFrame) -> DataFrame:
@@ -58,13 +59,13 @@ def reading_level(texts: DataFrame) -> DataFrame:
 def sensory(nodes: DataFrame) -> DataFrame:
     """Instructions that lean on a sense alone; one row per (document, page, phrase)."""
     texts = nodes.select("doc_id", "page", "ord", F.posexplode(F.array("alt", "text")).alias("src", "text")).filter(
-        F.length("text").between(lx.SENSORY_MIN, lx.SENSORY_MAX))
+        F.length("text") >= lx.SENSORY_MIN)
     found = F.array(*[
         F.struct(F.lit(i).alias("k"), F.lit(name).alias("type"),
                  strip(F.regexp_extract("text", pattern(p, True), 0)).alias("match"))
         for i, (name, p) in enumerate(lx.SENSORY_PATTERNS)])
     hits = texts.select("*", F.inline(F.filter(found, lambda h: h["match"] != "")))
-    hits = hits.withColumn("_key", F.lower(left(F.col("match"), 60)))
+    hits = hits.withColumn("_key", F.lower(F.col("match")))
     return first_n(hits, ["doc_id", "page", "_key"], ["ord", "src", "k"], 1).select(
         "doc_id", "page", "ord", "type", left(F.col("text"), 120).alias("text"), left(F.col("match"), 80).alias("match"))
 
@@ -72,7 +73,7 @@ def sensory(nodes: DataFrame) -> DataFrame:
 def is_formula(text: Column) -> Column:
     words = F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"^\p{L}{3,}$"))
     short_math = (F.length(text) <= 80) & matches(text, lx.INLINE_MATH) & (F.size(words) < 3)
-    return (text != "") & (F.length(text) <= 400) & (
+    return (text != "") & (
         matches(text, lx.LATEX, True) | (F.regexp_count(text, F.lit(lx.MATH_SYMBOLS)) >= 2)
         | matches(text, lx.EQUATION_NUMBER) | short_math)
 
@@ -96,14 +97,14 @@ def language_issues(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     untagged = (
         nodes.filter(F.col("tag").isin(lx.LANGUAGE_CHECK_TAGS) & F.col("language").isNull())
         .select("doc_id", "page", "ord", "tag", t.alias("text"))
-        .filter(F.length("text").between(lx.LANGUAGE_MIN, lx.LANGUAGE_MAX))
+        .filter(F.length("text") >= lx.LANGUAGE_MIN)
     )
     joined = untagged.join(docs.select("doc_id", "lang"), "doc_id")
     other = lang.detect_language(F.col("text"))
     detected = joined.withColumn("script", lang.script_mismatch(F.col("text"), F.col("lang"))).withColumn(
         "other", F.when(F.col("script").isNull() & F.col("lang").isNotNull(), other))
     differs = F.col("other").isNotNull() & ~F.lower("lang").startswith(F.col("other"))
-    found = detected.filter(F.col("script").isNotNull() | differs).withColumn("_key", F.lower(left(F.col("text"), 40)))
+    found = detected.filter(F.col("script").isNotNull() | differs).withColumn("_key", F.lower(F.col("text")))
     changes = first_n(found, ["doc_id", "page", "_key"], ["ord"], 1).select(
         "doc_id", F.lit("suspected_language_change").alias("type"), "page", "ord", "tag",
         left(F.col("text"), 100).alias("text"), F.coalesce("script", "other").alias("detected"))
@@ -127,14 +128,19 @@ def node_languages(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def document_language(nodes: DataFrame, docs: DataFrame, sample: int = 200) -> DataFrame:
-    """Declared language, or one detected on the first ``sample`` text nodes, or English."""
+def document_language(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Declared language, or the one detected on all text of the document, or English.
+
+    Detection counts characters and stop words, so the counts of the nodes are added up and no
+    text is put together.
+    """
     missing = docs.filter(blank(F.col("lang"))).select("doc_id")
-    parts = nodes.select("doc_id", "ord", strip(F.coalesce("text", F.lit(""))).alias("text")).filter(F.col("text") != "")
-    first = first_n(parts.join(missing, "doc_id", "left_semi"), ["doc_id"], ["ord"], sample)
-    texts = first.groupBy("doc_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda s: s["text"]), " ").alias("text"))
-    guessed = texts.select("doc_id", lang.detect_language(F.col("text")).alias("guess"))
+    parts = nodes.select("doc_id", strip(F.coalesce("text", F.lit(""))).alias("text")).filter(F.col("text") != "")
+    counts = lang.evidence(F.col("text"))
+    summed = parts.join(missing, "doc_id", "left_semi").select("doc_id", *[c.alias(n) for n, c in counts.items()]).groupBy("doc_id").agg(
+        *[F.sum(n).alias(n) for n in counts], F.count(F.lit(1)).alias("_parts"))
+    # the parts of a text are one space apart
+    guessed = summed.select("doc_id", lang.from_evidence(F.col("length") + F.col("_parts") - 1).alias("guess"))
     unset = blank(F.col("lang"))
     return docs.select("doc_id", "lang").join(guessed, "doc_id", "left").select(
         "doc_id", F.when(unset, F.coalesce("guess", F.lit("en"))).otherwise(F.col("lang")).alias("lang"), unset.alias("was_set"))

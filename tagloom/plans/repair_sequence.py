@@ -10,7 +10,7 @@ from tagloom.operators import headings, layout, prose
 from tagloom.session import cut_lineage
 
 
-def autotag(nodes: DataFrame, spans: DataFrame, pages: DataFrame, docs: DataFrame) -> DataFrame:
+def repaired_nodes(nodes: DataFrame, spans: DataFrame, pages: DataFrame, docs: DataFrame) -> DataFrame:
     """Nodes after every automatic repair, same schema.
 
     Every step contributes facts by (doc_id, ord) and all of them read one written base

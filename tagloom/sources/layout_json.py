@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagloom import lexicon as lx
 
-MAX_DEPTH = 100
 NODE_ROW = (
     "node_id string, parent_id string, depth int, ord long, type string, own_tag string, level string, page int, "
     "x0 double, y0 double, x1 double, y1 double, row int, col int, row_span int, col_span int, font_size double, "
@@ -27,35 +26,67 @@ def _first(element: dict, *names: str):
     return None
 
 
+def _number(value, kind):
+    """A number of the given kind, null for anything that is none."""
+    if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+        return None
+    try:
+        number = kind(float(value))
+        return number if abs(number) < 2 ** 31 or kind is float else None
+    except (ValueError, OverflowError):
+        return None
+
+
+def _string(value):
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
 class FlattenLayout:
-    """Yields the nodes of one JSON document; keys are accepted under several names."""
+    """Yields the nodes of one JSON document; keys are accepted under several names.
+
+    Values of an unexpected kind become null, children that are no objects are skipped, a
+    document that is no object has no nodes. Any depth is walked.
+    """
 
     def eval(self, text: str):
         if text is None:
             return
-        root = json.loads(text)
+        try:
+            root = json.loads(text)
+        except (ValueError, RecursionError):
+            return
         count = 0
-        stack = [(e, None, 0) for e in reversed(_first(root, "kids", "nodes") or [])]
+        stack = [(e, None, 0) for e in reversed(self.children(root, "kids", "nodes"))]
         while stack:
             element, parent, depth = stack.pop()
             count += 1
             node_id = element.get("id") if isinstance(element.get("id"), str) else f"n{count}"
-            box = _first(element, "bounding box", "bbox") or []
-            box = [float(v) for v in box] if len(box) == 4 else [None] * 4
-            number = lambda v: None if v is None else int(v)
-            size = _first(element, "font size")
-            yield (node_id, parent, depth, count - 1, (element.get("type") or "").lower() or None,
-                   _first(element, "pdfua_tag", "tag"), None if _first(element, "heading level") is None else str(_first(element, "heading level")),
-                   int(_first(element, "page number", "page") or 1), *box,
-                   number(_first(element, "row number", "row")), number(_first(element, "column number", "col")),
-                   number(_first(element, "row span", "rowSpan")), number(_first(element, "column span", "colSpan")),
-                   None if size is None else float(size), _first(element, "content", "text"), element.get("alt"), element.get("decorative"))
-            if depth < MAX_DEPTH:
-                children = _first(element, "rows", "cells", "kids", "children") or []
-                if element.get("type") == "table" and isinstance(element.get("rows"), list):
-                    children = [{**r, "type": "table row"} for r in element["rows"]]
-                if isinstance(children, list):
-                    stack.extend((c, node_id, depth + 1) for c in reversed(children))
+            box = _first(element, "bounding box", "bbox")
+            box = [_number(v, float) for v in box] if isinstance(box, list) and len(box) == 4 else [None] * 4
+            kind = element.get("type")
+            kind = kind.lower() if isinstance(kind, str) else ""
+            page = _number(_first(element, "page number", "page"), int)
+            decorative = element.get("decorative")
+            yield (node_id, parent, depth, count - 1, kind or None,
+                   _string(_first(element, "pdfua_tag", "tag")), _string(_first(element, "heading level")), page or 1, *box,
+                   _number(_first(element, "row number", "row"), int), _number(_first(element, "column number", "col"), int),
+                   _number(_first(element, "row span", "rowSpan"), int), _number(_first(element, "column span", "colSpan"), int),
+                   _number(_first(element, "font size"), float), _string(_first(element, "content", "text")), _string(element.get("alt")),
+                   decorative if isinstance(decorative, bool) else None)
+            children = self.children(element, "rows", "cells", "kids", "children")
+            if kind == "table" and isinstance(element.get("rows"), list):
+                children = [{**row, "type": "table row"} for row in children]
+            stack.extend((child, node_id, depth + 1) for child in reversed(children))
+
+    @staticmethod
+    def children(element, *names: str) -> list[dict]:
+        found = _first(element, *names) if isinstance(element, dict) else None
+        return [e for e in found if isinstance(e, dict)] if isinstance(found, list) else []
+
+
+def usable(text: Column) -> Column:
+    """Whether a text is JSON with an object at its root."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
 
 
 def tag_of(kind: Column, own: Column, level: Column) -> Column:
@@ -84,7 +115,7 @@ def flatten(documents: DataFrame, json_col: str = "json") -> DataFrame:
 
 def split_rejects(documents: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
     """Parsable documents, and a rejects table for the others: a bad file never stops a batch."""
-    ok = F.try_parse_json(F.col(json_col)).isNotNull()
+    ok = usable(F.col(json_col))
     good = documents.filter(ok)
     bad = documents.filter(~ok).select("doc_id", F.lit("invalid_json").alias("error"), F.octet_length(json_col).cast("long").alias("bytes"))
     return good, bad
@@ -92,7 +123,7 @@ def split_rejects(documents: DataFrame, json_col: str = "json") -> tuple[DataFra
 
 def batch_results(documents: DataFrame, json_col: str = "json") -> DataFrame:
     """One line per input: done or the reason it was set aside."""
-    ok = F.try_parse_json(F.col(json_col)).isNotNull()
+    ok = usable(F.col(json_col))
     return documents.select("doc_id", ok.alias("ok"), F.when(~ok, F.lit("invalid_json")).alias("error"))
 
 

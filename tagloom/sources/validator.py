@@ -13,7 +13,6 @@ _RESULT = (
     f"_passedChecks: long, _failedChecks: long, rule: array<{_RULE}>>>"
 )
 SCHEMA = f"jobs struct<job: struct<validationReport: {_RESULT}, validationResult: {_RESULT}>>"
-MAX_CONTEXTS = 5
 
 
 def _results(reports: DataFrame, xml_col: str) -> DataFrame:
@@ -34,12 +33,12 @@ def validations(reports: DataFrame, xml_col: str = "xml") -> DataFrame:
 
 
 def failed_rules(reports: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """Failed rules with at most five contexts, numbered by (clause, test) in their report."""
+    """Failed rules with all their contexts, numbered by (clause, test) in their report."""
     failed = F.filter("v.details.rule", lambda r: F.lower(r["_status"]) == "failed")
     ordered = F.array_sort(F.transform(failed, lambda r: F.struct(r["_clause"].alias("c"), r["_testNumber"].alias("t"), r.alias("r"))))
     rows = _results(reports, xml_col).select("doc_id", F.posexplode(ordered).alias("pos", "e"))
     r = F.col("e.r")
-    contexts = F.slice(F.filter(F.transform(r["check"], lambda k: F.trim(k["context"])), lambda x: x != ""), 1, MAX_CONTEXTS)
+    contexts = F.filter(F.transform(r["check"], lambda k: F.trim(k["context"])), lambda x: x != "")
     return rows.select(
         "doc_id", (F.col("pos") + 1).alias("position"), r["_specification"].alias("specification"),
         F.coalesce(r["_clause"], F.lit("?")).alias("clause"), F.coalesce(r["_testNumber"], F.lit(0)).alias("test_number"),

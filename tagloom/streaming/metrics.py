@@ -50,22 +50,28 @@ ALERT = "doc_id long, previous long, current long"
 
 
 class RiseAlert(StatefulProcessor):
-    """Remembers the latest failed-check count per document and reports every rise."""
+    """Remembers the latest failed-check count per document and reports every rise.
+
+    A document's rows of one micro-batch may come in several Arrow batches in any order, so they
+    are ordered together; rows older than what is remembered are late and dropped.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "failed long")
+        self.latest = handle.getValueState("latest", "ts timestamp, seq long, failed long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.latest.get()[0] if self.latest.exists() else None
-        alerts = []
-        for batch in rows:
-            for failed in batch.sort_values(["ts", "seq"])["failed"]:
-                if last is not None and failed > last:
-                    alerts.append((key[0], last, int(failed)))
-                last = int(failed)
-        if last is not None:
-            self.latest.update((last,))
-        yield pd.DataFrame(alerts, columns=["doc_id", "previous", "current"])
+        arrived = pd.concat([batch[["ts", "seq", "failed"]] for batch in rows], ignore_index=True)
+        if self.latest.exists():
+            ts, seq, failed = self.latest.get()
+            known = pd.DataFrame({"ts": [pd.Timestamp(ts)], "seq": [seq], "failed": [failed]}).astype(arrived.dtypes)
+            newer = (arrived["ts"] > known["ts"][0]) | ((arrived["ts"] == known["ts"][0]) & (arrived["seq"] > seq))
+            arrived = pd.concat([known, arrived[newer]], ignore_index=True)
+        ordered = arrived.sort_values(["ts", "seq"], ignore_index=True)
+        previous = ordered["failed"].shift()
+        rises = ordered["failed"] > previous
+        last = ordered.iloc[-1]
+        self.latest.update((last["ts"].to_pydatetime(), int(last["seq"]), int(last["failed"])))
+        yield pd.DataFrame({"doc_id": key[0], "previous": previous[rises].astype("int64"), "current": ordered["failed"][rises].astype("int64")})
 
     def close(self) -> None:
         pass
