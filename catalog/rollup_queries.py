@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import functions as F
 
 from catalog import colour_queries, document_queries, forms_queries, headings_queries, layout_queries, repair_queries, tables_queries, text_queries
-from catalog.dialect import Duck, oracle, view
+from catalog.dialect import Duck, oracle, table, view
 from catalog.document_queries import blank_sql
 from catalog.forms_queries import map_sql
 from catalog.text_queries import _in, strip_sql
@@ -16,6 +16,7 @@ from tagloom.operators import layout
 from tagloom.operators import repair as rp
 from tagloom.plans import audit as op
 from tagloom.plans import repair_sequence
+from tagloom.session import shared_dir
 
 _lit = Duck().lit
 
@@ -24,27 +25,37 @@ class FixtureTables(Mapping):
     """The audit's tables as fixture views."""
 
     names = {"pages": "page_sizes"}
+    given = {"texts": "documents"}
 
     def __init__(self, spark, sf):
         self.spark, self.sf = spark, sf
 
     def __getitem__(self, name):
+        if name in self.given:
+            return table(self.spark, self.sf, self.given[name])
         return view(self.spark, self.sf, self.names.get(name, name))
 
     def __iter__(self):
-        return iter(("spans", "annots", "paths", "pages", "images", "links", "nodes", "cells", "tables", "docs", "fills", "fonts", "layers", "fields"))
+        return iter(("spans", "annots", "paths", "pages", "images", "links", "nodes", "cells", "tables", "docs", "fills", "fonts", "layers", "fields", "texts"))
 
     def __len__(self):
-        return 14
+        return 15
 
 
 def _record(s, p):
-    return op.conformance(op.findings(FixtureTables(s, p)))
+    return op.conformance(op.finding_counts(FixtureTables(s, p)))
+
+
+def _sink(s, p):
+    """Findings written by check and read back, as one JSON record per document."""
+    path = shared_dir(s, "findings")
+    op.write_findings(op.findings(FixtureTables(s, p)), path)
+    return op.records_as_json(op.conformance(op.counted(s.read.parquet(path))))
 
 
 def _bench(s, p):
     names = op.BENCH_CHECKS
-    return op.bench_rows(view(s, p, "runs"), op.conformance(op.findings(FixtureTables(s, p), names), names))
+    return op.bench_rows(view(s, p, "runs"), op.conformance(op.finding_counts(FixtureTables(s, p), names), names))
 
 
 def _scores(s, p):
@@ -52,31 +63,32 @@ def _scores(s, p):
     names = ["contrast", "link_quality", "nontext_contrast", "font", "metadata", "headings", "label_name"]
     nodes = t["nodes"]
     trip = rp.round_trip_summary(rp.round_trip_checks(t["docs"], nodes, nodes.filter(~F.col("artifact"))))
-    return op.scores(op.checklist(nodes, t["docs"], t["cells"]), op.conformance(op.findings(t, names), names), view(s, p, "runs"),
+    return op.scores(op.checklist(nodes, t["docs"], t["cells"]), op.conformance(op.finding_counts(t, names), names), view(s, p, "runs"),
                      layout.coverage(t["pages"], t["spans"], nodes), trip)
 
 
-_REPORTED = ["contrast", "font", "alt", "link_quality", "metadata", "ocg"]
 QUERIES = {
     "conformance": _record,
-    "corpus_rollup": lambda s, p: op.check_rollup(op.findings(FixtureTables(s, p))),
+    "findings_sink": _sink,
+    "corpus_rollup": lambda s, p: op.check_rollup(op.finding_counts(FixtureTables(s, p))),
     "bench_rows": _bench,
     "scoreboard": lambda s, p: op.scoreboard(_bench(s, p)),
     "score": _scores,
     "grades": lambda s, p: _scores(s, p).join(view(s, p, "docs").select("doc_id", "has_struct"), "doc_id").select(
         "doc_id", "score", op.grade(F.col("score"), F.col("has_struct")).alias("grade")),
-    "signals": lambda s, p: op.signals(view(s, p, "nodes"), view(s, p, "docs")),
+    "signals": lambda s, p: op.signals(view(s, p, "nodes"), view(s, p, "docs"), op.conformance(
+        op.finding_counts(FixtureTables(s, p), op.SIGNAL_CHECKS), op.SIGNAL_CHECKS)),
     "clause_frequency": lambda s, p: op.clause_frequency(view(s, p, "rules")),
     "top_clauses": lambda s, p: op.clause_frequency(view(s, p, "rules")).orderBy(F.col("docs").desc(), "clause"),
     "slowest": lambda s, p: op.slowest(view(s, p, "runs")),
     "rule_explain": lambda s, p: op.explain_rules(view(s, p, "rules")),
     "verdict_counts": lambda s, p: op.verdict_counts(view(s, p, "verdicts")),
-    "report_sections": lambda s, p: op.report_sections(op.findings(FixtureTables(s, p), _REPORTED), view(s, p, "rules")),
+    "report_sections": lambda s, p: op.report_sections(op.findings(FixtureTables(s, p)), view(s, p, "rules")),
     "pass_fail_table": lambda s, p: op.pass_fail_table(_record(s, p), view(s, p, "runs"), view(s, p, "docs")),
     "nonstandard_tags": lambda s, p: view(s, p, "nodes").select("tag").distinct().exceptAll(
         s.createDataFrame([(t,) for t in lx.STANDARD_TAGS], "tag string")),
     "requested_existing": lambda s, p: view(s, p, "order_requests").select("doc_id", "node_id").join(
-        view(s, p, "nodes").filter("tag IN ('H1', 'H3')"), ["doc_id", "node_id"], "left_semi"),
+        view(s, p, "nodes"), ["doc_id", "node_id"], "left_semi"),
     "repair_sequence": lambda s, p: repair_sequence.repaired_nodes(view(s, p, "nodes"), view(s, p, "spans"), view(s, p, "page_sizes"), view(s, p, "docs")).select(
         "doc_id", "node_id", "parent_id", "tag", "artifact", "language", "alt"),
 }
@@ -94,6 +106,11 @@ _PARTS = {
     "link_quality": (forms_queries.ORACLES["link_quality"], "'error'"), "sensory": (text_queries.ORACLES["sensory"], "'warning'"),
     "reflow": (document_queries.ORACLES["reflow"], "'warning'"), "ocg": (document_queries.ORACLES["layers"], "severity"),
     "label_name": (forms_queries.ORACLES["label_in_name"], "'warning'"),
+    "watermark": (document_queries.ORACLES["watermarks"], "'warning'"), "abbreviation": (text_queries.ORACLES["abbreviations"], "'info'"),
+    "reading_level": (f"SELECT * FROM ({text_queries.ORACLES['reading_level']}) WHERE severity IN ('warning', 'concern')", "severity"),
+    "xfa": (document_queries.ORACLES["xfa"], "'error'"), "security": (f"SELECT * FROM ({document_queries.ORACLES['security']}) WHERE severity <> 'ok'", "severity"),
+    "coverage": (f"SELECT * FROM ({layout_queries.ORACLES['coverage']}) WHERE orphaned_pages > 0", "'error'"),
+    "annotation": (forms_queries.ORACLES["annotation_contents"], "'error'"),
 }
 
 
@@ -140,17 +157,36 @@ def _section(name, sql, page, kind, text, detail) -> str:
             f"coalesce(CAST({page} AS VARCHAR), '') || ' | ' || coalesce({kind}, '') || ' | ' || substr(coalesce({text}, ''), 1, 60) AS line FROM ({sql})")
 
 
+_NO = "CAST(NULL AS INT)"
 _SECTIONS = " UNION ALL ".join([
     _section("contrast", _PARTS["contrast"][0], "page", "'text_contrast'", "text", "fg || ' on ' || bg"), _section("font", _PARTS["font"][0], "page", "issue", "font_name", "NULL"),
     _section("alt", _PARTS["alt"][0], "page", "type", "alt", "NULL"), _section("link_quality", _PARTS["link_quality"][0], "page", "type", "text", "url"),
-    _section("metadata", _PARTS["metadata"][0], "CAST(NULL AS INT)", "field", "NULL", "NULL"), _section("ocg", _PARTS["ocg"][0], "CAST(NULL AS INT)", "type", "layer", "NULL")])
+    _section("metadata", _PARTS["metadata"][0], _NO, "field", "NULL", "NULL"), _section("ocg", _PARTS["ocg"][0], _NO, "type", "layer", "NULL"),
+    _section("nontext_contrast", _PARTS["nontext_contrast"][0], "page", "type", "component", "fg || ' on ' || bg"),
+    _section("headings", oracle("nodes", f"WITH {_HEAD_NODES} SELECT doc_id, 'skipped_level' AS type, page, text FROM hl WHERE level > prev + 1 UNION ALL "
+             "SELECT doc_id, 'missing_h1', CAST(NULL AS INT), NULL FROM hn GROUP BY doc_id HAVING min(level) > 1"), "page", "type", "text", "NULL"),
+    _section("link_text", _PARTS["link_text"][0], "page", "reason", "text", "url"),
+    _section("table_structure", _PARTS["table_structure"][0], "page", "type", "NULL", "CAST(table_id AS VARCHAR)"),
+    _section("language", _PARTS["language"][0], "page", "type", "text", "detected"), _section("color_only", _PARTS["color_only"][0], "page", "'swatches'", "NULL", "NULL"),
+    _section("target_size", _PARTS["target_size"][0], "page", "type", "NULL", "NULL"), _section("sensory", _PARTS["sensory"][0], "page", "type", "text", "match"),
+    _section("reflow", _PARTS["reflow"][0], "page", "type", "NULL", "NULL"),
+    _section("label_name", _PARTS["label_name"][0], "page", "'label_not_in_name'", "visible_label", "accessible_name"),
+    _section("watermark", _PARTS["watermark"][0], "page", "type", "text", "NULL"), _section("abbreviation", _PARTS["abbreviation"][0], _NO, "type", "abbreviation", "NULL"),
+    _section("reading_level", _PARTS["reading_level"][0], _NO, "'reading_level'", "NULL", "NULL"), _section("xfa", _PARTS["xfa"][0], _NO, "type", "NULL", "NULL"),
+    _section("security", _PARTS["security"][0], _NO, "'permissions'", "NULL", "NULL"),
+    _section("coverage", _PARTS["coverage"][0], _NO, "'pages_without_structure'", "NULL", "NULL"),
+    _section("annotation", _PARTS["annotation"][0], "page", "subtype", "contents", "NULL")])
 _NOTE = {k: v for k, v in lx.CLAUSE_NOTES.items()}
 _KEY = "clause || '-' || test_number"
 
 
 def _note(i: int) -> str:
     m = {k: v[i] for k, v in _NOTE.items()}
-    return f"coalesce({map_sql(m, _KEY)}, {map_sql(m, 'clause')}, {_lit(lx.CLAUSE_FALLBACK[i])})"
+    return _noted(m, lx.CLAUSE_FALLBACK[i])
+
+
+def _noted(m: dict, fallback: str) -> str:
+    return f"coalesce({map_sql(m, _KEY)}, {map_sql(m, 'clause')}, {_lit(fallback)})"
 
 
 _LINES = [
@@ -167,35 +203,39 @@ _COUNT_LINES = [
     ("Label in Name issues (WCAG 2.5.3)", "label_name"), ("Non-descriptive link text (WCAG 2.4.4)", "link_text"), ("Link quality issues", "link_quality"),
     ("Table structure issues (WCAG 1.3.1)", "table_structure"), ("Language tagging issues (WCAG 3.1.1 / 3.1.2)", "language"), ("Target size issues (WCAG 2.5.8)", "target_size"),
     ("Font issues (embedding / ToUnicode)", "font"), ("Reflow / text-spacing issues (WCAG 1.4.10/1.4.12)", "reflow"), ("Metadata issues (WCAG 4.1 / PDF/UA)", "metadata"),
-    ("Optional content layer issues (PDF/UA 7.11)", "ocg")]
+    ("Optional content layer issues (PDF/UA 7.11)", "ocg"), ("Watermark or background candidates", "watermark"),
+    ("Unexpanded abbreviations (WCAG 3.1.4)", "abbreviation"), ("Reading level warnings (WCAG 3.1.5)", "reading_level"), ("XFA findings", "xfa"),
+    ("Security restrictions (PDF/UA 7.16)", "security"), ("Pages without structure", "coverage"), ("Annotations without description (PDF/UA 7.18)", "annotation")]
 _ALL = list(op.CHECKS)
 ORACLES = {
     "conformance": oracle("", f"WITH {_rec(_ALL)} SELECT * FROM rec"),
+    "findings_sink": oracle("", f"""WITH {_rec(_ALL)} SELECT doc_id, '{{' || {" || ',' || ".join(f"'{chr(34)}{c}{chr(34)}:' || {c}" for c in [*_ALL, "font_errors", "metadata_errors", "total"])} || '}}' AS record FROM rec"""),
     "corpus_rollup": oracle("", f"""WITH {_found(_ALL)} SELECT chk AS "check", severity, count(*) AS findings FROM f GROUP BY ROLLUP (chk, severity)"""),
     "bench_rows": oracle("runs", f"WITH {_BENCH} SELECT * FROM br"),
     "scoreboard": oracle("runs", f"WITH {_BENCH} {_BOARD}"),
     "score": oracle(_SV, f"""WITH {_SCORE} SELECT doc_id, ck AS checklist, score, known AND ok AND score = 100 AND nc = 0 AND nl = 0 AND nh = 0 AND nln = 0 AND nm = 0 AND nf = 0 AS passed FROM sc"""),
     "grades": oracle(_SV, f"""WITH {_SCORE}, g AS (SELECT doc_id, score, CASE WHEN has_struct THEN score ELSE least(score, 30) END AS s FROM sc)
 SELECT doc_id, score, CASE WHEN s >= 95 THEN 'A+' WHEN s >= 85 THEN 'A' WHEN s >= 70 THEN 'B' WHEN s >= 50 THEN 'C' WHEN s >= 30 THEN 'D' ELSE 'F' END AS grade FROM g"""),
-    "signals": oracle("nodes docs", f"""WITH c AS (SELECT doc_id, count(*) AS total_nodes, count(*) FILTER (WHERE starts_with(tag, 'H')) AS headings, count(*) FILTER (WHERE tag = 'P') AS paragraphs, count(*) FILTER (WHERE tag = 'Table') AS tables,
+    "signals": oracle("nodes docs", f"""WITH {_rec(op.SIGNAL_CHECKS)}, c AS (SELECT doc_id, count(*) AS total_nodes, count(*) FILTER (WHERE starts_with(tag, 'H')) AS headings, count(*) FILTER (WHERE tag = 'P') AS paragraphs, count(*) FILTER (WHERE tag = 'Table') AS tables,
    count(*) FILTER (WHERE tag IN ('L', 'LI')) AS lists, count(*) FILTER (WHERE tag IN ('Figure', 'Image')) AS figures,
    count(*) FILTER (WHERE tag IN ('Figure', 'Image') AND {strip_sql("coalesce(alt, '')")} NOT IN ('', 'image', 'figure')) AS figures_with_alt, count(*) FILTER (WHERE tag = 'Link') AS links FROM fx_nodes GROUP BY 1)
 SELECT c.*, NOT {blank_sql('title')} AS has_title, NOT {blank_sql('lang')} AS has_lang, has_struct AS tagged, page_count,
-  CAST(CASE WHEN figures > 0 THEN round_even(100e0 * figures_with_alt / figures, 0) ELSE 100 END AS BIGINT) AS alt_coverage FROM c LEFT JOIN fx_docs USING (doc_id)"""),
+  CAST(CASE WHEN figures > 0 THEN round_even(100e0 * figures_with_alt / figures, 0) ELSE 100 END AS BIGINT) AS alt_coverage,
+  {", ".join(f"coalesce(rec.{c}, 0) AS {c}_issues" for c in op.SIGNAL_CHECKS)} FROM c LEFT JOIN fx_docs USING (doc_id) LEFT JOIN rec USING (doc_id)"""),
     "clause_frequency": oracle("rules", """SELECT clause || '-' || test_number AS clause, count(*) AS docs, CAST(sum(failed_checks) AS BIGINT) AS checks, min(substr(description, 1, 90)) AS description FROM fx_rules WHERE status = 'failed' GROUP BY 1"""),
     "top_clauses": oracle("rules", """SELECT clause || '-' || test_number AS clause, count(*) AS docs, CAST(sum(failed_checks) AS BIGINT) AS checks, min(substr(description, 1, 90)) AS description FROM fx_rules WHERE status = 'failed' GROUP BY 1 ORDER BY docs DESC, 1"""),
     "slowest": oracle("runs", "SELECT doc_id, file, seconds FROM fx_runs WHERE error IS NULL ORDER BY seconds DESC, doc_id LIMIT 3"),
-    "rule_explain": oracle("rules", f"SELECT doc_id, rule_id, line_no, clause, test_number, {_note(0)} AS plain_title, {_note(1)} AS plain_hint FROM fx_rules WHERE status = 'failed'"),
+    "rule_explain": oracle("rules", f"SELECT doc_id, rule_id, line_no, clause, test_number, {_note(0)} AS plain_title, {_noted({k: op.explanation(v) for k, v in _NOTE.items()}, op.explanation(lx.CLAUSE_FALLBACK))} AS plain_explanation, {_note(1)} AS plain_hint FROM fx_rules WHERE status = 'failed'"),
     "verdict_counts": oracle("verdicts", """SELECT doc_id, count(*) FILTER (WHERE verdict = 'looks_good') AS looks_good, count(*) FILTER (WHERE verdict = 'needs_human') AS needs_human,
   count(*) FILTER (WHERE verdict = 'likely_problem') AS likely_problem FROM fx_verdicts GROUP BY 1"""),
     "report_sections": oracle("rules", f"""WITH s AS ({_SECTIONS}), u AS (SELECT doc_id, 'rule_failures' AS section, clause AS k1, test_number AS k2, line_no AS k3, rule_id AS k4, '' AS k, clause || ' | ' || substr(description, 1, 120) AS line
    FROM fx_rules WHERE status = 'failed' UNION ALL SELECT doc_id, section, '', 0, 0, 0, k, line FROM s),
  n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY k1, k2, k3, k4, k) AS rn FROM u)
-SELECT doc_id, section, count(*) AS n, string_agg({_ESC.format(c='line')}, chr(10) ORDER BY rn) FILTER (WHERE rn <= CASE section WHEN 'rule_failures' THEN 60 WHEN 'contrast' THEN 30 ELSE 20 END) AS body FROM n GROUP BY 1, 2"""),
+SELECT doc_id, section, count(*) AS n, string_agg({_ESC.format(c='line')}, chr(10) ORDER BY rn) AS body FROM n GROUP BY 1, 2"""),
     "pass_fail_table": oracle("docs runs", f"""WITH {_rec(_ALL)}, x AS (SELECT d.doc_id, title, lang, has_xfa, marked, display_title, NOT coalesce(validation_failed, true) AS known, coalesce(compliant, false) AS ok, coalesce(failed_rules, 0) AS fr,
    {", ".join(f"coalesce({c}, 0) AS n_{c}" for _, c in _COUNT_LINES)} FROM fx_docs d LEFT JOIN rec USING (doc_id) LEFT JOIN fx_runs USING (doc_id))
 """ + " UNION ALL ".join([f"SELECT doc_id, {_lit(a)} AS label, {b} AS value, {c} AS pass FROM x" for a, b, c in _LINES]
                          + [f"SELECT doc_id, {_lit(a)}, CAST(n_{c} AS VARCHAR), n_{c} = 0 FROM x" for a, c in _COUNT_LINES])),
     "nonstandard_tags": oracle("nodes", f"SELECT DISTINCT tag FROM fx_nodes WHERE tag NOT IN {_in(lx.STANDARD_TAGS)}"),
-    "requested_existing": oracle("nodes order_requests", "SELECT doc_id, node_id FROM fx_order_requests r WHERE EXISTS (SELECT 1 FROM fx_nodes n WHERE n.doc_id = r.doc_id AND n.node_id = r.node_id AND n.tag IN ('H1', 'H3'))"),
+    "requested_existing": oracle("nodes order_requests", "SELECT doc_id, node_id FROM fx_order_requests r WHERE EXISTS (SELECT 1 FROM fx_nodes n WHERE n.doc_id = r.doc_id AND n.node_id = r.node_id)"),
 }

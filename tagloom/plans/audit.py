@@ -96,11 +96,47 @@ def _label_name(t: Tables) -> DataFrame:
                        severity=F.lit("warning"), page="page", text="visible_label", detail="accessible_name")
 
 
+def _watermarks(t: Tables) -> DataFrame:
+    df = document.watermarks(t["spans"], t["images"], t["paths"], t["pages"])
+    return as_findings(df, "watermark", "1.4.3", type="type", severity=F.lit("warning"), page="page", text="text", metric="value")
+
+
+def _abbreviations(t: Tables) -> DataFrame:
+    return as_findings(prose.abbreviations(t["nodes"]), "abbreviation", "3.1.4", type="type", severity=F.lit("info"), text="abbreviation", metric="count")
+
+
+def _reading_level(t: Tables) -> DataFrame:
+    df = prose.reading_level(t["texts"]).filter(F.col("severity").isin("warning", "concern"))
+    return as_findings(df, "reading_level", "3.1.5", type=F.lit("reading_level"), severity="severity", metric="grade_level")
+
+
+def _xfa(t: Tables) -> DataFrame:
+    return as_findings(document.xfa(t["docs"]), "xfa", "7.15", type="type", severity=F.lit("error"))
+
+
+def _security(t: Tables) -> DataFrame:
+    df = document.security(t["docs"]).filter(F.col("severity") != "ok")
+    return as_findings(df, "security", "7.16", type=F.lit("permissions"), severity="severity")
+
+
+def _coverage(t: Tables) -> DataFrame:
+    df = layout.coverage(t["pages"], t["spans"], t["nodes"]).filter(F.col("orphaned_pages") > 0)
+    return as_findings(df, "coverage", "1.3.1", type=F.lit("pages_without_structure"), severity=F.lit("error"),
+                       metric="orphaned_pages", required="pages")
+
+
+def _annotations(t: Tables) -> DataFrame:
+    return as_findings(interactive.annotation_contents(t["annots"]), "annotation", "7.18.1", type="subtype", severity=F.lit("error"), page="page",
+                       text="contents")
+
+
 # the registry: add a check by adding a function that returns findings
 CHECKS: dict[str, Callable[[Tables], DataFrame]] = {
     "contrast": _contrast, "nontext_contrast": _nontext, "font": _fonts, "alt": _alt, "headings": _headings, "link_text": _link_text,
     "table_structure": _tables, "language": _language, "metadata": _metadata, "color_only": _color_only, "target_size": _target,
     "link_quality": _link_quality, "sensory": _sensory, "reflow": _reflow, "ocg": _ocg, "label_name": _label_name,
+    "watermark": _watermarks, "abbreviation": _abbreviations, "reading_level": _reading_level, "xfa": _xfa, "security": _security,
+    "coverage": _coverage, "annotation": _annotations,
 }
 
 
@@ -109,31 +145,51 @@ def findings(tables: Tables, checks: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, [CHECKS[c](tables) for c in (checks or CHECKS)])
 
 
+def finding_counts(tables: Tables, checks: list[str] | None = None) -> DataFrame:
+    """(doc_id, check, severity, n) of the named checks: each is counted before they meet, so the
+    texts of findings that are only counted are never shuffled."""
+    return reduce(DataFrame.unionByName, [counted(CHECKS[c](tables)) for c in (checks or CHECKS)])
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "check", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def write_findings(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Findings partitioned by check, so a later read of one check touches only its files."""
     rows.write.mode(mode).partitionBy("check").parquet(path)
 
 
-def conformance(rows: DataFrame, checks: list[str] | None = None) -> DataFrame:
-    """One record per document: findings and errors per check. One partial aggregate."""
-    names = checks or list(CHECKS)
-    return rows.groupBy("doc_id").agg(
-        *[F.count_if(F.col("check") == n).alias(n) for n in names],
-        F.count_if((F.col("check") == "font") & (F.col("severity") == "error")).alias("font_errors"),
-        F.count_if((F.col("check") == "metadata") & (F.col("severity") == "error")).alias("metadata_errors"),
-        F.count(F.lit(1)).alias("total"))
+def conformance(counts: DataFrame, checks: list[str] | None = None) -> DataFrame:
+    """One record per document, from ``finding_counts``: findings and errors per check."""
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
+
+    is_error = F.col("severity") == "error"
+    return counts.groupBy("doc_id").agg(
+        *[total(F.col("check") == n).alias(n) for n in (checks or list(CHECKS))],
+        total((F.col("check") == "font") & is_error).alias("font_errors"),
+        total((F.col("check") == "metadata") & is_error).alias("metadata_errors"),
+        F.sum("n").alias("total"))
+
 
+def records_as_json(record: DataFrame) -> DataFrame:
+    """The record of each document as one JSON text."""
+    return record.select("doc_id", F.to_json(F.struct(*[c for c in record.columns if c != "doc_id"])).alias("record"))
 
-def check_rollup(rows: DataFrame) -> DataFrame:
-    """Findings by check and severity, with subtotals."""
-    return rows.rollup("check", "severity").agg(F.count(F.lit(1)).alias("findings"))
+
+def check_rollup(counts: DataFrame) -> DataFrame:
+    """Findings by check and severity, with subtotals, from ``finding_counts``."""
+    return counts.rollup("check", "severity").agg(F.sum("n").alias("findings"))
 
 
 # --- signals and scores ----------------------------------------------------------
 
-def signals(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Counts by tag and coverage figures of each document."""
-    alt = F.lower(strip(F.coalesce("alt", F.lit(""))))
+SIGNAL_CHECKS = ["contrast", "alt", "headings", "link_text", "table_structure", "language", "color_only", "target_size", "nontext_contrast", "label_name"]
+
+
+def signals(nodes: DataFrame, docs: DataFrame, record: DataFrame) -> DataFrame:
+    """Counts by tag, coverage figures and findings per check of each document."""
     figure = F.col("tag").isin("Figure", "Image")
     counts = nodes.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_nodes"), F.count_if(F.col("tag").startswith("H")).alias("headings"),
@@ -144,7 +200,8 @@ def signals(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     pct = F.when(F.col("figures") > 0, F.bround(100.0 * F.col("figures_with_alt") / F.col("figures"), 0)).otherwise(100.0)
     return counts.join(docs.select("doc_id", (~blank(F.col("title"))).alias("has_title"), (~blank(F.col("lang"))).alias("has_lang"),
                                    F.col("has_struct").alias("tagged"), "page_count"), "doc_id", "left").withColumn(
-        "alt_coverage", pct.cast("long"))
+        "alt_coverage", pct.cast("long")).join(record.select("doc_id", *[F.col(c).alias(f"{c}_issues") for c in SIGNAL_CHECKS]), "doc_id", "left").fillna(
+        0, [f"{c}_issues" for c in SIGNAL_CHECKS])
 
 
 def checklist(nodes: DataFrame, docs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -256,15 +313,23 @@ def slowest(rows: DataFrame, n: int = 3) -> DataFrame:
     return rows.filter(F.col("error").isNull()).orderBy(F.col("seconds").desc(), "doc_id").limit(n).select("doc_id", "file", "seconds")
 
 
+def explanation(note: tuple[str, str]) -> str:
+    """What a failed clause means for a reader, from its title and advice."""
+    return f"The file breaks the rule \"{note[0]}\", so assistive technology may miss or misread that content. {note[1]}"
+
+
 def explain_rules(rules: DataFrame) -> DataFrame:
-    """Plain title and advice for failed rules: by clause and test, by clause, or generic."""
-    entries = [v for k, note in lx.CLAUSE_NOTES.items() for v in (F.lit(k), F.struct(F.lit(note[0]).alias("title"), F.lit(note[1]).alias("hint")))]
+    """Plain title, explanation and advice for failed rules: by clause and test, by clause, or generic."""
+    def entry(note: tuple[str, str]) -> Column:
+        return F.struct(F.lit(note[0]).alias("title"), F.lit(explanation(note)).alias("explanation"), F.lit(note[1]).alias("hint"))
+
+    entries = [v for k, note in lx.CLAUSE_NOTES.items() for v in (F.lit(k), entry(note))]
     notes = F.create_map(*entries)
     note = F.coalesce(F.try_element_at(notes, F.concat_ws("-", "clause", F.col("test_number").cast("string"))),
                       F.try_element_at(notes, F.col("clause")),
-                      F.struct(F.lit(lx.CLAUSE_FALLBACK[0]).alias("title"), F.lit(lx.CLAUSE_FALLBACK[1]).alias("hint")))
+                      entry(lx.CLAUSE_FALLBACK))
     return rules.filter(F.col("status") == "failed").withColumn("_n", note).select(
-        "doc_id", "rule_id", "line_no", "clause", "test_number", F.col("_n.title").alias("plain_title"), F.col("_n.hint").alias("plain_hint"))
+        "doc_id", "rule_id", "line_no", "clause", "test_number", F.col("_n.title").alias("plain_title"), F.col("_n.explanation").alias("plain_explanation"), F.col("_n.hint").alias("plain_hint"))
 
 
 def verdict_counts(items: DataFrame) -> DataFrame:
@@ -274,11 +339,11 @@ def verdict_counts(items: DataFrame) -> DataFrame:
 
 # --- reports --------------------------------------------------------------------
 
-def report_sections(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Report sections per document: true count and the capped, escaped lines.
+def report_sections(rows: DataFrame, rules: DataFrame, shown_lines: int | None = None) -> DataFrame:
+    """Report sections per document: the count, and the escaped lines in order.
 
-    Counts come from a partial aggregate; the cap is applied before lines meet, so a
-    document with a billion findings ships at most 60 lines per section.
+    ``shown_lines`` limits what is printed per section (None prints all); the count is always
+    that of all findings. With a limit, a rank filter cuts each task's output before lines meet.
     """
     failures = rules.filter(F.col("status") == "failed").select(
         "doc_id", F.lit("rule_failures").alias("section"), F.struct("clause", "test_number", "line_no", "rule_id").alias("k1"),
@@ -290,12 +355,9 @@ def report_sections(rows: DataFrame, rules: DataFrame) -> DataFrame:
         F.concat_ws(" | ", F.coalesce(F.col("page").cast("string"), F.lit("")), F.coalesce("type", F.lit("")), left(F.coalesce("text", F.lit("")), 60)).alias("line"))
     both = failures.unionByName(found).withColumn("line", escape_markup(F.col("line")))
     counts = both.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
-    cap = reduce(lambda a, kv: a.when(F.col("section") == kv[0], kv[1]), lx.REPORT_CAPS.items(), F.when(F.lit(False), 0)).otherwise(lx.REPORT_CAP)
-    from pyspark.sql import Window
-    w = Window.partitionBy("doc_id", "section").orderBy("k1", "k2")
-    shown = both.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max(lx.REPORT_CAPS.values())).filter(F.col("_rn") <= cap)
+    shown = both if shown_lines is None else first_n(both, ["doc_id", "section"], ["k1", "k2"], shown_lines)
     body = shown.groupBy("doc_id", "section").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("_rn", "line"))), lambda s: s["line"]), "\n").alias("body"))
+        F.array_sort(F.collect_list(F.struct("k1", "k2", "line"))), lambda s: s["line"]), "\n").alias("body"))
     return counts.join(body, ["doc_id", "section"]).select("doc_id", "section", "n", "body")
 
 
@@ -314,6 +376,9 @@ def pass_fail_table(record: DataFrame, runs: DataFrame, docs: DataFrame) -> Data
         "language": "Language tagging issues (WCAG 3.1.1 / 3.1.2)", "target_size": "Target size issues (WCAG 2.5.8)",
         "font": "Font issues (embedding / ToUnicode)", "reflow": "Reflow / text-spacing issues (WCAG 1.4.10/1.4.12)",
         "metadata": "Metadata issues (WCAG 4.1 / PDF/UA)", "ocg": "Optional content layer issues (PDF/UA 7.11)",
+        "watermark": "Watermark or background candidates", "abbreviation": "Unexpanded abbreviations (WCAG 3.1.4)",
+        "reading_level": "Reading level warnings (WCAG 3.1.5)", "xfa": "XFA findings", "security": "Security restrictions (PDF/UA 7.16)",
+        "coverage": "Pages without structure", "annotation": "Annotations without description (PDF/UA 7.18)",
     }
     known = ~F.coalesce("validation_failed", F.lit(True))
     comp = F.coalesce("compliant", F.lit(False))
