@@ -92,7 +92,16 @@ LEFT JOIN h ON h.rn = 1 AND h.doc_id = p.doc_id AND h.page = p.page AND h.{key}
 
 _EMPTY = f"""em AS (SELECT doc_id, node_id, tag, page FROM fx_nodes n WHERE {blank_sql('text')} AND {blank_sql('alt')} AND NOT artifact AND NOT decorative
    AND NOT EXISTS (SELECT 1 FROM fx_nodes k WHERE k.doc_id = n.doc_id AND k.parent_id = n.node_id))"""
+# figures of a page one after the other, each with its captions nearest first and those already taken
+_LINKS = f"""{_GAPS}, fq AS (SELECT doc_id, page, fig, list(cap ORDER BY gap, cap) AS caps, row_number() OVER (PARTITION BY doc_id, page ORDER BY fig) AS k FROM gp WHERE gap <= 40 GROUP BY 1, 2, 3),
+ lk AS (SELECT doc_id, page, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS fig, CAST(NULL AS BIGINT) AS cap FROM (SELECT DISTINCT doc_id, page FROM fq)
+   UNION ALL SELECT doc_id, page, k, CASE WHEN c IS NULL THEN taken ELSE list_append(taken, c) END, fig, c FROM (
+     SELECT q.doc_id, q.page, q.k, l.taken, q.fig, list_filter(q.caps, lambda x: NOT list_contains(l.taken, x))[1] AS c FROM lk l JOIN fq q ON q.doc_id = l.doc_id AND q.page = l.page AND q.k = l.k + 1)),
+ ln AS (SELECT gp.* FROM lk JOIN gp ON gp.doc_id = lk.doc_id AND gp.page = lk.page AND gp.fig = lk.fig AND gp.cap = lk.cap)"""
 ORACLES = {
+    "captions": oracle("figures", f"WITH RECURSIVE {_LINKS} SELECT doc_id, page, fig, cap, gap FROM ln"),
+    "caption_pairs": oracle("figures", f"""WITH RECURSIVE {_LINKS} SELECT n.doc_id, n.node_id, coalesce(o.node_id, n.parent_id) AS parent_id, CASE WHEN o.node_id IS NOT NULL THEN 'Caption' ELSE n.tag END AS tag
+FROM fx_figures n LEFT JOIN ln ON ln.doc_id = n.doc_id AND ln.cap = n.ord LEFT JOIN fx_figures o ON o.doc_id = n.doc_id AND o.ord = ln.fig"""),
     "caption_gaps": oracle("figures", f"WITH {_GAPS} SELECT doc_id, page, fig, cap, gap FROM gp WHERE gap <= 40"),
     "running_headers": oracle("spans page_sizes", f"WITH {_HEAD} SELECT * FROM hz"),
     "header_artifacts": oracle("spans page_sizes nodes", f"""WITH {_HEAD} SELECT doc_id, node_id, page FROM fx_nodes n WHERE EXISTS (SELECT 1 FROM hz z WHERE z.doc_id = n.doc_id AND z.page = n.page

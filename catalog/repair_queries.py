@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.dialect import oracle, view
 from catalog.document_queries import blank_sql
 from catalog.forms_queries import map_sql
+from catalog.tables_queries import _ROWS
 from catalog.text_queries import _in, strip_sql
 from tagloom import lexicon as lx
 from tagloom.operators import document as doc
@@ -38,9 +39,18 @@ def _round(s, p):
     return op.round_trip_checks(view(s, p, "docs"), nodes, nodes.filter(~F.col("artifact")))
 
 
+def _validation(s, p, failed, *more):
+    return view(s, p, "runs").select("doc_id", F.col(failed).alias("failed_checks"), *more)
+
+
+def _repaired(name):
+    return lambda s, p: op.REPAIRS[name](view(s, p, name), view(s, p, "rules"))
+
+
 QUERIES = {
-    "best_of": lambda s, p: op.best_of(view(s, p, "runs")),
-    "regression_guard": lambda s, p: op.regression_guard(view(s, p, "runs")),
+    **{f"repaired_{name}": _repaired(name) for name in op.REPAIRS},
+    "best_of": lambda s, p: op.best_of(_validation(s, p, "failed_out", "mode", "compliant", "validation_failed"), _validation(s, p, "failed_rebuild")),
+    "regression_guard": lambda s, p: op.regression_guard(_validation(s, p, "failed_in"), _validation(s, p, "failed_out")),
     "record_merge": lambda s, p: op.merge_records(view(s, p, "runs"), doc.fonts(view(s, p, "fonts"))),
     "patch_nodes": lambda s, p: op.patch(view(s, p, "nodes").select("doc_id", "node_id", "tag", "alt", "decorative"),
                                          op.answers_as_patch(view(s, p, "answers")), ["doc_id", "node_id"]),
@@ -131,9 +141,20 @@ UNION ALL SELECT doc_id, 'lang', 1 FROM x WHERE c AND {blank_sql('lang')} UNION
     "clause_repair": oracle("rules docs nodes cells annots", f"WITH {_CLAUSE} SELECT * FROM lg"),
     "fix_tally": oracle("rules docs nodes cells annots", f"""WITH {_CLAUSE} SELECT doc_id, repair AS step, CAST(sum(n) AS BIGINT) AS fixes FROM lg GROUP BY 1, 2
 UNION ALL SELECT doc_id, 'total', CAST(sum(n) AS BIGINT) FROM lg GROUP BY 1"""),
-    "fixpoint": oracle("docs nodes", f"""WITH al AS (SELECT doc_id, count(*) AS n FROM fx_nodes WHERE tag = 'Figure' AND {blank_sql('alt')} GROUP BY 1),
- x AS (SELECT doc_id, has_struct, CAST(NOT marked AS BIGINT) + CAST(NOT display_title AS BIGINT) + CAST({blank_sql('lang')} AS BIGINT) + coalesce(n, 0) AS f FROM fx_docs LEFT JOIN al USING (doc_id))
-SELECT doc_id, has_struct AS compliant, CAST(CASE WHEN has_struct THEN CASE WHEN f > 0 THEN 1 ELSE 0 END ELSE CASE WHEN f > 0 THEN 2 ELSE 1 END END AS INT) AS rounds, f AS fixes FROM x"""),
+    "fixpoint": oracle("docs nodes", f"""WITH al AS (SELECT doc_id, count(*) FILTER (WHERE alt IS NOT NULL) AS e, count(*) FILTER (WHERE alt IS NULL) AS m FROM fx_nodes WHERE tag = 'Figure' AND {blank_sql('alt')} GROUP BY 1),
+ x AS (SELECT doc_id, has_struct AS s, CAST(NOT marked AS BIGINT) + CAST(NOT display_title AS BIGINT) + CAST({blank_sql('lang')} AS BIGINT) + coalesce(e, 0) AS e, coalesce(m, 0) AS mf,
+   coalesce(m, 0) + CASE WHEN coalesce(m, 0) > 0 OR false THEN (SELECT count(*) FROM fx_nodes n WHERE n.doc_id = d.doc_id AND n.tag = 'Formula' AND {blank_sql('n.alt')}) ELSE 0 END AS m FROM fx_docs d LEFT JOIN al USING (doc_id))
+SELECT doc_id, s AS compliant, CAST(CASE WHEN s THEN CASE WHEN mf > 0 THEN 2 WHEN e > 0 THEN 1 ELSE 0 END ELSE CASE WHEN m > 0 THEN 3 ELSE 2 END END AS INT) AS rounds,
+  CAST(e + m AS BIGINT) AS fixes, NOT s AS open FROM x"""),
+    "repaired_docs": oracle("rules docs", f"""WITH {_FC.split(",\n ap AS")[0]} SELECT d.* REPLACE (d.marked OR coalesce(f1, false) AS marked, d.display_title OR coalesce(f1, false) AS display_title,
+  CASE WHEN coalesce(f2, false) AND {blank_sql('d.lang')} THEN 'en' ELSE d.lang END AS lang) FROM fx_docs d LEFT JOIN fc USING (doc_id)"""),
+    "repaired_nodes": oracle("rules nodes", f"""WITH {_FC.split(",\n ap AS")[0]} SELECT n.* REPLACE (CASE WHEN f3 AND tag IN ('Figure', 'Formula') AND {blank_sql('alt')} THEN 'Image' ELSE alt END AS alt)
+FROM fx_nodes n LEFT JOIN fc USING (doc_id)"""),
+    "repaired_annots": oracle("rules annots", f"""WITH {_FC.split(",\n ap AS")[0]} SELECT a.* REPLACE (CASE WHEN f18 AND contents IS NULL THEN coalesce(uri, ' ') ELSE contents END AS contents)
+FROM fx_annots a LEFT JOIN fc USING (doc_id)"""),
+    "repaired_cells": oracle("rules cells", f"""WITH {_FC.split(",\n ap AS")[0]}, {_ROWS} SELECT x.* REPLACE (CASE WHEN f45 AND x.tag = 'TH' AND coalesce(scope, '') = ''
+  THEN CASE WHEN i = 1 AND head_id = cell_id THEN 'Both' WHEN i = 1 THEN 'Column' ELSE 'Row' END ELSE scope END AS scope)
+FROM fx_cells x JOIN rk USING (doc_id, table_id, row) LEFT JOIN fc ON fc.doc_id = x.doc_id"""),
     "doc_digest": oracle("docs nodes", f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM fx_nodes WHERE parent_id IS NULL),
  te AS (SELECT doc_id, string_agg({_LABEL} || ': ' || substr({_SHOWN}, 1, 120), chr(10) ORDER BY ord) AS elements FROM t WHERE i <= 150 GROUP BY 1),
  f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM fx_nodes WHERE tag = 'Figure'),

@@ -69,6 +69,22 @@ SELECT doc_id, table_id, page, 'missing_headers' AS type, CAST(NULL AS BIGINT) A
 UNION ALL SELECT doc_id, table_id, page, 'th_missing_scope', ns FROM f WHERE ns > 0
 UNION ALL SELECT doc_id, table_id, page, 'complex_table_missing_headers_attr', nh FROM f WHERE cx AND nh > 0
 UNION ALL SELECT doc_id, table_id, page, 'missing_caption', NULL FROM f WHERE NOT coalesce(has_caption, false) AND big"""),
+    # cells one after the other: columns held by spans (with their last row), columns covered in this row, next column
+    "table_normalize": oracle("cells", """WITH RECURSIVE q AS (SELECT *, CASE WHEN tag IN ('TD', 'TH') THEN greatest(coalesce(row_span, 1), 1) ELSE 1 END AS rs, CASE WHEN tag IN ('TD', 'TH') THEN greatest(coalesce(col_span, 1), 1) ELSE 1 END AS cs,
+   row_number() OVER (PARTITION BY doc_id, table_id ORDER BY row, col, cell_id) AS k FROM fx_cells),
+ p AS (SELECT doc_id, table_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS row, CAST([] AS STRUCT(c BIGINT, e BIGINT)[]) AS held, CAST([] AS BIGINT[]) AS cov, CAST(0 AS BIGINT) AS nxt, CAST(-1 AS BIGINT) AS fc
+   FROM (SELECT DISTINCT doc_id, table_id FROM fx_cells)
+   UNION ALL SELECT doc_id, table_id, k, row, CASE WHEN rs > 1 THEN list_concat(list_filter(held, lambda h: NOT (h['c'] >= slot AND h['c'] < slot + cs)), list_transform(range(slot, slot + cs), lambda c: {'c': c, 'e': CAST(row + rs - 1 AS BIGINT)})) ELSE held END,
+     list_distinct(list_concat(cov, range(slot, slot + cs))), slot + cs, CASE WHEN fc < 0 THEN slot ELSE fc END FROM (
+     SELECT *, list_min(list_filter(range(nxt, nxt + len(cov) + 1), lambda c: NOT list_contains(cov, c))) AS slot FROM (
+       SELECT q.doc_id, q.table_id, q.k, CAST(q.row AS BIGINT) AS row, q.rs, q.cs, p.held, CASE WHEN q.row = p.row THEN p.cov ELSE list_distinct(list_transform(list_filter(p.held, lambda h: h['e'] >= q.row), lambda h: h['c'])) END AS cov,
+         CASE WHEN q.row = p.row THEN p.nxt ELSE 0 END AS nxt, CASE WHEN q.row = p.row THEN p.fc ELSE -1 END AS fc
+       FROM p JOIN q ON q.doc_id = p.doc_id AND q.table_id = p.table_id AND q.k = p.k + 1))),
+ e AS (SELECT doc_id, table_id, row, arg_max(CAST(len(cov) AS INT), k) AS covered, arg_max(CAST(list_max(cov) + 1 AS INT), k) AS reach, arg_max(fc, k) AS fc FROM p WHERE k > 0 GROUP BY 1, 2, 3),
+ r AS (SELECT doc_id, table_id, row, count(*) AS n_cells, count(*) FILTER (WHERE tag NOT IN ('TD', 'TH')) AS wrapped, count(*) FILTER (WHERE tag = 'TH' AND scope IS NULL) AS scoped,
+   arg_min(tag, (col, cell_id)) AS ht, arg_min(coalesce(scope, '-'), (col, cell_id)) AS hs FROM fx_cells GROUP BY 1, 2, 3),
+ w AS (SELECT r.*, covered, fc, max(reach) OVER (PARTITION BY doc_id, table_id) AS width, min(row) OVER (PARTITION BY doc_id, table_id) AS fr FROM r JOIN e USING (doc_id, table_id, row))
+SELECT doc_id, table_id, row, n_cells, covered, width, width - covered AS padding, wrapped, scoped, CAST(ht = 'TH' AND hs = '-' AND fc = 0 AND row > fr AS INT) AS row_scopes FROM w"""),
     "table_normalize_plain": oracle("cells", """WITH r AS (SELECT doc_id, table_id, row, count(*) AS n_cells, CAST(sum(col_span) AS INT) AS covered, count(*) FILTER (WHERE tag = 'TH' AND scope IS NULL) AS scoped,
    arg_min(tag, (col, cell_id)) AS ht, arg_min(coalesce(scope, '-'), (col, cell_id)) AS hs FROM fx_cells GROUP BY 1, 2, 3),
  w AS (SELECT *, max(covered) OVER (PARTITION BY doc_id, table_id) AS width, min(row) OVER (PARTITION BY doc_id, table_id) AS fr FROM r)

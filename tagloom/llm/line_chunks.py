@@ -89,8 +89,10 @@ def repeated(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str
     bytes equal those of the first one. A candidate that only shares the hash stays.
     """
     table = stored(chunk_table(docs, cuts, id_col, text_col), "line-chunks")
-    first = table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "chunk")).alias("first")).filter("n > 1")
-    wanted = (table.join(first.select("h", "first"), "h")
+    # stored, so that both sides of the join below are dealt out for it and a hot chunk can be split
+    first = stored(table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "chunk")).alias("first"))
+                   .filter("n > 1").select("h", "first"), "repeated-hashes")
+    wanted = (table.join(first, "h")
               .select(F.col("doc_id").alias("__doc"), F.struct("chunk", "h", (F.struct("doc_id", "chunk") == F.col("first")).alias("head")).alias("c"))
               .groupBy("__doc").agg(F.collect_list("c").alias("__wanted")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import lexicon as lx
@@ -9,25 +11,37 @@ from tagloom.functions.text import blank, left, lookup, match_key, strip
 from tagloom.operators import scan
 from tagloom.operators.contrast import first_n
 from tagloom.operators.layout import duplicate_ids, figure_numbers
+from tagloom.operators.tables import assign_scope
 from tagloom.session import cut_lineage
 
 
 # --- comparing runs -------------------------------------------------------------
 
-def best_of(runs: DataFrame) -> DataFrame:
-    """A rebuild replaces a failed repair when it fails fewer checks."""
+def best_of(repaired: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """A rebuild replaces a failed repair when it fails fewer checks.
+
+    ``repaired`` has doc_id, mode, compliant, validation_failed, failed_checks; ``rebuilt`` has
+    doc_id, failed_checks. A document that was not rebuilt keeps its repair.
+    """
     mode = F.coalesce("mode", F.lit("rebuild"))
-    wins = ~F.col("compliant") & (mode == "repair") & ~F.col("validation_failed") & (F.col("failed_rebuild") < F.col("failed_out"))
-    return runs.select("doc_id", F.when(wins, "rebuild").otherwise(mode).alias("mode"), wins.alias("rebuild_used"),
-                       F.when(wins, F.col("failed_rebuild")).otherwise(F.col("failed_out")).alias("failed_checks"))
+    again = rebuilt.select("doc_id", F.col("failed_checks").alias("_again"))
+    wins = F.coalesce(~F.col("compliant") & (mode == "repair") & ~F.col("validation_failed") & (F.col("_again") < F.col("failed_checks")), F.lit(False))
+    return repaired.join(again, "doc_id", "left").select(
+        "doc_id", F.when(wins, "rebuild").otherwise(mode).alias("mode"), wins.alias("rebuild_used"),
+        F.when(wins, F.col("_again")).otherwise(F.col("failed_checks")).alias("failed_checks"))
 
 
-def regression_guard(runs: DataFrame) -> DataFrame:
-    """The input is handed back when the output fails more checks than it did."""
-    worse = F.coalesce(F.col("failed_out") > F.col("failed_in"), F.lit(False))
-    return runs.select("doc_id", worse.alias("triggered"), F.when(worse, F.col("failed_in")).alias("input_failed"),
-                       F.when(worse, F.col("failed_out")).alias("rejected_failed"),
-                       F.when(worse, F.col("failed_in")).otherwise(F.col("failed_out")).alias("failed_checks"))
+def regression_guard(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The input is handed back when the output fails more checks than it did.
+
+    Both are validations (doc_id, failed_checks); without one of the input nothing is compared.
+    """
+    was = before.select("doc_id", F.col("failed_checks").alias("_was"))
+    worse = F.coalesce(F.col("failed_checks") > F.col("_was"), F.lit(False))
+    return after.join(was, "doc_id", "left").select(
+        "doc_id", worse.alias("triggered"), F.when(worse, F.col("_was")).alias("input_failed"),
+        F.when(worse, F.col("failed_checks")).alias("rejected_failed"),
+        F.when(worse, F.col("_was")).otherwise(F.col("failed_checks")).alias("failed_checks"))
 
 
 def merge_records(runs: DataFrame, fonts: DataFrame) -> DataFrame:
@@ -228,31 +242,120 @@ def fix_tally(log: DataFrame) -> DataFrame:
         log.groupBy("doc_id").agg(F.sum("n").alias("fixes")).withColumn("step", F.lit("total")))
 
 
+# --- repaired tables ---------------------------------------------------------------
+
+def repaired_docs(docs: DataFrame, rules: DataFrame, lang: str = "en") -> DataFrame:
+    """Documents with the catalog entries set that their failed clause families ask for."""
+    flags = failed_clauses(rules).select("doc_id", F.col("f_7_1").alias("_root"), (F.col("f_7_2") | F.col("f_7_1_2")).alias("_speech"))
+    root, speech = F.coalesce("_root", F.lit(False)), F.coalesce("_speech", F.lit(False))
+    return docs.join(flags, "doc_id", "left").withColumns({
+        "marked": F.col("marked") | root, "display_title": F.col("display_title") | root,
+        "lang": F.when(speech & blank(F.col("lang")), F.lit(lang)).otherwise(F.col("lang"))}).select(*docs.columns)
+
+
+def repaired_nodes(nodes: DataFrame, rules: DataFrame, alt: str = "Image") -> DataFrame:
+    """Nodes with an alternative on every figure and formula of documents that failed 7.3."""
+    flags = failed_clauses(rules).filter("f_7_3").select("doc_id", F.lit(True).alias("_asked"))
+    bare = F.col("_asked") & F.col("tag").isin("Figure", "Formula") & blank(F.col("alt"))
+    return nodes.join(flags, "doc_id", "left").withColumn("alt", F.when(bare, F.lit(alt)).otherwise(F.col("alt"))).select(*nodes.columns)
+
+
+def repaired_cells(cells: DataFrame, rules: DataFrame) -> DataFrame:
+    """Cells with the positional scope on headers that lack one, in documents that failed 7.4 or 7.5."""
+    flags = failed_clauses(rules).filter(F.col("f_7_4") | F.col("f_7_5")).select("doc_id")
+    keys = ["doc_id", "table_id", "row", "col", "cell_id"]
+    scopes = assign_scope(cells.join(flags, "doc_id", "left_semi"), only_missing=True).select(*keys, F.col("scope").alias("_scope")).distinct()
+    return cells.join(scopes, keys, "left").withColumn("scope", F.coalesce("_scope", "scope")).select(*cells.columns)
+
+
+def repaired_annots(annots: DataFrame, rules: DataFrame) -> DataFrame:
+    """Annotations with their address (or a blank) as contents where those were missing and 7.18 failed."""
+    flags = failed_clauses(rules).filter("f_7_18").select("doc_id", F.lit(True).alias("_asked"))
+    missing = F.col("_asked") & F.col("contents").isNull()
+    return annots.join(flags, "doc_id", "left").withColumn(
+        "contents", F.when(missing, F.coalesce("uri", F.lit(" "))).otherwise(F.col("contents"))).select(*annots.columns)
+
+
+#: name of a table -> the repair that returns it repaired, from the table and the failed rules.
+REPAIRS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "docs": repaired_docs, "nodes": repaired_nodes, "cells": repaired_cells, "annots": repaired_annots,
+}
+
+
+def evaluate_catalog(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Failed rules of the catalog clauses, as a validator would report them."""
+    figures = nodes.filter((F.col("tag") == "Figure") & blank(F.col("alt"))).select("doc_id").distinct().withColumn("_bare", F.lit(True))
+    failed = {("7.1", 1): ~F.col("has_struct"), ("7.1", 3): ~F.col("marked"), ("7.1", 5): ~F.col("display_title"),
+              ("7.2", 1): blank(F.col("lang")), ("7.3", 3): F.coalesce("_bare", F.lit(False))}
+    rows = F.array(*[F.struct(F.lit(c).alias("clause"), F.lit(t).alias("test_number"), is_failed.alias("failed")) for (c, t), is_failed in failed.items()])
+    return docs.join(figures, "doc_id", "left").select("doc_id", F.inline(rows)).filter("failed").select(
+        "doc_id", "clause", "test_number", F.lit("failed").alias("status"))
+
+
+def _exact_repairs(docs: DataFrame, nodes: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first pass only trusts exact clauses: an empty alternative is filled, a missing one is not."""
+    flags = failed_clauses(rules).select("doc_id", "f_7_1_3", "f_7_1_5", "f_7_2_1", F.col("f_7_3_3").alias("_alts"))
+
+    def asked(name: str) -> Column:
+        return F.coalesce(name, F.lit(False))
+
+    new_docs = docs.join(flags, "doc_id", "left").withColumns({
+        "marked": F.col("marked") | asked("f_7_1_3"), "display_title": F.col("display_title") | asked("f_7_1_5"),
+        "lang": F.when(asked("f_7_2_1") & blank(F.col("lang")), F.lit("en")).otherwise(F.col("lang"))}).select(*docs.columns)
+    empty = asked("_alts") & (F.col("tag") == "Figure") & F.col("alt").isNotNull() & blank(F.col("alt"))
+    new_nodes = nodes.join(flags.select("doc_id", "_alts"), "doc_id", "left").withColumn(
+        "alt", F.when(empty, F.lit("Figure")).otherwise(F.col("alt"))).select(*nodes.columns)
+    return new_docs, new_nodes
+
+
+def _changes(docs: DataFrame, new_docs: DataFrame, nodes: DataFrame, new_nodes: DataFrame) -> DataFrame:
+    """Number of values a pass changed, per document."""
+    values = ["marked", "display_title", "lang"]
+    after = new_docs.select("doc_id", *[F.col(v).alias(f"_{v}") for v in values])
+    of_docs = docs.join(after, "doc_id").select("doc_id", sum((~F.col(v).eqNullSafe(F.col(f"_{v}"))).cast("int") for v in values).alias("n"))
+    of_nodes = nodes.select("doc_id", "ord", "alt").join(new_nodes.select("doc_id", "ord", F.col("alt").alias("_alt")), ["doc_id", "ord"]).filter(
+        ~F.col("alt").eqNullSafe(F.col("_alt"))).select("doc_id", F.lit(1).alias("n"))
+    return of_docs.unionByName(of_nodes).groupBy("doc_id").agg(F.sum("n").alias("n"))
+
+
 def fix_until_stable(docs: DataFrame, nodes: DataFrame, rounds: int = 3) -> DataFrame:
-    """Evaluate, repair, evaluate again; at most ``rounds`` times, only open documents go on.
+    """Evaluate, repair, evaluate again until a document passes, nothing changes, or ``rounds`` are over.
 
-    The catalog state is one row per document; each round is written to the shared
-    checkpoint folder, so the plan does not grow and a lost executor costs one round.
+    The first round repairs by exact clause, later ones by clause family; ``open`` tells the
+    documents that still fail. Only open documents go on, and what a round leaves is written to
+    the shared checkpoint folder, so the plan does not grow and a lost executor costs one round.
     """
-    blank_alts = nodes.filter((F.col("tag") == "Figure") & blank(F.col("alt"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("alts"))
-    state = docs.join(blank_alts, "doc_id", "left").select(
-        "doc_id", "marked", "display_title", blank(F.col("lang")).alias("no_lang"), F.coalesce("alts", F.lit(0)).alias("alts"), "has_struct",
-        F.lit(0).alias("round"), F.lit(0).cast("long").alias("fixes"))
-    open_issues = ~F.col("marked") | ~F.col("display_title") | F.col("no_lang") | (F.col("alts") > 0)
+    names = ["doc_id", "marked", "display_title", "lang", "has_struct"]
+    docs = cut_lineage(docs.select(*names))
+    nodes = cut_lineage(nodes.filter(F.col("tag").isin("Figure", "Formula")).select("doc_id", "ord", "tag", "alt"))
+    rules = cut_lineage(evaluate_catalog(docs, nodes))
+    spent = docs.select("doc_id", F.lit(0).cast("long").alias("fixes"))
     finished = None
-    for number in range(1, rounds + 1):
-        fixes = ((~F.col("marked")).cast("int") + (~F.col("display_title")).cast("int") + F.col("no_lang").cast("int") + F.col("alts"))
-        judged = cut_lineage(state.select("*", (~open_issues & F.col("has_struct")).alias("compliant"), fixes.cast("long").alias("_n")))
-        closed = judged.filter(F.col("compliant") | (F.col("_n") == 0)).select(
-            "doc_id", "compliant", F.when(F.col("compliant"), F.col("round")).otherwise(number).alias("rounds"), "fixes")
-        finished = closed if finished is None else finished.unionByName(closed)
-        state = judged.filter(~F.col("compliant") & (F.col("_n") > 0)).select(
-            "doc_id", F.lit(True).alias("marked"), F.lit(True).alias("display_title"), F.lit(False).alias("no_lang"),
-            F.lit(0).cast("long").alias("alts"), "has_struct", F.lit(number).alias("round"), (F.col("fixes") + F.col("_n")).alias("fixes"))
-        if state.isEmpty():
-            return finished
-    left_over = state.select("doc_id", (~open_issues & F.col("has_struct")).alias("compliant"), F.lit(rounds).alias("rounds"), "fixes")
-    return finished.unionByName(left_over)
+    for number in range(rounds + 1):
+        failing = rules.select("doc_id").distinct()
+        done = spent.join(failing, "doc_id", "left_anti").select(
+            "doc_id", F.lit(True).alias("compliant"), F.lit(number).alias("rounds"), "fixes", F.lit(False).alias("open"))
+        finished = done if finished is None else finished.unionByName(done)
+        docs, nodes, spent = (t.join(failing, "doc_id", "left_semi") for t in (docs, nodes, spent))
+        if number == rounds or rules.isEmpty():
+            break
+        if number:
+            new_docs, new_nodes = repaired_docs(docs, rules), repaired_nodes(nodes, rules)
+        else:
+            new_docs, new_nodes = _exact_repairs(docs, nodes, rules)
+        changes = _changes(docs, new_docs, nodes, new_nodes)
+        spent = cut_lineage(spent.join(changes, "doc_id", "left").select(
+            "doc_id", (F.col("fixes") + F.coalesce("n", F.lit(0))).alias("fixes"), (F.coalesce("n", F.lit(0)) == 0).alias("_idle")))
+        if number:
+            stuck = spent.filter("_idle").select("doc_id", F.lit(False).alias("compliant"), F.lit(number + 1).alias("rounds"), "fixes", F.lit(True).alias("open"))
+            finished = finished.unionByName(stuck)
+            going = spent.filter("NOT _idle").select("doc_id")
+            new_docs, new_nodes = (t.join(going, "doc_id", "left_semi") for t in (new_docs, new_nodes))
+            spent = spent.filter("NOT _idle")
+        spent = spent.drop("_idle")
+        docs, nodes = cut_lineage(new_docs), cut_lineage(new_nodes)
+        rules = cut_lineage(evaluate_catalog(docs, nodes))
+    return finished.unionByName(spent.select("doc_id", F.lit(False).alias("compliant"), F.lit(rounds).alias("rounds"), "fixes", F.lit(True).alias("open")))
 
 
 # --- digest and round trip -------------------------------------------------------
