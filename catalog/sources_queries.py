@@ -36,7 +36,11 @@ def _layouts(s, p):
 
 
 def _broken(s, p):
-    cut = F.when(F.col("doc_id") % 7 == 3, F.expr("left(json, length(json) div 2)")).otherwise(F.col("json"))
+    """Every seventh document is cut short, is a list, or has values of the wrong kinds."""
+    kind = F.col("doc_id") % 7
+    cut = (F.when(kind == 3, F.expr("left(json, length(json) div 2)")).when(kind == 5, F.lit("[]"))
+           .when(kind == 6, F.lit('{"kids": ["x", {"type": "heading", "heading level": [2], "page number": "iv", "bounding box": "none", "kids": 7}]}'))
+           .otherwise(F.col("json")))
     return _layouts(s, p).withColumn("json", cut)
 
 
@@ -134,8 +138,8 @@ FROM pages, unnest(regexp_extract_all({_CLEAN}, {_lit(web.LINK)}, 0)) WITH ORDIN
     "layout_nodes": f"WITH {_NODES} SELECT * FROM nd",
     "layout_titles": f"""WITH {_NODES}, h AS (SELECT doc_id, arg_min(trim(text), ord) AS h1 FROM nd WHERE tag = 'H1' AND trim(text) <> '' GROUP BY 1)
 SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 2 = 0 AND d.n % 5 = 0 THEN d.x END, h1) AS suggested_title FROM (SELECT * FROM ln WHERE i = 0) d LEFT JOIN h USING (doc_id)""",
-    "batch_results": "SELECT doc_id, doc_id % 7 <> 3 AS ok, CASE WHEN doc_id % 7 = 3 THEN 'invalid_json' END AS error FROM documents",
-    "batch_nodes": f"WITH {_NODES} SELECT doc_id, count(*) AS nodes FROM nd WHERE doc_id % 7 <> 3 GROUP BY 1",
+    "batch_results": "SELECT doc_id, doc_id % 7 NOT IN (3, 5) AS ok, CASE WHEN doc_id % 7 IN (3, 5) THEN 'invalid_json' END AS error FROM documents",
+    "batch_nodes": f"WITH {_NODES} SELECT doc_id, CASE WHEN doc_id % 7 = 6 THEN 1 ELSE count(*) END AS nodes FROM nd WHERE doc_id % 7 NOT IN (3, 5) GROUP BY 1",
     "manifest_nodes": f"""WITH {_LINES}, b AS (SELECT *, i + coalesce(sum(CASE WHEN i % 4 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM ln)
 SELECT doc_id, 'm' || i AS node_id, NULL AS parent_id, 0 AS depth, CAST(o AS BIGINT) AS ord, CASE WHEN i % 3 = 0 THEN 'H2' ELSE 'P' END AS tag, CAST(1 + i // 3 AS INT) AS page, x AS text FROM b
 UNION ALL SELECT doc_id, 'm' || i || 'c', 'm' || i, 1, CAST(o + 1 AS BIGINT), 'Span', CAST(1 + i // 3 AS INT), left(x, 9) FROM b WHERE i % 4 = 1""",

@@ -11,9 +11,11 @@ from tagloom.session import cut_lineage
 
 
 def repaired_nodes(nodes: DataFrame, spans: DataFrame, pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """Nodes after every automatic repair, same schema.
+    """Nodes after the automatic repairs of the node table, same schema.
 
-    Every step contributes facts by (doc_id, ord) and all of them read one written base
+    Contents runs are looked for among top-level nodes and get a TOC node of their own, which
+    stands at the place of their first item; running headers go by position, so the order of
+    the two does not matter. Every step contributes facts by (doc_id, ord) and all of them read one written base
     table, so the work is one pass per step however long the sequence gets.
     """
     key = ["doc_id", "ord"]
@@ -25,7 +27,7 @@ def repaired_nodes(nodes: DataFrame, spans: DataFrame, pages: DataFrame, docs: D
     figures = base.filter(F.col("tag") == "Figure").select("doc_id", F.col("ord").alias("fig"), F.col("node_id").alias("_figure"))
     captions = links.join(figures, ["doc_id", "fig"]).select("doc_id", F.col("cap").alias("ord"), "_figure")
     # a caption under its figure is no longer part of the top-level sequence
-    contents = layout.contents_runs(base.join(captions, key, "left_anti")).select(*key, F.col("toc_id").alias("_toc"))
+    contents = cut_lineage(layout.contents_runs(base.filter("parent_id IS NULL").join(captions, key, "left_anti")).select(*key, F.col("toc_id").alias("_toc")))
     margin = layout.header_artifacts(base, layout.running_headers(spans, pages)).select(*key, F.lit(True).alias("_margin"))
     languages = prose.node_languages(base, docs).select(*key, F.col("language").alias("_lang"))
 
@@ -35,4 +37,9 @@ def repaired_nodes(nodes: DataFrame, spans: DataFrame, pages: DataFrame, docs: D
     out = out.withColumns({
         "parent_id": F.coalesce("_figure", "_toc", "parent_id"), "artifact": F.coalesce("_margin", "artifact"),
         "language": F.when(F.col("tag").isin(lx.NODE_LANGUAGE_TAGS), F.coalesce("_lang", "language")).otherwise(F.col("language"))})
-    return prose.tag_formulas(out).select(*nodes.columns)
+    first = contents.groupBy("doc_id", "_toc").agg(F.min("ord").alias("ord"))
+    places = base.select("doc_id", "ord", "page")
+    given = {"node_id": F.col("_toc"), "tag": F.lit("TOC"), "depth": F.lit(0), "artifact": F.lit(False), "decorative": F.lit(False)}
+    containers = first.join(places, key).select(*[
+        F.col(f.name) if f.name in ("doc_id", "ord", "page") else given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in nodes.schema])
+    return prose.tag_formulas(out).select(*nodes.columns).unionByName(containers)

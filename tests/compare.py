@@ -43,7 +43,7 @@ def check(df, sql: str | None, con) -> str:
     names = df.columns
     got = [tuple(r) for r in df.collect()]
     if sql is None:
-        return f"ok rows-only n={len(got)}"
+        return f"no oracle n={len(got)}"
     cur = con.execute(sql)
     cols = [c[0] for c in cur.description]
     types = {c[0]: str(c[1]) for c in cur.description}

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.operators import headings, layout, repair, scan, tables
-from tagloom.plans import audit
+from tagloom.plans import audit, repair_sequence
+from tagloom.sources import layout_json
 
 CHUNKS = [1, 3, 1000]
 
@@ -204,3 +205,60 @@ def test_findings_sink_prunes_by_check(spark, tmp_path):
     audit.write_findings(rows, str(tmp_path / "f"))
     plan = spark.read.parquet(str(tmp_path / "f")).filter("check = 'alt'")
     assert plan.count() == 1 and "PartitionFilters: [isnotnull(check" in plan._jdf.queryExecution().toString()
+
+
+def test_islands_of_any_depth_and_cycles(spark):
+    chain = [(1, f"a{i}", f"a{i - 1}" if i else "gone", "P") for i in range(400)] + [(1, "root", None, "Document"), (1, "kid", "root", "P")]
+    ring = [(2, f"r{i}", f"r{(i + 1) % 3}", "LI") for i in range(3)] + [(2, "below", "r0", "P"), (2, "root", None, "Document")]
+    tree = spark.createDataFrame(chain + ring, "doc_id long, node_id string, parent_id string, tag string")
+    got = {(r.doc_id, r.top): r.size for r in layout.structure_islands(tree).collect()}
+    assert got == {(1, "a0"): 400, **{(2, n): 1 for n in ("r0", "r1", "r2", "below")}}
+
+
+@pytest.mark.parametrize("chunk", CHUNKS)
+def test_previews_at_any_depth(spark, chunk):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for d in range(6):
+        depths = [0]
+        for _ in range(60):
+            depths.append(rng.randint(0, min(depths[-1] + 1, 9)))
+        texts = [f"t{d}.{i}" if rng.random() < 0.3 else " " for i in range(len(depths))]
+        for i, depth in enumerate(depths):
+            below = [i] + [j for j in range(i + 1, next((k for k in range(i + 1, len(depths)) if depths[k] <= depth), len(depths)))]
+            want[d, i] = next((texts[j] for j in below if texts[j].strip()), "")
+            rows.append((d, f"n{i}", depth, i, texts[i], None))
+    nodes = spark.createDataFrame(rows, "doc_id long, node_id string, depth int, ord long, text string, alt string")
+    assert {(r.doc_id, r.ord): r.preview for r in layout.text_previews(nodes, chunk_rows=chunk).collect()} == want
+
+
+def test_odd_layouts_never_stop_a_batch(spark):
+    deep = "{}"
+    for _ in range(300):
+        deep = '{"type":"paragraph","kids":[' + deep + "]}"
+    texts = ["[]", '{"kids":["x"]}', '{"kids":[{"page number":"iv","bounding box":["a",1,2,3],"content":{"a":1},"kids":5,"decorative":"no"}]}',
+             "{", None, '"text"', '{"kids":[' + deep + "]}", '{"kids":{"a":1}}', '{"nodes":[null,7,{"type":8,"font size":true}]}']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, json string")
+    assert {r.doc_id: r.ok for r in layout_json.batch_results(docs).collect()} == {i: i not in (0, 3, 4, 5) for i in range(9)}
+    good, bad = layout_json.split_rejects(docs)
+    assert {r.doc_id for r in bad.collect()} == {0, 3, 4, 5}
+    nodes = layout_json.flatten(docs).collect()
+    assert {i: sum(r.doc_id == i for r in nodes) for i in range(9)} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0, 5: 0, 6: 301, 7: 0, 8: 1}
+    odd = next(r for r in nodes if r.doc_id == 2)
+    assert (odd.page, odd.x0, odd.x1, odd.text, odd.decorative) == (1, None, 2.0, '{"a": 1}', None)
+
+
+def test_repair_sequence_leaves_a_whole_tree(spark):
+    from catalog.dialect import view
+    from tests.conftest import SF_DIR
+    nodes = view(spark, SF_DIR, "nodes")
+    out = repair_sequence.repaired_nodes(nodes, view(spark, SF_DIR, "spans"), view(spark, SF_DIR, "page_sizes"), view(spark, SF_DIR, "docs")).cache()
+    ids = out.select("doc_id", F.col("node_id").alias("parent_id"))
+    assert out.filter("parent_id IS NOT NULL").join(ids, ["doc_id", "parent_id"], "left_anti").join(
+        nodes.select("doc_id", "parent_id").distinct(), ["doc_id", "parent_id"], "left_anti").count() == 0
+    parents = out.select("doc_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("parent_tag"))
+    under = out.join(parents, ["doc_id", "parent_id"])
+    assert under.filter("tag = 'TOCI' AND parent_tag <> 'TOC'").count() == 0
+    assert out.filter("tag = 'TOC'").join(out.filter("tag = 'TOCI'").select("doc_id", F.col("parent_id").alias("node_id")), ["doc_id", "node_id"], "left_anti").count() == 0
+    assert out.columns == nodes.columns and out.filter("tag <> 'TOC'").count() == layout.drop_invisible(nodes, view(spark, SF_DIR, "spans")).count()
+    out.unpersist()

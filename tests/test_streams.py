@@ -64,6 +64,25 @@ def test_alert_state_survives_a_restart(spark, tmp_path):
         spark.conf.set(provider, before)
 
 
+def test_alerts_do_not_depend_on_arrow_batches(spark, tmp_path):
+    provider, batch = "spark.sql.streaming.stateStore.providerClass", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = {k: spark.conf.get(k) for k in (provider, batch)}
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(batch, "3")
+    schema = "doc_id long, ts timestamp, seq long, failed long"
+    src = str(tmp_path / "in")
+    try:
+        _write(spark, src, [(1, T0 + dt.timedelta(hours=h), h, h) for h in range(8, -1, -1)], schema)
+        stream = spark.readStream.schema(schema).parquet(src)
+        run = lambda: op.run_available(op.regression_alerts(stream), "append", str(tmp_path / "ck"), str(tmp_path / "out"))
+        assert sorted((r.previous, r.current) for r in run().collect()) == [(i, i + 1) for i in range(8)]
+        _write(spark, src, [(1, T0 + dt.timedelta(hours=2), 2, 99), (1, T0 + dt.timedelta(hours=9), 9, 8)], schema)
+        assert run().count() == 8  # the late row is dropped, the new one does not rise
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_incremental_audit_appends_only_new_documents(spark, tmp_path):
     src, sink, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     schema = "doc_id long, text string"
