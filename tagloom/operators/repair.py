@@ -132,8 +132,9 @@ def apply_fixes(nodes: DataFrame, fixes: DataFrame) -> DataFrame:
     """Outcome of each correction: applied, or skipped with the reason.
 
     A retag needs exactly one node with the same normalised text, else exactly one where
-    one text is a prefix of the other. Prefixes share their first three characters, so
-    both lookups are equality joins. Later retags of a node see the earlier ones.
+    one text is a prefix of the other. Equal texts of a document are one row, and prefixes are
+    looked up as whole strings of the lengths that can match, so every joined pair is a match.
+    Later retags of a node see the earlier ones.
     """
     keys = ["doc_id", "fix_id"]
     target = match_key(F.coalesce("target_text", F.lit("")))
@@ -141,16 +142,21 @@ def apply_fixes(nodes: DataFrame, fixes: DataFrame) -> DataFrame:
     valid = F.col("new_tag").isin(lx.ALLOWED_RETAGS) & (F.length("target") >= 3)
     wanted = retags.filter(valid)
     texts = nodes.select("doc_id", "node_id", "tag", match_key(F.coalesce("text", F.lit(""))).alias("key")).filter(F.length("key") >= 3)
+    texts = texts.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node_id", "tag")).alias("e"))
 
     def one(pairs: DataFrame, name: str) -> DataFrame:
-        return pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_" + name), F.min(F.struct("node_id", "tag")).alias(name))
-
-    exact = one(wanted.join(texts, (wanted.doc_id == texts.doc_id) & (wanted.target == texts.key)).select(
-        wanted.doc_id, "fix_id", "node_id", "tag"), "exact")
-    short = left(F.col("key"), 3)
-    near = wanted.withColumn("k3", left(F.col("target"), 3)).join(texts.withColumn("k3", short), ["doc_id", "k3"]).filter(
-        F.col("key").startswith(F.col("target")) | F.col("target").startswith(F.col("key")))
-    prefix = one(near.select(*keys, "node_id", "tag"), "prefix")
+        return pairs.groupBy(*keys).agg(F.sum("n").alias("n_" + name), F.min("e").alias(name))
+
+    exact = one(wanted.join(texts.withColumnRenamed("key", "target"), ["doc_id", "target"]), "exact")
+    open_ = wanted.join(exact, keys, "left_anti")
+    lengths = texts.select("doc_id", F.length("key").alias("_size")).distinct()
+    shorter = open_.join(lengths, "doc_id").filter(F.col("_size") <= F.length("target")).select(
+        *keys, F.substr("target", F.lit(1), F.col("_size")).alias("key")).join(texts, ["doc_id", "key"])
+    sizes = open_.select("doc_id", F.length("target").alias("_size")).distinct()
+    starts = texts.join(sizes, "doc_id").filter(F.length("key") > F.col("_size")).select(
+        "doc_id", F.substr("key", F.lit(1), F.col("_size")).alias("target"), "n", "e")
+    longer = open_.join(starts, ["doc_id", "target"])
+    prefix = one(shorter.select(*keys, "n", "e").unionByName(longer.select(*keys, "n", "e")), "prefix")
     found = wanted.join(exact, keys, "left").join(prefix, keys, "left").select(
         *keys, "new_tag", F.coalesce("n_exact", "n_prefix", F.lit(0)).alias("n"), F.coalesce("exact", "prefix").alias("e"))
     w = Window.partitionBy("doc_id", "node_id").orderBy("fix_id")
