@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog.dialect import oracle, view
 from tagloom.operators import headings as op
 

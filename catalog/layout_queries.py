@@ -10,7 +10,6 @@ from catalog.forms_queries import map_sql
 from catalog.text_queries import _in, strip_sql
 from tagloom import lexicon as lx
 from tagloom.functions import geometry as g
-from tagloom.operators import headings as h
 from tagloom.operators import layout as op
 
 _lit = Duck().lit

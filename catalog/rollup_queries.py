@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import functions as F
 
-from catalog import colour_queries, document_queries, forms_queries, headings_queries, layout_queries, repair_queries, tables_queries, text_queries
+from catalog import colour_queries, document_queries, forms_queries, layout_queries, repair_queries, tables_queries, text_queries
 from catalog.dialect import Duck, oracle, table, view
 from catalog.document_queries import blank_sql
 from catalog.forms_queries import map_sql
