@@ -76,13 +76,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialize(spark: SparkSession, sf_dir: str, folder: str, files: int, names: list[str]) -> None:
-    """Write views as tables of ``files`` files, the shape an extractor leaves."""
+    """Write views, and tables of the folder itself, as tables of ``files`` files, the shape an extractor leaves."""
     for name in names:
-        spark.sql(_views()[name](Spark(sf_dir))).repartition(files).write.mode("overwrite").parquet(os.path.join(folder, name))
+        rows = spark.sql(_views()[name](Spark(sf_dir))) if name in _views() else table(spark, sf_dir, name)
+        rows.repartition(files).write.mode("overwrite").parquet(os.path.join(folder, name))
     _stored[sf_dir] = (folder, frozenset(names))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    folder, names = _stored.get(sf_dir, ("", frozenset()))
+    if name in names:
+        return spark.read.parquet(os.path.join(folder, name))
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
