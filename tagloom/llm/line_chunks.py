@@ -89,7 +89,7 @@ def repeated(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str
     bytes equal those of the first one. A candidate that only shares the hash stays.
     """
     table = stored(chunk_table(docs, cuts, id_col, text_col), "line-chunks")
-    # stored, so that both sides of the join below are dealt out for it and a hot chunk can be split
+    # stored, so that both sides of the joins below are dealt out for them and a hot chunk can be split
     first = stored(table.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "chunk")).alias("first"))
                    .filter("n > 1").select("h", "first"), "repeated-hashes")
     wanted = (table.join(first, "h")
@@ -109,7 +109,7 @@ def repeated(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text")).dropna()
     found = stored(map_batches(texts.join(wanted, F.col("_doc") == F.col("__doc")).select("__doc", "text", "__wanted"), bodies,
                                "doc_id long, chunk int, h long, head boolean, body binary"), "repeated-chunks")
-    heads = found.filter("head").groupBy("h").agg(F.first("body").alias("_kept"))
+    heads = stored(found.filter("head").groupBy("h").agg(F.first("body").alias("_kept")), "kept-chunks")
     gone = found.filter("NOT head").join(heads, "h").filter(F.col("body") == F.col("_kept"))
     return gone.select("doc_id", F.struct("chunk", "h").alias("c")).groupBy("doc_id").agg(F.collect_set("c").alias("gone"))
 
