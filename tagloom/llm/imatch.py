@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tagloom.llm.common import id_text, map_batches
+from tagloom.llm.common import binaries, id_text, map_batches
 
 _STRIP = string.punctuation + "«»„“”‘’…–—¡¿"
 _PENDING_TERMS = 300_000
@@ -166,12 +166,12 @@ def _sent(docs: DataFrame, band: Lexicon, chosen: DataFrame | None):
     return docs.sparkSession.sparkContext.broadcast([r[0] for r in found.select("term").collect()])
 
 
-def beside_next(docs: DataFrame, ranges_per_partition: int = 4) -> DataFrame:
-    """Rows (_range, _guest, doc_id, text) for going through the documents in id order, task by task.
+def beside_next(docs: DataFrame, ranges_per_partition: int = 16) -> DataFrame:
+    """Rows (_range, _guest, doc_id, packed) for going through the documents in id order, task by task.
 
     Ids are cut into ranges; each range also gets a copy of the first row of the next one (of the
     first range, for the last) as a guest, so every row finds its successor in its own partition
-    and texts are shuffled once. What the driver sees is one id per range.
+    and texts are shuffled once, packed with Zstandard. What the driver sees is one id per range.
     """
     spark = docs.sparkSession
     parts = ranges_per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -190,15 +190,29 @@ def beside_next(docs: DataFrame, ranges_per_partition: int = 4) -> DataFrame:
     first = np.array([heads[r] for r in order], np.int64)
     previous = np.array(order[-1:] + order[:-1], np.int64)
 
-    @F.pandas_udf("array<struct<r:long,g:int>>")
-    def places(ids: pd.Series) -> pd.Series:
-        at = np.searchsorted(first, ids.to_numpy(), side="right") - 1
-        return pd.Series([[(order[i], 0)] + ([(int(previous[i]), 1)] if k == first[i] else []) for i, k in zip(at, ids.to_numpy())])
-
-    spread = docs.select("doc_id", "text", F.explode(places(key)).alias("p"))
-    return (spread.select(F.col("p.r").alias("_range"), F.col("p.g").alias("_guest"), "doc_id", "text")
-            .repartition(max(1, parts // ranges_per_partition), "_range")
-            .sortWithinPartitions("_range", "_guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text")))
+    def placed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        import zstandard
+        pack = zstandard.ZstdCompressor(level=1).compress
+        ids = batch.column("doc_id")
+        found = ids.fill_null(least).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(first, found, side="right") - 1
+        guests = np.flatnonzero(found == first[at])
+        rows = np.concatenate([np.arange(len(found)), guests])
+        texts = [t or b"" for t in binaries(batch, "text")]
+        packed = pa.array([pack(t) for t in texts], pa.binary())
+        ties = pa.array([xxhash.xxh64_intdigest(t) >> 1 for t in texts], pa.int64())
+        ranges = np.concatenate([np.array(order, np.int64)[at], previous[at[guests]]])
+        is_guest = np.repeat(np.array([0, 1], np.int32), [len(found), len(guests)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ranges), pa.array(is_guest), ids.take(pa.array(rows)), ties.take(pa.array(rows)), packed.take(pa.array(rows))],
+            ["_range", "_guest", "doc_id", "_tie", "packed"])
+
+    if not order:
+        return map_batches(docs, lambda _: iter(()), "_range long, _guest int, doc_id long, _tie long, packed binary")
+    spread = map_batches(docs, placed, "_range long, _guest int, doc_id long, _tie long, packed binary")
+    return (spread.repartition(max(1, parts // ranges_per_partition), "_range")
+            .sortWithinPartitions("_range", "_guest", F.col("doc_id").asc_nulls_first(), "_tie"))
 
 
 def compare_edited(docs: DataFrame, band: Lexicon = Lexicon(), subsets: Subsets = Subsets(), share: int = 4,
@@ -215,14 +229,16 @@ def compare_edited(docs: DataFrame, band: Lexicon = Lexicon(), subsets: Subsets
     known = _sent(docs, band, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        unpack = zstandard.ZstdDecompressor().decompress
         printer = Printer(known.value, band, subsets)
         held = None  # range, doc_id, text and fingerprint of the row whose successor is awaited
         for batch in batches:
             out = []
-            for where, guest, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("_range", "_guest", "doc_id", "text"))):
+            for where, guest, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("_range", "_guest", "doc_id", "packed"))):
                 if guest and (held is None or held[0] != where):
                     continue  # only the first guest is a successor
-                text = text or ""
+                text = unpack(packed).decode()
                 own = printer.print(text)
                 if held is not None and held[0] == where:
                     _, before, start, mark = held
