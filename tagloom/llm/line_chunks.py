@@ -1,9 +1,10 @@
 """Line dedup by content-defined chunks of lines.
 
-A rolling hash over the hashes of the last lines decides where a chunk of lines ends, so a
-passage is cut the same way wherever it stands. Multi-line chunks that the corpus holds more
-than once are removed everywhere but at their first place, after the bytes were compared with
-the chunk that stays.
+A long line is a chunk of its own; between long lines, a rolling hash over the hashes of the last
+lines decides where a chunk ends. Nothing but the lines at hand counts, so a passage is cut the same
+way wherever it stands. Chunks of one long or several short lines that the corpus holds more than
+once are removed everywhere but at their first place, after the bytes were compared with the chunk
+that stays. What stays of a repeated passage are short lines at its ends.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ _WORD = (1 << 64) - 1
 
 @dataclass(frozen=True)
 class Cuts:
-    """A chunk ends after a line when the rolling hash of the last ``window`` lines divides by
-    ``divisor`` and the chunk has ``min_lines`` lines with words. The last chunk ends with the text."""
+    """A line of ``long_bytes`` bytes is a chunk and counts as ``min_lines`` lines. Among other lines a chunk
+    ends after one where the rolling hash of the last ``window`` lines divides by ``divisor`` and that of the
+    line before does not. Chunks of ``min_lines`` lines with words can be removed."""
 
     window: int = 2
     divisor: int = 2
     min_lines: int = 2
+    long_bytes: int = 50
 
 
 def _turned(value: int, by: int) -> int:
@@ -39,23 +42,31 @@ def chunks(text: bytes, cuts: Cuts) -> list[tuple[int, int, int]]:
     import xxhash
     lines = text.split(b"\n")
     hashes = [xxhash.xxh64_intdigest(line) for line in lines]
-    out, start, full, roll = [], 0, 0, 0
+    out, start, full, roll, before = [], 0, 0, 0, False
     for i, line in enumerate(lines):
         roll = _turned(roll, 1) ^ hashes[i]
         if i >= cuts.window:
             roll ^= _turned(hashes[i - cuts.window], cuts.window)
-        full += bool(line and not line.isspace())
         # the high bits decide: they mix all of the window
-        if full >= cuts.min_lines and (roll >> 32) % cuts.divisor == 0:
-            out.append((start, i + 1, full))
+        divides = (roll >> 32) % cuts.divisor == 0
+        if len(line.strip()) >= cuts.long_bytes:
+            if start < i:
+                out.append((start, i, full))
+            out.append((i, i + 1, cuts.min_lines))
             start, full = i + 1, 0
+        else:
+            full += bool(line and not line.isspace())
+            if divides and not before:
+                out.append((start, i + 1, full))
+                start, full = i + 1, 0
+        before = divides
     if start < len(lines):
         out.append((start, len(lines), full))
     return out
 
 
 def _cut(text: bytes, cuts: Cuts) -> Iterator[tuple[int, int, bytes, int]]:
-    """(chunk number, its hash, its bytes, its lines) of the multi-line chunks."""
+    """(chunk number, its hash, its bytes, its lines) of the chunks that can be removed."""
     import xxhash
     lines = text.split(b"\n")
     for number, (start, stop, full) in enumerate(chunks(text, cuts)):
@@ -66,7 +77,7 @@ def _cut(text: bytes, cuts: Cuts) -> Iterator[tuple[int, int, bytes, int]]:
 
 
 def chunk_table(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, chunk, h of every multi-line chunk; rows without an id or a text have none."""
+    """doc_id, chunk, h of every chunk that can be removed; rows without an id or a text have none."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, numbers, digests = [], [], []
@@ -117,8 +128,7 @@ def repeated(docs: DataFrame, cuts: Cuts, id_col: str = "doc_id", text_col: str
 def dedup_lines(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated chunks taken out of the text, plus ``__m`` (lines, removed lines, removed chunks).
 
-    Every row stays: a text may become empty, a null text stays null, a text of one line is
-    never touched. Rows that repeat a doc_id with the same text are one document and change
+    Every row stays: a text may become empty, a null text stays null. Rows that repeat a doc_id with the same text are one document and change
     alike; rows without an id are left as they are and do not count.
     """
     gone = repeated(docs, cuts, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
