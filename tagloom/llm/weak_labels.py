@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tagloom.llm.common import id_text, map_batches, trigram_buckets
+from tagloom.llm.common import id_text, map_batches, stored, trigram_buckets
 from tagloom.llm.fertility import repeated_words
 
 BAD, GOOD, NONE = 0, 1, 2
@@ -35,7 +35,7 @@ LABELLERS = [
 
 @dataclass(frozen=True)
 class Training:
-    """The scorer is fitted on about ``sample`` documents, chosen by a hash of their id (features
+    """The scorer is fitted on the ``sample`` different documents with the smallest hashes of id and text (features
     of this many rows, and no more, reach the driver); labels, votes and scores cover all rows."""
 
     sample: int = 4000
@@ -146,6 +146,19 @@ def fit_scorer(rows: list[tuple[float, np.ndarray, np.ndarray]], training: Train
     return weights, bias
 
 
+def _sample(docs: DataFrame, size: int) -> DataFrame:
+    """text and _h of the ``size`` smallest hashes of id and text; rows that are equal in both count once."""
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("_h"))
+    hashes = stored(hashed.select("_h").distinct(), "sample-hashes")
+    n = hashes.count()
+    if n <= size:
+        return hashed.dropDuplicates(["_h"])
+    # twice as many as wanted, so that the sort below sees few rows
+    few = stored(hashes.filter(F.col("_h") <= min((1 << 63) - 1, int(2 * size / n * (1 << 64)) - (1 << 63))), "sample-hashes")
+    last = (few if few.count() >= size else hashes).orderBy("_h").limit(size).agg(F.max("_h").alias("h")).first()["h"]
+    return hashed.filter(F.col("_h") <= last).dropDuplicates(["_h"])
+
+
 def classify(docs: DataFrame, training: Training = Training(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, votes, weak_label, score and kept of every document.
 
@@ -173,13 +186,11 @@ def classify(docs: DataFrame, training: Training = Training(), id_col: str = "do
         texts = [t or "" for t in batch.column("text").to_pylist()]
         rows = [features(t, training.bits) for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([sent.value[vote(t.encode())] for t in texts], pa.float64()),
+            [batch.column("_h"), pa.array([sent.value[vote(t.encode())] for t in texts], pa.float64()),
              pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
-             pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["doc_id", "label", "buckets", "shares"])
+             pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))], ["_h", "label", "buckets", "shares"])
 
-    limit = int(min(1.0, training.sample / sum(counts.values())) * (1 << 32))
-    chosen = docs.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 32) < limit)
-    rows = map_batches(chosen, sampled, "doc_id long, label double, buckets array<int>, shares array<float>").toArrow().sort_by("doc_id")
+    rows = map_batches(_sample(docs, training.sample), sampled, "_h long, label double, buckets array<int>, shares array<float>").toArrow().sort_by("_h")
     weights, bias = fit_scorer([(label, np.array(b, np.int64), np.array(s)) for label, b, s in
                                 zip(*(rows[c].to_pylist() for c in ("label", "buckets", "shares")))], training)
     scorer = docs.sparkSession.sparkContext.broadcast((weights, bias))
