@@ -53,8 +53,7 @@ class Bands:
 
     A limit is the median plus or minus ``spread`` scaled median absolute deviations, and never
     nearer than ``least`` (for characters per token relative, and wider for short texts by
-    ``short`` over the root of the tokens). A band needs ``documents`` documents, and a language
-    needs ``share`` of all documents to have bands. Characters per token and byte share differ by
+    ``short`` over the root of the tokens). A band needs ``documents`` documents, however large the corpus is. Characters per token and byte share differ by
     language: without a band for the length, the language's band over all lengths is used, and
     without that the text is not judged by them. Entropy differs by length: without a band of the
     language, that of all languages for the length is used.
@@ -65,7 +64,6 @@ class Bands:
     chars_short: float = 2.0
     entropy_least: float = 0.08
     byte_least: float = 0.10
-    share: float = 0.001
     documents: int = 30
 
 
@@ -195,14 +193,11 @@ def bands(measured: DataFrame, limits: Bands = Bands(), lang_col: str = "lang")
     Group "*" is all languages, class -1 all lengths.
 
     Counted per step of 1/400, so the result does not depend on the order of the rows and what
-    is shuffled are counts. At most 1 / ``share`` groups have bands of their own.
+    is shuffled are counts.
     """
     counts = _keyed(measured, lang_col).groupBy("_group", "_class", "chars", "entropy", "bytes").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts, "fertility-counts")
-    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    own = counts.groupBy("_group").agg(F.sum("n").alias("_n")).filter(F.col("_n") >= limits.share * total).select("_group")
-    grouped = counts.join(own, "_group", "left_semi")
-    both = (grouped.unionByName(grouped.withColumn("_class", F.lit(-1)))
+    both = (counts.unionByName(counts.withColumn("_class", F.lit(-1)))
             .unionByName(counts.withColumn("_group", F.lit("*"))))
     keys = ["_group", "_class", "measure"]
     steps = (both.select("_group", "_class", "n", F.explode(F.create_map(
@@ -224,17 +219,17 @@ def judge(docs: DataFrame, vocabulary: Vocabulary, pieces: str, limits: Bands =
 
     Base rules reject texts under ``min_words`` words or with too many words in repeated
     windows (so empty and null texts go). Of the rest, a text is rejected when a measure leaves
-    its band; where there is no band (see ``Bands``) it is kept. The bands are at most
-    1 / ``share`` languages times the length classes, so they are broadcast. Texts are measured
-    once and stored with what is carried.
+    its band; where there is no band (see ``Bands``) it is kept. The bands are stored and
+    joined by key, so they are broadcast by size. Texts are measured once and stored with what is
+    carried.
     """
     carry = docs.columns if carry is None else carry
     measured = measure(docs, vocabulary, pieces, lang_col, text_col)
     measured = stored(measured.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, lang_col])], "__m"), "fertility")
     table = stored(bands(measured, limits, lang_col), "fertility-bands")
     values = F.struct(*[F.col(c) for c in table.columns[2:]])
-    own = F.broadcast(table.select(F.col("_band_group").alias("__og"), F.col("_band_class").alias("__oc"), values.alias("__own")))
-    any_length = F.broadcast(table.filter("_band_class = -1").select(F.col("_band_group").alias("__ag"), values.alias("__any")))
+    own = table.select(F.col("_band_group").alias("__og"), F.col("_band_class").alias("__oc"), values.alias("__own"))
+    any_length = table.filter("_band_class = -1").select(F.col("_band_group").alias("__ag"), values.alias("__any"))
     pooled = F.broadcast(table.filter("_band_group = '*'").select(F.col("_band_class").alias("__pc"), values.alias("__all")))
     m = F.col("__m")
     joined = (measured.withColumns({"__g": _group(lang_col), "__c": _length_class()})
