@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import fertility, imatch, language_id, line_chunks, mixing, packing, shards, simhash, url_bloom, weak_labels
+from tagloom.llm import fertility, filter_audit, imatch, language_id, line_chunks, mixing, packing, shards, simhash, url_bloom, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,10 @@ def op9_blocked_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_bloom.judge(pages, URL_RULES, listing)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_imatch": op2_imatch,
@@ -97,16 +101,14 @@ QUERIES = {
     "op8_line_chunks": op8_line_chunks,
     "op9_blocked_bloom": op9_blocked_bloom,
     "op10_covering_simhash": op10_covering_simhash,
+    "op11_filter_audit": op11_filter_audit,
 }
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 ORACLES: dict[str, str] = {
     # The level by trial: for every number of clamped sources the share of the rest, of which the
     # right one is the first that is feasible.
-    "op2_imatch": op2_imatch,
-    "op3_evidence_fusion": op3_evidence_fusion,
-    "op4_weak_labels": op4_weak_labels,
-    "op5_prefix_shards": op5_prefix_shards,
+    "op11_filter_audit": filter_audit.ORACLE,
     "op6_water_filling": f"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS BIGINT) AS size,
     md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
