@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tagloom.llm import fertility, filter_audit, imatch, jaccard_join, language_id, line_chunks, mixing, packing, shards, simhash, url_bloom, weak_labels
+from tagloom.llm import conversation_repair, fertility, filter_audit, imatch, jaccard_join, language_id, line_chunks, mixing, packing, shards, simhash, url_bloom, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(conversations), conversations)[1]
+
+
 def op13_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.groups(table(spark, sf_dir, "documents"))
 
@@ -106,6 +111,7 @@ QUERIES = {
     "op9_blocked_bloom": op9_blocked_bloom,
     "op10_covering_simhash": op10_covering_simhash,
     "op11_filter_audit": op11_filter_audit,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_token_combination_join": op13_token_combination_join,
 }
 _WORDS = r"[^\x20\x09-\x0D]+"
