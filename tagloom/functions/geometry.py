@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-BAND = 50.0
+#: Sides of the square cells of each level; a box belongs to the first level whose cells are at least as large as it is.
+CELL_SIDES = (32.0, 128.0, 512.0, 2048.0, 16384.0)
 
 
 def area(prefix: str = "") -> Column:
@@ -23,16 +24,42 @@ def cover(a: str, b: str) -> Column:
     return F.when((ix <= 0) | (iy <= 0), 0.0).otherwise(ix * iy / F.greatest(area(a), F.lit(1e-6)))
 
 
-def band_of(y: Column, size: float = BAND) -> Column:
+def band_of(y: Column, size: float) -> Column:
     return F.floor(y / size)
 
 
-def with_bands(df: DataFrame, prefix: str = "", tolerance: float = 0.0, size: float = BAND) -> DataFrame:
-    """One row per horizontal band a box touches, so that box joins get an equality key
-    finer than the page."""
-    low = band_of(F.col(prefix + "y0") - tolerance, size)
-    high = band_of(F.col(prefix + "y1") + tolerance, size)
-    return df.withColumn("_band", F.explode(F.sequence(low, F.greatest(low, high))))
+def _cell(level: int, x: Column, y: Column) -> Column:
+    """One number per cell; should two cells far apart share one, the exact test that follows tells them apart."""
+    return F.shiftleft(x.cast("long"), 33) + y.cast("long") * len(CELL_SIDES) + level
+
+
+def with_box_cells(df: DataFrame, prefix: str = "", tolerance: float = 0.0) -> DataFrame:
+    """One row per cell of its level that a box touches, at most four for boxes up to the largest side.
+
+    Together with ``with_point_cells`` this gives point-in-box joins a key in both directions: a point meets the boxes
+    of each level in one cell, so only boxes near it and, level by level, of like size.
+    """
+    x0, y0, x1, y1 = (F.col(prefix + c) for c in ("x0", "y0", "x1", "y1"))
+    size = F.greatest(x1 - x0, y1 - y0) + 2 * tolerance
+
+    def cells(level: int) -> Column:
+        side = CELL_SIDES[level]
+
+        def reach(low: Column, high: Column) -> Column:
+            first = F.floor((low - tolerance) / side)
+            return F.sequence(first, F.greatest(first, F.floor((high + tolerance) / side)))
+        return F.flatten(F.transform(reach(x0, x1), lambda x: F.transform(reach(y0, y1), lambda y: _cell(level, x, y))))
+
+    of_size = F.when(size <= CELL_SIDES[0], cells(0))
+    for level, side in enumerate(CELL_SIDES[1:-1], 1):
+        of_size = of_size.when(size <= side, cells(level))
+    return df.withColumn("_cell", F.explode(of_size.otherwise(cells(len(CELL_SIDES) - 1))))
+
+
+def with_point_cells(df: DataFrame, x: Column, y: Column) -> DataFrame:
+    """One row per level: the cell a point lies in."""
+    cells = [_cell(level, F.floor(x / side), F.floor(y / side)) for level, side in enumerate(CELL_SIDES)]
+    return df.withColumn("_cell", F.explode(F.array(*cells))).filter(F.col("_cell").isNotNull())
 
 
 def flip(y0: Column, y1: Column, page_height: Column) -> tuple[Column, Column]:

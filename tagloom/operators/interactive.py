@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tagloom import lexicon as lx
 from tagloom.functions import labels
-from tagloom.functions.geometry import band_of
+from tagloom.functions.geometry import contains, with_box_cells, with_point_cells
 from tagloom.functions.text import blank, left, lookup, matches, strip
 from tagloom.operators.contrast import first_n
 
@@ -112,16 +112,15 @@ def label_in_name(fields: DataFrame, spans: DataFrame) -> DataFrame:
     s = spans.select("doc_id", "page", "span", text.alias("t"), "y0", "x0", ((F.col("x0") + F.col("x1")) / 2).alias("cx"),
                      ((F.col("y0") + F.col("y1")) / 2).alias("cy")).filter(F.col("t") != "")
     m = lx.LABEL_MARGIN
-    left_of = (F.col("cx").between(F.greatest(F.lit(0.0), F.col("fx0") - m), F.col("fx0") + 4)
-               & F.col("cy").between(F.col("fy0") - 4, F.col("fy1") + m))
-    above = (F.col("cx").between(F.col("fx0") - 8, F.col("fx1") + 8)
-             & F.col("cy").between(F.col("fy1") - 2, F.col("fy1") + 40))
-    # both regions lie between the field's foot and the margin above it: join by band
-    reach = F.sequence(band_of(F.col("fy0") - 4), band_of(F.col("fy1") + m))
-    near = s.withColumn("_band", band_of(F.col("cy"))).join(
-        f.withColumn("_band", F.explode(reach)), ["doc_id", "page", "_band"]).filter(left_of | above).select(
-        "doc_id", "page", "field_id", "t", "y0", "x0", "span",
-        F.explode(F.filter(F.array(F.when(left_of, 0), F.when(above, 1)), lambda r: r.isNotNull())).alias("region"))
+
+    def region(number: int, *box: Column) -> Column:
+        return F.struct(F.lit(number).alias("region"), *[v.cast("double").alias("r_" + c) for v, c in zip(box, ("x0", "y0", "x1", "y1"))])
+
+    left_of = region(0, F.greatest(F.lit(0.0), F.col("fx0") - m), F.col("fy0") - 4, F.col("fx0") + 4, F.col("fy1") + m)
+    above = region(1, F.col("fx0") - 8, F.col("fy1") - 2, F.col("fx1") + 8, F.col("fy1") + 40)
+    regions = f.select("doc_id", "page", "field_id", F.inline(F.array(left_of, above)))
+    near = with_point_cells(s, F.col("cx"), F.col("cy")).join(with_box_cells(regions, "r_"), ["doc_id", "page", "_cell"]).filter(
+        contains("r_", F.col("cx"), F.col("cy"))).select("doc_id", "page", "field_id", "t", "y0", "x0", "span", "region")
     order = F.struct("region", (-F.col("y0")).alias("down"), "x0", "span", "t")
     joined = near.groupBy("doc_id", "field_id").agg(F.array_join(
         F.transform(F.array_sort(F.collect_list(order)), lambda r: r["t"]), " ").alias("all"))

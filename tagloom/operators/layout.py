@@ -6,9 +6,6 @@ Box joins use (document, page, band) as the equality key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import lexicon as lx
@@ -44,34 +41,33 @@ def caption_gaps(nodes: DataFrame) -> DataFrame:
         *PAGE, "fig", "cap").agg(F.min("gap").alias("gap"))
 
 
-_LINKED = "doc_id long, page int, fig long, cap long, gap double"
-
-
-def _take_nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted pairs in; each figure takes its first caption no earlier figure took."""
-    page = figure = None
-    taken: set = set()
-    for batch in batches:
-        keep = []
-        for row in batch.itertuples(index=False):
-            if (row.doc_id, row.page) != page:
-                page, figure, taken = (row.doc_id, row.page), None, set()
-            if row.fig == figure or row.cap in taken:
-                continue
-            figure = row.fig
-            taken.add(row.cap)
-            keep.append(row)
-        yield pd.DataFrame(keep, columns=list(batch.columns))
+def _close_held(pairs: DataFrame) -> DataFrame:
+    """One round: figures ask for their nearest caption, which is closed to all later than the earliest that asks."""
+    nearest = F.min(F.struct("gap", "cap")).over(Window.partitionBy(*PAGE, "fig"))
+    asking = pairs.withColumn("_asks", nearest["cap"] == F.col("cap"))
+    holder = F.min(F.when(F.col("_asks"), F.col("fig"))).over(Window.partitionBy(*PAGE, "cap"))
+    return asking.withColumn("_holder", holder).filter(F.col("_holder").isNull() | (F.col("fig") <= F.col("_holder"))).select(
+        *PAGE, "fig", "cap", "gap")
 
 
-def link_captions(nodes: DataFrame) -> DataFrame:
+def link_captions(nodes: DataFrame, rounds: int = 4) -> DataFrame:
     """One caption per figure, nearest first, figures in reading order.
 
-    Only pairs within reach of each other are sorted, one page after the other, and
-    streamed; nothing is collected per page but the captions already taken.
+    In rounds: every figure asks for the nearest caption still open to it, a caption keeps the earliest figure that
+    asks, and is closed to all later ones. What the earliest figures hold when nothing closes any more is what they would take one
+    after the other. Rounds are as many as the longest row of figures that push each other on, not as there are figures;
+    so many ``rounds`` run before their result is stored and counted.
     """
-    pairs = caption_gaps(nodes).select("doc_id", "page", "fig", "cap", "gap")
-    return pairs.repartition(*PAGE).sortWithinPartitions(*PAGE, "fig", "gap", "cap").mapInPandas(_take_nearest, _LINKED)
+    pairs = cut_lineage(caption_gaps(nodes).select(*PAGE, "fig", "cap", "gap"))
+    left = pairs.count()
+    while left:
+        for _ in range(rounds):
+            pairs = _close_held(pairs)
+        pairs, before = cut_lineage(pairs), left
+        left = pairs.count()
+        if left == before:
+            break
+    return pairs.groupBy(*PAGE, "fig").agg(F.min(F.struct("gap", "cap")).alias("_best")).select(*PAGE, "fig", "_best.cap", "_best.gap")
 
 
 def adopt_captions(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -105,13 +101,11 @@ def running_headers(spans: DataFrame, pages: DataFrame) -> DataFrame:
 
 def header_artifacts(nodes: DataFrame, zones: DataFrame) -> DataFrame:
     """Nodes whose centre lies in a running header or footer box."""
-    boxes = g.with_bands(g.prefixed(zones, "z_", *PAGE).distinct(), "z_", lx.BOX_TOLERANCE)
+    boxes = g.with_box_cells(g.prefixed(zones, "z_", *PAGE).distinct(), "z_", lx.BOX_TOLERANCE)
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    n = nodes.withColumn("_band", g.band_of(cy)).alias("n")
-    z = boxes.alias("z")
-    same = (F.col("n.doc_id") == F.col("z.doc_id")) & (F.col("n.page") == F.col("z.page")) & (F.col("n._band") == F.col("z._band"))
-    inside = g.contains("z_", (F.col("n.x0") + F.col("n.x1")) / 2, (F.col("n.y0") + F.col("n.y1")) / 2, lx.BOX_TOLERANCE)
-    return n.join(z, same & inside, "left_semi").drop("_band")
+    centres = g.with_point_cells(nodes.select(*PAGE, "node_id", cx.alias("_x"), cy.alias("_y")), F.col("_x"), F.col("_y"))
+    inside = centres.join(boxes, [*PAGE, "_cell"]).filter(g.contains("z_", F.col("_x"), F.col("_y"), lx.BOX_TOLERANCE))
+    return nodes.join(inside.select(*PAGE, "node_id").distinct(), [*PAGE, "node_id"], "left_semi")
 
 
 def invisible_spans(spans: DataFrame) -> DataFrame:
@@ -121,13 +115,15 @@ def invisible_spans(spans: DataFrame) -> DataFrame:
 
 
 def drop_invisible(nodes: DataFrame, spans: DataFrame) -> DataFrame:
-    """Leaf nodes mostly covered by one invisible span are dropped; containers stay."""
-    hidden = g.with_bands(g.prefixed(invisible_spans(spans), "h_", *PAGE).distinct(), "h_")
+    """Leaf nodes mostly covered by one invisible span are dropped; containers stay.
+
+    A box that covers more than half of another holds its centre, so centres are joined with boxes.
+    """
+    hidden = g.with_box_cells(g.prefixed(invisible_spans(spans), "h_", *PAGE).distinct(), "h_")
     leaf = F.col("tag").isin(lx.LEAF_TAGS) & F.col("x0").isNotNull()
-    n = g.with_bands(nodes.filter(leaf).select(*PAGE, "node_id", "x0", "y0", "x1", "y1")).alias("n")
-    h = hidden.alias("h")
-    same = (F.col("n.doc_id") == F.col("h.doc_id")) & (F.col("n.page") == F.col("h.page")) & (F.col("n._band") == F.col("h._band"))
-    gone = n.join(h, same & (g.cover("", "h_") >= lx.HIDDEN_COVER), "left_semi").select("doc_id", "node_id").distinct()
+    n = g.with_point_cells(nodes.filter(leaf).select(*PAGE, "node_id", "x0", "y0", "x1", "y1"),
+                           (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2)
+    gone = n.join(hidden, [*PAGE, "_cell"]).filter(g.cover("", "h_") >= lx.HIDDEN_COVER).select("doc_id", "node_id").distinct()
     return nodes.join(gone, ["doc_id", "node_id"], "left_anti")
 
 
@@ -339,10 +335,10 @@ def structure_islands(tree: DataFrame, root_tag: str = "Document") -> DataFrame:
 
 def hit_test(points: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """Smallest node box around each point (x0, y0) of a page; null marks an artifact."""
-    boxes = g.with_bands(g.prefixed(nodes.filter(F.col("x0").isNotNull()), "n_", *PAGE, "node_id", "ord", "decorative"), "n_", lx.BOX_TOLERANCE)
-    p = points.select(*PAGE, key, "x0", "y0", g.band_of(F.col("y0")).alias("_band"))
+    boxes = g.with_box_cells(g.prefixed(nodes.filter(F.col("x0").isNotNull()), "n_", *PAGE, "node_id", "ord", "decorative"), "n_", lx.BOX_TOLERANCE)
+    p = g.with_point_cells(points.select(*PAGE, key, "x0", "y0"), F.col("x0"), F.col("y0"))
     inside = g.contains("n_", F.col("x0"), F.col("y0"), lx.BOX_TOLERANCE)
-    hits = p.join(boxes, [*PAGE, "_band"]).filter(inside).groupBy(*PAGE, key).agg(
+    hits = p.join(boxes, [*PAGE, "_cell"]).filter(inside).groupBy(*PAGE, key).agg(
         F.min_by(F.struct("node_id", "decorative"), F.struct(g.area("n_"), "ord")).alias("n"))
     return points.select(*PAGE, key).join(hits, [*PAGE, key], "left").select(
         *PAGE, key, F.when(~F.coalesce(F.col("n.decorative"), F.lit(False)), F.col("n.node_id")).alias("node_id"))

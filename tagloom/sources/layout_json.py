@@ -1,13 +1,15 @@
 """Layout JSON and stored manifests as flat nodes.
 
-A tree of any shape has no fixed struct type, so one small table function walks one
-document and yields its nodes in pre-order; everything after that is columns.
+A tree of any shape has no fixed struct type, so a walk over Arrow batches takes whole documents apart
+and appends their nodes, in pre-order, to columns; everything after that is expressions.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagloom import lexicon as lx
@@ -17,6 +19,10 @@ NODE_ROW = (
     "x0 double, y0 double, x1 double, y1 double, row int, col int, row_span int, col_span int, font_size double, "
     "text string, alt string, decorative boolean"
 )
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+_FIELDS = [(name, _ARROW[kind]) for name, kind in (field.split() for field in NODE_ROW.split(", "))]
+#: Nodes to a batch that goes back; a document may fill several.
+_BATCH_NODES = 1 << 15
 
 
 def _first(element: dict, *names: str):
@@ -41,47 +47,64 @@ def _string(value):
     return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-class FlattenLayout:
-    """Yields the nodes of one JSON document; keys are accepted under several names.
+def _children(element, *names: str) -> list[dict]:
+    found = _first(element, *names) if isinstance(element, dict) else None
+    return [e for e in found if isinstance(e, dict)] if isinstance(found, list) else []
+
+
+def walk(text: str | None) -> Iterator[tuple]:
+    """The nodes of one JSON document in pre-order; keys are accepted under several names.
 
     Values of an unexpected kind become null, children that are no objects are skipped, a
     document that is no object has no nodes. Any depth is walked.
     """
-
-    def eval(self, text: str):
-        if text is None:
-            return
-        try:
-            root = json.loads(text)
-        except (ValueError, RecursionError):
-            return
-        count = 0
-        stack = [(e, None, 0) for e in reversed(self.children(root, "kids", "nodes"))]
-        while stack:
-            element, parent, depth = stack.pop()
-            count += 1
-            node_id = element.get("id") if isinstance(element.get("id"), str) else f"n{count}"
-            box = _first(element, "bounding box", "bbox")
-            box = [_number(v, float) for v in box] if isinstance(box, list) and len(box) == 4 else [None] * 4
-            kind = element.get("type")
-            kind = kind.lower() if isinstance(kind, str) else ""
-            page = _number(_first(element, "page number", "page"), int)
-            decorative = element.get("decorative")
-            yield (node_id, parent, depth, count - 1, kind or None,
-                   _string(_first(element, "pdfua_tag", "tag")), _string(_first(element, "heading level")), page or 1, *box,
-                   _number(_first(element, "row number", "row"), int), _number(_first(element, "column number", "col"), int),
-                   _number(_first(element, "row span", "rowSpan"), int), _number(_first(element, "column span", "colSpan"), int),
-                   _number(_first(element, "font size"), float), _string(_first(element, "content", "text")), _string(element.get("alt")),
-                   decorative if isinstance(decorative, bool) else None)
-            children = self.children(element, "rows", "cells", "kids", "children")
-            if kind == "table" and isinstance(element.get("rows"), list):
-                children = [{**row, "type": "table row"} for row in children]
-            stack.extend((child, node_id, depth + 1) for child in reversed(children))
-
-    @staticmethod
-    def children(element, *names: str) -> list[dict]:
-        found = _first(element, *names) if isinstance(element, dict) else None
-        return [e for e in found if isinstance(e, dict)] if isinstance(found, list) else []
+    try:
+        root = json.loads(text) if text is not None else None
+    except (ValueError, RecursionError):
+        return
+    count = 0
+    stack = [(e, None, 0) for e in reversed(_children(root, "kids", "nodes"))]
+    while stack:
+        element, parent, depth = stack.pop()
+        count += 1
+        node_id = element.get("id") if isinstance(element.get("id"), str) else f"n{count}"
+        box = _first(element, "bounding box", "bbox")
+        box = [_number(v, float) for v in box] if isinstance(box, list) and len(box) == 4 else [None] * 4
+        kind = element.get("type")
+        kind = kind.lower() if isinstance(kind, str) else ""
+        decorative = element.get("decorative")
+        yield (node_id, parent, depth, count - 1, kind or None,
+               _string(_first(element, "pdfua_tag", "tag")), _string(_first(element, "heading level")), _number(_first(element, "page number", "page"), int) or 1, *box,
+               _number(_first(element, "row number", "row"), int), _number(_first(element, "column number", "col"), int),
+               _number(_first(element, "row span", "rowSpan"), int), _number(_first(element, "column span", "colSpan"), int),
+               _number(_first(element, "font size"), float), _string(_first(element, "content", "text")), _string(element.get("alt")),
+               decorative if isinstance(decorative, bool) else None)
+        children = _children(element, "rows", "cells", "kids", "children")
+        if kind == "table" and isinstance(element.get("rows"), list):
+            children = [{**row, "type": "table row"} for row in children]
+        stack.extend((child, node_id, depth + 1) for child in reversed(children))
+
+
+def _walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, json) to batches of nodes, column by column."""
+    for batch in batches:
+        ids, owners, rows = batch.column(0), [], []
+
+        def nodes() -> pa.RecordBatch:
+            columns = [pa.array(values, kind) for values, (_, kind) in zip(zip(*rows), _FIELDS)]
+            out = pa.RecordBatch.from_arrays([ids.take(pa.array(owners)), *columns], ["doc_id", *(name for name, _ in _FIELDS)])
+            owners.clear()
+            rows.clear()
+            return out
+
+        for at, text in enumerate(batch.column(1).to_pylist()):
+            for node in walk(text):
+                owners.append(at)
+                rows.append(node)
+                if len(rows) == _BATCH_NODES:
+                    yield nodes()
+        if rows:
+            yield nodes()
 
 
 def usable(text: Column) -> Column:
@@ -100,10 +123,8 @@ def tag_of(kind: Column, own: Column, level: Column) -> Column:
 
 def flatten(documents: DataFrame, json_col: str = "json") -> DataFrame:
     """Nodes of every document of a (doc_id, json) table, with tags and defaults resolved."""
-    spark: SparkSession = documents.sparkSession
-    walk = F.udtf(FlattenLayout, returnType=NODE_ROW)
-    spark.udtf.register("tagloom_flatten_layout", walk)
-    rows = spark.sql(f"SELECT d.doc_id, n.* FROM {{docs}} d, LATERAL tagloom_flatten_layout(d.{json_col}) n", docs=documents)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select("doc_id", json_col).mapInArrow(_walk_batches, f"doc_id {kind}, {NODE_ROW}")
     tag = tag_of(F.col("type"), F.col("own_tag"), F.col("level"))
     figure, cell = F.col("tag") == "Figure", F.col("type") == "table cell"
     return rows.withColumn("tag", tag).select(
