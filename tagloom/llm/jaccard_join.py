@@ -11,8 +11,9 @@ Candidates are verified by the exact size of the intersection.
 Three steps, each a shuffle of Spark's: packs of documents send their sorted tokens to ranges of the token
 space, which count document frequencies; tokens that two documents hold (no others can be shared) go back to
 their pack, where documents with too many tokens of their own drop out and the others get signatures;
-signatures meet in buckets. A bucket is first joined as a star around one of its documents, so that a group of
-near copies costs one pair per copy; pairs that are still in different components after that are all verified.
+signatures meet in buckets. A bucket is first joined as a star around its most typical document, so that a group of
+near copies costs one pair per copy; pairs that are still in different components after that are verified unless
+256 parity bits of either set rule them out.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ class Join:
     """Pairs with 100 * intersection >= ``percent`` * union of the sets of ``shingle``-word shingles.
 
     ``classes``: (document frequency up to which, tokens to a signature), the last without a bound. ``pack`` tokens are
-    sorted at once; ``stars`` is the number of rounds that join buckets around one document before all pairs between
+    sorted at once; ``stars`` is the number of rounds that join buckets around one of their outliers before all pairs between
     components are verified. None of these changes a result.
     """
 
@@ -50,7 +51,7 @@ class Join:
     percent: int = 80
     classes: tuple[tuple[int | None, int], ...] = ((16, 1), (1024, 2), (None, 3))
     pack: int = 1 << 21
-    stars: int = 3
+    stars: int = 1
 
     def missing(self, n: int, smaller: bool) -> int:
         """Tokens of a set of ``n`` that a similar set may lack: any such set, or one at least as large."""
@@ -92,14 +93,16 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 _SENT = ("at int, batch long, tokens binary, docs binary, counts binary, "
          "header struct<ids: array<bigint>, classes: array<int>, keys: array<binary>, sizes: array<int>, tokens: binary, counts: binary, docs: binary>")
-_ROWS = "doc_id long, n int, key binary, shared binary, small array<bigint>, large array<bigint>"
+_PARITY = ["parity0", "parity1", "parity2", "parity3"]
+_FACTS = ["n", "own", *_PARITY]
+_ROWS = "doc_id long, n int, key binary, shared binary, small array<bigint>, large array<bigint>, " + ", ".join(f"{p} long" for p in _PARITY)
 
 
 _HEADER = pa.struct([("ids", pa.list_(pa.int64())), ("classes", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())),
                      ("tokens", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
 _SENT_ARROW = pa.schema([("at", pa.int32()), ("batch", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("header", _HEADER)])
 _ROWS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("shared", pa.binary()), ("small", pa.list_(pa.int64())),
-                         ("large", pa.list_(pa.int64()))])
+                         ("large", pa.list_(pa.int64())), *((p, pa.int64()) for p in _PARITY)])
 
 
 def _send(join: Join, bits: int):
@@ -266,6 +269,7 @@ def _sign(join: Join):
             n, key = header["sizes"][kind], header["keys"][kind]
             a, b = starts[kind], starts[kind + 1]
             small = large = shared = None
+            parity = [None] * 4
             if n > 3 and b - a >= n - join.missing(n, False) and kind not in done:
                 level = int(np.searchsorted(levels, n, side="right"))
                 facts = n, n - (b - a), tokens[a:b], frequency[a:b]
@@ -274,8 +278,10 @@ def _sign(join: Join):
                 large = at(join.missing(n, False), level) + (at(join.missing(n, False), level - 1) if level > 1 else [])
                 small, large = (np.unique(np.array(s, np.uint64)).view(np.int64).tolist() for s in (small, large))
                 shared = tokens[a:b].tobytes()
+                odd = np.bincount((tokens[a:b] >> np.uint64(7)).astype(np.uint8), minlength=256) & 1
+                parity = np.packbits(odd.astype(bool)).view(np.int64).tolist()
             done.add(kind)
-            out.append((doc_id, n, key if n else None, shared, small, large))
+            out.append((doc_id, n, key if n else None, shared, small, large, *parity))
         schema = _ROWS_ARROW
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -313,45 +319,68 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(both.select("a", "b", "_a", "_b", "_n", "_m"), rows, "a binary, b binary")
 
 
-def links(rows: DataFrame, join: Join = Join()) -> DataFrame:
-    """Similar pairs (a, b) of set keys that connect whatever all similar pairs connect, from a stored ``sketch``."""
-    signed = rows.filter("shared IS NOT NULL")
-    sets = stored(signed.select("key", "n", "shared").dropDuplicates(["key"]), "join-sets")
-    postings = signed.select("key", "n", F.explode("small").alias("sig"), F.lit(True).alias("small")).unionByName(
-        signed.select("key", "n", F.explode("large").alias("sig"), F.lit(False).alias("small"))).groupBy("sig", "key").agg(
-        F.first("n").alias("n"), F.max("small").alias("small"), F.max(~F.col("small")).alias("large"))
-    postings = stored(postings, "join-postings")
+def _buckets(rows: DataFrame) -> DataFrame:
+    """sig, small, large and the facts of the sets (_FACTS) of the signatures that could join two sets."""
+    rows = rows.withColumn("own", (F.col("n") - F.octet_length("shared") / 8).cast("int"))
+    postings = stored(rows.select("key", F.explode("small").alias("sig"), F.lit(True).alias("small")).unionByName(
+        rows.select("key", F.explode("large").alias("sig"), F.lit(False).alias("small"))).groupBy("sig", "key").agg(
+        F.max("small").alias("small"), F.max(~F.col("small")).alias("large")), "join-postings")
     used = stored(postings.groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.max("small").alias("_s"), F.max("large").alias("_l"))
                   .filter("_n > 1 AND _s AND _l").select("sig"), "join-signatures")
-    live = stored(postings.join(used, "sig", "left_semi").withColumn("comp", F.col("key")), "join-buckets")
-    compatible = (100 * F.least("n", "_n") >= join.percent * F.greatest("n", "_n")) & (F.col("comp") != F.col("_comp"))
-    edge = (F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b"))
-    found = None
-    for star in range(join.stars + 1):
-        if star < join.stars:
-            of = F.min_by(F.struct("key", "n", "comp"), F.xxhash64("key", F.lit(star))).alias("_c")
-            centres = stored(live.groupBy("sig").agg(of, F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x <> _y").select(
-                "sig", F.col("_c.key").alias("_key"), F.col("_c.n").alias("_n"), F.col("_c.comp").alias("_comp")), "join-centres")
-            pairs = live.join(centres, "sig").filter(compatible)
-        else:
-            # one side of a pair between components is outside its bucket's largest component
-            most = live.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("sig").agg(
-                F.max_by("comp", F.struct("_c", "comp")).alias("_most"), F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("sig", "_most")
-            rest = stored(live.join(most, "sig").filter(F.col("comp") != F.col("_most")).select(
-                "sig", F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("comp").alias("_comp"), F.col("small").alias("_small"), F.col("large").alias("_large")), "join-rest")
-            sides = (F.col("small") & F.col("_large") & (F.col("n") <= F.col("_n"))) | (F.col("_small") & F.col("large") & (F.col("_n") <= F.col("n")))
-            pairs = live.join(rest, "sig").filter(compatible & sides)
-        pairs = stored(pairs.select(*edge).distinct(), "join-pairs")
-        similar = stored(_verified(pairs, sets, join.percent), "join-links")
-        found = similar if found is None else found.unionByName(similar)
-        if star == join.stars:
-            return found
+    facts = rows.select("key", *_FACTS).dropDuplicates(["key"])
+    return stored(postings.join(used, "sig", "left_semi").join(facts, "key").withColumn("comp", F.col("key")), "join-buckets")
+
+
+def _rooted(live: DataFrame, found: DataFrame) -> DataFrame:
+    roots = stored(components(found), "join-roots").select(F.col("node").alias("key"), F.col("root").alias("comp"))
+    return stored(live.drop("comp").join(roots, "key", "left").withColumn("comp", F.coalesce("comp", "key")), "join-buckets")
+
+
+def _outside(live: DataFrame) -> DataFrame:
+    """The rows of buckets with several components that are not of the largest one there."""
+    most = live.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("_c")).groupBy("sig").agg(
+        F.max_by("comp", F.struct("_c", "comp")).alias("_most"), F.count(F.lit(1)).alias("_k")).filter("_k > 1").select("sig", "_most")
+    return live.join(most, "sig").filter(F.col("comp") != F.col("_most")).drop("_most")
+
+
+def links(rows: DataFrame, join: Join = Join(), known: DataFrame | None = None) -> DataFrame:
+    """Similar pairs (a, b) of set keys that connect whatever all similar pairs connect, from a stored ``sketch``.
+
+    A pair is verified unless sizes, own tokens or parity bits rule it out. Every bucket is joined around its most typical
+    member, the one with fewest tokens of its own; then around one of those that are still outside its largest component;
+    then all pairs between components are tried. ``known`` may hold pairs (a, b) of the caller to try with the first.
+    """
+    signed = rows.filter("shared IS NOT NULL")
+    sets = stored(signed.select("key", "n", "shared").dropDuplicates(["key"]), "join-sets")
+    live = _buckets(signed)
+    names = ["key", "comp", "small", "large", *_FACTS]
+    # own tokens differ for sure, and of the others at least as many as parity bits
+    apart = F.col("own") + F.col("_own") + sum(F.bit_count(F.col(p).bitwiseXOR(F.col("_" + p))) for p in _PARITY)
+    fits = ((F.col("comp") != F.col("_comp")) & (100 * F.least("n", "_n") >= join.percent * F.greatest("n", "_n"))
+            & ((100 + join.percent) * apart <= (100 - join.percent) * (F.col("n") + F.col("_n"))))
+    sides = (F.col("small") & F.col("_large") & (F.col("n") <= F.col("_n"))) | (F.col("_small") & F.col("large") & (F.col("_n") <= F.col("n")))
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        edges = pairs.select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
+        return stored(_verified(stored(edges, "join-pairs"), sets, join.percent), "join-links")
+
+    def around(members: DataFrame, order) -> DataFrame:
+        return stored(members.groupBy("sig").agg(F.min_by(F.struct(*names), order).alias("_c")).select(
+            "sig", *[F.col("_c")[c].alias("_" + c) for c in names]), "join-centres")
+
+    found = tried(live.join(around(live, F.struct("own", F.xxhash64("key"))), "sig").filter(fits))
+    if known is not None:
+        found = found.unionByName(tried(known.select(F.col("a").alias("key"), F.col("b").alias("_key"))))
+    live = _rooted(live, found)
+    for star in range(join.stars):
+        similar = tried(live.join(around(_outside(live), F.xxhash64("key", F.lit(star))), "sig").filter(fits))
         if similar.isEmpty():
-            continue
-        roots = stored(components(found), "join-roots")
-        live = stored(live.drop("comp").join(roots.select(F.col("node").alias("key"), F.col("root").alias("comp")), "key", "left")
-                      .withColumn("comp", F.coalesce("comp", "key")), "join-buckets")
-    return found
+            break
+        found = found.unionByName(similar)
+        live = _rooted(live, found)
+    rest = stored(_outside(live).select("sig", *[F.col(c).alias("_" + c) for c in names]), "join-rest")
+    last = tried(live.join(rest, "sig").filter(fits & sides))
+    return found.unionByName(last)
 
 
 def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
