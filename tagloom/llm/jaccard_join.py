@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 from tagloom.llm.common import binaries, id_text, map_batches, stored
 from tagloom.llm.simhash import components
@@ -91,26 +92,25 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel().cumsum(dtype=np.uint64)
 
 
-_SENT = ("at int, batch long, tokens binary, docs binary, counts binary, "
-         "header struct<ids: array<bigint>, classes: array<int>, keys: array<binary>, sizes: array<int>, tokens: binary, counts: binary, docs: binary>")
 _PARITY = ["parity0", "parity1", "parity2", "parity3"]
 _FACTS = ["n", "own", *_PARITY]
-_ROWS = "doc_id long, n int, key binary, shared binary, small array<bigint>, large array<bigint>, " + ", ".join(f"{p} long" for p in _PARITY)
+_SENT = [("at", pa.int32()), ("batch", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())]
+_SIGNED = [("n", pa.int32()), ("key", pa.binary()), ("shared", pa.binary()), ("small", pa.list_(pa.int64())), ("large", pa.list_(pa.int64())),
+           *((p, pa.int64()) for p in _PARITY)]
 
 
-_HEADER = pa.struct([("ids", pa.list_(pa.int64())), ("classes", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())),
-                     ("tokens", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
-_SENT_ARROW = pa.schema([("at", pa.int32()), ("batch", pa.int64()), ("tokens", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("header", _HEADER)])
-_ROWS_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("key", pa.binary()), ("shared", pa.binary()), ("small", pa.list_(pa.int64())),
-                         ("large", pa.list_(pa.int64())), *((p, pa.int64()) for p in _PARITY)])
+def _sent(id_type: pa.DataType) -> pa.Schema:
+    header = pa.struct([("ids", pa.list_(id_type)), ("classes", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32())),
+                        ("tokens", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary())])
+    return pa.schema([*_SENT, ("header", header)])
 
 
-def _send(join: Join, bits: int):
+def _send(join: Join, bits: int, schema: pa.Schema):
     """Task body: packs of documents to ranges of tokens, with one header per pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        words, schema = _Words(), _SENT_ARROW
+        words = _Words()
         task, number = TaskContext.get().partitionId(), 0
         ids: list = []
         classes: list = []
@@ -186,9 +186,9 @@ def _count(table: pa.Table) -> pa.Table:
             at += len(own)
             if (keep := here > 1).any():
                 out.append((batch, _packed(own[keep]), to[keep].tobytes(), np.minimum(here[keep], _SHARED).astype(np.uint16).tobytes(), None))
-    schema = pa.schema([_SENT_ARROW.field(name) for name in ("batch", "tokens", "docs", "counts", "header")])
+    schema = headers.schema
     columns = list(zip(*out)) or [()] * 5
-    return pa.concat_tables([headers.cast(schema), pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)])
+    return pa.concat_tables([headers, pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)])
 
 
 @lru_cache(maxsize=None)
@@ -242,7 +242,7 @@ def signatures(n: int, own: int, tokens: np.ndarray, frequency: np.ndarray, spar
     raise AssertionError("every set has enough tokens for a prefix")
 
 
-def _sign(join: Join):
+def _sign(join: Join, schema: pa.Schema):
     """One pack: its rows, and for documents that may have a partner the shared tokens and the signatures."""
     levels = _levels(join.percent)
 
@@ -282,21 +282,21 @@ def _sign(join: Join):
                 parity = np.packbits(odd.astype(bool)).view(np.int64).tolist()
             done.add(kind)
             out.append((doc_id, n, key if n else None, shared, small, large, *parity))
-        schema = _ROWS_ARROW
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
-def sketch(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n, key of the set, and, where a partner is possible, shared tokens and signatures as smaller and as larger side."""
-    texts = id_text(docs)
+def sketch(texts: DataFrame, join: Join = Join()) -> DataFrame:
+    """From (doc_id, text), one row per row: n and key of the set, and, where a partner is possible, its shared tokens, their parity
+    bits and the signatures as smaller and as larger side. Ids may be of any type."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    spark = docs.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // join.pack)
-    sent = texts.mapInArrow(_send(join, ranges.bit_length()), _SENT)
-    back = sent.groupBy("at").applyInArrow(_count, "batch long, tokens binary, docs binary, counts binary, " + _SENT[_SENT.index("header"):])
-    return back.groupBy("batch").applyInArrow(_sign(join), _ROWS)
+    ranges = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 6 // join.pack)
+    id_type = to_arrow_type(texts.schema["doc_id"].dataType)
+    sent, signed = _sent(id_type), pa.schema([("doc_id", id_type), *_SIGNED])
+    rows = texts.select("doc_id", "text").mapInArrow(_send(join, ranges.bit_length(), sent), from_arrow_schema(sent))
+    back = rows.groupBy("at").applyInArrow(_count, from_arrow_schema(pa.schema([f for f in sent if f.name != "at"])))
+    return back.groupBy("batch").applyInArrow(_sign(join, signed), from_arrow_schema(signed))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -390,7 +390,7 @@ def groups(docs: DataFrame, join: Join = Join()) -> DataFrame:
     are one node, however many rows hold them. Rows without an id link like others but never name a component (it is null if all
     of its rows lack one); rows that repeat an id with other texts are documents of their own. Other columns are ignored.
     """
-    rows = stored(sketch(docs, join), "join-sketch")
+    rows = stored(sketch(id_text(docs), join), "join-sketch")
     classes = stored(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first")), "join-classes")
     roots = components(links(rows, join))
     rooted = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
