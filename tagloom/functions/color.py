@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import lexicon as lx
 
@@ -109,40 +109,47 @@ def darken_exact(r: Column, g: Column, b: Column, required: float = lx.TEXT_RATI
     return F.when(passes, pack(r, g, b)).otherwise(searched)
 
 
-def darken_scale(r: Column, g: Column, b: Column, bg_lum: Column, required: float) -> Column:
-    """First scale of 1.000, 0.995 ... 0.000 that reaches the ratio; null if none does.
+#: Scales tried are 1.000, 0.995 ... 0.000.
+DARKEN_STEPS, DARKEN_BY = 200, 0.005
 
-    Darkening a colour that fails can only start to pass once, on the dark side of
-    its background, so eight halvings of the step number find the first hit.
+
+def with_darken_scale(df: DataFrame, r: Column, g: Column, b: Column, bg_lum: Column, required: float) -> DataFrame:
+    """``df`` with ``_scale``, the first scale tried that reaches the ratio; null if none does.
+
+    Darkening a colour that fails can only start to pass once, on the dark side of its background, so the number of
+    the last step that fails is found bit by bit. Each bit is a projection of its own: compiled code with
+    nothing computed twice, where a fold over an array would be interpreted for every row.
     """
-    def passes(i: Column) -> Column:
-        return ratio_of(quantized_luminance(r, g, b, F.lit(1.0) - i * 0.005), bg_lum) >= required
+    out = df.withColumns({"_r": r, "_g": g, "_b": b, "_bg": bg_lum})
+
+    def passes(step: Column) -> Column:
+        return ratio_of(quantized_luminance(F.col("_r"), F.col("_g"), F.col("_b"), F.lit(1.0) - step * DARKEN_BY), F.col("_bg")) >= required
+
+    out = out.withColumn("_fails", F.lit(0))
+    bit = 1 << DARKEN_STEPS.bit_length() - 1
+    while bit:
+        further = F.col("_fails") + bit
+        out = out.withColumn("_fails", F.when((further <= DARKEN_STEPS) & ~passes(further), further).otherwise(F.col("_fails")))
+        bit >>= 1
+    step = F.when(passes(F.lit(0)), F.lit(0)).when(F.col("_fails") < DARKEN_STEPS, F.col("_fails") + 1)
+    return out.withColumn("_scale", F.lit(1.0) - step * DARKEN_BY).drop("_fails")
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        ok = passes(mid)
-        return F.struct(F.when(ok, acc["lo"]).otherwise(mid).alias("lo"),
-                        F.when(ok, mid).otherwise(acc["hi"]).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("lo"), F.lit(200).alias("hi"))
-    first = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, halve)["hi"]
-    step = F.when(passes(F.lit(0)), F.lit(0)).when(passes(F.lit(200)), first)
-    return F.lit(1.0) - step * 0.005
+def _scaled() -> Column:
+    return pack(*[F.col(n) * F.col("_scale") for n in ("_r", "_g", "_b")])
 
 
-def darken_linear(r: Column, g: Column, b: Column, bg_lum: Column, required: float = lx.TEXT_RATIO) -> Column:
-    """Darkened packed colour against a given background; black if nothing passes."""
-    s = darken_scale(r, g, b, bg_lum, required)
-    return F.transform(F.array(s), lambda k: F.when(k.isNull(), F.lit(0)).otherwise(
-        pack(r * k, g * k, b * k)))[0]
+def darken_linear(df: DataFrame, r: Column, g: Column, b: Column, bg_lum: Column, required: float = lx.TEXT_RATIO) -> DataFrame:
+    """``df`` with ``_fixed``, the darkened packed colour against a given background; black if nothing passes."""
+    out = with_darken_scale(df, r, g, b, bg_lum, required)
+    return out.withColumn("_fixed", F.when(F.col("_scale").isNull(), F.lit(0)).otherwise(_scaled())).drop("_r", "_g", "_b", "_bg", "_scale")
 
 
-def darken_graphic(r: Column, g: Column, b: Column, bg_lum: Column, required: float = lx.GRAPHIC_RATIO) -> Column:
+def darken_graphic(df: DataFrame, r: Column, g: Column, b: Column, bg_lum: Column, required: float = lx.GRAPHIC_RATIO) -> DataFrame:
     """As above, but null when it passes already or would need too much darkening."""
-    s = darken_scale(r, g, b, bg_lum, required)
-    return F.transform(F.array(s), lambda k: F.when(
-        (ratio_of(quantized_luminance(r, g, b, F.lit(1.0)), bg_lum) < required) & (k >= lx.DARKEN_FLOOR),
-        pack(r * k, g * k, b * k)))[0]
+    out = with_darken_scale(df, r, g, b, bg_lum, required)
+    low = ratio_of(quantized_luminance(F.col("_r"), F.col("_g"), F.col("_b"), F.lit(1.0)), F.col("_bg")) < required
+    return out.withColumn("_fixed", F.when(low & (F.col("_scale") >= lx.DARKEN_FLOOR), _scaled())).drop("_r", "_g", "_b", "_bg", "_scale")
 
 
 def device_rgb(space: Column, a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column, Column, Column]:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import lexicon as lx
@@ -111,28 +109,21 @@ def fill_repairs(fills: DataFrame, required: float = lx.TEXT_RATIO) -> DataFrame
                       needs.alias("needs_fix"), c.hex_color(fixed.cast("int")).alias("fixed"))
 
 
-def _per_pair(rows: DataFrame, repair: Callable[[Column, Column], Column]) -> DataFrame:
-    """``_fixed`` for every pair of hex colours fg, bg: the search runs once per pair, not per row.
-
-    Pairs are few bytes and much work, so they are dealt out by count, not by size.
-    """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = [F.conv(F.substring(n, 2, 6), 16, 10).cast("int") for n in ("fg", "bg")]
-    return rows.select("fg", "bg").distinct().repartition(parts, "fg", "bg").withColumn("_fixed", repair(*packed))
+def _colours(*names: str) -> list[Column]:
+    return [F.conv(F.substring(n, 2, 6), 16, 10).cast("int") for n in names]
 
 
 def contrast_repairs(failures: DataFrame) -> DataFrame:
-    """Linear darkening of each failing text colour against its own background."""
-    fixed = _per_pair(failures, lambda fg, bg: c.darken_linear(*c.channels(fg), c.packed_luminance(bg)))
-    out = failures.join(fixed, ["fg", "bg"])
+    """Linear darkening of each failing text colour against its own background, row by row: nearly all pairs of colours differ."""
+    fg, bg = _colours("fg", "bg")
+    out = c.darken_linear(failures, *c.channels(fg), c.packed_luminance(bg))
     return out.select("doc_id", "page", "block", "line", "span", "fg", "bg", c.hex_color(F.col("_fixed")).alias("fixed"))
 
 
 def graphic_repairs(issues: DataFrame) -> DataFrame:
     """Darkened stroke for each failing graphic, null where the change would be too strong."""
-    graphics = issues.filter(F.col("type") == "graphic")
-    fixed = _per_pair(graphics, lambda fg, bg: c.darken_graphic(*c.channels(fg), c.packed_luminance(bg)))
-    out = graphics.join(fixed, ["fg", "bg"])
+    fg, bg = _colours("fg", "bg")
+    out = c.darken_graphic(issues.filter(F.col("type") == "graphic"), *c.channels(fg), c.packed_luminance(bg))
     return out.select("doc_id", "page", "item", "fg", "bg", c.hex_color(F.col("_fixed")).alias("fixed"))
 
 
