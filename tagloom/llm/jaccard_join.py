@@ -51,7 +51,7 @@ class Join:
     shingle: int = 5
     percent: int = 80
     classes: tuple[tuple[int | None, int], ...] = ((16, 1), (1024, 2), (None, 3))
-    pack: int = 1 << 21
+    pack: int = 1 << 20
     stars: int = 1
 
     def missing(self, n: int, smaller: bool) -> int:
