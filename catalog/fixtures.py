@@ -243,6 +243,14 @@ def list_items(d) -> str:
 FROM {d.explode_lines(d.table("documents"), "text")} e"""
 
 
+def list_tree(d) -> str:
+    """The lists of ``list_items`` as nodes: every list, its items, and a body in every second LI."""
+    items = list_items(d)
+    return f"""SELECT doc_id, list_id AS node_id, {d.lit(None)} AS parent_id, min(ord) * 3 AS ord, 'L' AS tag, CAST(NULL AS DOUBLE) AS x0, {d.lit(None)} AS text FROM ({items}) a GROUP BY doc_id, list_id
+UNION ALL SELECT doc_id, node_id, list_id, ord * 3 + 1, tag, x0, text FROM ({items}) b
+UNION ALL SELECT doc_id, concat(node_id, 'b'), node_id, ord * 3 + 2, 'LBody', CAST(NULL AS DOUBLE), text FROM ({items}) c WHERE tag = 'LI' AND ord % 2 = 0"""
+
+
 def cells(d) -> str:
     return f"""SELECT {d.idiv("l_partkey", 2)} AS doc_id, l_partkey AS table_id, l_linenumber AS row,
   CAST(1 + l_suppkey % 4 AS INT) AS col, (l_orderkey * 1000000 + l_suppkey) * 64 + CAST(l_quantity AS INT) AS cell_id,
@@ -393,5 +401,5 @@ UNION ALL SELECT doc_id, 'root', NULL, CAST(0 AS BIGINT), 'Document' FROM {d.tab
 
 VIEWS = {f.__name__: f for f in (
     spans, samples, page_sizes, images, paths, fills, annots, links, fields, fonts, layers, docs, lines, nodes,
-    headings, toc_nodes, list_items, cells, tables, decisions, rules, runs, stream_mcids, tree_mcids, stream_ops, words, elements, tree, figures, reports, fixes, answers, order_requests, verdicts,
+    headings, toc_nodes, list_items, list_tree, cells, tables, decisions, rules, runs, stream_mcids, tree_mcids, stream_ops, words, elements, tree, figures, reports, fixes, answers, order_requests, verdicts,
 )}

@@ -45,6 +45,7 @@ QUERIES = {
     "footnotes": lambda s, p: op.footnotes(view(s, p, "spans"), view(s, p, "page_sizes")),
     "toc": lambda s, p: op.contents_runs(view(s, p, "toc_nodes")),
     "nested_lists": lambda s, p: op.nest_lists(view(s, p, "list_items")),
+    "nested_list_tree": lambda s, p: op.nested_list_tree(view(s, p, "list_tree")),
     "list_labels": lambda s, p: op.split_list_labels(view(s, p, "list_items")),
     "swatches": lambda s, p: op.swatch_clusters(view(s, p, "fills")),
     "orphan_mcids": lambda s, p: op.orphan_mcids(view(s, p, "stream_mcids"), view(s, p, "tree_mcids")),
@@ -97,6 +98,13 @@ _LINKS = f"""{_GAPS}, fq AS (SELECT doc_id, page, fig, list(cap ORDER BY gap, ca
    UNION ALL SELECT doc_id, page, k, CASE WHEN c IS NULL THEN taken ELSE list_append(taken, c) END, fig, c FROM (
      SELECT q.doc_id, q.page, q.k, l.taken, q.fig, list_filter(q.caps, lambda x: NOT list_contains(l.taken, x))[1] AS c FROM lk l JOIN fq q ON q.doc_id = l.doc_id AND q.page = l.page AND q.k = l.k + 1)),
  ln AS (SELECT gp.* FROM lk JOIN gp ON gp.doc_id = lk.doc_id AND gp.page = lk.page AND gp.fig = lk.fig AND gp.cap = lk.cap)"""
+_NESTED = f"""WITH b AS (SELECT doc_id, list_id, arg_min(x0, ord) AS base FROM fx_list_items WHERE x0 IS NOT NULL GROUP BY 1, 2),
+ a AS (SELECT x.*, coalesce(x0 - base >= 12, false) AS ind, tag IN ('P', 'LI') AND {_BUL} AS bul FROM fx_list_items x JOIN b USING (doc_id, list_id)),
+ s AS (SELECT *, max(CASE WHEN NOT ind AND NOT bul THEN ord END) OVER w AS st, max(CASE WHEN ind THEN ord END) OVER w AS op FROM a WINDOW w AS (PARTITION BY doc_id, list_id ORDER BY ord ROWS UNBOUNDED PRECEDING)),
+ n AS (SELECT *, ind OR (bul AND coalesce(op > coalesce(st, -1), false)) AS nested FROM s)
+SELECT doc_id, list_id, node_id, ord, nested, CASE WHEN nested AND tag = 'P' THEN 'LI' ELSE tag END AS new_tag,
+  CASE WHEN nested THEN max(CASE WHEN NOT nested AND tag IN ('LI', 'L') THEN ord END) OVER (PARTITION BY doc_id, list_id ORDER BY ord ROWS UNBOUNDED PRECEDING) END AS parent_ord FROM n"""
+
 ORACLES = {
     "captions": oracle("figures", f"WITH RECURSIVE {_LINKS} SELECT doc_id, page, fig, cap, gap FROM ln"),
     "caption_pairs": oracle("figures", f"""WITH RECURSIVE {_LINKS} SELECT n.doc_id, n.node_id, coalesce(o.node_id, n.parent_id) AS parent_id, CASE WHEN o.node_id IS NOT NULL THEN 'Caption' ELSE n.tag END AS tag
@@ -124,12 +132,12 @@ SELECT rf.doc_id, rf.page, rf.span, rf.marker, rf.y1 AS ref_y, bd.block, bd.note
  q AS (SELECT doc_id, stop, min(ord) AS f, count(*) AS n FROM r WHERE item GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT r.doc_id, r.node_id, r.ord, coalesce(CASE WHEN s.hd THEN s.node_id END, b.node_id) || '_toc' AS toc_id, 'TOCI' AS new_tag FROM r JOIN q ON q.doc_id = r.doc_id AND q.stop IS NOT DISTINCT FROM r.stop
  LEFT JOIN i s ON s.doc_id = q.doc_id AND s.ord = q.stop JOIN i b ON b.doc_id = q.doc_id AND b.ord = q.f WHERE r.item"""),
-    "nested_lists": oracle("list_items", f"""WITH b AS (SELECT doc_id, list_id, arg_min(x0, ord) AS base FROM fx_list_items WHERE x0 IS NOT NULL GROUP BY 1, 2),
- a AS (SELECT x.*, coalesce(x0 - base >= 12, false) AS ind, tag IN ('P', 'LI') AND {_BUL} AS bul FROM fx_list_items x JOIN b USING (doc_id, list_id)),
- s AS (SELECT *, max(CASE WHEN NOT ind AND NOT bul THEN ord END) OVER w AS st, max(CASE WHEN ind THEN ord END) OVER w AS op FROM a WINDOW w AS (PARTITION BY doc_id, list_id ORDER BY ord ROWS UNBOUNDED PRECEDING)),
- n AS (SELECT *, ind OR (bul AND coalesce(op > coalesce(st, -1), false)) AS nested FROM s)
-SELECT doc_id, list_id, node_id, ord, nested, CASE WHEN nested AND tag = 'P' THEN 'LI' ELSE tag END AS new_tag,
-  CASE WHEN nested THEN max(CASE WHEN NOT nested AND tag IN ('LI', 'L') THEN ord END) OVER (PARTITION BY doc_id, list_id ORDER BY ord ROWS UNBOUNDED PRECEDING) END AS parent_ord FROM n"""),
+    "nested_lists": oracle("list_items", _NESTED),
+    "nested_list_tree": oracle("list_items list_tree", f"""WITH nl AS ({_NESTED}), mv AS (SELECT nl.*, li.node_id AS item, li.node_id || CASE WHEN li.tag = 'LI' AND li.ord % 2 = 0 THEN 'b' ELSE '' END AS host
+   FROM nl LEFT JOIN fx_list_items li ON li.doc_id = nl.doc_id AND li.ord = nl.parent_ord WHERE nested)
+SELECT t.doc_id, t.node_id, CASE WHEN item IS NOT NULL THEN item || '_sublist' ELSE t.parent_id END AS parent_id, t.ord * 2 + 1 AS ord, coalesce(new_tag, t.tag) AS tag, t.x0, t.text
+FROM fx_list_tree t LEFT JOIN mv ON mv.doc_id = t.doc_id AND mv.node_id = t.node_id UNION ALL
+SELECT doc_id, item || '_sublist', host, min(ord) * 6 + 2, 'L', (SELECT x0 FROM fx_list_items f WHERE f.doc_id = mv.doc_id AND f.ord = min(mv.ord)), NULL FROM mv WHERE item IS NOT NULL GROUP BY doc_id, item, host"""),
     "list_labels": oracle("list_items", f"""WITH a AS (SELECT doc_id, node_id, coalesce(text, '') AS t, {strip_sql(f"regexp_extract(coalesce(text, ''), {_lit(lx.BULLET)}, 0, 'i')")} AS l FROM fx_list_items WHERE tag = 'LI'),
  k AS (SELECT * FROM a WHERE l <> '' AND starts_with(t, l))
 SELECT doc_id, node_id AS parent_id, node_id || '_lbl' AS node_id, 'Lbl' AS tag, l AS text FROM k UNION ALL SELECT doc_id, node_id, node_id || '_lbody', 'LBody', ltrim(substr(t, length(l) + 1)) FROM k"""),

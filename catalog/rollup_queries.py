@@ -67,6 +67,13 @@ def _scores(s, p):
                      layout.coverage(t["pages"], t["spans"], nodes), trip)
 
 
+def _written_report(s, p):
+    """Whole reports, written as lines and read back."""
+    path = shared_dir(s, "report")
+    op.write_report_lines(op.report_lines(op.findings(FixtureTables(s, p)), view(s, p, "rules"), view(s, p, "docs")), path)
+    return op.read_report_lines(s, path)
+
+
 QUERIES = {
     "conformance": _record,
     "findings_sink": _sink,
@@ -84,6 +91,7 @@ QUERIES = {
     "rule_explain": lambda s, p: op.explain_rules(view(s, p, "rules")),
     "verdict_counts": lambda s, p: op.verdict_counts(view(s, p, "verdicts")),
     "report_sections": lambda s, p: op.report_sections(op.findings(FixtureTables(s, p)), view(s, p, "rules")),
+    "report_written": _written_report,
     "pass_fail_table": lambda s, p: op.pass_fail_table(_record(s, p), view(s, p, "runs"), view(s, p, "docs")),
     "nonstandard_tags": lambda s, p: view(s, p, "nodes").select("tag").distinct().exceptAll(
         s.createDataFrame([(t,) for t in lx.STANDARD_TAGS], "tag string")),
@@ -207,6 +215,10 @@ _COUNT_LINES = [
     ("Unexpanded abbreviations (WCAG 3.1.4)", "abbreviation"), ("Reading level warnings (WCAG 3.1.5)", "reading_level"), ("XFA findings", "xfa"),
     ("Security restrictions (PDF/UA 7.16)", "security"), ("Pages without structure", "coverage"), ("Annotations without description (PDF/UA 7.18)", "annotation")]
 _ALL = list(op.CHECKS)
+_LINED = f"""s AS ({_SECTIONS}), u AS (SELECT doc_id, 'rule_failures' AS section, clause AS k1, test_number AS k2, line_no AS k3, rule_id AS k4, '' AS k, clause || ' | ' || substr(description, 1, 120) AS line
+   FROM fx_rules WHERE status = 'failed' UNION ALL SELECT doc_id, section, '', 0, 0, 0, k, line FROM s),
+ n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY k1, k2, k3, k4, k) AS rn FROM u)"""
+
 ORACLES = {
     "conformance": oracle("", f"WITH {_rec(_ALL)} SELECT * FROM rec"),
     "findings_sink": oracle("", f"""WITH {_rec(_ALL)} SELECT doc_id, '{{' || {" || ',' || ".join(f"'{chr(34)}{c}{chr(34)}:' || {c}" for c in [*_ALL, "font_errors", "metadata_errors", "total"])} || '}}' AS record FROM rec"""),
@@ -228,10 +240,15 @@ SELECT c.*, NOT {blank_sql('title')} AS has_title, NOT {blank_sql('lang')} AS ha
     "rule_explain": oracle("rules", f"SELECT doc_id, rule_id, line_no, clause, test_number, {_note(0)} AS plain_title, {_noted({k: op.explanation(v) for k, v in _NOTE.items()}, op.explanation(lx.CLAUSE_FALLBACK))} AS plain_explanation, {_note(1)} AS plain_hint FROM fx_rules WHERE status = 'failed'"),
     "verdict_counts": oracle("verdicts", """SELECT doc_id, count(*) FILTER (WHERE verdict = 'looks_good') AS looks_good, count(*) FILTER (WHERE verdict = 'needs_human') AS needs_human,
   count(*) FILTER (WHERE verdict = 'likely_problem') AS likely_problem FROM fx_verdicts GROUP BY 1"""),
-    "report_sections": oracle("rules", f"""WITH s AS ({_SECTIONS}), u AS (SELECT doc_id, 'rule_failures' AS section, clause AS k1, test_number AS k2, line_no AS k3, rule_id AS k4, '' AS k, clause || ' | ' || substr(description, 1, 120) AS line
-   FROM fx_rules WHERE status = 'failed' UNION ALL SELECT doc_id, section, '', 0, 0, 0, k, line FROM s),
- n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY k1, k2, k3, k4, k) AS rn FROM u)
+    "report_sections": oracle("rules", f"""WITH {_LINED}
 SELECT doc_id, section, count(*) AS n, string_agg({_ESC.format(c='line')}, chr(10) ORDER BY rn) AS body FROM n GROUP BY 1, 2"""),
+    "report_written": oracle("rules docs", f"""WITH {_LINED}, c AS (SELECT doc_id, section, count(*) AS n FROM n GROUP BY 1, 2),
+ t AS (SELECT d.doc_id, coalesce(sum(c.n) FILTER (section <> 'rule_failures'), 0) AS f, coalesce(sum(c.n) FILTER (section = 'rule_failures'), 0) AS r,
+   count(*) FILTER (section <> 'rule_failures') AS k FROM fx_docs d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, '' AS section, CAST(i AS BIGINT) AS number, [concat('Findings: ', f), concat('Checks with findings: ', k), concat('Failed rules: ', r),
+   concat('Verdict: ', CASE WHEN f + r = 0 THEN 'pass' WHEN r = 0 THEN 'needs work' ELSE 'fail' END)][i + 1] AS line FROM t, range(4) AS g(i)
+UNION ALL SELECT doc_id, section, 0, section || ': ' || n FROM c SEMI JOIN fx_docs USING (doc_id)
+UNION ALL SELECT doc_id, section, rn, {_ESC.format(c='line')} FROM n SEMI JOIN fx_docs USING (doc_id)"""),
     "pass_fail_table": oracle("docs runs", f"""WITH {_rec(_ALL)}, x AS (SELECT d.doc_id, title, lang, has_xfa, marked, display_title, NOT coalesce(validation_failed, true) AS known, coalesce(compliant, false) AS ok, coalesce(failed_rules, 0) AS fr,
    {", ".join(f"coalesce({c}, 0) AS n_{c}" for _, c in _COUNT_LINES)} FROM fx_docs d LEFT JOIN rec USING (doc_id) LEFT JOIN fx_runs USING (doc_id))
 """ + " UNION ALL ".join([f"SELECT doc_id, {_lit(a)} AS label, {b} AS value, {c} AS pass FROM x" for a, b, c in _LINES]

@@ -219,6 +219,33 @@ def nest_lists(items: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame
         F.when(nested, last).alias("parent_ord"))
 
 
+def nested_list_tree(nodes: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:
+    """The node table with sub-items moved into lists of their own, same columns.
+
+    Every list of a document, at whatever depth, is looked at: the sub-items of an item get one new L node, named after
+    the item, which stands in the item's LBody, or in the item where it has none; paragraphs among them become
+    items. Sub-items before any item stay where they are. ``ord`` is doubled, so that a new list fits in before its first
+    item: existing nodes have odd numbers, new ones even numbers.
+    """
+    lists = nodes.filter(F.col("tag") == "L").select("doc_id", F.col("node_id").alias("list_id"))
+    items = nodes.withColumnRenamed("parent_id", "list_id").join(lists, ["doc_id", "list_id"], "left_semi")
+    nested = nest_lists(items.select("doc_id", "list_id", "node_id", "ord", "tag", "x0", "text"), chunk_rows).filter("nested")
+    owner = items.select("doc_id", F.col("ord").alias("parent_ord"), F.col("node_id").alias("_item"))
+    moved = nested.join(owner, ["doc_id", "parent_ord"], "left").select("doc_id", "ord", "new_tag", "_item")
+    bodies = nodes.filter(F.col("tag") == "LBody").groupBy("doc_id", F.col("parent_id").alias("_item")).agg(F.min_by("node_id", "ord").alias("_body"))
+    name = F.concat("_item", F.lit("_sublist"))
+    out = nodes.join(moved, ["doc_id", "ord"], "left").withColumns({
+        "tag": F.coalesce("new_tag", "tag"), "parent_id": F.coalesce(name, "parent_id"), "ord": F.col("ord") * 2 + 1}).select(*nodes.columns)
+    first = moved.filter("_item IS NOT NULL").groupBy("doc_id", "_item").agg(F.min("ord").alias("ord")).join(bodies, ["doc_id", "_item"], "left")
+    # page and box are those of the first sub-item
+    taken = {"node_id": name, "parent_id": F.coalesce("_body", "_item"), "tag": F.lit("L"), "ord": F.col("ord") * 2}
+    from_first = {"doc_id", "page", "x0", "y0", "x1", "y1"}
+    place = nodes.select("doc_id", "ord", *[c for c in nodes.columns if c in from_first - {"doc_id"}])
+    made = first.join(place, ["doc_id", "ord"]).select(*[
+        (taken[f.name] if f.name in taken else F.col(f.name) if f.name in from_first else F.lit(None)).cast(f.dataType).alias(f.name) for f in nodes.schema])
+    return out.unionByName(made)
+
+
 def split_list_labels(items: DataFrame) -> DataFrame:
     """Items with a marker become a label and a body node."""
     text = F.coalesce("text", F.lit(""))
@@ -230,7 +257,7 @@ def split_list_labels(items: DataFrame) -> DataFrame:
         F.struct(F.concat("node_id", F.lit("_lbody")).alias("node_id"), F.lit("LBody").alias("tag"), body.alias("text")))))
 
 
-def swatch_clusters(fills: DataFrame, band: float = 36.0) -> DataFrame:
+def swatch_clusters(fills: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:
     """Rows of small coloured shapes with at least three colours: a likely legend."""
     area = F.col("w") * F.col("h")
     small = fills.filter(
@@ -239,7 +266,7 @@ def swatch_clusters(fills: DataFrame, band: float = 36.0) -> DataFrame:
     r, gr, b, _ = c.device_rgb(F.col("space"), F.col("a"), F.col("b"), F.col("c"), F.col("d"))
     rows = small.select(*PAGE, (-F.col("y")).alias("down"), "x", "fill_id", "w",
                         *[F.bround(v, 2).alias(n) for v, n in ((r, "r"), (gr, "g"), (b, "bl"))])
-    rows = rows.withColumn("_chunk", F.floor(F.col("down") / band))
+    rows = scan.with_count_chunk(rows, [*PAGE, "down", "x", "fill_id"], chunk_rows)
 
     def starts(cur: Column, prev: Column) -> Column:
         return (F.abs(cur["down"] - prev["down"]) > lx.SWATCH_BAND) | (cur["x"] - (prev["x"] + prev["w"]) > lx.SWATCH_GAP)
@@ -282,7 +309,7 @@ def unmarked_content(ops: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> DataF
     Depth is the running sum less its running minimum below zero.
     """
     delta = F.when(F.col("op").isin("BDC", "BMC"), 1).when(F.col("op") == "EMC", -1).otherwise(0)
-    rows = scan.with_chunk(ops.withColumn("_d", delta), "seq", chunk_rows)
+    rows = scan.with_count_chunk(ops.withColumn("_d", delta), [*PAGE, "seq", "sub"], chunk_rows)
     rows = scan.chunk_scan(
         rows, PAGE, ["seq", "sub"],
         local=[{"_s": lambda w: F.sum("_d").over(scan.running(w))}, {"_m": lambda w: F.min("_s").over(scan.running(w))}],

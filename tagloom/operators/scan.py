@@ -13,6 +13,8 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from tagloom.session import cut_lineage
+
 CHUNK_ROWS = 65_536
 
 WindowFn = Callable[[WindowSpec], Column]
@@ -23,6 +25,28 @@ def with_chunk(df: DataFrame, ord_col: str = "ord", chunk_rows: int = CHUNK_ROWS
     return df.withColumn("_chunk", F.floor(F.col(ord_col) / F.lit(chunk_rows)).cast("long"))
 
 
+def ranked(df: DataFrame, order: Sequence[str], name: str = "_rank") -> DataFrame:
+    """0-based rank of every row in the whole table, in ``order``.
+
+    The table is sorted by range once and written, so that counts per partition and rows come from the same
+    partitions; their running totals, one number per partition, are what a row's place inside its own is added to. No order value has
+    to be rare or frequent: ranges are cut by count, rows that share a value may fall to several tasks.
+    """
+    sort = [F.col(c) for c in order]
+    placed = df.repartitionByRange(*sort).sortWithinPartitions(*sort).withColumns({
+        "_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    placed = cut_lineage(placed)
+    before_it = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before_it), F.lit(0)).alias("_start"))
+    # one row per partition
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
+
+def with_count_chunk(df: DataFrame, order: Sequence[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add ``_chunk``: so many rows each in ``order`` (keys first), however often a value of the order column repeats."""
+    return ranked(df, order).withColumn("_chunk", F.floor(F.col("_rank") / F.lit(chunk_rows)).cast("long")).drop("_rank")
+
+
 def chunk_scan(
     df: DataFrame,
     keys: Sequence[str],

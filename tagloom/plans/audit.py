@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.functions.text import blank, escape_markup, left, strip
-from tagloom.operators import contrast, document, headings, interactive, layout, prose, tables as tb
+from tagloom.operators import contrast, document, headings, interactive, layout, prose, scan, tables as tb
 from tagloom.operators.contrast import first_n
 from tagloom.schema import as_findings
 
@@ -339,12 +339,8 @@ def verdict_counts(items: DataFrame) -> DataFrame:
 
 # --- reports --------------------------------------------------------------------
 
-def report_sections(rows: DataFrame, rules: DataFrame, shown_lines: int | None = None) -> DataFrame:
-    """Report sections per document: the count, and the escaped lines in order.
-
-    ``shown_lines`` limits what is printed per section (None prints all); the count is always
-    that of all findings. With a limit, a rank filter cuts each task's output before lines meet.
-    """
+def _report_rows(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """doc_id, section, k1, k2 (what orders a section) and the escaped line of everything that is reported."""
     failures = rules.filter(F.col("status") == "failed").select(
         "doc_id", F.lit("rule_failures").alias("section"), F.struct("clause", "test_number", "line_no", "rule_id").alias("k1"),
         F.lit(None).cast("string").alias("k2"), F.concat_ws(" | ", "clause", left(F.col("description"), 120)).alias("line"))
@@ -353,7 +349,17 @@ def report_sections(rows: DataFrame, rules: DataFrame, shown_lines: int | None =
         F.concat_ws("\x1f", F.format_string("%09d", F.coalesce("page", F.lit(0))), F.coalesce("type", F.lit("")), F.coalesce("text", F.lit("")),
                     F.coalesce("detail", F.lit(""))).alias("k2"),
         F.concat_ws(" | ", F.coalesce(F.col("page").cast("string"), F.lit("")), F.coalesce("type", F.lit("")), left(F.coalesce("text", F.lit("")), 60)).alias("line"))
-    both = failures.unionByName(found).withColumn("line", escape_markup(F.col("line")))
+    return failures.unionByName(found).withColumn("line", escape_markup(F.col("line")))
+
+
+def report_sections(rows: DataFrame, rules: DataFrame, shown_lines: int | None = None) -> DataFrame:
+    """Report sections per document: the count, and the escaped lines in order, as one text.
+
+    ``shown_lines`` limits what is printed per section (None prints all); the count is always
+    that of all findings. With a limit, a rank filter cuts each task's output before lines meet. For sections of any
+    length see ``report_lines``.
+    """
+    both = _report_rows(rows, rules)
     counts = both.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
     shown = both if shown_lines is None else first_n(both, ["doc_id", "section"], ["k1", "k2"], shown_lines)
     body = shown.groupBy("doc_id", "section").agg(F.array_join(F.transform(
@@ -361,9 +367,39 @@ def report_sections(rows: DataFrame, rules: DataFrame, shown_lines: int | None =
     return counts.join(body, ["doc_id", "section"]).select("doc_id", "section", "n", "body")
 
 
-def write_reports(sections: DataFrame, path: str) -> None:
-    """One text line per document section, for whatever renders them."""
-    sections.select(F.to_json(F.struct("doc_id", "section", "n", "body")).alias("value")).write.mode("overwrite").text(path)
+def report_lines(rows: DataFrame, rules: DataFrame, docs: DataFrame) -> DataFrame:
+    """Whole reports of the documents of ``docs``, a row per line: headline counts and verdict (section ""), then every section's
+    heading and lines. ``part`` 0 to 3 orders the headline, 1 and 2 heading and lines; k1 and k2 order lines.
+    """
+    lines = _report_rows(rows, rules)
+    per_section = lines.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
+    failed = F.col("section") == "rule_failures"
+    totals = docs.select("doc_id").join(per_section.groupBy("doc_id").agg(
+        F.sum(F.when(~failed, F.col("n"))).alias("findings"), F.sum(F.when(failed, F.col("n"))).alias("rules"), F.count_if(~failed).alias("checks")), "doc_id", "left")
+    n, r, c = (F.coalesce(name, F.lit(0)) for name in ("findings", "rules", "checks"))
+    verdict = F.when(n + r == 0, "pass").when(r == 0, "needs work").otherwise("fail")
+    head = totals.select("doc_id", F.lit("").alias("section"), F.posexplode(F.array(
+        F.concat(F.lit("Findings: "), n), F.concat(F.lit("Checks with findings: "), c), F.concat(F.lit("Failed rules: "), r),
+        F.concat(F.lit("Verdict: "), verdict))).alias("part", "line"))
+    heading = per_section.select("doc_id", "section", F.lit(1).alias("part"), F.concat_ws(": ", "section", "n").alias("line"))
+    return lines.withColumn("part", F.lit(2)).unionByName(head.unionByName(heading), allowMissingColumns=True).join(
+        docs.select("doc_id"), "doc_id", "left_semi")
+
+
+def write_report_lines(lines: DataFrame, path: str) -> None:
+    """Lines as JSON text, in order over the files and in each: sorted by range, so a section of any length is many tasks' work
+    and no report is put together in one value."""
+    order = ["doc_id", "section", "part", "k1", "k2", "line"]
+    sort = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    sort.select(F.to_json(F.struct(F.monotonically_increasing_id().alias("place"), "doc_id", "section", "line")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_report_lines(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, section, number (from 0 in its section) and line of a written report."""
+    rows = spark.read.schema("place long, doc_id long, section string, line string").json(path)
+    numbered = scan.ranked(rows, ["place"], "rank")
+    first = numbered.groupBy("doc_id", "section").agg(F.min("rank").alias("_first"))
+    return numbered.join(first, ["doc_id", "section"]).select("doc_id", "section", (F.col("rank") - F.col("_first")).alias("number"), "line")
 
 
 def pass_fail_table(record: DataFrame, runs: DataFrame, docs: DataFrame) -> DataFrame:
