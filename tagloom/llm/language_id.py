@@ -21,15 +21,16 @@ from tagloom.llm.common import map_batches, stored, trigram_buckets
 
 @dataclass(frozen=True)
 class Fusion:
-    """Languages with at least ``share`` of the labelled texts have a model (so at most 1 / share).
+    """Every labelled language has a model, however few its texts.
 
-    ``bits`` sizes the trigram table. ``text_weight`` discounts that neighbouring trigrams share
+    ``bits`` sizes the trigram table. ``common`` is the part of every model that is the same for all, the distribution over
+    all languages: a trigram that a language has not shown counts alike for large and small ones. ``text_weight`` discounts that neighbouring trigrams share
     characters. ``strength`` is how many records a host or domain needs to outweigh what it is
     smoothed towards, ``smoothing`` the count added to every outcome.
     """
 
-    share: float = 0.01
     bits: int = 14
+    common: float = 0.1
     text_weight: float = 1 / 3
     strength: float = 10.0
     smoothing: float = 0.5
@@ -61,16 +62,15 @@ def trigram_counts(texts: DataFrame, bits: int) -> DataFrame:
 
 
 def text_models(texts: DataFrame, fusion: Fusion) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of every bucket under each; at most 1 / share languages."""
-    labelled = texts.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
-    langs = sorted(r["lang"] for r in sizes.filter(F.col("n") >= fusion.share * total).collect())
-    counts = np.full((len(langs), 1 << fusion.bits), fusion.smoothing)
-    if langs:
-        found = trigram_counts(labelled.filter(F.col("lang").isin(langs)), fusion.bits).toArrow()
-        counts[np.searchsorted(langs, found["lang"].to_pylist()), found["bucket"].to_numpy()] += found["n"].to_numpy()
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True))
+    """Languages and the log probability of every bucket under each; 2 ** bits numbers per language, whatever the texts."""
+    found = trigram_counts(texts, fusion.bits).toArrow()
+    langs = sorted(set(found["lang"].to_pylist()))
+    counts = np.zeros((len(langs), 1 << fusion.bits))
+    if not langs:
+        return langs, counts
+    counts[np.searchsorted(langs, found["lang"].to_pylist()), found["bucket"].to_numpy()] += found["n"].to_numpy()
+    every = counts.sum(axis=0) + fusion.smoothing
+    return langs, np.log((1 - fusion.common) * counts / counts.sum(axis=1, keepdims=True) + fusion.common * every / every.sum())
 
 
 def _scored(records: DataFrame, langs: list[str], model: np.ndarray, fusion: Fusion) -> DataFrame:
@@ -94,7 +94,7 @@ def _scored(records: DataFrame, langs: list[str], model: np.ndarray, fusion: Fus
         names = [n for n in batch.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(lls, pa.list_(pa.float64())), pa.array(bests, pa.int32())], [*names, "ll", "best"])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema if f.name != "text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema if f.name != "text")
     return map_batches(records, rows, f"{fields}, ll array<double>, best int")
 
 
@@ -117,11 +117,15 @@ def identify(records: DataFrame, labelled: DataFrame, fusion: Fusion = Fusion())
     ``records`` has text, declared, suffix, host and domain (each may be null) and any keys, which
     are returned with text_lang, lang, posterior and the evidence used. ``labelled`` (text, lang)
     trains the text models. Without labelled texts, or for a record without any evidence, lang is
-    "und" with posterior 0. The host prior leaves the record's own vote out.
+    "und" with posterior 0. The host prior leaves the record's own vote out. Keys may have any names; those named like
+    a result (text_lang, lang, posterior) are left out.
     """
     langs, model = text_models(labelled, fusion)
     n = len(langs)
-    keys = [c for c in records.columns if c not in ("text", "declared", "suffix", "host", "domain")]
+    given = ("text", "declared", "suffix", "host", "domain")
+    named = {c: f"__key{i}" for i, c in enumerate(c for c in records.columns if c not in (*given, "text_lang", "lang", "posterior"))}
+    records = records.select(*[F.col(f"`{c}`").alias(k) for c, k in named.items()], *given)
+    keys = [F.col(k).alias(c) for c, k in named.items()]
     if not n:
         return records.select(*keys, "declared", "suffix", "host", F.lit(None).cast("string").alias("text_lang"),
                               F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"))
@@ -148,7 +152,8 @@ def identify(records: DataFrame, labelled: DataFrame, fusion: Fusion = Fusion())
         return sum((without_own(votes_col, i) for i in range(1, n)), without_own(votes_col, 0))
 
     k = fusion.strength
-    domain_total, host_total = total_of("_domain_votes"), total_of("_host_votes")
+    joined = joined.withColumns({"_domain_total": total_of("_domain_votes"), "_host_total": total_of("_host_votes")})
+    domain_total, host_total = F.col("_domain_total"), F.col("_host_total")
     logs = []
     for i in range(n):
         domain_prior = (without_own("_domain_votes", i) + k * prior[i]) / (domain_total + k)
@@ -160,9 +165,12 @@ def identify(records: DataFrame, labelled: DataFrame, fusion: Fusion = Fusion())
     names = F.array(*map(F.lit, langs))
     place = F.array_position("_logs", F.col("_top")).cast("int")
     weight = F.aggregate("_logs", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_top")))
-    return fused.select(*keys, "declared", "suffix", "host", F.when(F.col("best").isNotNull(), F.element_at(names, F.col("best") + 1)).alias("text_lang"),
+    told = fused.select(*named.values(), "declared", "suffix", "host",
+                        F.when(F.col("best").isNotNull(), F.element_at(names, F.col("best") + 1)).alias("text_lang"),
                         F.when(known, F.element_at(names, place)).otherwise(F.lit("und")).alias("lang"),
                         F.when(known, F.round(1 / weight, 6)).otherwise(F.lit(0.0)).alias("posterior"))
+    # names of the caller come back last, where no expression can take them for its own
+    return told.select(*keys, "declared", "suffix", "host", "text_lang", "lang", "posterior")
 
 
 _NOT_TEXT = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
