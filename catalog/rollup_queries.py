@@ -17,6 +17,7 @@ from tagloom.operators import repair as rp
 from tagloom.plans import audit as op
 from tagloom.plans import repair_sequence
 from tagloom.session import shared_dir
+from tagloom.streaming import records
 
 _lit = Duck().lit
 
@@ -74,6 +75,23 @@ def _written_report(s, p):
     return op.read_report_lines(s, path)
 
 
+#: The tables that the checks read.
+AUDITED = ["spans", "annots", "paths", "pages", "images", "links", "nodes", "cells", "tables", "docs", "fills", "fonts", "layers", "fields", "texts"]
+
+
+def _streamed_record(s, p):
+    """All documents arrive in two batches, those with odd ids a second time; the record after both."""
+    arriving = shared_dir(s, "arriving")
+    ids = table(s, p, "documents").select("doc_id")
+    for part in (ids, ids.filter(F.col("doc_id") % 2 == 1)):
+        part.coalesce(1).write.mode("append").parquet(arriving)
+    stream = s.readStream.schema("doc_id long").option("maxFilesPerTrigger", 1).parquet(arriving)
+    known = FixtureTables(s, p)
+    sink = shared_dir(s, "counts")
+    records.audit_arrivals(stream, {name: known[name] for name in AUDITED}, sink, shared_dir(s, "stream-state")).awaitTermination()
+    return records.record(s, sink)
+
+
 QUERIES = {
     "conformance": _record,
     "findings_sink": _sink,
@@ -92,6 +110,7 @@ QUERIES = {
     "verdict_counts": lambda s, p: op.verdict_counts(view(s, p, "verdicts")),
     "report_sections": lambda s, p: op.report_sections(op.findings(FixtureTables(s, p)), view(s, p, "rules")),
     "report_written": _written_report,
+    "stream_record": _streamed_record,
     "pass_fail_table": lambda s, p: op.pass_fail_table(_record(s, p), view(s, p, "runs"), view(s, p, "docs")),
     "nonstandard_tags": lambda s, p: view(s, p, "nodes").select("tag").distinct().exceptAll(
         s.createDataFrame([(t,) for t in lx.STANDARD_TAGS], "tag string")),
@@ -221,6 +240,7 @@ _LINED = f"""s AS ({_SECTIONS}), u AS (SELECT doc_id, 'rule_failures' AS section
 
 ORACLES = {
     "conformance": oracle("", f"WITH {_rec(_ALL)} SELECT * FROM rec"),
+    "stream_record": oracle("", f"WITH {_rec(_ALL)} SELECT * FROM rec WHERE doc_id IN (SELECT doc_id FROM documents)"),
     "findings_sink": oracle("", f"""WITH {_rec(_ALL)} SELECT doc_id, '{{' || {" || ',' || ".join(f"'{chr(34)}{c}{chr(34)}:' || {c}" for c in [*_ALL, "font_errors", "metadata_errors", "total"])} || '}}' AS record FROM rec"""),
     "corpus_rollup": oracle("", f"""WITH {_found(_ALL)} SELECT chk AS "check", severity, count(*) AS findings FROM f GROUP BY ROLLUP (chk, severity)"""),
     "bench_rows": oracle("runs", f"WITH {_BENCH} SELECT * FROM br"),
