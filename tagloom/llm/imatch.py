@@ -68,6 +68,15 @@ def terms(text: str) -> set[str]:
     return out
 
 
+def parted(text: str, keep: int) -> tuple[set[str], str]:
+    """The terms of the words that end within the first ``keep`` code points, and what of the next word is among them."""
+    head = text[:keep]
+    if not head or head[-1].isspace():
+        return terms(head), ""
+    words = head.rsplit(None, 1)
+    return (terms(words[0]), words[1]) if len(words) == 2 else (set(), words[0])
+
+
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term, df over all documents; counted within each task before anything is shuffled."""
 
@@ -109,8 +118,11 @@ class Printer:
 
     def print(self, text: str) -> str:
         """``digits`` hex digits per subset, dashes for a subset of which the text has no term."""
+        return "".join(self.hashes(terms(text)))
+
+    def hashes(self, every: set[str]) -> list[str]:
+        """The parts of a fingerprint, from the terms of a text."""
         import xxhash
-        every = terms(text)
         own = self._chosen.keys() & every
         if len(own) < self._band.few:
             own = every
@@ -120,11 +132,10 @@ class Printer:
                 held.setdefault(place, []).append(term)
         subsets = self._subsets
         empty = "-" * subsets.digits
-        return "".join(
-            xxhash.xxh64_hexdigest(" ".join(held[i]).encode())[:subsets.digits] if i in held else empty
-            for i in range(subsets.count * subsets.scales))
+        return [xxhash.xxh64_hexdigest(" ".join(held[i]).encode())[:subsets.digits] if i in held else empty
+                for i in range(subsets.count * subsets.scales)]
 
-    def likeness(self, one: str, other: str) -> float:
+    def likeness(self, one: list[str], other: list[str]) -> float:
         """Share of equal hashes among the subsets that either text has terms in, 0 to 1.
 
         Sizes at which most subsets are used hold too many terms each to survive an edit, so only
@@ -133,13 +144,12 @@ class Printer:
         """
         if one == other:
             return 1.0
-        subsets, size = self._subsets, self._subsets.digits
-        empty = "-" * size
+        subsets = self._subsets
+        empty = "-" * subsets.digits
         same = used = 0
         for scale in range(subsets.scales):
-            at = scale * subsets.count * size
-            a = [one[i:i + size] for i in range(at, at + subsets.count * size, size)]
-            b = [other[i:i + size] for i in range(at, at + subsets.count * size, size)]
+            part = slice(scale * subsets.count, (scale + 1) * subsets.count)
+            a, b = one[part], other[part]
             either = sum(x != empty or y != empty for x, y in zip(a, b))
             if 4 * either <= 3 * subsets.count or scale == subsets.scales - 1:
                 used += either
@@ -232,22 +242,25 @@ def compare_edited(docs: DataFrame, band: Lexicon = Lexicon(), subsets: Subsets
         import zstandard
         unpack = zstandard.ZstdDecompressor().decompress
         printer = Printer(known.value, band, subsets)
-        held = None  # range, doc_id, text and fingerprint of the row whose successor is awaited
+        held = None  # what is known of the row whose successor is awaited
         for batch in batches:
             out = []
             for where, guest, doc_id, packed in zip(*(batch.column(c).to_pylist() for c in ("_range", "_guest", "doc_id", "packed"))):
                 if guest and (held is None or held[0] != where):
                     continue  # only the first guest is a successor
                 text = unpack(packed).decode()
-                own = printer.print(text)
+                # the words that the edit leaves alone are taken apart once, for both texts
+                keep = len(text) - len(text) // share
+                stays, begun = parted(text, keep)
+                own = printer.hashes(stays | terms(begun + text[keep:]))
                 if held is not None and held[0] == where:
-                    _, before, start, mark = held
+                    _, before, start, known_terms, rest, mark = held
                     cut = len(start) // share
                     edited = start[:len(start) - cut] + text[:cut]
-                    other = printer.print(edited) if edited != start else mark
-                    out.append((before, len(start), hashlib.sha256(edited.encode()).hexdigest(), mark, other,
+                    other = printer.hashes(known_terms | terms(rest + text[:cut])) if edited != start else mark
+                    out.append((before, len(start), hashlib.sha256(edited.encode()).hexdigest(), "".join(mark), "".join(other),
                                 printer.likeness(mark, other), printer.likeness(mark, own)))
-                held = None if guest else (where, doc_id, text, own)
+                held = None if guest else (where, doc_id, text, stays, begun, own)
             columns = list(zip(*out)) or [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [
