@@ -8,7 +8,9 @@ from catalog.dialect import Duck, oracle, table, view
 from catalog.forms_queries import map_sql
 from catalog.fixtures import CLAUSES
 from catalog.text_queries import strip_sql
-from tagloom.sources import layout_json, ocr, text, validator, web
+from tagloom.functions.text import strip
+from tagloom.session import shared_dir
+from tagloom.sources import intake, layout_json, ocr, text, validator, web
 
 _lit = Duck().lit
 
@@ -67,7 +69,39 @@ def _guard(s, p):
     return text.size_guard(docs, "length", 2000)
 
 
+_REPORT_FILES = 40
+
+
+def _validator_files(s, p):
+    """The rules of all reports in a few long report files, written and read back."""
+    path = shared_dir(s, "validator-files")
+    part = (F.col("doc_id") % _REPORT_FILES).alias("file")
+    rules = view(s, p, "reports").select(part, F.col("doc_id").alias("place"), F.explode(F.regexp_extract_all("xml", F.lit("(?s)<rule .*?</rule>"), F.lit(0))).alias("value"))
+    files = rules.select("file").distinct()
+    head = F.concat(F.lit('<?xml version="1.0"?><report><jobs><job><validationReport flavour="PDFUA_1" isCompliant="'), (F.col("file") % 2 == 0).cast("string"),
+                    F.lit('"><details passedRules="'), "file", F.lit('" failedRules="3" passedChecks="4" failedChecks="5">'))
+    lines = rules.unionByName(files.select("file", F.lit(-1).alias("place"), head.alias("value"))).unionByName(
+        files.select("file", F.lit(1 << 60).alias("place"), F.lit("</details></validationReport></job></jobs></report>").alias("value")))
+    lines.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
+    number = F.regexp_extract("path", "file=([0-9]+)/", 1).cast("long").alias("file")
+    return validator.validated_files(s, path).select(
+        number, "clause", "test_number", "description", "passed_checks", "failed_checks", F.size("contexts").alias("contexts"), "compliant", "flavour", "passed_rules", "all_failed_checks")
+
+
+def _intake(s, p):
+    """Every document a file of its own; those over 2000 bytes are not opened."""
+    path = shared_dir(s, "intake")
+    table(s, p, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    taken, rejected = intake.intake(s, path, 2000)
+    lines = F.size(F.filter(F.split("text", "\n"), lambda x: strip(x) != ""))
+    done = taken.select(F.col("doc_id").cast("long").alias("doc_id"), "length", F.lit(None).cast("string").alias("error"), lines.alias("lines"))
+    return done.unionByName(rejected.select(F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "length", "error",
+                                            F.lit(None).cast("int").alias("lines")))
+
+
 QUERIES = {
+    "validator_files": _validator_files,
+    "intake_files": _intake,
     "pages_nodes": lambda s, p: web.page_nodes(table(s, p, "pages")),
     "pages_links": lambda s, p: web.page_links(table(s, p, "pages")),
     "pages_docs": lambda s, p: web.page_docs(table(s, p, "pages")),
@@ -133,6 +167,10 @@ FROM pages, unnest(regexp_extract_all({_CLEAN}, {_lit(web.LINK)}, 0)) WITH ORDIN
     "validator_report": f"""WITH r AS ({_RULES}) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY clause, test_number) AS INT) AS position, 'PDF/UA-1' AS specification,
   clause, test_number, 'failed' AS status, 'Rule ' || i || ' of a & b' AS description, pc AS passed_checks, fc AS failed_checks,
   coalesce(array_to_string(list_transform(range(nc), lambda z: 'root/page[' || i || ']'), '|'), '') AS contexts FROM r""",
+    "validator_files": f"""WITH r AS ({_RULES}) SELECT doc_id % {_REPORT_FILES} AS file, clause, test_number, 'Rule ' || i || ' of a & b' AS description, pc AS passed_checks, fc AS failed_checks,
+  CAST(nc AS INTEGER) AS contexts, doc_id % {_REPORT_FILES} % 2 = 0 AS compliant, 'PDFUA_1' AS flavour, doc_id % {_REPORT_FILES} AS passed_rules, CAST(5 AS BIGINT) AS all_failed_checks FROM r""",
+    "intake_files": f"""SELECT doc_id, strlen(text) + 1 AS length, CASE WHEN strlen(text) >= 2000 THEN 'too_long' END AS error,
+  CASE WHEN strlen(text) < 2000 THEN CAST(len(list_filter(string_split(text, chr(10)), lambda x: {strip_sql('x')} <> '')) AS INTEGER) END AS lines FROM documents""",
     "validations": """SELECT o_orderkey AS doc_id, o_custkey % 5 = 0 AS compliant, 'PDFUA_1' AS flavour, o_custkey % 90 AS passed_rules, CAST(2 AS BIGINT) AS failed_rules,
   CAST(900 AS BIGINT) AS passed_checks, o_orderkey % 70 AS failed_checks, CAST(NULL AS VARCHAR) AS validation_error FROM orders""",
     "layout_nodes": f"WITH {_NODES} SELECT * FROM nd",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _RULE = (
     "struct<_specification: string, _clause: string, _testNumber: int, _status: string, _passedChecks: long, "
@@ -45,3 +45,48 @@ def failed_rules(reports: DataFrame, xml_col: str = "xml") -> DataFrame:
         F.lit("failed").alias("status"), F.trim(r["description"]).alias("description"),
         r["_passedChecks"].alias("passed_checks"), r["_failedChecks"].alias("failed_checks"),
         F.coalesce(F.array_join(contexts, "|"), F.lit("")).alias("contexts"))
+
+
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """Every rule of the report files below ``path``, a row per rule, so that a report of any length is read by many tasks.
+
+    Columns: path, specification, clause, test_number, status, description, passed_checks, failed_checks, contexts (an array) and
+    ``_corrupt``, the text of a rule that can't be read as one (its other columns are null then). A number that is none is null.
+    """
+    # numbers as text: the parser gives up a whole file for an attribute that is none
+    rule = ("_specification string, _clause string, _testNumber string, _status string, _passedChecks string, _failedChecks string, "
+            "description string, check array<struct<_status: string, context: string>>")
+    rows = spark.read.format("xml").options(rowTag="rule", ignoreNamespace="true", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").schema(
+        f"{rule}, _corrupt string").load(path)
+    contexts = F.filter(F.transform("check", lambda k: F.trim(k["context"])), lambda x: x != "")
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_specification").alias("specification"), F.col("_clause").alias("clause"),
+                       F.col("_testNumber").try_cast("int").alias("test_number"), F.lower("_status").alias("status"), F.trim("description").alias("description"),
+                       F.col("_passedChecks").try_cast("long").alias("passed_checks"), F.col("_failedChecks").try_cast("long").alias("failed_checks"),
+                       F.coalesce(contexts, F.array().cast("array<string>")).alias("contexts"), "_corrupt")
+
+
+def read_totals(spark: SparkSession, path: str) -> DataFrame:
+    """compliant, flavour and the four totals of every report file; a file without a result has an error instead.
+
+    Files are read tag by tag, as lines that end with ">", so the result's tags are found without holding a report.
+    """
+    tags = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+
+    def attribute(name: str) -> Column:
+        return F.nullif(F.regexp_extract("value", rf"\b{name}\s*=\s*[\"']([^\"']*)", 1), F.lit(""))
+
+    opens = F.regexp_extract("value", r"<(?:\w+:)?(validationReport|validationResult|details)\b[^<]*$", 1)
+    found = tags.withColumn("_tag", opens)
+    report, details = F.col("_tag").isin("validationReport", "validationResult"), F.col("_tag") == "details"
+    totals = {"passed_rules": "passedRules", "failed_rules": "failedRules", "passed_checks": "passedChecks", "failed_checks": "failedChecks"}
+    rows = found.groupBy("path").agg(
+        F.max(F.when(report, F.lower(attribute("isCompliant")) == "true")).alias("compliant"), F.max(F.when(report, attribute("flavour"))).alias("flavour"),
+        *[F.coalesce(F.max(F.when(details, attribute(a).try_cast("long"))), F.lit(0)).alias(b) for b, a in totals.items()],
+        F.bool_or(report).alias("_known"))
+    return rows.select("path", "compliant", "flavour", *totals, F.when(~F.col("_known"), F.lit("no validation result")).alias("validation_error"))
+
+
+def validated_files(spark: SparkSession, path: str) -> DataFrame:
+    """Failed rules of report files beside the totals of their file."""
+    failed = read_rules(spark, path).filter("status = 'failed'")
+    return failed.join(read_totals(spark, path).withColumnsRenamed({"passed_checks": "all_passed_checks", "failed_checks": "all_failed_checks"}), "path")
