@@ -61,6 +61,8 @@ QUERIES = {
     "reorder": lambda s, p: op.reorder(_order_nodes(s, p), _requests(s, p).select("doc_id", "node_id", "pos")),
     "page_reorder": lambda s, p: op.reorder_pages(view(s, p, "nodes"), _requests(s, p)),
     "apply_fixes": lambda s, p: op.apply_fixes(view(s, p, "nodes"), view(s, p, "fixes")),
+    "corrected_nodes": lambda s, p: op.corrected(view(s, p, "nodes"), view(s, p, "fixes"))[0].select("doc_id", "node_id", "ord", "tag", "alt"),
+    "corrections_log": lambda s, p: op.corrected(view(s, p, "nodes"), view(s, p, "fixes"))[1],
     "catalog_repair": _auto,
     "clause_repair": _clauses,
     "fix_tally": lambda s, p: op.fix_tally(_clauses(s, p)),
@@ -96,6 +98,27 @@ _RT = f"""hw AS (SELECT doc_id, count(*) FILTER (WHERE tag IN {_in(lx.HEADING_TA
    UNION ALL SELECT doc_id, 'RT-7', 'error', bare = 0 FROM z WHERE has_struct UNION ALL SELECT doc_id, 'RT-8', 'warning', wh = 0 OR gh >= wh * 0.8e0 FROM z WHERE has_struct
    UNION ALL SELECT doc_id, 'RT-9', 'warning', ml = '' OR lg = '' OR starts_with(lg, substr(ml, 1, 2)) FROM z WHERE has_struct)"""
 _RTV = "docs nodes"
+_FIXES = f"""e AS (SELECT doc_id, node_id, tag, {_KEY.format(c='text')} AS k FROM fx_nodes),
+ r AS (SELECT *, {_KEY.format(c='target_text')} AS t FROM fx_fixes WHERE action = 'retag'), v AS (SELECT * FROM r WHERE new_tag IN {_in(lx.ALLOWED_RETAGS)} AND length(t) >= 3),
+ m AS (SELECT v.doc_id, v.fix_id, v.new_tag, count(*) FILTER (WHERE k = t) AS ne, count(k) AS np, arg_min(node_id, node_id) FILTER (WHERE k = t) AS eid, arg_min(tag, node_id) FILTER (WHERE k = t) AS etag,
+   min(node_id) AS pid, arg_min(tag, node_id) AS ptag FROM v LEFT JOIN (SELECT * FROM e WHERE length(k) >= 3) e ON e.doc_id = v.doc_id AND (starts_with(k, t) OR starts_with(t, k)) GROUP BY 1, 2, 3),
+ q AS (SELECT *, CASE WHEN ne > 0 THEN ne ELSE np END AS n, CASE WHEN ne > 0 THEN eid ELSE pid END AS nid, CASE WHEN ne > 0 THEN etag ELSE ptag END AS tg FROM m),
+ o AS (SELECT *, coalesce(lag(new_tag) OVER (PARTITION BY doc_id, nid ORDER BY fix_id), tg) AS bt FROM q WHERE n = 1),
+ fg AS (SELECT doc_id, node_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS fno FROM fx_nodes WHERE tag = 'Figure'),
+ al AS (SELECT f.doc_id, f.fix_id, fg.node_id, {strip_sql("coalesce(new_alt, '')")} AS v FROM fx_fixes f LEFT JOIN fg ON fg.doc_id = f.doc_id AND fg.fno = f.figure_number WHERE action = 'set_alt'),
+ u AS (SELECT doc_id, fix_id, nid AS node_id, CASE WHEN bt = new_tag THEN 'already tagged ' || new_tag END AS why, new_tag AS value FROM o
+   UNION ALL SELECT doc_id, fix_id, NULL, n || ' elements matched, need exactly 1', NULL FROM q WHERE n <> 1
+   UNION ALL SELECT doc_id, fix_id, NULL, 'invalid retag parameters', NULL FROM r WHERE NOT (new_tag IN {_in(lx.ALLOWED_RETAGS)} AND length(t) >= 3)
+   UNION ALL SELECT doc_id, fix_id, CASE WHEN v <> '' THEN node_id END, CASE WHEN node_id IS NULL OR v = '' THEN 'figure not found or empty alt' END, CASE WHEN node_id IS NOT NULL AND v <> '' THEN v END FROM al
+   UNION ALL SELECT doc_id, fix_id, NULL, CASE WHEN {strip_sql("coalesce(new_title, '')")} = '' THEN 'empty title' END, nullif({strip_sql("coalesce(new_title, '')")}, '') FROM fx_fixes WHERE action = 'set_title'
+   UNION ALL SELECT doc_id, fix_id, NULL, 'unknown action ' || action, NULL FROM fx_fixes WHERE action NOT IN ('retag', 'set_alt', 'set_title'))"""
+_CORRECTED = """dn AS (SELECT u.*, why IS NULL AS applied, f.action FROM u JOIN fx_fixes f USING (doc_id, fix_id)),
+ lt AS (SELECT doc_id, node_id, arg_max(value, fix_id) FILTER (action = 'retag') AS nt, arg_max(value, fix_id) FILTER (action = 'set_alt') AS na FROM dn WHERE applied AND node_id IS NOT NULL GROUP BY 1, 2),
+ ch AS (SELECT n.doc_id, n.node_id, n.ord, coalesce(nt, tag) AS tag, coalesce(na, alt) AS alt FROM fx_nodes n LEFT JOIN lt USING (doc_id, node_id)),
+ hd AS (SELECT doc_id, ord, CAST(substr(tag, 2, 1) AS INT) AS level, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM ch
+   WHERE regexp_full_match(tag, 'H[1-6]') AND doc_id IN (SELECT doc_id FROM dn WHERE applied AND action = 'retag')),
+ hl AS (SELECT *, i + min(CASE WHEN i = 1 THEN 1 ELSE level END - i) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS nl FROM hd)"""
+
 ORACLES = {
     "best_of": oracle("runs", """WITH r AS (SELECT *, NOT compliant AND coalesce(mode, 'rebuild') = 'repair' AND NOT validation_failed AND failed_rebuild < failed_out AS w FROM fx_runs)
 SELECT doc_id, CASE WHEN w THEN 'rebuild' ELSE coalesce(mode, 'rebuild') END AS mode, w AS rebuild_used, CASE WHEN w THEN failed_rebuild ELSE failed_out END AS failed_checks FROM r"""),
@@ -119,21 +142,12 @@ SELECT a.doc_id, a.node_id, a.ord AS old_ord, b.ord AS new_ord, a.ord <> b.ord A
  x AS (SELECT n.doc_id, n.node_id, n.ord, r.pos, CASE WHEN pg.page IS NULL THEN n.ord ELSE min(n.ord) OVER (PARTITION BY n.doc_id, n.page) END AS a FROM fx_nodes n LEFT JOIN pg ON pg.doc_id = n.doc_id AND pg.page = n.page
    LEFT JOIN fx_order_requests r ON r.doc_id = n.doc_id AND r.node_id = n.node_id)
 SELECT doc_id, node_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY a, pos IS NULL, coalesce(pos, ord), ord) AS rank FROM x"""),
-    "apply_fixes": oracle("nodes fixes", f"""WITH e AS (SELECT doc_id, node_id, tag, {_KEY.format(c='text')} AS k FROM fx_nodes),
- r AS (SELECT *, {_KEY.format(c='target_text')} AS t FROM fx_fixes WHERE action = 'retag'), v AS (SELECT * FROM r WHERE new_tag IN {_in(lx.ALLOWED_RETAGS)} AND length(t) >= 3),
- m AS (SELECT v.doc_id, v.fix_id, v.new_tag, count(*) FILTER (WHERE k = t) AS ne, count(k) AS np, arg_min(node_id, node_id) FILTER (WHERE k = t) AS eid, arg_min(tag, node_id) FILTER (WHERE k = t) AS etag,
-   min(node_id) AS pid, arg_min(tag, node_id) AS ptag FROM v LEFT JOIN (SELECT * FROM e WHERE length(k) >= 3) e ON e.doc_id = v.doc_id AND (starts_with(k, t) OR starts_with(t, k)) GROUP BY 1, 2, 3),
- q AS (SELECT *, CASE WHEN ne > 0 THEN ne ELSE np END AS n, CASE WHEN ne > 0 THEN eid ELSE pid END AS nid, CASE WHEN ne > 0 THEN etag ELSE ptag END AS tg FROM m),
- o AS (SELECT *, coalesce(lag(new_tag) OVER (PARTITION BY doc_id, nid ORDER BY fix_id), tg) AS bt FROM q WHERE n = 1),
- fg AS (SELECT doc_id, node_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS fno FROM fx_nodes WHERE tag = 'Figure'),
- al AS (SELECT f.doc_id, f.fix_id, fg.node_id, {strip_sql("coalesce(new_alt, '')")} AS v FROM fx_fixes f LEFT JOIN fg ON fg.doc_id = f.doc_id AND fg.fno = f.figure_number WHERE action = 'set_alt'),
- u AS (SELECT doc_id, fix_id, nid AS node_id, CASE WHEN bt = new_tag THEN 'already tagged ' || new_tag END AS why, new_tag AS value FROM o
-   UNION ALL SELECT doc_id, fix_id, NULL, n || ' elements matched, need exactly 1', NULL FROM q WHERE n <> 1
-   UNION ALL SELECT doc_id, fix_id, NULL, 'invalid retag parameters', NULL FROM r WHERE NOT (new_tag IN {_in(lx.ALLOWED_RETAGS)} AND length(t) >= 3)
-   UNION ALL SELECT doc_id, fix_id, CASE WHEN v <> '' THEN node_id END, CASE WHEN node_id IS NULL OR v = '' THEN 'figure not found or empty alt' END, CASE WHEN node_id IS NOT NULL AND v <> '' THEN v END FROM al
-   UNION ALL SELECT doc_id, fix_id, NULL, CASE WHEN {strip_sql("coalesce(new_title, '')")} = '' THEN 'empty title' END, nullif({strip_sql("coalesce(new_title, '')")}, '') FROM fx_fixes WHERE action = 'set_title'
-   UNION ALL SELECT doc_id, fix_id, NULL, 'unknown action ' || action, NULL FROM fx_fixes WHERE action NOT IN ('retag', 'set_alt', 'set_title'))
-SELECT *, why IS NULL AS applied FROM u"""),
+    "apply_fixes": oracle("nodes fixes", f"WITH {_FIXES} SELECT *, why IS NULL AS applied FROM u"),
+    "corrected_nodes": oracle("nodes fixes", f"""WITH {_FIXES}, {_CORRECTED}
+SELECT ch.doc_id, ch.node_id, ch.ord, CASE WHEN nl <> level THEN 'H' || nl ELSE ch.tag END AS tag, ch.alt FROM ch LEFT JOIN hl USING (doc_id, ord)"""),
+    "corrections_log": oracle("nodes fixes", f"""WITH {_FIXES}, {_CORRECTED}
+SELECT doc_id, fix_id, action, node_id, applied, why, value FROM dn
+UNION ALL SELECT doc_id, NULL, 'heading_levels', NULL, true, NULL, CAST(count(*) AS VARCHAR) FROM hl WHERE nl <> level GROUP BY doc_id"""),
     "catalog_repair": oracle("rules docs nodes annots", f"""WITH {_FC}, fe AS (SELECT DISTINCT doc_id, 1 AS e FROM fx_nodes WHERE tag = 'Figure' AND alt IS NOT NULL AND {blank_sql('alt')}),
  x AS (SELECT * FROM fx_docs JOIN fc USING (doc_id) LEFT JOIN fe USING (doc_id) LEFT JOIN ap USING (doc_id))
 SELECT doc_id, 'marked' AS repair, CAST(1 AS BIGINT) AS n FROM x WHERE a AND NOT marked UNION ALL SELECT doc_id, 'display_title', 1 FROM x WHERE b AND NOT display_title

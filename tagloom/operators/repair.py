@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.functions.text import blank, left, lookup, match_key, strip
-from tagloom.operators import scan
+from tagloom.operators import headings, scan
 from tagloom.operators.contrast import first_n
 from tagloom.operators.layout import duplicate_ids, figure_numbers
 from tagloom.operators.tables import assign_scope
@@ -185,6 +185,35 @@ def apply_fixes(nodes: DataFrame, fixes: DataFrame) -> DataFrame:
     return out.withColumn("applied", F.col("why").isNull())
 
 
+def corrected(nodes: DataFrame, fixes: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The nodes after all corrections, and the log of what was done to them.
+
+    A node keeps its last applied tag and alternative text. Retags may open gaps between heading levels, so the headings of
+    documents with an applied retag, and of no others, are repaired after that; each such document has one more line in
+    the log (action heading_levels, no fix_id, the number of repaired headings as value).
+    """
+    keys = ["doc_id", "fix_id"]
+    log = cut_lineage(apply_fixes(nodes, fixes).join(fixes.select(*keys, "action"), keys).select(
+        *keys, "action", "node_id", "applied", "why", "value"))
+    done = log.filter("applied AND node_id IS NOT NULL")
+
+    def last(action: str) -> Column:
+        return F.max_by(F.when(F.col("action") == action, F.col("value")), F.when(F.col("action") == action, F.col("fix_id")))
+
+    changes = done.groupBy("doc_id", "node_id").agg(last("retag").alias("_tag"), last("set_alt").alias("_alt"))
+    changed = nodes.join(changes, ["doc_id", "node_id"], "left").withColumns({
+        "tag": F.coalesce("_tag", "tag"), "alt": F.coalesce("_alt", "alt")}).select(*nodes.columns)
+    touched = done.filter("action = 'retag'").select("doc_id").distinct()
+    heads = changed.filter(F.col("tag").rlike("^H[1-6]$")).join(touched, "doc_id", "left_semi").select(
+        "doc_id", "ord", F.substring("tag", 2, 1).cast("int").alias("level"))
+    levels = cut_lineage(headings.repair_levels(heads, chunk_rows).filter("new_level <> level").select("doc_id", "ord", "new_level"))
+    out = changed.join(levels, ["doc_id", "ord"], "left").withColumn(
+        "tag", F.coalesce(F.concat(F.lit("H"), F.col("new_level")), "tag")).select(*nodes.columns)
+    repaired = levels.groupBy("doc_id").agg(F.count(F.lit(1)).cast("string").alias("value")).select(
+        "doc_id", F.lit("heading_levels").alias("action"), F.lit(True).alias("applied"), "value")
+    return out, log.unionByName(repaired, allowMissingColumns=True)
+
+
 # --- catalog and clause repairs --------------------------------------------------
 
 def failed_clauses(rules: DataFrame) -> DataFrame:
