@@ -162,13 +162,13 @@ def test_caption_greedy_is_one_to_one(spark):
     assert got == want and len(set(got.values())) == len(got)
 
 
-@pytest.mark.parametrize("band", [5.0, 36.0, 5000.0])
-def test_swatches_do_not_depend_on_the_band(spark, band):
+@pytest.mark.parametrize("chunk", [1, 5, 5000])
+def test_swatches_do_not_depend_on_the_chunks(spark, chunk):
     rng = random.Random(4)
     df = spark.createDataFrame([(1, 1, i, float(rng.randint(0, 300)), float(rng.choice([10, 12, 40, 44, 90])), 8.0, 8.0, "rgb", rng.random(), 0.1, 0.2, 0.0)
                                 for i in range(120)], "doc_id long, page int, fill_id long, x double, y double, w double, h double, space string, a double, b double, c double, d double")
-    whole = {tuple(r) for r in layout.swatch_clusters(df, 1e9).collect()}
-    assert {tuple(r) for r in layout.swatch_clusters(df, band).collect()} == whole and whole
+    whole = {tuple(r) for r in layout.swatch_clusters(df).collect()}
+    assert {tuple(r) for r in layout.swatch_clusters(df, chunk).collect()} == whole and whole
 
 
 @pytest.mark.parametrize("chunk", CHUNKS)
