@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import lexicon as lx
@@ -111,28 +113,45 @@ def darken_exact(r: Column, g: Column, b: Column, required: float = lx.TEXT_RATI
 
 #: Scales tried are 1.000, 0.995 ... 0.000.
 DARKEN_STEPS, DARKEN_BY = 200, 0.005
+_GRID_VALUES = np.array([_linear(i / 255.0) for i in range(256)])
+
+
+def _first_step(required: float):
+    """Number of the first step that reaches the ratio, null if none does, for whole Arrow batches of colours at once."""
+
+    def steps(r: pd.Series, g: pd.Series, b: pd.Series, bg: pd.Series) -> pd.Series:
+        channels, other = [v.to_numpy(float) for v in (r, g, b)], bg.to_numpy(float)
+        usable = ~np.isnan(np.stack([*channels, other])).any(axis=0)
+        channels, other = [np.where(usable, v, 0.0) for v in channels], np.where(usable, other, 0.0)
+
+        def passes(step: np.ndarray) -> np.ndarray:
+            scale = 1.0 - step * DARKEN_BY
+            x, y, z = (_GRID_VALUES[np.rint(v * scale * 255.0).astype(int)] for v in channels)
+            lum = 0.2126 * x + 0.7152 * y + 0.0722 * z
+            return (np.maximum(lum, other) + 0.05) / (np.minimum(lum, other) + 0.05) >= required
+
+        fails = np.zeros(len(other), int)  # the last step that fails, bit by bit
+        bit = 1 << DARKEN_STEPS.bit_length() - 1
+        while bit:
+            further = fails + bit
+            fails = np.where((further <= DARKEN_STEPS) & ~passes(np.minimum(further, DARKEN_STEPS)), further, fails)
+            bit >>= 1
+        first = np.where(passes(np.zeros_like(fails)), 0, fails + 1)
+        return pd.Series(first).astype("Int32").mask(~usable | (first > DARKEN_STEPS))
+
+    return F.pandas_udf(steps, "int")
 
 
 def with_darken_scale(df: DataFrame, r: Column, g: Column, b: Column, bg_lum: Column, required: float) -> DataFrame:
     """``df`` with ``_scale``, the first scale tried that reaches the ratio; null if none does.
 
     Darkening a colour that fails can only start to pass once, on the dark side of its background, so the number of
-    the last step that fails is found bit by bit. Each bit is a projection of its own: compiled code with
-    nothing computed twice, where a fold over an array would be interpreted for every row.
+    the last step that fails is found bit by bit, eight tests for a whole batch of rows. As columns the search is either a fold, which is
+    interpreted row by row, or a method too long to be compiled.
     """
     out = df.withColumns({"_r": r, "_g": g, "_b": b, "_bg": bg_lum})
-
-    def passes(step: Column) -> Column:
-        return ratio_of(quantized_luminance(F.col("_r"), F.col("_g"), F.col("_b"), F.lit(1.0) - step * DARKEN_BY), F.col("_bg")) >= required
-
-    out = out.withColumn("_fails", F.lit(0))
-    bit = 1 << DARKEN_STEPS.bit_length() - 1
-    while bit:
-        further = F.col("_fails") + bit
-        out = out.withColumn("_fails", F.when((further <= DARKEN_STEPS) & ~passes(further), further).otherwise(F.col("_fails")))
-        bit >>= 1
-    step = F.when(passes(F.lit(0)), F.lit(0)).when(F.col("_fails") < DARKEN_STEPS, F.col("_fails") + 1)
-    return out.withColumn("_scale", F.lit(1.0) - step * DARKEN_BY).drop("_fails")
+    step = _first_step(required)("_r", "_g", "_b", "_bg")
+    return out.withColumn("_scale", F.lit(1.0) - step * DARKEN_BY)
 
 
 def _scaled() -> Column:

@@ -55,7 +55,8 @@ def test_linear_darkening_is_the_first_step_that_passes(spark):
             if (hi + 0.05) / (lo + 0.05) >= 4.5:
                 want = round(q * 255)
                 break
-        got = c.darken_linear(spark.range(1), *rgb(grey), F.lit(lum(bg))).first()["_fixed"] & 255
+        frame = spark.createDataFrame([(grey, lum(bg))], "v double, bg double")
+        got = c.darken_linear(frame, *[F.col("v")] * 3, F.col("bg")).first()["_fixed"] & 255
         assert got == (want or 0)
 
 
