@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.dialect import oracle, view
+from tagloom.functions.numbers import half_even
 from tagloom.operators import contrast as op
 
 
@@ -144,7 +145,7 @@ QUERIES = {
     "background_pick": background_pick,
     "background_fills": lambda s, p: op.background_fills(view(s, p, "fills")),
     "page_image_cover": lambda s, p: op.page_image_cover(view(s, p, "images"), view(s, p, "page_sizes")).withColumn(
-        "cover", F.bround("cover", 6)),
+        "cover", half_even("cover", 6)),
 }
 ORACLES = {
     "contrast_failures": oracle("spans", CONTRAST_SQL),

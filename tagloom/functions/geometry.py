@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tagloom.functions.numbers import half_even
+
 #: Sides of the square cells of each level; a box belongs to the first level whose cells are at least as large as it is.
 CELL_SIDES = (32.0, 128.0, 512.0, 2048.0, 16384.0)
 
@@ -71,8 +73,8 @@ def fraction_box(x0: Column, y0: Column, x1: Column, y1: Column, width: Column,
     """Fractions of the page (top-left origin), clamped, to points (bottom-left origin)."""
     def clamp(c: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return [F.bround(clamp(x0) * width, 2), F.bround((1.0 - clamp(y1)) * height, 2),
-            F.bround(clamp(x1) * width, 2), F.bround((1.0 - clamp(y0)) * height, 2)]
+    return [half_even(clamp(x0) * width, 2), half_even((1.0 - clamp(y1)) * height, 2),
+            half_even(clamp(x1) * width, 2), half_even((1.0 - clamp(y0)) * height, 2)]
 
 
 def prefixed(df: DataFrame, prefix: str, *keep: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.functions import color as c
+from tagloom.functions.numbers import half_even
 from tagloom.functions.text import left, strip
 
 
@@ -33,7 +34,7 @@ def contrast_failures(spans: DataFrame) -> DataFrame:
     return out.select(
         "doc_id", "page", "block", "line", "span", left(F.col("text"), 80).alias("text"),
         c.hex_color(F.col("color")).alias("fg"), c.hex_color(F.col("bg")).alias("bg"),
-        F.bround("ratio", 2).alias("ratio"), "required")
+        half_even("ratio", 2).alias("ratio"), "required")
 
 
 def background_pick(samples: Column, center: Column, fg: Column) -> Column:
@@ -93,7 +94,7 @@ def nontext_contrast(annots: DataFrame, paths: DataFrame, pages: DataFrame, imag
     out = _ratio_against_bg(ui.unionByName(graphic), "fg").filter(F.col("ratio") < lx.GRAPHIC_RATIO)
     return out.select(
         "doc_id", "page", "type", "component", "item", c.hex_color(F.col("fg")).alias("fg"),
-        c.hex_color(F.col("bg")).alias("bg"), F.bround("ratio", 2).alias("ratio"),
+        c.hex_color(F.col("bg")).alias("bg"), half_even("ratio", 2).alias("ratio"),
         F.lit(lx.GRAPHIC_RATIO).alias("required"))
 
 
@@ -138,5 +139,5 @@ def background_fills(fills: DataFrame) -> DataFrame:
         rgb.filter(F.col("known") & (F.col("area") >= lx.FILL_MIN_AREA))
         .withColumns({"lum": lum, "chroma": chroma})
         .filter((F.col("lum") > lx.FILL_DARK) & (F.col("lum") < lx.FILL_LIGHT) & (F.col("chroma") > lx.FILL_CHROMA))
-        .select("doc_id", "page", "fill_id", "area", F.bround("lum", 4).alias("lum"), F.bround("chroma", 4).alias("chroma"))
+        .select("doc_id", "page", "fill_id", "area", half_even("lum", 4).alias("lum"), half_even("chroma", 4).alias("chroma"))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.functions import labels, language as lang
+from tagloom.functions.numbers import half_even
 from tagloom.functions.text import blank, escape_markup, left, lookup, matches, strip
 from tagloom.operators.contrast import first_n
 
@@ -87,9 +88,9 @@ def reflow(spans: DataFrame, pages: DataFrame) -> DataFrame:
     wide = spans.join(pages.select("doc_id", "page", "width"), ["doc_id", "page"]).filter(
         (F.col("width") > 0) & (share > lx.REFLOW_RATIO))
     first = first_n(wide, ["doc_id", "page"], ["block", "line", "span"], 1).select(
-        "doc_id", "page", F.lit("reflow_risk").alias("type"), "span", F.bround(share * 100, 0).alias("value"))
+        "doc_id", "page", F.lit("reflow_risk").alias("type"), "span", half_even(share * 100, 0).alias("value"))
     tight = spans.filter((F.col("size") > 0) & (F.col("char_spacing") < lx.TIGHT_SPACING)).select(
-        "doc_id", "page", F.lit("letter_spacing").alias("type"), "span", F.bround("char_spacing", 2).alias("value"))
+        "doc_id", "page", F.lit("letter_spacing").alias("type"), "span", half_even("char_spacing", 2).alias("value"))
     return first.unionByName(tight)
 
 
@@ -106,7 +107,7 @@ def watermarks(spans: DataFrame, images: DataFrame, paths: DataFrame, pages: Dat
     # nothing under 60% of a 1 pt page can match, so empty boxes go before the join
     big = covering.filter(F.col("area") > 0).join(area, ["doc_id", "page"]).withColumn(
         "share", F.col("area") / F.col("page_area")).filter(F.col("share") >= lx.PAGE_COVER).select(
-        "doc_id", "page", "type", "item", F.bround(F.col("share") * 100, 0).alias("value"), F.lit(None).cast("string").alias("text"))
+        "doc_id", "page", "type", "item", half_even(F.col("share") * 100, 0).alias("value"), F.lit(None).cast("string").alias("text"))
     words = spans.filter((F.col("size") >= lx.WATERMARK_SIZE) & matches(F.col("text"), lx.WATERMARK_WORDS, True)).select(
         "doc_id", "page", F.lit("watermark_text").alias("type"), F.col("span").alias("item"),
         F.col("size").alias("value"), left(strip(F.col("text")), 60).alias("text"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import lexicon as lx
+from tagloom.functions.numbers import half_even
 from tagloom.functions.text import left, strip
 from tagloom.operators import scan
 
@@ -149,7 +150,7 @@ def promote_headings(nodes: DataFrame) -> DataFrame:
     first = p.filter(F.col("ratio") >= 1.5).groupBy(*keys).agg(F.min("ord").alias("h1_ord"))
     out = p.join(first, keys, "left")
     tag = (F.when(F.col("ord") == F.col("h1_ord"), "H1").when(F.col("ratio") >= 1.3, "H2").otherwise("H3"))
-    return out.select("doc_id", "ord", "node_id", tag.alias("new_tag"), F.bround("ratio", 4).alias("ratio"))
+    return out.select("doc_id", "ord", "node_id", tag.alias("new_tag"), half_even("ratio", 4).alias("ratio"))
 
 
 def heuristic_tags(spans: DataFrame) -> DataFrame:
@@ -186,4 +187,4 @@ def heuristic_tags(spans: DataFrame) -> DataFrame:
     tag = (F.when(F.col("ratio") >= 1.6, "H1").when(F.col("ratio") >= 1.3, "H2")
            .when((F.col("ratio") >= 1.15) | F.col("label"), "H3").otherwise("P"))
     return out.select("doc_id", "page", "block", "segment", tag.alias("tag"), "text",
-                      F.bround("mean_size", 4).alias("mean_size"), "x0", "y0", "x1", "y1")
+                      half_even("mean_size", 4).alias("mean_size"), "x0", "y0", "x1", "y1")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tagloom import lexicon as lx
 from tagloom.functions import labels
 from tagloom.functions.geometry import contains, with_box_cells, with_point_cells
+from tagloom.functions.numbers import half_even
 from tagloom.functions.text import blank, left, lookup, matches, strip
 from tagloom.operators.contrast import first_n
 
@@ -162,5 +163,5 @@ def target_size(annots: DataFrame) -> DataFrame:
     """Widgets and links below the minimum in both dimensions."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     return annots.filter(F.col("subtype").isin("Widget", "Link") & (w < lx.TARGET_MIN_PT) & (h < lx.TARGET_MIN_PT)).select(
-        "doc_id", "page", "annot_id", F.col("subtype").alias("type"), F.bround(w, 1).alias("width_pt"),
-        F.bround(h, 1).alias("height_pt"), F.lit(lx.TARGET_MIN_PT).alias("min_pt"))
+        "doc_id", "page", "annot_id", F.col("subtype").alias("type"), half_even(w, 1).alias("width_pt"),
+        half_even(h, 1).alias("height_pt"), F.lit(lx.TARGET_MIN_PT).alias("min_pt"))

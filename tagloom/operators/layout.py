@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.functions import color as c, geometry as g
+from tagloom.functions.numbers import half_even
 from tagloom.functions.text import blank, left, lookup, matches, pattern, strip
 from tagloom.operators import scan
 from tagloom.operators.contrast import first_n
@@ -265,7 +266,7 @@ def swatch_clusters(fills: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> Data
         & (F.col("w") / F.greatest("h", F.lit(0.1)) <= lx.SWATCH_ASPECT) & (F.col("h") / F.greatest("w", F.lit(0.1)) <= lx.SWATCH_ASPECT))
     r, gr, b, _ = c.device_rgb(F.col("space"), F.col("a"), F.col("b"), F.col("c"), F.col("d"))
     rows = small.select(*PAGE, (-F.col("y")).alias("down"), "x", "fill_id", "w",
-                        *[F.bround(v, 2).alias(n) for v, n in ((r, "r"), (gr, "g"), (b, "bl"))])
+                        *[half_even(v, 2).alias(n) for v, n in ((r, "r"), (gr, "g"), (b, "bl"))])
     rows = scan.with_count_chunk(rows, [*PAGE, "down", "x", "fill_id"], chunk_rows)
 
     def starts(cur: Column, prev: Column) -> Column:
@@ -387,7 +388,7 @@ def coverage(pages: DataFrame, spans: DataFrame, nodes: DataFrame) -> DataFrame:
     totals = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
     empty = empty_elements(nodes).groupBy("doc_id").agg(F.count(F.lit(1)).alias("empty_elements"))
     n = F.coalesce("n", F.lit(0))
-    pct = F.greatest(F.lit(0.0), F.bround(100 * (1 - n / F.greatest("pages", F.lit(1))), 0))
+    pct = F.greatest(F.lit(0.0), half_even(100 * (1 - n / F.greatest("pages", F.lit(1))), 0))
     return totals.join(orphans, "doc_id", "left").join(empty, "doc_id", "left").select(
         "doc_id", "pages", n.alias("orphaned_pages"), pct.cast("int").alias("coverage_pct"),
         F.coalesce("empty_elements", F.lit(0)).alias("empty_elements"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.functions import language as lang
+from tagloom.functions.numbers import half_even
 from tagloom.functions.text import blank, left, matches, pattern, strip
 from tagloom.operators.contrast import first_n
 
@@ -46,12 +47,12 @@ def reading_level(texts: DataFrame) -> DataFrame:
         F.regexp_count("m", F.lit("[aeiouy]+")) + F.regexp_count("m", F.lit("<[^aeiouy>]*>"))).alias("syllables"))
     wps, spw = F.col("words") / F.col("sentences"), F.col("syllables") / F.col("words")
     enough = (F.col("words") >= lx.READING_MIN_WORDS) & (F.col("sentences") >= lx.READING_MIN_SENTENCES)
-    grade = F.greatest(F.lit(0.0), F.bround(0.39 * wps + 11.8 * spw - 15.59, 1))
-    ease = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.bround(206.835 - 1.015 * wps - 84.6 * spw, 1)))
+    grade = F.greatest(F.lit(0.0), half_even(0.39 * wps + 11.8 * spw - 15.59, 1))
+    ease = F.greatest(F.lit(0.0), F.least(F.lit(100.0), half_even(206.835 - 1.015 * wps - 84.6 * spw, 1)))
     out = base.select(
         "doc_id", "words", "sentences", F.when(enough, grade).alias("grade_level"), F.when(enough, ease).alias("ease"),
-        F.when(enough, F.bround(wps, 1)).alias("words_per_sentence"),
-        F.when(enough, F.bround(spw, 2)).alias("syllables_per_word"))
+        F.when(enough, half_even(wps, 1)).alias("words_per_sentence"),
+        F.when(enough, half_even(spw, 2)).alias("syllables_per_word"))
     g = F.col("grade_level")
     return out.withColumn("severity", F.when(g <= 6, "good").when(g <= 8, "ok").when(g <= 12, "warning").when(g > 12, "concern"))
 

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tagloom import lexicon as lx
+from tagloom.functions.numbers import half_even
 from tagloom.functions.text import blank, escape_markup, left, strip
 from tagloom.operators import contrast, document, headings, interactive, layout, prose, scan, tables as tb
 from tagloom.operators.contrast import first_n
@@ -197,7 +198,7 @@ def signals(nodes: DataFrame, docs: DataFrame, record: DataFrame) -> DataFrame:
         F.count_if(F.col("tag").isin("L", "LI")).alias("lists"), F.count_if(figure).alias("figures"),
         F.count_if(figure & ~strip(F.coalesce("alt", F.lit(""))).isin("", "image", "figure")).alias("figures_with_alt"),
         F.count_if(F.col("tag") == "Link").alias("links"))
-    pct = F.when(F.col("figures") > 0, F.bround(100.0 * F.col("figures_with_alt") / F.col("figures"), 0)).otherwise(100.0)
+    pct = F.when(F.col("figures") > 0, half_even(100.0 * F.col("figures_with_alt") / F.col("figures"), 0)).otherwise(100.0)
     return counts.join(docs.select("doc_id", (~blank(F.col("title"))).alias("has_title"), (~blank(F.col("lang"))).alias("has_lang"),
                                    F.col("has_struct").alias("tagged"), "page_count"), "doc_id", "left").withColumn(
         "alt_coverage", pct.cast("long")).join(record.select("doc_id", *[F.col(c).alias(f"{c}_issues") for c in SIGNAL_CHECKS]), "doc_id", "left").fillna(

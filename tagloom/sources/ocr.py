@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tagloom import lexicon as lx
+from tagloom.functions.numbers import half_even
 from tagloom.functions.text import strip
 
 PAGE_RECORD = (
@@ -19,8 +20,8 @@ def word_blocks(words: DataFrame, page_height: float = 792.0) -> DataFrame:
     kept = words.withColumn("text", strip(F.col("text"))).filter((F.col("text") != "") & (F.col("conf") >= lx.OCR_MIN_CONF))
     return kept.groupBy("doc_id", "page", "block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda s: s["text"]), " ").alias("text"),
-        F.bround(F.min("px") * k, 2).alias("x0"), F.bround(page_height - F.max(F.col("py") + F.col("ph")) * k, 2).alias("y0"),
-        F.bround(F.max(F.col("px") + F.col("pw")) * k, 2).alias("x1"), F.bround(page_height - F.min("py") * k, 2).alias("y1")
+        half_even(F.min("px") * k, 2).alias("x0"), half_even(page_height - F.max(F.col("py") + F.col("ph")) * k, 2).alias("y0"),
+        half_even(F.max(F.col("px") + F.col("pw")) * k, 2).alias("x1"), half_even(page_height - F.min("py") * k, 2).alias("y1")
     ).withColumn("tag", F.lit("P"))
 
 

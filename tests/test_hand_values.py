@@ -248,3 +248,14 @@ def test_row_scope_goes_to_leading_cells_of_body_rows(spark):
 def test_corner_gets_both_scopes(spark):
     out = tables.assign_scope(grid(spark, [["TH", "TH"], ["TH", "TD"]])).orderBy("row", "col").collect()
     assert [r.scope for r in out] == ["Both", "Column", "Row"]
+
+
+def test_half_of_a_quotient_rounds_to_even(spark):
+    """494 words in 39 sentences with 741 syllables: 4.94 + 17.7 - 15.59 is 7.05, in doubles a little more."""
+    from tagloom.functions.numbers import half_even
+
+    row = spark.range(1).select(F.col("id") + 494, F.col("id") + 39, F.col("id") + 741).toDF("w", "s", "y")
+    grade = 0.39 * (F.col("w") / F.col("s")) + 11.8 * (F.col("y") / F.col("w")) - 15.59
+    assert row.select(half_even(grade, 1)).first()[0] == 7.0
+    values = spark.createDataFrame([(0.25,), (0.35,), (-2.5,), (3.14159,), (None,)], "v double")
+    assert [r[0] for r in values.select(half_even("v", 1)).collect()] == [0.2, 0.4, -2.5, 3.1, None]
