@@ -11,8 +11,11 @@ from tagloom.streaming import metrics as op
 
 
 def _stream(spark, sf, name):
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, whether it is one file or a folder of files.
+
+    A stream takes one file for its base folder, unless the path is a pattern.
+    """
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _log(spark, sf):

@@ -94,3 +94,15 @@ def test_incremental_audit_appends_only_new_documents(spark, tmp_path):
         _write(spark, src, [(doc, "abc")], schema)
         op.audit_incrementally(spark.readStream.schema(schema).parquet(src), audit, sink, ck).awaitTermination()
     assert sorted(r.doc_id for r in spark.read.parquet(sink).collect()) == [1, 2]
+
+
+def test_a_table_of_several_files_streams_whole(spark, tmp_path):
+    from catalog import queries, streams_queries
+
+    text = "The quick brown fox jumps over the lazy dog and runs. " * 12
+    spark.createDataFrame([(i, text) for i in range(4)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["stream_audit"](spark, str(tmp_path))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 1, 2, 3]
+    # one file under the table's name, as before
+    assert streams_queries.op.run_available(streams_queries._stream(spark, "/root/testdata/sf0.001", "events").select("event_id"), "append").count() == \
+        spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
