@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -16,22 +18,30 @@ from tagloom.operators.contrast import first_n
 
 
 def link_quality(links: DataFrame) -> DataFrame:
-    """Visible link text that is generic, a bare URL, or one or two characters."""
+    """Visible link text that is generic, a bare URL, or one or two characters.
+
+    The type is a generated column: a filter on a plain one would be pushed below it, and every text judged twice.
+    """
     t = strip(F.coalesce("text", F.lit("")))
     norm = F.rtrim(strip(F.lower(F.col("text"))), F.lit(".,;:"))
-    generic = "^(?:(?:" + "|".join(lx.GENERIC_LINKS) + ")$|" + "|".join(lx.GENERIC_LINK_STARTS) + ")"
-    kind = (F.when(F.col("_norm").rlike(generic), "generic")
+    generic = reduce(or_, [F.col("_norm").startswith(start) for start in lx.GENERIC_LINK_STARTS], F.col("_norm").isin(lx.GENERIC_LINKS))
+    kind = (F.when(generic, "generic")
             .when(matches(F.col("text"), lx.URL_TEXT, True), "url")
             .when(matches(F.col("_norm"), lx.SHORT_LINK), "short"))
     return (
         links.filter(F.coalesce("uri", F.lit("")) != "").withColumns({"_norm": norm, "text": t}).filter(F.col("text") != "")
-        .withColumn("type", kind).filter(F.col("type").isNotNull())
+        .select("*", F.explode(F.array(kind)).alias("type")).filter(F.col("type").isNotNull())
         .select("doc_id", "page", "link_id", "type", left(F.col("text"), 120).alias("text"), left(F.col("uri"), 200).alias("url"))
     )
 
 
+_LINK_START, _LINK_END = r"^\s*", r"\s*\.?\s*$"
+
+
 def _nondescriptive(t: Column) -> Column:
-    generic = matches(t, "|".join(f"(?:{p})" for p in lx.NONDESCRIPTIVE_LINKS), True)
+    # every pattern has the same ends, so one anchor stands before all of them
+    phrases = "|".join(p.removeprefix(_LINK_START).removesuffix(_LINK_END) for p in lx.NONDESCRIPTIVE_LINKS)
+    generic = matches(t, f"{_LINK_START}(?:{phrases}){_LINK_END}", True)
     return (F.when(t == "", "empty").when(F.length(t) <= 1, "single_character")
             .when(t.rlike(r"^[^\p{L}\p{Nl}\p{No}_]+$"), "numeric_or_punctuation")
             .when(generic, "generic").when(matches(t, lx.BARE_URL, True), "bare_url")
@@ -42,8 +52,9 @@ def link_text(links: DataFrame) -> DataFrame:
     """Second rule set: text falls back to the annotation, then the URI; one row per (page, text)."""
     own, other = strip(F.coalesce("text", F.lit(""))), F.coalesce("contents", F.lit(""))
     shown = F.when(own != "", own).when(other != "", other).otherwise(left(F.coalesce("uri", F.lit("")), 80))
-    bad = links.withColumn("text", shown).withColumn("reason", _nondescriptive(strip(F.col("text")))).filter(
-        F.col("reason").isNotNull()).withColumn("_key", F.lower(F.col("text")))
+    # generated, so that no text is judged twice
+    judged = links.select("doc_id", "page", "link_id", "uri", shown.alias("text")).select("*", F.explode(F.array(_nondescriptive(strip(F.col("text"))))).alias("reason"))
+    bad = judged.filter(F.col("reason").isNotNull()).withColumn("_key", F.lower(F.col("text")))
     return first_n(bad, ["doc_id", "page", "_key"], ["link_id"], 1).select(
         "doc_id", "page", "link_id", "reason", left(F.col("text"), 120).alias("text"), left(F.col("uri"), 200).alias("url"))
 

@@ -259,3 +259,27 @@ def test_half_of_a_quotient_rounds_to_even(spark):
     assert row.select(half_even(grade, 1)).first()[0] == 7.0
     values = spark.createDataFrame([(0.25,), (0.35,), (-2.5,), (3.14159,), (None,)], "v double")
     assert [r[0] for r in values.select(half_even("v", 1)).collect()] == [0.2, 0.4, -2.5, 3.1, None]
+
+
+def test_link_rules_judge_a_text_once(spark):
+    """The filter on the verdict stays above the verdict: the plan holds each pattern once."""
+    from tagloom.operators import interactive
+
+    texts = ["Click  here. ", "here", "Read more about it", "details", "info.", "WWW.example.org", "https://x.org/a", "ok", "12", "", "A real title", "this article"]
+    links = spark.createDataFrame([(1, 1, i, "https://e.org", t, None) for i, t in enumerate(texts)],
+                                  "doc_id long, page int, link_id long, uri string, text string, contents string")
+    found = interactive.link_text(links)
+    assert {r.link_id: r.reason for r in found.collect()} == {
+        0: "generic", 1: "generic", 3: "generic", 4: "generic", 5: "bare_domain", 6: "bare_url", 8: "numeric_or_punctuation", 9: "bare_url", 11: "generic"}
+    quality = interactive.link_quality(links)
+    assert {r.link_id: r.type for r in quality.collect()} == {1: "generic", 2: "generic", 3: "generic", 4: "generic", 5: "url", 6: "url", 7: "short", 8: "short"}
+    for df, once in ((found, "bare_domain"), (quality, "short")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count(f"THEN {once}") == 1
+
+
+def test_languages_of_ties_and_scripts(spark):
+    from tagloom.functions import language
+
+    rows = ["un un un un", "the der the der", "xxxx yyyy zzzz", "здравствуй мир", "the мир and so on", "short"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string").select(language.detect_language(F.col("t")), language.script_mismatch(F.col("t"), F.lit("en")))
+    assert [tuple(r) for r in df.collect()] == [("fr", None), ("en", None), (None, None), ("ru", "Cyrillic"), ("en", "Cyrillic"), (None, None)]
