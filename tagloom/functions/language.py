@@ -10,25 +10,32 @@ from tagloom.functions.text import strip
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
+def _beyond_latin(text: Column) -> Column:
+    """Whether any character may belong to one of the scripts of the lexicon: Greek, the first of them, starts at U+0370."""
+    return text.rlike("[\u0370-\uffff]")
+
+
 def script_language(text: Column) -> Column:
     """First script, in list order, with more characters than max(3, a quarter of the text)."""
     limit = F.greatest(F.lit(3.0), F.length(text) * 0.25)
-    return F.coalesce(*[
-        F.when(F.regexp_count(text, F.lit(rng)) > limit, F.lit(lang)) for lang, rng in lx.SCRIPT_LANGS])
+    return F.when(_beyond_latin(text), F.coalesce(*[
+        F.when(F.regexp_count(text, F.lit(rng)) > limit, F.lit(lang)) for lang, rng in lx.SCRIPT_LANGS]))
 
 
 def profile_language(text: Column) -> Column:
     """Language with the most stop words; null when none occurs. Earlier languages win ties."""
-    words = F.split(F.lower(text), WORD_BREAK)
+    every = sorted({w for vocabulary in lx.STOP_WORDS.values() for w in vocabulary})
+    stops = F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w.isin(*every))
 
-    def hits(vocabulary: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*vocabulary)))
+    def hits(found: Column, vocabulary: list[str]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(*vocabulary)))
+
+    def best(found: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(hits(found, vocabulary).alias("n"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
+                                     for i, (lang, vocabulary) in enumerate(lx.STOP_WORDS.items())]))
 
-    scores = F.array(*[
-        F.struct(hits(vocabulary).alias("n"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
-        for i, (lang, vocabulary) in enumerate(lx.STOP_WORDS.items())])
-    best = F.array_max(scores)
-    return F.when(best["n"] > 0, best["lang"])
+    # a text is split once: only the stop words in it are looked at language by language
+    return F.get(F.transform(F.filter(F.array(stops), lambda found: F.size(found) > 0), lambda found: best(found)["lang"]), F.lit(0))
 
 
 def detect_language(text: Column) -> Column:
@@ -72,4 +79,4 @@ def script_mismatch(text: Column, doc_lang: Column) -> Column:
         for lang in expected:
             hit = hit & ~declared.startswith(lang)
         arms.append(F.when(hit, F.lit(name)))
-    return F.coalesce(*arms)
+    return F.when(_beyond_latin(text), F.coalesce(*arms))
