@@ -36,7 +36,7 @@ from tagloom.llm.simhash import components
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHARED = 0xFFFF
 #: Words whose hash a task remembers.
-_REMEMBERED = 1 << 20
+_REMEMBERED = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -299,15 +299,21 @@ def sketch(texts: DataFrame, join: Join = Join()) -> DataFrame:
     return back.groupBy("batch").applyInArrow(_sign(join, signed), from_arrow_schema(signed))
 
 
+def _views(sets: pa.Array) -> Iterator[np.ndarray]:
+    """The sets of a binary column where they lie: a batch of pairs holds two sets a row, and a copy of it would be as large again."""
+    sets = sets.cast(pa.binary())
+    _, ends, data = sets.buffers()
+    ends = np.frombuffer(ends, np.int32)[sets.offset:sets.offset + len(sets) + 1].tolist()
+    for a, b in zip(ends, ends[1:]):
+        yield np.frombuffer(data, np.uint64, (b - a) // 8, a) if b > a else np.zeros(0, np.uint64)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` that are similar, by the size of their intersection."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep, known = [], (None, None)
-        for left, right, n, m in zip(*(batch.column(c).to_pylist() for c in ("_a", "_b", "_n", "_m"))):
-            if known[0] != left:
-                known = left, np.frombuffer(left, np.uint64)
-            x, y = known[1], np.frombuffer(right, np.uint64)
+        keep = []
+        for x, y, n, m in zip(_views(batch.column("_a")), _views(batch.column("_b")), batch.column("_n").to_pylist(), batch.column("_m").to_pylist()):
             if len(x) < len(y):
                 x, y = y, x
             both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(y) else 0

@@ -124,3 +124,15 @@ def test_a_group_of_copies_costs_one_pair_per_copy(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "stored", lambda df, what, keep=jaccard_join.stored: (made.append((what, d := keep(df, what))), d)[1])
     assert result(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
     assert sum(d.count() for what, d in made if what == "join-pairs") <= 20 * 600
+
+
+def test_sets_are_read_where_they_lie():
+    import numpy as np
+    import pyarrow as pa
+
+    sets = [np.array([3, 5, 1 << 63], np.uint64), np.zeros(0, np.uint64), np.array([7], np.uint64)]
+    column = pa.array([s.tobytes() for s in sets], pa.binary())
+    for part, want in ((column, sets), (column.slice(1), sets[1:])):
+        got = list(jaccard_join._views(part))
+        assert [g.tolist() for g in got] == [w.tolist() for w in want]
+        assert all(g.base is not None for g in got if len(g))
