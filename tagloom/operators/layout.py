@@ -6,7 +6,14 @@ Box joins use (document, page, band) as the equality key.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from math import isfinite
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from tagloom import lexicon as lx
 from tagloom.functions import color as c, geometry as g
@@ -18,30 +25,40 @@ from tagloom.operators.headings import median_size
 from tagloom.session import cut_lineage
 
 PAGE = ["doc_id", "page"]
+#: Figures and captions of a page that one task walks, a few hundred bytes each.
+PAGE_BOXES = 1 << 19
 
 
 # --- captions ----------------------------------------------------------------
 
-def caption_gaps(nodes: DataFrame) -> DataFrame:
-    """Figure and caption candidates of a page at most 40 pt apart, with their gap."""
-    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    text = strip(F.coalesce("text", F.lit("")))
-    boxed = nodes.filter(F.col("y0").isNotNull())
-    figures = boxed.filter(F.col("tag") == "Figure")
-    captions = boxed.filter(F.col("tag").isin("P", "Span", "Caption") & matches(text, lx.CAPTION, True))
+def _caption_boxes(nodes: DataFrame) -> DataFrame:
+    """Figures and what may be their captions: page, ord, is_figure, lower and upper edge."""
+    figure = F.col("tag") == "Figure"
+    caption = F.col("tag").isin("P", "Span", "Caption") & matches(strip(F.coalesce("text", F.lit(""))), lx.CAPTION, True)
+    return nodes.filter(F.col("y0").isNotNull() & (figure | caption)).select(
+        *PAGE, "ord", figure.alias("is_figure"), F.least("y0", "y1").alias("low"), F.greatest("y0", "y1").alias("high"))
 
-    def edges(df: DataFrame, name: str, below: Column, above: Column) -> DataFrame:
-        return df.select(*PAGE, F.col("ord").alias(name), F.posexplode(F.array(below, above)).alias("side", name + "_y"))
+
+def _box_gaps(boxes: DataFrame) -> DataFrame:
+    def edges(df: DataFrame, name: str, below: str, above: str) -> DataFrame:
+        sides = df.select(*PAGE, F.col("ord").alias(name), F.posexplode(F.array(below, above)).alias("side", name + "_y"))
+        # edges beyond any page, infinite ones too, share the outermost bands
+        return sides.withColumn("_b", g.band_of(F.least(F.greatest(F.col(name + "_y"), F.lit(-1e18)), F.lit(1e18)), lx.CAPTION_GAP))
 
     # caption top against figure bottom, caption bottom against figure top
-    f = edges(figures, "fig", low, high).withColumn("_b", g.band_of(F.col("fig_y"), lx.CAPTION_GAP))
+    f = edges(boxes.filter("is_figure"), "fig", "low", "high")
     f = f.withColumn("_band", F.explode(F.sequence(F.col("_b") - 1, F.col("_b") + 1))).drop("_b")
-    t = edges(captions, "cap", high, low).withColumn("_band", g.band_of(F.col("cap_y"), lx.CAPTION_GAP))
+    t = edges(boxes.filter("NOT is_figure"), "cap", "high", "low").withColumnRenamed("_b", "_band")
     gap = F.abs(F.col("fig_y") - F.col("cap_y"))
     return f.join(t, [*PAGE, "side", "_band"]).withColumn("gap", gap).filter(F.col("gap") <= lx.CAPTION_GAP).groupBy(
         *PAGE, "fig", "cap").agg(F.min("gap").alias("gap"))
 
 
+def caption_gaps(nodes: DataFrame) -> DataFrame:
+    """Figure and caption candidates of a page at most 40 pt apart, with their gap."""
+    return _box_gaps(_caption_boxes(nodes))
+
+
 def _close_held(pairs: DataFrame) -> DataFrame:
     """One round: figures ask for their nearest caption, which is closed to all later than the earliest that asks."""
     nearest = F.min(F.struct("gap", "cap")).over(Window.partitionBy(*PAGE, "fig"))
@@ -51,15 +68,15 @@ def _close_held(pairs: DataFrame) -> DataFrame:
         *PAGE, "fig", "cap", "gap")
 
 
-def link_captions(nodes: DataFrame, rounds: int = 4) -> DataFrame:
-    """One caption per figure, nearest first, figures in reading order.
+def _in_rounds(boxes: DataFrame, rounds: int) -> DataFrame:
+    """Captions of figures by pairs, for pages no task should hold.
 
-    In rounds: every figure asks for the nearest caption still open to it, a caption keeps the earliest figure that
+    Every figure asks for the nearest caption still open to it, a caption keeps the earliest figure that
     asks, and is closed to all later ones. What the earliest figures hold when nothing closes any more is what they would take one
     after the other. Rounds are as many as the longest row of figures that push each other on, not as there are figures;
     so many ``rounds`` run before their result is stored and counted.
     """
-    pairs = cut_lineage(caption_gaps(nodes).select(*PAGE, "fig", "cap", "gap"))
+    pairs = cut_lineage(_box_gaps(boxes).select(*PAGE, "fig", "cap", "gap"))
     left = pairs.count()
     while left:
         for _ in range(rounds):
@@ -71,6 +88,106 @@ def link_captions(nodes: DataFrame, rounds: int = 4) -> DataFrame:
     return pairs.groupBy(*PAGE, "fig").agg(F.min(F.struct("gap", "cap")).alias("_best")).select(*PAGE, "fig", "_best.cap", "_best.gap")
 
 
+class _OpenEdges:
+    """Caption edges of a page in the order (y, cap); those of taken captions are skipped in both directions."""
+
+    def __init__(self, edges: list[tuple]):
+        self.edges = sorted(e for e in edges if isfinite(e[0]))
+        self.ys = [y for y, _ in self.edges]
+        self.up = list(range(len(self.edges) + 1))
+        self.down = list(range(len(self.edges) + 1))
+        self.places: dict = {}
+        for i, (_, cap) in enumerate(self.edges):
+            self.places.setdefault(cap, []).append(i)
+
+    @staticmethod
+    def _open(links: list[int], i: int) -> int:
+        end = i
+        while links[end] != end:
+            end = links[end]
+        while links[i] != end:
+            links[i], i = end, links[i]
+        return end
+
+    def take(self, cap) -> None:
+        for i in self.places.get(cap, ()):
+            self.up[i] = i + 1
+            self.down[i + 1] = i
+
+    def nearest(self, y: float, reach: float) -> Iterator[tuple]:
+        """(gap, cap) of the open edges nearest to ``y`` on either side; of one height, the smallest cap."""
+        i, best = self._open(self.up, bisect_left(self.ys, y)), reach
+        while i < len(self.ys) and self.ys[i] - y <= best:
+            best = self.ys[i] - y
+            yield best, self.edges[i][1]
+            i = self._open(self.up, bisect_right(self.ys, self.ys[i]))
+        # down[i] stands for the edge before i
+        i, best = self._open(self.down, bisect_left(self.ys, y)), reach
+        while i > 0 and y - self.ys[i - 1] <= best:
+            best, first = y - self.ys[i - 1], bisect_left(self.ys, self.ys[i - 1])
+            yield best, self.edges[self._open(self.up, first)][1]
+            i = self._open(self.down, first)
+
+
+def _page_captions(rows: list[tuple]) -> Iterator[tuple]:
+    """(fig, cap, gap) of the boxes (ord, is_figure, low, high) of one page, each figure taking the nearest caption left."""
+    figures: dict = {}
+    for place, is_figure, low, high in rows:
+        if is_figure:
+            figures.setdefault(place, []).append((low, high))
+    captions = [r for r in rows if not r[1]]
+    tops, bottoms = _OpenEdges([(r[3], r[0]) for r in captions]), _OpenEdges([(r[2], r[0]) for r in captions])
+    for fig in sorted(figures):
+        near = [n for low, high in figures[fig] for side, y in ((tops, low), (bottoms, high)) if isfinite(y)
+                for n in side.nearest(y, lx.CAPTION_GAP)]
+        if near:
+            gap, cap = min(near)
+            tops.take(cap)
+            bottoms.take(cap)
+            yield fig, cap, gap
+
+
+def _by_pages(boxes: DataFrame) -> DataFrame:
+    """Captions of figures page by page: each box is shuffled once, a task holds one page at a time."""
+    kind = boxes.schema
+    names = {"doc_id": "doc_id", "page": "page", "fig": "ord", "cap": "ord", "gap": "low"}
+    schema = StructType([StructField(name, kind[of].dataType) for name, of in names.items()])
+    arrow = to_arrow_schema(schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page, rows, done = None, [], []
+        for batch in batches:
+            for doc, number, *box in zip(*[column.to_pylist() for column in batch.columns]):
+                if (doc, number) != page:
+                    if rows:
+                        done += [(*page, *found) for found in _page_captions(rows)]
+                    page, rows = (doc, number), []
+                rows.append(box)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), arrow.types)], schema=arrow)
+                done = []
+        if rows:
+            done = [(*page, *found) for found in _page_captions(rows)]
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), arrow.types)], schema=arrow)
+
+    return boxes.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(walk, schema)
+
+
+def link_captions(nodes: DataFrame, rounds: int = 4, page_boxes: int = PAGE_BOXES) -> DataFrame:
+    """One caption per figure, nearest first, figures in reading order.
+
+    Pages of at most ``page_boxes`` figures and captions are walked, figure by figure, in time that does not grow with
+    their pairs; on longer ones figures and captions find each other in ``rounds`` over all pairs. Both give the same.
+    """
+    boxes = _caption_boxes(nodes).dropna(subset=[*PAGE, "ord"])
+    crowded = cut_lineage(boxes.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > page_boxes).select(*PAGE))
+    if crowded.isEmpty():
+        return _by_pages(boxes)
+    few = F.broadcast(crowded)
+    return _by_pages(boxes.join(few, PAGE, "left_anti")).unionByName(_in_rounds(boxes.join(few, PAGE, "left_semi"), rounds))
+
+
 def adopt_captions(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Captions of a pair table (doc_id, fig, cap as ord) move under their figures."""
     owner = nodes.select("doc_id", F.col("ord").alias("fig"), F.col("node_id").alias("_figure"))

@@ -68,6 +68,31 @@ def test_captions_one_after_the_other(spark, rounds):
     assert {r.fig: r.cap for r in got} == want and len(got) == len(want) > 40
 
 
+def test_page_walk_and_rounds_take_the_same_captions(spark):
+    rng = random.Random(5)
+    nodes = []
+    for o in rng.choices(range(300), k=400):  # some places in the order stand twice, heights are often equal, some edges are missing
+        y = rng.choice([float(rng.randint(0, 400)), rng.uniform(0, 400), rng.choice([float("nan"), float("inf"), 7e15])])
+        nodes.append((rng.choice([1, 2]), rng.choice([1, 2, None]), rng.choice([o, o, o, o, None]), rng.choice(["Figure", "P", "P"]), "Figure 1", y,
+                      rng.choice([y + 10.0, y - 30.0, None])))
+    frame = spark.createDataFrame(nodes, "doc_id long, page int, ord long, tag string, text string, y0 double, y1 double")
+    walked, rounds, both = (layout.link_captions(frame, page_boxes=n) for n in (1000, 0, 50))
+    assert walked.schema.simpleString() == rounds.schema.simpleString()
+    assert sorted(walked.collect()) == sorted(rounds.collect()) == sorted(both.collect()) and walked.count() > 50
+
+
+def test_a_page_is_walked_without_its_pairs(spark):
+    n = 40_000  # some 130 million pairs of figure and caption within reach
+    at = F.col("id")
+    frame = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit(1).alias("page"), at.alias("ord"),
+                                  F.when(at % 2 == 0, "Figure").otherwise("P").alias("tag"), F.lit("Figure 1").alias("text"),
+                                  ((at * 7919) % n * 0.01).alias("y0"), ((at * 7919) % n * 0.01 + 5).alias("y1"))
+    got = layout.link_captions(frame)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert len(rows) == len({r.cap for r in rows}) > n * 0.4 and all(0 <= r.gap <= 40 for r in rows)
+
+
 NODE = "doc_id long, node_id string, parent_id string, ord long, tag string, x0 double, text string"
 
 
