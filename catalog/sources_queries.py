@@ -91,12 +91,10 @@ def _validator_files(s, p):
 def _intake(s, p):
     """Every document a file of its own; those over 2000 bytes are not opened."""
     path = shared_dir(s, "intake")
-    table(s, p, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(path)
-    taken, rejected = intake.intake(s, path, 2000)
+    intake.write_files(table(s, p, "documents").select(F.col("doc_id").alias("name"), "text"), path)
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: strip(x) != ""))
-    done = taken.select(F.col("doc_id").cast("long").alias("doc_id"), "length", F.lit(None).cast("string").alias("error"), lines.alias("lines"))
-    return done.unionByName(rejected.select(F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("long").alias("doc_id"), "length", "error",
-                                            F.lit(None).cast("int").alias("lines")))
+    doc_id = F.regexp_extract("path", "file=(-?[0-9]+)-[0-9]+", 1).try_cast("long")
+    return intake.judged_files(s, path, 2000).select(doc_id.alias("doc_id"), "length", "error", F.when(F.col("error").isNull(), lines).alias("lines"))
 
 
 QUERIES = {

@@ -24,6 +24,18 @@ def test_intake_sets_long_and_garbled_files_aside(spark, tmp_path):
     assert {os.path.basename(r.path): (r.length, r.error) for r in rejected.collect()} == {"c": (11, "too_long"), "d": (2, "invalid_utf8")}
 
 
+def test_rows_become_files_and_are_read_once(spark, tmp_path):
+    folder = str(tmp_path / "a folder")
+    rows = spark.createDataFrame([(1, "one\ntwo"), (1, "again"), (None, "häßlich"), (3, None), (-4, "x" * 50)], "name long, text string")
+    intake.write_files(rows, folder)
+    assert sorted(len(os.listdir(os.path.join(folder, f))) for f in os.listdir(folder)).pop() <= 5
+    judged = intake.judged_files(spark, folder, 20)
+    assert sorted((os.path.basename(r.path).split("=")[1].rsplit("-", 1)[0], r.length, r.text, r.error) for r in judged.collect()) == [
+        ("-4", 51, None, "too_long"), ("1", 6, "again\n", None), ("1", 8, "one\ntwo\n", None), ("3", 1, "\n", None), ("none", 10, "häßlich\n", None)]
+    scans = judged._jdf.queryExecution().executedPlan().toString().count("FileScan binaryFile")
+    assert scans == 2  # short files with content, long ones without; before, short files were read twice
+
+
 def test_long_files_are_left_out_by_the_scan(spark, tmp_path):
     folder = str(tmp_path / "files")
     put(folder, "long", b"x" * 100)
