@@ -134,10 +134,8 @@ def background_fills(fills: DataFrame) -> DataFrame:
     rgb = fills.withColumns({"r": r, "g": g, "bl": b, "known": known, "area": F.abs("w") * F.abs("h")})
     gray = (F.col("r") + F.col("g") + F.col("bl")) / 3.0
     chroma = F.greatest(*[F.abs(F.col(x) - gray) for x in ("r", "g", "bl")])
-    lum = c.luminance(F.col("r"), F.col("g"), F.col("bl"))
-    return (
-        rgb.filter(F.col("known") & (F.col("area") >= lx.FILL_MIN_AREA))
-        .withColumns({"lum": lum, "chroma": chroma})
-        .filter((F.col("lum") > lx.FILL_DARK) & (F.col("lum") < lx.FILL_LIGHT) & (F.col("chroma") > lx.FILL_CHROMA))
-        .select("doc_id", "page", "fill_id", "area", half_even("lum", 4).alias("lum"), half_even("chroma", 4).alias("chroma"))
-    )
+    coloured = rgb.filter(F.col("known") & (F.col("area") >= lx.FILL_MIN_AREA)).withColumn("chroma", chroma).filter(F.col("chroma") > lx.FILL_CHROMA)
+    # exploded, so that the powers of a luminance are taken once a row, after what is cheap: a plain column would be put into each comparison
+    lum = F.explode(F.array(c.luminance(F.col("r"), F.col("g"), F.col("bl")))).alias("lum")
+    return coloured.select("*", lum).filter((F.col("lum") > lx.FILL_DARK) & (F.col("lum") < lx.FILL_LIGHT)).select(
+        "doc_id", "page", "fill_id", "area", half_even("lum", 4).alias("lum"), half_even("chroma", 4).alias("chroma"))
