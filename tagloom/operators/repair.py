@@ -273,8 +273,8 @@ def clause_repairs(rules: DataFrame, docs: DataFrame, nodes: DataFrame, cells: D
 
 def fix_tally(log: DataFrame) -> DataFrame:
     """Fixes per step and document, with a total row per document."""
-    return log.groupBy("doc_id", F.col("repair").alias("step")).agg(F.sum("n").alias("fixes")).unionByName(
-        log.groupBy("doc_id").agg(F.sum("n").alias("fixes")).withColumn("step", F.lit("total")))
+    steps = log.select("doc_id", F.explode(F.array("repair", F.lit("total"))).alias("step"), "n")
+    return steps.groupBy("doc_id", "step").agg(F.sum("n").alias("fixes"))
 
 
 # --- repaired tables ---------------------------------------------------------------
