@@ -76,12 +76,14 @@ def _validator_files(s, p):
     """The rules of all reports in a few long report files, written and read back."""
     path = shared_dir(s, "validator-files")
     part = (F.col("doc_id") % _REPORT_FILES).alias("file")
-    rules = view(s, p, "reports").select(part, F.col("doc_id").alias("place"), F.explode(F.regexp_extract_all("xml", F.lit("(?s)<rule .*?</rule>"), F.lit(0))).alias("value"))
-    files = rules.select("file").distinct()
+    reports = view(s, p, "reports")
+    rules = reports.select(part, F.col("doc_id").alias("place"), F.explode(F.regexp_extract_all("xml", F.lit("(?s)<rule .*?</rule>"), F.lit(0))).alias("value"))
+    files = reports.select(part).distinct()  # every report has rules, which need not be cut out again for this
     head = F.concat(F.lit('<?xml version="1.0"?><report><jobs><job><validationReport flavour="PDFUA_1" isCompliant="'), (F.col("file") % 2 == 0).cast("string"),
                     F.lit('"><details passedRules="'), "file", F.lit('" failedRules="3" passedChecks="4" failedChecks="5">'))
-    lines = rules.unionByName(files.select("file", F.lit(-1).alias("place"), head.alias("value"))).unionByName(
-        files.select("file", F.lit(1 << 60).alias("place"), F.lit("</details></validationReport></job></jobs></report>").alias("value")))
+    tail = F.lit("</details></validationReport></job></jobs></report>")
+    ends = F.array(*[F.struct(F.lit(place).cast("long").alias("place"), text.alias("value")) for place, text in ((-1, head), (1 << 60, tail))])
+    lines = rules.unionByName(files.select("file", F.inline(ends)))
     lines.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
     number = F.regexp_extract("path", "file=([0-9]+)/", 1).cast("long").alias("file")
     return validator.validated_files(s, path).select(

@@ -80,3 +80,14 @@ def test_a_document_that_arrives_again_is_audited_again(spark, tmp_path, checks)
     assert run([2], True) == {1: 1, 2: 1}  # after a restart, from the same checkpoint
     assert run([1], False) == {2: 1}       # mended since: its earlier finding no longer counts
     assert spark.read.parquet(sink).select("batch").distinct().count() == 3
+
+
+def test_rules_are_cut_out_of_reports_once(spark, monkeypatch):
+    from catalog import sources_queries
+    plans = []
+    monkeypatch.setattr(sources_queries.validator, "validated_files", lambda s, path: (_ for _ in ()).throw(StopIteration))
+    writer = type(spark.range(1).write)
+    monkeypatch.setattr(writer, "text", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()))
+    with pytest.raises(StopIteration):
+        sources_queries.QUERIES["validator_files"](spark, "/root/testdata/sf0.001")
+    assert plans[0].count("regexp_extract_all") == 1  # before, three times: for the rules and for either end of the files
