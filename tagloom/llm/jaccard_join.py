@@ -349,12 +349,12 @@ def _outside(live: DataFrame) -> DataFrame:
     return live.join(most, "sig").filter(F.col("comp") != F.col("_most")).drop("_most")
 
 
-def links(rows: DataFrame, join: Join = Join(), known: DataFrame | None = None) -> DataFrame:
+def links(rows: DataFrame, join: Join = Join()) -> DataFrame:
     """Similar pairs (a, b) of set keys that connect whatever all similar pairs connect, from a stored ``sketch``.
 
     A pair is verified unless sizes, own tokens or parity bits rule it out. Every bucket is joined around its most typical
     member, the one with fewest tokens of its own; then around one of those that are still outside its largest component;
-    then all pairs between components are tried. ``known`` may hold pairs (a, b) of the caller to try with the first.
+    then all pairs between components are tried.
     """
     signed = rows.filter("shared IS NOT NULL")
     sets = stored(signed.select("key", "n", "shared").dropDuplicates(["key"]), "join-sets")
@@ -375,8 +375,6 @@ def links(rows: DataFrame, join: Join = Join(), known: DataFrame | None = None)
             "sig", *[F.col("_c")[c].alias("_" + c) for c in names]), "join-centres")
 
     found = tried(live.join(around(live, F.struct("own", F.xxhash64("key"))), "sig").filter(fits))
-    if known is not None:
-        found = found.unionByName(tried(known.select(F.col("a").alias("key"), F.col("b").alias("_key"))))
     live = _rooted(live, found)
     for star in range(join.stars):
         similar = tried(live.join(around(_outside(live), F.xxhash64("key", F.lit(star))), "sig").filter(fits))
