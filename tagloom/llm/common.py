@@ -8,24 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tagloom.session import shared_dir
+from tagloom.session import stored  # noqa: F401
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 #: On UTF-8 bytes this is exactly what ``bytes.split()`` cuts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
-
-    Later steps start from the files, so a lost executor costs no recomputation and every
-    reader sees the same rows.
-    """
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions that need one batch at a time and nothing between batches."""
 

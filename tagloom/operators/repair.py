@@ -12,7 +12,7 @@ from tagloom.operators import headings, scan
 from tagloom.operators.contrast import first_n
 from tagloom.operators.layout import duplicate_ids, figure_numbers
 from tagloom.operators.tables import assign_scope
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, stored
 
 
 # --- comparing runs -------------------------------------------------------------
@@ -128,27 +128,44 @@ def reorder_pages(nodes: DataFrame, requests: DataFrame, chunk_rows: int = scan.
 
 # --- corrections ----------------------------------------------------------------
 
+def _elements(nodes: DataFrame) -> DataFrame:
+    """What corrections look at of every node, with its normalised text; written once, for as many steps as read it."""
+    return stored(nodes.select("doc_id", "node_id", "ord", "tag", "alt", match_key(F.coalesce("text", F.lit(""))).alias("key")), "fix-elements")
+
+
 def apply_fixes(nodes: DataFrame, fixes: DataFrame) -> DataFrame:
     """Outcome of each correction: applied, or skipped with the reason.
 
     A retag needs exactly one node with the same normalised text, else exactly one where
     one text is a prefix of the other. Equal texts of a document are one row, and prefixes are
     looked up as whole strings of the lengths that can match, so every joined pair is a match.
-    Later retags of a node see the earlier ones.
+    Later retags of a node see the earlier ones. Nodes and corrections are read and normalised once.
     """
-    keys = ["doc_id", "fix_id"]
-    target = match_key(F.coalesce("target_text", F.lit("")))
-    retags = fixes.filter(F.col("action") == "retag").select(*keys, "new_tag", target.alias("target"))
+    return _outcomes(_elements(nodes), fixes).drop("action")
+
+
+def _outcomes(elements: DataFrame, fixes: DataFrame) -> DataFrame:
+    """``apply_fixes`` from the written nodes, with the action."""
+    keys = ["doc_id", "fix_id", "action"]
+    action = F.col("action")
+    asked = stored(fixes.select(
+        *keys, "new_tag", F.when(action == "retag", match_key(F.coalesce("target_text", F.lit("")))).alias("target"),
+        F.when(action == "set_alt", F.coalesce("figure_number", F.lit(0))).cast("long").alias("figure_no"),
+        F.when(action == "set_alt", strip(F.coalesce("new_alt", F.lit("")))).when(
+            action == "set_title", strip(F.coalesce("new_title", F.lit("")))).alias("value")), "fix-requests")
+    retags = asked.filter(action == "retag").select(*keys, "new_tag", "target")
     valid = F.col("new_tag").isin(lx.ALLOWED_RETAGS) & (F.length("target") >= 3)
     wanted = retags.filter(valid)
-    texts = nodes.select("doc_id", "node_id", "tag", match_key(F.coalesce("text", F.lit(""))).alias("key")).filter(F.length("key") >= 3)
-    texts = texts.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("node_id", "tag")).alias("e"))
+    texts = elements.filter(F.length("key") >= 3).groupBy("doc_id", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("node_id", "tag")).alias("e"))
+    texts = stored(texts, "fix-texts")
 
     def one(pairs: DataFrame, name: str) -> DataFrame:
         return pairs.groupBy(*keys).agg(F.sum("n").alias("n_" + name), F.min("e").alias(name))
 
-    exact = one(wanted.join(texts.withColumnRenamed("key", "target"), ["doc_id", "target"]), "exact")
-    open_ = wanted.join(exact, keys, "left_anti")
+    matched = stored(wanted.join(texts.withColumnRenamed("key", "target"), ["doc_id", "target"], "left"), "fix-matches")
+    exact = matched.filter("n IS NOT NULL").select(*keys, "new_tag", "n", "e")
+    open_ = matched.filter("n IS NULL").select(*keys, "new_tag", "target")
     lengths = texts.select("doc_id", F.length("key").alias("_size")).distinct()
     shorter = open_.join(lengths, "doc_id").filter(F.col("_size") <= F.length("target")).select(
         *keys, F.substr("target", F.lit(1), F.col("_size")).alias("key")).join(texts, ["doc_id", "key"])
@@ -157,8 +174,8 @@ def apply_fixes(nodes: DataFrame, fixes: DataFrame) -> DataFrame:
         "doc_id", F.substr("key", F.lit(1), F.col("_size")).alias("target"), "n", "e")
     longer = open_.join(starts, ["doc_id", "target"])
     prefix = one(shorter.select(*keys, "n", "e").unionByName(longer.select(*keys, "n", "e")), "prefix")
-    found = wanted.join(exact, keys, "left").join(prefix, keys, "left").select(
-        *keys, "new_tag", F.coalesce("n_exact", "n_prefix", F.lit(0)).alias("n"), F.coalesce("exact", "prefix").alias("e"))
+    near = open_.join(prefix, keys, "left").select(*keys, "new_tag", F.coalesce("n_prefix", F.lit(0)).alias("n"), F.col("prefix").alias("e"))
+    found = stored(exact.unionByName(near), "fix-found")
     w = Window.partitionBy("doc_id", "node_id").orderBy("fix_id")
     single = found.filter(F.col("n") == 1).select(*keys, "new_tag", F.col("e.node_id").alias("node_id"), F.col("e.tag").alias("tag"))
     single = single.withColumn("before", F.coalesce(F.lag("new_tag").over(w), F.col("tag")))
@@ -169,17 +186,15 @@ def apply_fixes(nodes: DataFrame, fixes: DataFrame) -> DataFrame:
         F.col("n").cast("string"), F.lit(" elements matched, need exactly 1")).alias("why"), none.alias("value"))
     invalid = retags.filter(~valid).select(*keys, none.alias("node_id"), F.lit("invalid retag parameters").alias("why"), none.alias("value"))
 
-    alts = fixes.filter(F.col("action") == "set_alt").select(*keys, F.coalesce("figure_number", F.lit(0)).cast("long").alias("figure_no"),
-                                                             strip(F.coalesce("new_alt", F.lit(""))).alias("value"))
-    figures = figure_numbers(nodes).select("doc_id", "figure_no", "node_id")
+    alts = asked.filter(action == "set_alt").select(*keys, "figure_no", "value")
+    figures = figure_numbers(elements).select("doc_id", "figure_no", "node_id")
     ok = F.col("node_id").isNotNull() & (F.col("value") != "")
     altered = alts.join(figures, ["doc_id", "figure_no"], "left").select(
         *keys, F.when(ok, F.col("node_id")).alias("node_id"), F.when(~ok, F.lit("figure not found or empty alt")).alias("why"),
         F.when(ok, F.col("value")).alias("value"))
-    title = strip(F.coalesce("new_title", F.lit("")))
-    titled = fixes.filter(F.col("action") == "set_title").select(
-        *keys, none.alias("node_id"), F.when(title == "", F.lit("empty title")).alias("why"), F.nullif(title, F.lit("")).alias("value"))
-    unknown = fixes.filter(~F.col("action").isin("retag", "set_alt", "set_title")).select(
+    titled = asked.filter(action == "set_title").select(
+        *keys, none.alias("node_id"), F.when(F.col("value") == "", F.lit("empty title")).alias("why"), F.nullif("value", F.lit("")).alias("value"))
+    unknown = asked.filter(~action.isin("retag", "set_alt", "set_title")).select(
         *keys, none.alias("node_id"), F.concat(F.lit("unknown action "), "action").alias("why"), none.alias("value"))
     out = retagged.unionByName(unmatched).unionByName(invalid).unionByName(altered).unionByName(titled).unionByName(unknown)
     return out.withColumn("applied", F.col("why").isNull())

@@ -40,6 +40,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Later steps start from the files and read only the columns they name, so a lost executor costs no recomputation and
+    every reader sees the same rows.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so iterative jobs survive a lost executor."""
     spark = df.sparkSession
