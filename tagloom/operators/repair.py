@@ -207,23 +207,23 @@ def corrected(nodes: DataFrame, fixes: DataFrame, chunk_rows: int = scan.CHUNK_R
     documents with an applied retag, and of no others, are repaired after that; each such document has one more line in
     the log (action heading_levels, no fix_id, the number of repaired headings as value).
     """
-    keys = ["doc_id", "fix_id"]
-    log = cut_lineage(apply_fixes(nodes, fixes).join(fixes.select(*keys, "action"), keys).select(
-        *keys, "action", "node_id", "applied", "why", "value"))
+    elements = _elements(nodes)
+    log = stored(_outcomes(elements, fixes).select("doc_id", "fix_id", "action", "node_id", "applied", "why", "value"), "fix-log")
     done = log.filter("applied AND node_id IS NOT NULL")
 
     def last(action: str) -> Column:
         return F.max_by(F.when(F.col("action") == action, F.col("value")), F.when(F.col("action") == action, F.col("fix_id")))
 
-    changes = done.groupBy("doc_id", "node_id").agg(last("retag").alias("_tag"), last("set_alt").alias("_alt"))
-    changed = nodes.join(changes, ["doc_id", "node_id"], "left").withColumns({
-        "tag": F.coalesce("_tag", "tag"), "alt": F.coalesce("_alt", "alt")}).select(*nodes.columns)
+    changes = stored(done.groupBy("doc_id", "node_id").agg(last("retag").alias("_tag"), last("set_alt").alias("_alt")), "fix-changes")
     touched = done.filter("action = 'retag'").select("doc_id").distinct()
-    heads = changed.filter(F.col("tag").rlike("^H[1-6]$")).join(touched, "doc_id", "left_semi").select(
-        "doc_id", "ord", F.substring("tag", 2, 1).cast("int").alias("level"))
-    levels = cut_lineage(headings.repair_levels(heads, chunk_rows).filter("new_level <> level").select("doc_id", "ord", "new_level"))
-    out = changed.join(levels, ["doc_id", "ord"], "left").withColumn(
-        "tag", F.coalesce(F.concat(F.lit("H"), F.col("new_level")), "tag")).select(*nodes.columns)
+    tags = elements.select("doc_id", "node_id", "ord", "tag").join(changes.select("doc_id", "node_id", "_tag"), ["doc_id", "node_id"], "left").select(
+        "doc_id", "ord", F.coalesce("_tag", "tag").alias("tag"))
+    # written before its levels are repaired, which reads it for the rows and for the summaries
+    heads = stored(tags.filter(F.col("tag").rlike("^H[1-6]$")).join(touched, "doc_id", "left_semi").select(
+        "doc_id", "ord", F.substring("tag", 2, 1).cast("int").alias("level")), "fix-heads")
+    levels = stored(headings.repair_levels(heads, chunk_rows).filter("new_level <> level").select("doc_id", "ord", "new_level"), "fix-levels")
+    out = nodes.join(changes, ["doc_id", "node_id"], "left").join(levels, ["doc_id", "ord"], "left").withColumns({
+        "tag": F.coalesce(F.concat(F.lit("H"), F.col("new_level")), "_tag", "tag"), "alt": F.coalesce("_alt", "alt")}).select(*nodes.columns)
     repaired = levels.groupBy("doc_id").agg(F.count(F.lit(1)).cast("string").alias("value")).select(
         "doc_id", F.lit("heading_levels").alias("action"), F.lit(True).alias("applied"), "value")
     return out, log.unionByName(repaired, allowMissingColumns=True)
