@@ -138,14 +138,18 @@ def titles(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def metadata_autofill(docs: DataFrame, texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Language from the text and title from the first large span, where missing."""
+    """Language from the text and title from the first large span, where missing.
+
+    Texts meet their documents first, so that only those without a language are looked at.
+    """
     t = strip(F.coalesce("text", F.lit("")))
     big = spans.filter(F.col("size") >= 16).select("doc_id", t.alias("t"), "page", "block", "line", "span").filter(
         F.col("t") != "").groupBy("doc_id").agg(F.min_by("t", F.struct("page", "block", "line", "span")).alias("auto_title"))
-    guessed = texts.select("doc_id", F.coalesce(lang.detect_language(F.col("text")), F.lit("en")).alias("auto_lang"))
     needs = blank(F.col("lang")) | blank(F.col("title"))
-    return docs.filter(needs).join(guessed, "doc_id", "left").join(big, "doc_id", "left").select(
-        "doc_id", F.when(blank(F.col("lang")), F.coalesce("auto_lang", F.lit("en"))).alias("set_lang"),
+    asked = docs.filter(needs).select("doc_id", "lang", "title").join(big, "doc_id", "left").join(
+        texts.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
+    return asked.select(
+        "doc_id", F.when(blank(F.col("lang")), F.coalesce(lang.detect_language(F.col("_text")), F.lit("en"))).alias("set_lang"),
         F.when(blank(F.col("title")), F.col("auto_title")).alias("set_title"))
 
 
