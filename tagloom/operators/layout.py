@@ -22,7 +22,7 @@ from tagloom.functions.text import blank, left, lookup, matches, pattern, strip
 from tagloom.operators import scan
 from tagloom.operators.contrast import first_n
 from tagloom.operators.headings import median_size
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, stored
 
 PAGE = ["doc_id", "page"]
 #: Figures and captions of a page that one task walks, a few hundred bytes each.
@@ -212,6 +212,8 @@ def running_headers(spans: DataFrame, pages: DataFrame) -> DataFrame:
     rows = spans.withColumn("text", text).filter(F.col("text") != "").join(size, PAGE).withColumns({
         "zone": zone, "row_y": F.rint(mid / lx.ROW_TOLERANCE) * lx.ROW_TOLERANCE,
         "norm": F.when(norm == "", F.lit("#")).otherwise(norm)}).filter(F.col("zone").isNotNull())
+    # counted and looked up again: the spans of the margins are found once
+    rows = stored(rows.select(*PAGE, "span", "zone", "row_y", "norm", "x0", "y0", "x1", "y1"), "margin-spans")
     keys = ["doc_id", "zone", "row_y", "norm"]
     repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= lx.MIN_REPEATS).select(*keys)
     return rows.join(repeated, keys, "left_semi").select(*PAGE, "span", "zone", "row_y", "norm", "x0", "y0", "x1", "y1")

@@ -11,6 +11,11 @@ from tagloom.functions.text import blank, left, matches, pattern, strip
 from tagloom.operators.contrast import first_n
 
 
+def _once(value: Column) -> Column:
+    """A value that is computed once a row: filters on a generated column stay above it, where those on a projected one repeat its expression."""
+    return F.explode_outer(F.array(value))
+
+
 def abbreviations(texts: DataFrame, min_count: int = 2) -> DataFrame:
     """Acronyms and dotted abbreviations per document with their counts."""
     acronyms = F.transform(
@@ -72,11 +77,13 @@ def sensory(nodes: DataFrame) -> DataFrame:
 
 
 def is_formula(text: Column) -> Column:
+    """Commands, two symbols, an equation number or short inline mathematics; a pattern is only tried on a text that has what it starts with."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"^\p{L}{3,}$"))
     short_math = (F.length(text) <= 80) & matches(text, lx.INLINE_MATH) & (F.size(words) < 3)
-    return (text != "") & (
-        matches(text, lx.LATEX, True) | (F.regexp_count(text, F.lit(lx.MATH_SYMBOLS)) >= 2)
-        | matches(text, lx.EQUATION_NUMBER) | short_math)
+    latex = text.contains("\\") & matches(text, lx.LATEX, True)
+    symbols = (F.octet_length(text) > F.length(text)) & (F.regexp_count(text, F.lit(lx.MATH_SYMBOLS)) >= 2)
+    number = (text.contains("(") | text.contains("[")) & matches(text, lx.EQUATION_NUMBER)
+    return (text != "") & (latex | symbols | number | short_math)
 
 
 def formula_alt(text: Column) -> Column:
@@ -123,7 +130,7 @@ def node_languages(nodes: DataFrame, docs: DataFrame) -> DataFrame:
         F.length("text") >= lx.NODE_LANGUAGE_MIN)
     base = docs.select("doc_id", lang.primary_subtag(F.coalesce("lang", F.lit("en"))).alias("base"))
     return (
-        rows.select("doc_id", "node_id", "ord", lang.detect_language(F.col("text")).alias("language"))
+        rows.select("doc_id", "node_id", "ord", _once(lang.detect_language(F.col("text"))).alias("language"))
         .join(base, "doc_id").filter(F.col("language") != F.col("base"))
         .select("doc_id", "node_id", "ord", "language")
     )
@@ -152,7 +159,7 @@ def language_repairs(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     base = document_language(nodes, docs).select("doc_id", lang.primary_subtag(F.col("lang")).alias("base"))
     rows = (
         nodes.filter(F.col("tag").isin(lx.LANGUAGE_REPAIR_TAGS) & blank(F.col("language")))
-        .select("doc_id", "node_id", "ord", lang.detect_language(F.col("text")).alias("language"))
+        .select("doc_id", "node_id", "ord", _once(lang.detect_language(F.col("text"))).alias("language"))
         .filter(F.col("language").isNotNull())
     )
     return rows.join(base, "doc_id").filter(F.col("language") != F.col("base")).select(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.operators import headings, layout, prose
-from tagloom.session import cut_lineage
+from tagloom.session import cut_lineage, stored
 
 
 def repaired_nodes(nodes: DataFrame, spans: DataFrame, pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -19,9 +19,9 @@ def repaired_nodes(nodes: DataFrame, spans: DataFrame, pages: DataFrame, docs: D
     table, so the work is one pass per step however long the sequence gets.
     """
     key = ["doc_id", "ord"]
-    kept = layout.drop_invisible(nodes, spans)
+    kept = stored(layout.drop_invisible(nodes, spans), "sequence-kept")
     promoted = headings.promote_headings(kept).select(*key, F.col("new_tag").alias("_tag"))
-    base = cut_lineage(kept.join(promoted, key, "left").withColumn("tag", F.coalesce("_tag", "tag")).drop("_tag"))
+    base = stored(kept.join(promoted, key, "left").withColumn("tag", F.coalesce("_tag", "tag")).drop("_tag"), "sequence-base")
 
     links = cut_lineage(layout.link_captions(base).select("doc_id", "fig", "cap"))
     figures = base.filter(F.col("tag") == "Figure").select("doc_id", F.col("ord").alias("fig"), F.col("node_id").alias("_figure"))
