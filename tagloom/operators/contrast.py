@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tagloom import lexicon as lx
 from tagloom.functions import color as c
 from tagloom.functions.numbers import half_even
+from tagloom.functions.rows import with_once
 from tagloom.functions.text import left, strip
 
 
@@ -18,7 +19,8 @@ def first_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
 
 
 def _ratio_against_bg(df: DataFrame, fg: str) -> DataFrame:
-    return df.withColumn("ratio", c.contrast_ratio(F.col(fg), F.col("bg")))
+    lit = with_once(df, _fg=c.packed_luminance(F.col(fg)), _bg=c.packed_luminance(F.col("bg")))
+    return with_once(lit, ratio=c.ratio_of(F.col("_fg"), F.col("_bg"))).drop("_fg", "_bg")
 
 
 def contrast_failures(spans: DataFrame) -> DataFrame:
@@ -75,6 +77,10 @@ def decorative_path(width: Column, height: Column) -> Column:
 def nontext_contrast(annots: DataFrame, paths: DataFrame, pages: DataFrame, images: DataFrame) -> DataFrame:
     """Borders and thin informative lines below 3:1."""
     white = F.lit(0xFFFFFF)
+
+    def low(df: DataFrame) -> DataFrame:
+        return _ratio_against_bg(df, "fg").filter(F.col("ratio") < lx.GRAPHIC_RATIO)
+
     ui = (
         annots.filter(F.col("subtype").isin(lx.BORDER_SUBTYPES) & F.col("stroke").isNotNull())
         .select("doc_id", "page", F.lit(0).alias("kind"), F.col("annot_id").alias("item"),
@@ -82,17 +88,19 @@ def nontext_contrast(annots: DataFrame, paths: DataFrame, pages: DataFrame, imag
                 F.col("stroke").alias("fg"), F.coalesce("bg", white).alias("bg"))
     )
     sizes = pages.join(page_image_cover(images, pages), ["doc_id", "page"]).filter(F.col("cover") <= lx.PAGE_COVER)
-    graphic = (
+    thin = (
         paths.filter(F.col("color").isNotNull() & (F.col("width") > 0) & (F.col("width") <= 3)
                      & (F.greatest("w", "h") >= 10))
-        .join(sizes.select("doc_id", "page", F.col("width").alias("_pw"), F.col("height").alias("_ph")), ["doc_id", "page"])
+        .withColumns({"fg": F.col("color"), "bg": F.coalesce("bg", white)})
+    )
+    graphic = (
+        low(thin).join(sizes.select("doc_id", "page", F.col("width").alias("_pw"), F.col("height").alias("_ph")), ["doc_id", "page"])
         .filter(~decorative_path(F.col("_pw"), F.col("_ph")))
         .select("doc_id", "page", F.lit(1).alias("kind"), F.col("path_id").alias("item"), F.lit("graphic").alias("type"),
                 F.format_string("line/path w=%.1fpt", F.col("width")).alias("component"),
-                F.col("color").alias("fg"), F.coalesce("bg", white).alias("bg"))
+                "fg", "bg", "ratio")
     )
-    out = _ratio_against_bg(ui.unionByName(graphic), "fg").filter(F.col("ratio") < lx.GRAPHIC_RATIO)
-    return out.select(
+    return low(ui).unionByName(graphic).select(
         "doc_id", "page", "type", "component", "item", c.hex_color(F.col("fg")).alias("fg"),
         c.hex_color(F.col("bg")).alias("bg"), half_even("ratio", 2).alias("ratio"),
         F.lit(lx.GRAPHIC_RATIO).alias("required"))

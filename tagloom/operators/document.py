@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tagloom import lexicon as lx
 from tagloom.functions import labels, language as lang
 from tagloom.functions.numbers import half_even
+from tagloom.functions.rows import with_once
 from tagloom.functions.text import blank, escape_markup, left, lookup, matches, strip
 from tagloom.operators.contrast import first_n
 
@@ -171,10 +172,12 @@ def catalog_defaults(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def alt_quality(nodes: DataFrame) -> DataFrame:
     """Figures without a useful text alternative."""
     cleaned = F.lower(strip(F.regexp_replace("alt", r"[^\p{L}\p{N}_\s]", "")))
-    generic = (cleaned == "") | cleaned.isin(lx.GENERIC_ALT) | matches(
-        cleaned, "|".join(f"(?:{p})" for p in lx.GENERIC_ALT_PATTERNS), True)
+    text = F.col("_cleaned")
+    generic = (text == "") | text.isin(lx.GENERIC_ALT) | matches(
+        text, "|".join(f"(?:{p})" for p in lx.GENERIC_ALT_PATTERNS), True)
     kind = F.when(F.col("alt").isNull(), "missing").when(blank(F.col("alt")), "empty").when(generic, "generic")
-    return nodes.filter(F.col("tag") == "Figure").withColumn("type", kind).filter(F.col("type").isNotNull()).select(
+    figures = with_once(nodes.filter(F.col("tag") == "Figure").select("doc_id", "node_id", "page", "alt"), _alt=F.col("alt")).drop("alt").withColumnRenamed("_alt", "alt")
+    return with_once(with_once(figures, _cleaned=cleaned), type=kind).filter(F.col("type").isNotNull()).select(
         "doc_id", "node_id", "page", "type", F.when(F.col("type") == "empty", F.lit("")).otherwise(left(F.col("alt"), 120)).alias("alt"))
 
 

@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tagloom import lexicon as lx
 from tagloom.functions.numbers import half_even
-from tagloom.functions.text import left, strip
+from tagloom.functions.rows import with_once
+from tagloom.functions.text import left, lookup, strip
 from tagloom.operators import scan
 
 
 def heading_rows(nodes: DataFrame) -> DataFrame:
     """Heading nodes with their level; a plain H counts as level 1."""
-    level = F.when(F.col("tag") == "H", F.lit(1)).when(
-        F.col("tag").isin(lx.HEADING_TAGS), F.substring("tag", 2, 1).cast("int"))
-    return nodes.withColumn("level", level).filter(F.col("level").isNotNull())
+    level = lookup({"H": 1} | {tag: int(tag[1]) for tag in lx.HEADING_TAGS}, F.col("tag"))
+    return with_once(nodes.drop("level"), level=level).filter(F.col("level").isNotNull())
 
 
 def skipped_levels(headings: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tagloom import lexicon as lx
 from tagloom.functions import language as lang
 from tagloom.functions.numbers import half_even
+from tagloom.functions.rows import with_once
 from tagloom.functions.text import blank, left, matches, pattern, strip
 from tagloom.operators.contrast import first_n
 
@@ -27,7 +28,7 @@ def abbreviations(texts: DataFrame, min_count: int = 2) -> DataFrame:
     # most rows hold none: skip the regex work unless a capital pair or an inner dot is there
     cheap = F.col("text").rlike(r"[A-Z][A-Z0-9]|[A-Za-z]\.[A-Za-z]")
     return (
-        texts.filter(cheap).select("doc_id", F.inline(F.concat(acronyms, dotted)))
+        with_once(texts.select("doc_id", F.col("text").alias("_text")), text=F.col("_text")).filter(cheap).select("doc_id", F.inline(F.concat(acronyms, dotted)))
         .groupBy("doc_id", "abbreviation", "type").agg(F.count(F.lit(1)).alias("count"))
         .filter(F.col("count") >= min_count)
     )
@@ -43,13 +44,12 @@ def reading_level(texts: DataFrame) -> DataFrame:
     """Grade, ease and band of each document's whole text."""
     words = F.filter(F.split("text", lang.WORD_BREAK), lambda w: w.rlike("^[a-zA-Z]+$"))
     sentences = F.filter(F.split("text", "[.!?]+"), lambda s: ~blank(s))
-    base = texts.select("doc_id", words.alias("w"), F.size(sentences).alias("sentences"))
+    base = with_once(texts.select("doc_id", "text"), w=words, sentences=F.size(sentences)).drop("text")
     # one string <w1><w2>...: a final e is silent, each vowel group is a syllable, and a
     # word without vowels still counts as one
     marked = F.replace(F.lower(F.concat(F.lit("<"), F.array_join("w", "><"), F.lit(">"))), F.lit("e>"), F.lit(">"))
-    base = base.select("doc_id", "sentences", F.size("w").alias("words"), marked.alias("m"))
-    base = base.select("doc_id", "sentences", "words", (
-        F.regexp_count("m", F.lit("[aeiouy]+")) + F.regexp_count("m", F.lit("<[^aeiouy>]*>"))).alias("syllables"))
+    base = with_once(base, words=F.size("w"), m=marked).drop("w")
+    base = with_once(base, syllables=F.regexp_count("m", F.lit("[aeiouy]+")) + F.regexp_count("m", F.lit("<[^aeiouy>]*>"))).drop("m")
     wps, spw = F.col("words") / F.col("sentences"), F.col("syllables") / F.col("words")
     enough = (F.col("words") >= lx.READING_MIN_WORDS) & (F.col("sentences") >= lx.READING_MIN_SENTENCES)
     grade = F.greatest(F.lit(0.0), half_even(0.39 * wps + 11.8 * spw - 15.59, 1))
@@ -64,8 +64,10 @@ def reading_level(texts: DataFrame) -> DataFrame:
 
 def sensory(nodes: DataFrame) -> DataFrame:
     """Instructions that lean on a sense alone; one row per (document, page, phrase)."""
-    texts = nodes.select("doc_id", "page", "ord", F.posexplode(F.array("alt", "text")).alias("src", "text")).filter(
-        F.length("text") >= lx.SENSORY_MIN)
+    def written(src: int, name: str) -> DataFrame:
+        return with_once(nodes.select("doc_id", "page", "ord", F.lit(src).alias("src"), F.col(name).alias("_text")), text=F.col("_text")).drop("_text")
+
+    texts = written(0, "alt").unionByName(written(1, "text")).filter(F.length("text") >= lx.SENSORY_MIN)
     found = F.array(*[
         F.struct(F.lit(i).alias("k"), F.lit(name).alias("type"),
                  strip(F.regexp_extract("text", pattern(p, True), 0)).alias("match"))
@@ -101,16 +103,14 @@ def tag_formulas(nodes: DataFrame) -> DataFrame:
 
 def language_issues(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Documents without a language, and untagged passages in another one."""
-    t = strip(F.col("text"))
-    untagged = (
-        nodes.filter(F.col("tag").isin(lx.LANGUAGE_CHECK_TAGS) & F.col("language").isNull())
-        .select("doc_id", "page", "ord", "tag", t.alias("text"))
-        .filter(F.length("text") >= lx.LANGUAGE_MIN)
-    )
+    untagged = with_once(
+        nodes.filter(F.col("language").isNull()).select("doc_id", "page", "ord", F.col("tag").alias("_tag"), F.col("text").alias("_text")),
+        tag=F.col("_tag"), text=strip(F.col("_text"))).drop("_tag", "_text").filter(
+        F.col("tag").isin(lx.LANGUAGE_CHECK_TAGS) & (F.length("text") >= lx.LANGUAGE_MIN))
     joined = untagged.join(docs.select("doc_id", "lang"), "doc_id")
     other = lang.detect_language(F.col("text"))
-    detected = joined.withColumn("script", lang.script_mismatch(F.col("text"), F.col("lang"))).withColumn(
-        "other", F.when(F.col("script").isNull() & F.col("lang").isNotNull(), other))
+    detected = with_once(with_once(joined, script=lang.script_mismatch(F.col("text"), F.col("lang"))),
+                         other=F.when(F.col("script").isNull() & F.col("lang").isNotNull(), other))
     differs = F.col("other").isNotNull() & ~F.lower("lang").startswith(F.col("other"))
     found = detected.filter(F.col("script").isNotNull() | differs).withColumn("_key", F.lower(F.col("text")))
     changes = first_n(found, ["doc_id", "page", "_key"], ["ord"], 1).select(

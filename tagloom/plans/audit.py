@@ -340,6 +340,11 @@ def verdict_counts(items: DataFrame) -> DataFrame:
 
 # --- reports --------------------------------------------------------------------
 
+def _nine_digits(number: Column) -> Column:
+    """%09d; the formatter is only asked for what padding alone would get wrong."""
+    return F.when(number.between(0, 999_999_999), F.lpad(number.cast("string"), 9, "0")).otherwise(F.format_string("%09d", number))
+
+
 def _report_rows(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """doc_id, section, k1, k2 (what orders a section) and the escaped line of everything that is reported."""
     failures = rules.filter(F.col("status") == "failed").select(
@@ -347,7 +352,7 @@ def _report_rows(rows: DataFrame, rules: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("k2"), F.concat_ws(" | ", "clause", left(F.col("description"), 120)).alias("line"))
     found = rows.filter(F.col("check") != "rule_failures").select(
         "doc_id", F.col("check").alias("section"), F.lit(None).cast("struct<clause:string,test_number:int,line_no:int,rule_id:bigint>").alias("k1"),
-        F.concat_ws("\x1f", F.format_string("%09d", F.coalesce("page", F.lit(0))), F.coalesce("type", F.lit("")), F.coalesce("text", F.lit("")),
+        F.concat_ws("\x1f", _nine_digits(F.coalesce("page", F.lit(0))), F.coalesce("type", F.lit("")), F.coalesce("text", F.lit("")),
                     F.coalesce("detail", F.lit(""))).alias("k2"),
         F.concat_ws(" | ", F.coalesce(F.col("page").cast("string"), F.lit("")), F.coalesce("type", F.lit("")), left(F.coalesce("text", F.lit("")), 60)).alias("line"))
     return failures.unionByName(found).withColumn("line", escape_markup(F.col("line")))
@@ -361,13 +366,22 @@ def report_sections(rows: DataFrame, rules: DataFrame, shown_lines: int | None =
     length see ``report_lines``.
     """
     both = _report_rows(rows, rules)
+    line = F.struct("k1", "k2", "line")
+    if shown_lines is None:
+        # one pass: what is printed is also what is counted
+        sections = both.groupBy("doc_id", "section").agg(F.collect_list(line).alias("_lines")).select(
+            "doc_id", "section", F.size("_lines").cast("long").alias("n"), F.array_sort("_lines").alias("_lines"))
+        return sections.select("doc_id", "section", "n", _joined(F.col("_lines")).alias("body"))
     counts = both.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n"))
-    shown = both if shown_lines is None else first_n(both, ["doc_id", "section"], ["k1", "k2"], shown_lines)
-    body = shown.groupBy("doc_id", "section").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("k1", "k2", "line"))), lambda s: s["line"]), "\n").alias("body"))
+    shown = first_n(both, ["doc_id", "section"], ["k1", "k2"], shown_lines)
+    body = shown.groupBy("doc_id", "section").agg(_joined(F.array_sort(F.collect_list(line))).alias("body"))
     return counts.join(body, ["doc_id", "section"]).select("doc_id", "section", "n", "body")
 
 
+def _joined(lines: Column) -> Column:
+    return F.array_join(F.transform(lines, lambda s: s["line"]), "\n")
+
+
 def report_lines(rows: DataFrame, rules: DataFrame, docs: DataFrame) -> DataFrame:
     """Whole reports of the documents of ``docs``, a row per line: headline counts and verdict (section ""), then every section's
     heading and lines. ``part`` 0 to 3 orders the headline, 1 and 2 heading and lines; k1 and k2 order lines.
