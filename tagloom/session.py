@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_spark(app: str = "tagloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,6 +51,17 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: So many ids may be sent to every executor at once, some 16 bytes each.
+SENT_IDS = 1 << 19
+
+
+def known_ids(rows: DataFrame, name: str = "doc_id") -> tuple[DataFrame, bool]:
+    """The different values of a column, stored, and whether they are few enough to be sent to every executor; then they are marked so."""
+    ids = stored(rows.select(name).distinct(), "ids")
+    few = ids.count() <= SENT_IDS
+    return (F.broadcast(ids) if few else ids), few
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so iterative jobs survive a lost executor."""
     spark = df.sparkSession
