@@ -88,3 +88,20 @@ def test_a_section_over_several_tasks_is_numbered_through(spark, tmp_path):
     got = [r.line for r in audit.read_report_lines(spark, path).filter("section = 'alt'").orderBy("number").collect()]
     assert got == [r[3] for r in rows[:-1]]
     assert [r.number for r in audit.read_report_lines(spark, path).orderBy("section", "number").collect()] == [0, *range(12)]
+
+
+@pytest.mark.parametrize("limit", [1 << 19, 1])
+def test_arrivals_are_audited_without_shuffling_tables(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(session, "SENT_IDS", limit)
+    docs = spark.createDataFrame([(1, True), (2, True), (3, False), (None, True)], "doc_id long, has_xfa boolean")
+    seen = []
+    audited = audit.finding_counts
+    monkeypatch.setattr(audit, "finding_counts", lambda tables, checks: seen.append(tables["docs"]) or audited(tables, checks))
+    src, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(1,), (3,), (3,), (4,)], "doc_id long").write.parquet(src)
+    records.audit_arrivals(spark.readStream.schema("doc_id long").parquet(src), {"docs": docs}, sink, str(tmp_path / "state"), ["xfa"]).awaitTermination()
+    assert [(r.doc_id, r.xfa, r.total) for r in records.record(spark, sink).collect()] == [(1, 1, 1)]
+    assert {r.doc_id for r in spark.read.parquet(sink).collect()} == {1, 3, 4}
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    # before, a join with a checkpoint, of unknown size, so that every table of every check was shuffled
+    assert "rightHint=(strategy=broadcast)" in plan if limit > 1 else "Join" not in plan
