@@ -58,9 +58,20 @@ def with_box_cells(df: DataFrame, prefix: str = "", tolerance: float = 0.0) -> D
     return df.withColumn("_cell", F.explode(of_size.otherwise(cells(len(CELL_SIDES) - 1))))
 
 
-def with_point_cells(df: DataFrame, x: Column, y: Column) -> DataFrame:
-    """One row per level: the cell a point lies in."""
+def box_level(prefix: str = "", tolerance: float = 0.0) -> Column:
+    """The level a box belongs to, as ``with_box_cells`` sees it."""
+    size = F.greatest(F.col(prefix + "x1") - F.col(prefix + "x0"), F.col(prefix + "y1") - F.col(prefix + "y0")) + 2 * tolerance
+    level = F.when(size <= CELL_SIDES[0], 0)
+    for number, side in enumerate(CELL_SIDES[1:-1], 1):
+        level = level.when(size <= side, number)
+    return level.otherwise(len(CELL_SIDES) - 1)
+
+
+def with_point_cells(df: DataFrame, x: Column, y: Column, levels: Column | None = None) -> DataFrame:
+    """One row per level, or per level in the array ``levels``: the cell a point lies in."""
     cells = [_cell(level, F.floor(x / side), F.floor(y / side)) for level, side in enumerate(CELL_SIDES)]
+    if levels is not None:
+        cells = [F.when(F.array_contains(levels, level), cell) for level, cell in enumerate(cells)]
     return df.withColumn("_cell", F.explode(F.array(*cells))).filter(F.col("_cell").isNotNull())
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tagloom import lexicon as lx
 from tagloom.functions import labels
-from tagloom.functions.geometry import contains, with_box_cells, with_point_cells
+from tagloom.functions.geometry import box_level, contains, with_box_cells, with_point_cells
 from tagloom.functions.numbers import half_even
 from tagloom.functions.text import blank, left, lookup, matches, strip
 from tagloom.operators.contrast import first_n
@@ -131,7 +131,13 @@ def label_in_name(fields: DataFrame, spans: DataFrame) -> DataFrame:
     left_of = region(0, F.greatest(F.lit(0.0), F.col("fx0") - m), F.col("fy0") - 4, F.col("fx0") + 4, F.col("fy1") + m)
     above = region(1, F.col("fx0") - 8, F.col("fy1") - 2, F.col("fx1") + 8, F.col("fy1") + 40)
     regions = f.select("doc_id", "page", "field_id", F.inline(F.array(left_of, above)))
-    near = with_point_cells(s, F.col("cx"), F.col("cy")).join(with_box_cells(regions, "r_"), ["doc_id", "page", "_cell"]).filter(
+    # what encloses all regions of a page, and their levels: a span is shuffled once, and cells are only made of those that may lie in a region
+    reach = regions.groupBy("doc_id", "page").agg(
+        *[f("r_" + c).alias("p_" + c) for c, f in (("x0", F.min), ("y0", F.min), ("x1", F.max), ("y1", F.max))],
+        F.collect_set(box_level("r_")).alias("_levels"))
+    s = s.join(reach, ["doc_id", "page"]).filter(contains("p_", F.col("cx"), F.col("cy"))).select(
+        "doc_id", "page", "span", "t", "y0", "x0", "cx", "cy", "_levels")
+    near = with_point_cells(s, F.col("cx"), F.col("cy"), F.col("_levels")).join(with_box_cells(regions, "r_"), ["doc_id", "page", "_cell"]).filter(
         contains("r_", F.col("cx"), F.col("cy"))).select("doc_id", "page", "field_id", "t", "y0", "x0", "span", "region")
     order = F.struct("region", (-F.col("y0")).alias("down"), "x0", "span", "t")
     joined = near.groupBy("doc_id", "field_id").agg(F.array_join(

@@ -377,8 +377,30 @@ def split_list_labels(items: DataFrame) -> DataFrame:
         F.struct(F.concat("node_id", F.lit("_lbody")).alias("node_id"), F.lit("LBody").alias("tag"), body.alias("text")))))
 
 
+def _swatch_starts(cur: Column, prev: Column) -> Column:
+    return (F.abs(cur["down"] - prev["down"]) > lx.SWATCH_BAND) | (cur["x"] - (prev["x"] + prev["w"]) > lx.SWATCH_GAP)
+
+
+def _page_clusters(rows: DataFrame) -> DataFrame:
+    """``cluster``, the number of the run a shape belongs to: one shuffle by page serves this and the counts after it."""
+    order = Window.partitionBy(*PAGE).orderBy("down", "x", "fill_id")
+    shape = F.struct("down", "x", "w")
+    opens = F.when(_swatch_starts(shape, F.lag(shape).over(order)), 1).otherwise(0)
+    return rows.withColumn("_opens", opens).withColumn("cluster", F.sum("_opens").over(scan.running(order))).drop("_opens")
+
+
+def _swatch_counts(rows: DataFrame, *first: Column) -> DataFrame:
+    """Shapes and colours per cluster; per colour first, so no distinct set is built for a large cluster."""
+    colours = rows.groupBy(*PAGE, "cluster", "r", "g", "bl").agg(F.count(F.lit(1)).alias("n"), *first)
+    return colours.groupBy(*PAGE, "cluster").agg(F.sum("n").alias("swatches"), F.count(F.lit(1)).alias("colors"), *[F.min("_at").alias("_at") for _ in first]).filter(
+        (F.col("swatches") >= lx.SWATCH_MIN) & (F.col("colors") >= lx.SWATCH_MIN))
+
+
 def swatch_clusters(fills: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> DataFrame:
-    """Rows of small coloured shapes with at least three colours: a likely legend."""
+    """Rows of small coloured shapes with at least three colours: a likely legend.
+
+    A page of at most ``chunk_rows`` small shapes is sorted by one task; only longer ones are cut into chunks, by count.
+    """
     area = F.col("w") * F.col("h")
     small = fills.filter(
         area.between(lx.SWATCH_MIN_AREA, lx.SWATCH_MAX_AREA)
@@ -386,17 +408,16 @@ def swatch_clusters(fills: DataFrame, chunk_rows: int = scan.CHUNK_ROWS) -> Data
     r, gr, b, _ = c.device_rgb(F.col("space"), F.col("a"), F.col("b"), F.col("c"), F.col("d"))
     rows = small.select(*PAGE, (-F.col("y")).alias("down"), "x", "fill_id", "w",
                         *[half_even(v, 2).alias(n) for v, n in ((r, "r"), (gr, "g"), (b, "bl"))])
-    rows = scan.with_count_chunk(rows, [*PAGE, "down", "x", "fill_id"], chunk_rows)
-
-    def starts(cur: Column, prev: Column) -> Column:
-        return (F.abs(cur["down"] - prev["down"]) > lx.SWATCH_BAND) | (cur["x"] - (prev["x"] + prev["w"]) > lx.SWATCH_GAP)
-
-    rows = scan.islands(rows, PAGE, ["down", "x", "fill_id"], F.struct("down", "x", "w"), starts, "cluster")
-    # per colour first, then per cluster: no distinct set is built for a large cluster
-    colours = rows.groupBy(*PAGE, "cluster", "r", "g", "bl").agg(F.count(F.lit(1)).alias("n"))
-    out = colours.groupBy(*PAGE, "cluster").agg(F.sum("n").alias("swatches"), F.count(F.lit(1)).alias("colors"))
-    return out.filter((F.col("swatches") >= lx.SWATCH_MIN) & (F.col("colors") >= lx.SWATCH_MIN)).select(
-        *PAGE, F.col("cluster.fill_id").alias("first_fill"), "swatches", "colors")
+    crowded = cut_lineage(small.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk_rows).select(*PAGE))
+    few = None if crowded.isEmpty() else F.broadcast(crowded)
+    paged = rows if few is None else rows.join(few, PAGE, "left_anti")
+    at = F.min(F.struct("down", "x", "fill_id")).alias("_at")
+    out = _swatch_counts(_page_clusters(paged), at).select(*PAGE, F.col("_at.fill_id").alias("first_fill"), "swatches", "colors")
+    if few is None:
+        return out
+    cut = scan.with_count_chunk(rows.join(few, PAGE, "left_semi"), [*PAGE, "down", "x", "fill_id"], chunk_rows)
+    runs = scan.islands(cut, PAGE, ["down", "x", "fill_id"], F.struct("down", "x", "w"), _swatch_starts, "cluster")
+    return out.unionByName(_swatch_counts(runs).select(*PAGE, F.col("cluster.fill_id").alias("first_fill"), "swatches", "colors"))
 
 
 # --- marked content and structure ------------------------------------------------

@@ -105,3 +105,25 @@ def test_arrivals_are_audited_without_shuffling_tables(spark, tmp_path, monkeypa
     plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
     # before, a join with a checkpoint, of unknown size, so that every table of every check was shuffled
     assert "rightHint=(strategy=broadcast)" in plan if limit > 1 else "Join" not in plan
+
+
+def test_swatches_of_ordinary_pages_take_one_shuffle(spark):
+    fills = spark.createDataFrame([(d, p, i, 20.0 * i, 5.0, 8.0, 8.0, "rgb", i / 10, 0.1, 0.2, 0.0) for d, p in ((1, 1), (1, 2), (None, 1)) for i in range(4 if p == 1 else 2)],
+                                  "doc_id long, page int, fill_id long, x double, y double, w double, h double, space string, a double, b double, c double, d double")
+    out = layout.swatch_clusters(fills)
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 0, 4, 4), (None, 1, 0, 4, 4)}
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString()
+    # before: a sort by range, a checkpoint, and shuffles by chunk and by colour
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in layout.swatch_clusters(fills, 3).collect() if r[0]} == {(1, 1, 0, 4, 4)}
+
+
+def test_labels_meet_regions_of_every_level(spark):
+    fields = spark.createDataFrame([(1, 1, 1, "a", None, "Tx", 140.0, 80.0, 220.0, 94.0), (1, 1, 2, "b", None, "Tx", 140.0, 300.0, 3000.0, 900.0), (1, 2, 3, "c", None, "Tx", 10.0, 10.0, 30.0, 20.0)],
+                                   "doc_id long, page int, field_id long, T string, TU string, FT string, x0 double, y0 double, x1 double, y1 double")
+    spans = spark.createDataFrame([(1, 1, 1, "Name of holder", 60.0, 84.0, 130.0, 92.0), (1, 1, 2, "Place of birth", 2000.0, 905.0, 2100.0, 915.0), (1, 1, 3, "far away", 5000.0, 84.0, 5100.0, 92.0),
+                                   (1, 3, 4, "no field here", 10.0, 10.0, 30.0, 20.0), (1, 2, 5, "no place", None, 10.0, 30.0, 20.0)],
+                                  "doc_id long, page int, span long, text string, x0 double, y0 double, x1 double, y1 double")
+    out = interactive.label_in_name(fields, spans)
+    assert {(r.field_id, r.visible_label) for r in out.collect()} == {(1, "Name of holder"), (2, "Place of birth")}
+    assert "p_x0" in out._jdf.queryExecution().optimizedPlan().toString()  # spans meet what encloses a page's regions before they get cells
