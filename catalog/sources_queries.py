@@ -96,7 +96,7 @@ def _intake(s, p):
     intake.write_files(table(s, p, "documents").select(F.col("doc_id").alias("name"), "text"), path)
     lines = F.size(F.filter(F.split("text", "\n"), lambda x: strip(x) != ""))
     doc_id = F.regexp_extract("path", "file=(-?[0-9]+)-[0-9]+", 1).try_cast("long")
-    return intake.judged_files(s, path, 2000).select(doc_id.alias("doc_id"), "length", "error", F.when(F.col("error").isNull(), lines).alias("lines"))
+    return intake.judged_paths(s, path, 2000).select(doc_id.alias("doc_id"), "length", "error", F.when(F.col("error").isNull(), lines).alias("lines"))
 
 
 QUERIES = {

@@ -13,6 +13,8 @@ from tagloom.sources.text import MAX_BYTES
 
 #: Folders that files are dealt to: Spark lists a folder in one task.
 FOLDERS = 256
+#: Bytes of texts and entries that a task hands on at once.
+_HELD = 4 << 20
 
 
 def write_files(texts: DataFrame, path: str) -> None:
@@ -73,6 +75,74 @@ def judged_files(spark: SparkSession, path: str, limit: int = MAX_BYTES) -> Data
     return read.unionByName(long)
 
 
+def _hidden(name: str) -> bool:
+    """Names that Spark's file source passes over."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and not name.startswith(("_common_metadata", "_metadata")))
+
+
+def judged_paths(spark: SparkSession, path: str, limit: int = MAX_BYTES) -> DataFrame:
+    """path, length, text and error as in ``judged_files``, for any number of files.
+
+    Where the folder is one of the file system, tasks list its folders and read what is short enough, so that neither the driver nor a
+    plan holds an entry per file. Elsewhere Spark's file source lists.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    base = target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toUri().toString()
+    if urlparse(base).scheme != "file":
+        return judged_files(spark, path, limit).select("path", "length", "text", "error")
+    root = unquote(urlparse(base).path)
+    if not os.path.isdir(root):
+        raise FileNotFoundError(root)
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                with os.scandir(root) as entries:
+                    for e in entries:
+                        if not _hidden(e.name):
+                            yield pa.RecordBatch.from_pydict({"at": [e.path]})
+
+    def found(at: str) -> Iterator[str]:
+        if os.path.isdir(at):
+            with os.scandir(at) as entries:
+                for e in entries:
+                    if not _hidden(e.name):
+                        yield from found(e.path)
+        else:
+            yield at
+
+    schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("text", pa.string()), ("error", pa.string())])
+
+    def judged(file: str) -> tuple:
+        length, text, error = os.stat(file).st_size, None, "too_long"
+        if length <= limit:
+            with open(file, "rb") as content:
+                try:
+                    text, error = content.read().decode(), None
+                except UnicodeDecodeError:
+                    error = "invalid_utf8"
+        return "file:" + file, length, text, error
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                for file in found(at):
+                    row = judged(file)
+                    if not row[1]:
+                        continue
+                    rows.append(row)
+                    held += 200 + (row[1] if row[2] is not None else 0)
+                    if held > _HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    entries = spark.range(0, 1, 1, 1).mapInArrow(top, "at string").repartition(FOLDERS)
+    return entries.mapInArrow(read, "path string, length long, text string, error string")
+
+
 def intake(spark: SparkSession, path: str, limit: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
     """Text files taken in (all columns of ``read_files``, ``text`` for content), and a rejects table (path, length, error).
 

@@ -36,6 +36,23 @@ def test_rows_become_files_and_are_read_once(spark, tmp_path):
     assert scans == 2  # short files with content, long ones without; before, short files were read twice
 
 
+def test_tasks_list_and_read_folders(spark, tmp_path):
+    folder = str(tmp_path / "a folder")
+    rows = spark.createDataFrame([(1, "one\ntwo"), (1, "again"), (None, "häßlich"), (3, None), (-4, "x" * 50)], "name long, text string")
+    intake.write_files(rows, folder)
+    for name, data in (("flat", b"flat"), ("empty", b""), (".hidden", b"no"), ("_SUCCESS", b"no"), ("bad", b"\xff\xfe"), ("_a=b", b"yes")):
+        put(folder, name, data)
+    put(os.path.join(folder, "x", "y"), "deep", b"deep")
+    judged = intake.judged_paths(spark, folder, 20)
+    assert "binaryFile" not in judged._jdf.queryExecution().executedPlan().toString()  # its index holds an entry per file in the driver
+    got = sorted((os.path.basename(r.path), r.length, r.text, r.error) for r in judged.collect())
+    assert len(got) == 9 and ("deep", 4, "deep", None) in got and ("bad", 2, None, "invalid_utf8") in got and ("_a=b", 3, "yes", None) in got
+    assert sum(r[3] == "too_long" for r in got) == 1
+    put(str(tmp_path / "flat"), "only one", b"text")
+    one = intake.judged_paths(spark, str(tmp_path / "flat"), 20).first()
+    assert one.path.startswith("file:/") and (one.length, one.text, one.error) == (4, "text", None)
+
+
 def test_long_files_are_left_out_by_the_scan(spark, tmp_path):
     folder = str(tmp_path / "files")
     put(folder, "long", b"x" * 100)
