@@ -127,3 +127,11 @@ def test_labels_meet_regions_of_every_level(spark):
     out = interactive.label_in_name(fields, spans)
     assert {(r.field_id, r.visible_label) for r in out.collect()} == {(1, "Name of holder"), (2, "Place of birth")}
     assert "p_x0" in out._jdf.queryExecution().optimizedPlan().toString()  # spans meet what encloses a page's regions before they get cells
+
+
+def test_written_findings_are_packed(spark, tmp_path):
+    path = tmp_path / "findings"
+    audit.write_findings(found_rows(spark), str(path))
+    files = [f.name for f in path.rglob("*.parquet")]
+    assert files and all(".zstd." in f for f in files)
+    assert spark.read.parquet(str(path)).count() == 40
